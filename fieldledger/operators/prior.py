@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
+from ..session import cut_lineage
 
 FEATURE_COLUMNS = (
     "amount_zscore_series", "amount_ratio_to_mean",
@@ -86,29 +87,34 @@ def _whole_series_state(df: DataFrame, tx: TransactionColumns, modes: Sequence[s
     w = Window.partitionBy(*tx.series).orderBy(*order)
     prior = _before(*tx.series, order=order)
     amount = F.col(tx.amount)
-    out = (
-        df.withColumn("_pos", F.row_number().over(w))
-        .withColumn("_n", F.count(F.lit(1)).over(prior))
-        .withColumn("_mean", F.avg(amount).over(prior))
-        .withColumn("_sd", F.stddev_pop(amount).over(prior))
-        .withColumn("_lo", F.min(amount).over(prior))
-        .withColumn("_hi", F.max(amount).over(prior))
-        .withColumn("_usual_day", F.percentile(F.dayofmonth(tx.date), F.lit(0.5)).over(prior))
-        .withColumn("_last", F.lag(tx.date).over(w))
-        .withColumn("_ym", F.trunc(tx.date, "month"))
-        .withColumn("_month_n", F.row_number().over(
-            Window.partitionBy(*tx.series, "_ym").orderBy(*order)) - 1)
-    )
+    month = F.trunc(tx.date, "month")
+    out = df.withColumns({"_pos": F.row_number().over(w).cast("long"), "_last": F.lag(tx.date).over(w)})
+    # rank within the value and first position of the value: one sort per value column
     for m in modes:
-        v = tx.modes[m]
-        by_value = Window.partitionBy(*tx.series, v)
-        out = (
-            out.withColumn("_c", F.row_number().over(by_value.orderBy(*order)).cast("long"))
-            .withColumn("_fp", F.min("_pos").over(by_value).cast("long"))
-        )
-        candidate = F.struct(F.col("_c").alias("c"), (-F.col("_fp")).alias("f"), F.col(v).alias("v"))
-        out = out.withColumn(f"_mode_{m}", F.max(candidate).over(prior)["v"]).drop("_c", "_fp")
-    return out.drop("_pos", "_ym")
+        by_value = Window.partitionBy(*tx.series, tx.modes[m])
+        out = out.withColumns({
+            f"_c_{m}": F.row_number().over(by_value.orderBy(*order)).cast("long"),
+            f"_f_{m}": -F.min("_pos").over(by_value),
+        })
+    # everything else shares one more sort
+    month_start = F.when(F.col("_last").isNull() | (F.trunc("_last", "month") != month), F.col("_pos"))
+    state = {
+        "_n": F.count(F.lit(1)).over(prior),
+        "_mean": F.avg(amount).over(prior),
+        "_sd": F.stddev_pop(amount).over(prior),
+        "_lo": F.min(amount).over(prior),
+        "_hi": F.max(amount).over(prior),
+        "_usual_day": F.percentile(F.dayofmonth(tx.date), F.lit(0.5)).over(prior),
+        "_month_n": F.col("_pos") - F.max(month_start).over(
+            w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+    }
+    for m in modes:
+        # the value with the most rows so far has its count on its latest row; of equally
+        # frequent values the one seen first wins
+        state[f"_mode_{m}"] = F.max(F.struct(
+            F.col(f"_c_{m}").alias("c"), F.col(f"_f_{m}").alias("f"), F.col(tx.modes[m]).alias("v"),
+        )).over(prior)["v"]
+    return out.withColumns(state).drop("_pos", *[f"_c_{m}" for m in modes], *[f"_f_{m}" for m in modes])
 
 
 def _histogram_median(histogram: Column) -> Column:
@@ -171,6 +177,8 @@ def _chunked_series_state(
         .withColumn("_n1", (F.row_number().over(Window.partitionBy(*key).orderBy(*tx.ties)) - 1).cast("long"))
         .withColumn("_pos", F.col("_n0") + F.col("_n1") + 1)
     )
+    # read nine times below: written once instead of recomputed
+    base = cut_lineage(base, "hot-series")
     out = base
     for m in modes:
         v = tx.modes[m]
@@ -224,10 +232,11 @@ def _chunked_series_state(
 
 def series_state(
     df: DataFrame, tx: TransactionColumns, modes: Sequence[str] = ("iban", "swift", "method", "channel"),
-    hot_rows: int = HOT_ROWS, sub_day: str | None = None,
+    hot: DataFrame | None = None, sub_day: str | None = None,
 ) -> DataFrame:
-    """df plus the state of its series before each row, in columns that begin with '_'."""
-    hot = hot_keys(df, tx.series, tx.amount, hot_rows)
+    """df plus the state of its series before each row, in columns that begin with '_'.
+
+    hot: the series to cut into chunks, from hot_keys."""
     if hot is None:
         return _whole_series_state(df, tx, modes)
     small = df.join(F.broadcast(hot), tx.series, "left_anti")
@@ -239,14 +248,14 @@ def series_state(
 def series_features(
     df: DataFrame, tx: TransactionColumns, cutoff: Column | None = None,
     modes: Sequence[str] = ("iban", "swift", "method", "channel"),
-    hot_rows: int = HOT_ROWS, sub_day: str | None = None,
+    hot: DataFrame | None = None, sub_day: str | None = None,
 ) -> DataFrame:
     """Features of the row against the earlier rows of its (account, recipient) series.
 
     Rows after the cutoff date form a second pass: only the gap since the last payment
     starts anew there, all other state carries over.
     """
-    state = series_state(df, tx, modes, hot_rows, sub_day)
+    state = series_state(df, tx, modes, hot, sub_day)
     if cutoff is not None:
         state = state.withColumn("_cutoff", cutoff)
     amount, n, mean = F.col(tx.amount), F.col("_n"), F.col("_mean")
@@ -256,22 +265,22 @@ def series_features(
     gap = F.datediff(tx.date, "_last")
     if cutoff is not None:
         gap = F.when((F.col(tx.date) > F.col("_cutoff")) & (F.col("_last") <= F.col("_cutoff")), None).otherwise(gap)
-    out = (
-        state
-        .withColumn("amount_zscore_series", S.clip_range(z, -10, 10))
-        .withColumn("amount_ratio_to_mean", S.clip_range(ratio, 0, 10))
-        .withColumn("day_deviation_from_usual",
-                    F.coalesce(F.abs(F.dayofmonth(tx.date) - F.col("_usual_day")), F.lit(0.0)))
-        .withColumn("tx_count_this_month_so_far", (F.col("_month_n") + 1).cast("long"))
-        .withColumn("is_new_series", (n == 0).cast("int"))
-        .withColumn("series_tx_count_before", n.cast("long"))
-        .withColumn("series_tx_count_before_log", F.log1p(n))
-        .withColumn("days_since_last_in_series", F.coalesce(gap, F.lit(DEFAULT_GAP_DAYS)).cast("int"))
-    )
+    features = {
+        "amount_zscore_series": S.clip_range(z, -10, 10),
+        "amount_ratio_to_mean": S.clip_range(ratio, 0, 10),
+        "day_deviation_from_usual":
+            F.coalesce(F.abs(F.dayofmonth(tx.date) - F.col("_usual_day")), F.lit(0.0)),
+        "tx_count_this_month_so_far": (F.col("_month_n") + 1).cast("long"),
+        "is_new_series": (n == 0).cast("int"),
+        "series_tx_count_before": n.cast("long"),
+        "series_tx_count_before_log": F.log1p(n),
+        "days_since_last_in_series": F.coalesce(gap, F.lit(DEFAULT_GAP_DAYS)).cast("int"),
+    }
     for m in modes:
-        out = out.withColumn(f"usual_{m}", F.col(f"_mode_{m}")).withColumn(
-            f"{m}_mismatch",
-            F.when((n > 0) & ~F.col(tx.modes[m]).eqNullSafe(F.col(f"_mode_{m}")), 1).otherwise(0))
+        features[f"usual_{m}"] = F.col(f"_mode_{m}")
+        features[f"{m}_mismatch"] = F.when(
+            (n > 0) & ~F.col(tx.modes[m]).eqNullSafe(F.col(f"_mode_{m}")), 1).otherwise(0)
+    out = state.withColumns(features)
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
@@ -337,10 +346,12 @@ def counterparty_features(
 def row_features(df: DataFrame, tx: TransactionColumns) -> DataFrame:
     """Features that need no other row."""
     return (
-        df.withColumn("is_card_mobile", S.is_card_mobile(tx.method, tx.channel))
-        .withColumn("day_of_month", F.dayofmonth(tx.date))
-        .withColumn("day_of_week", S.day_of_week(tx.date))
-        .withColumn("month", F.month(tx.date))
+        df.withColumns({
+            "is_card_mobile": S.is_card_mobile(tx.method, tx.channel),
+            "day_of_month": F.dayofmonth(tx.date),
+            "day_of_week": S.day_of_week(tx.date),
+            "month": F.month(tx.date),
+        })
     )
 
 
@@ -349,8 +360,9 @@ def transaction_features(
     hot_rows: int = HOT_ROWS, sub_day: str | None = None,
 ) -> DataFrame:
     """All 21 features, strictly prior, one row per transaction."""
+    hot = hot_keys(df, tx.series, tx.amount, hot_rows)
     out = counterparty_features(df, tx, cutoff, sub_day)
-    out = series_features(out, tx, cutoff, hot_rows=hot_rows, sub_day=sub_day)
+    out = series_features(out, tx, cutoff, hot=hot, sub_day=sub_day)
     return row_features(out, tx)
 
 

@@ -47,7 +47,8 @@ def _series(name, ints=(), floats=(), strings=(), modes=(), where_cutoff=False):
     def run(spark, sf):
         tx = transactions(spark, sf)
         cutoff = splits.chronological_cutoff(tx, TX.date) if where_cutoff else None
-        out = prior.series_features(tx, TX, cutoff, modes=modes)
+        hot = prior.hot_keys(tx, TX.series, TX.amount, prior.HOT_ROWS)
+        out = prior.series_features(tx, TX, cutoff, modes=modes, hot=hot)
         return shape(_keyed(out), ["row_key", *strings], ints, floats)
 
     return run
