@@ -72,7 +72,10 @@ def invoice_note_parse(note) -> dict[str, Column]:
 
 def dataset_display_name(name) -> Column:
     c = F.col(name)
-    plain = F.initcap(F.regexp_replace(F.replace(c, F.lit(".npz"), F.lit("")), "_", " "))
+    words = F.regexp_replace(F.replace(c, F.lit(".npz"), F.lit("")), "_", " ")
+    # title case: a capital after every non-letter
+    runs = F.regexp_extract_all(words, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    plain = F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
     return (
         F.when(F.lower(c).contains("campaign"), "Campaign Dataset")
         .when(F.lower(c).contains("business"), "Business Dataset")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.noise import hash_uniform, noise_key
@@ -183,42 +184,44 @@ def quantile_count(n_rows: int) -> int:
 def quantile_normalize(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Map each column through its piecewise-linear training CDF to a normal quantile.
 
-    The reference points are exact order statistics (at most 1000 per column); each row finds
-    its segment in the sorted array."""
+    The reference points are exact order statistics, at most 1000 per column, and are held by
+    the plan; each row finds its segment by binary search. Runs of equal points map to the
+    middle of the run, the ends to the ends."""
     n_q = quantile_count(train.count())
     probs = [i / (n_q - 1) for i in range(n_q)]
     low, high = 1e-7, 1.0 - 1e-7
     out = df
     for c in cols:
-        points = (
-            ranks.order_statistics(train.where(~F.isnan(c)), c, probs)
-            .agg(F.array_sort(F.collect_list(F.struct("prob", "quantile"))).alias("a"))
-            .select(F.transform("a", lambda e: e["quantile"])).scalar()
-        )
-        out = out.withColumn("_q", points)
-        x = F.col(c)
-        # averaging the position found from below and from above makes runs of equal
-        # reference values map to the middle of the run
-        below = F.aggregate("_q", F.lit(0), lambda a, q: a + (q < x).cast("int"))
-        upto = F.aggregate("_q", F.lit(0), lambda a, q: a + (q <= x).cast("int"))
-        out = out.withColumn("_b", below).withColumn("_u", upto)
-
-        def at(i: Column) -> Column:
-            return F.get("_q", i)
+        points = [
+            r["quantile"] for r in ranks.order_statistics(train.where(~F.isnan(c)), c, probs).orderBy("prob").collect()
+        ]
+        first: dict[float, int] = {}
+        last: dict[float, int] = {}
+        for i, q in enumerate(points):
+            first.setdefault(q, i)
+            last[q] = i
+        marks = sorted(first)
+
+        def pick(values):
+            return F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("_seg").cast("int") - 1)
 
-        def between(i: Column) -> Column:
-            return (i - 1 + (x - at(i - 1)) / (at(i) - at(i - 1))) / F.lit(float(n_q - 1))
-
-        middle = (F.col("_b") + F.col("_u") - 1) / F.lit(2.0 * (n_q - 1))
+        x = F.col(c)
+        out = out.withColumn("_x", x.cast("double"))
+        out = Bucketizer(splits=[float("-inf"), *marks, float("inf")], inputCol="_x", outputCol="_seg",
+                         handleInvalid="keep").transform(out)
+        start, begin = pick(marks), pick([first[m] for m in marks])
+        end = pick([last[m] for m in marks])
+        after, after_at = pick([*marks[1:], marks[-1]]), pick([*[first[m] for m in marks[1:]], n_q - 1])
         cdf = (
-            F.when(F.isnan(x) | x.isNull(), None)
-            .when(F.col("_b") == n_q, F.lit(1.0)).when(F.col("_u") == 0, F.lit(0.0))
-            .when(F.col("_u") > F.col("_b"),
-                  F.when(F.col("_b") == 0, F.lit(0.0)).when(F.col("_u") == n_q, F.lit(1.0)).otherwise(middle))
-            .otherwise(between(F.col("_b")))
+            F.when(x.isNull() | F.isnan(x), None)
+            .when((F.col("_seg") == 0) | ((F.col("_seg") == 1) & (x == start)), F.lit(0.0))
+            .when(F.col("_seg") == len(marks), F.lit(1.0))
+            .when(x == start, (begin + end) / F.lit(2.0 * (n_q - 1)))
+            .otherwise((end + (x - start) / (after - start) * (after_at - end)) / F.lit(n_q - 1.0))
         )
-        out = out.withColumn(
-            c, inverse_normal(F.greatest(F.least(cdf, F.lit(high)), F.lit(low)))).drop("_q", "_b", "_u")
+        out = out.withColumn("_p", cdf).withColumn(
+            c, inverse_normal(F.greatest(F.least(F.col("_p"), F.lit(high)), F.lit(low)))
+        ).drop("_x", "_seg", "_p")
     return out
 
 
@@ -396,11 +399,13 @@ def snap_to_real(real: DataFrame, synth: DataFrame, col: str) -> DataFrame:
         "_range",
         F.max("_top").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"),
         F.min("_bottom").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_right"))
-    w = Window.partitionBy("_range").orderBy("_x")
+    # two running frames in opposite orders; a frame that looks forward would be quadratic
+    up = Window.partitionBy("_range").orderBy("_x").rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("_range").orderBy(F.col("_x").desc()).rangeBetween(Window.unboundedPreceding, 0)
     answers = (
         both.join(every, "_range")
-        .withColumn("_low", F.coalesce(F.max("_real").over(w.rangeBetween(Window.unboundedPreceding, 0)), "_left"))
-        .withColumn("_high", F.coalesce(F.min("_real").over(w.rangeBetween(0, Window.unboundedFollowing)), "_right"))
+        .withColumn("_low", F.coalesce(F.max("_real").over(up), "_left"))
+        .withColumn("_high", F.coalesce(F.min("_real").over(down), "_right"))
         .where(F.col("_real").isNull())
         .withColumn("_best", F.when(F.col("_low").isNull(), F.col("_high"))
                     .when(F.col("_high").isNull() | (F.col("_x") - F.col("_low") <= F.col("_high") - F.col("_x")),

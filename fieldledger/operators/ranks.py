@@ -100,27 +100,32 @@ def order_statistics(
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_n"))
     ranked = cumulative(counts, value, ["n"], keys, bounds)
-    if keys:
-        ranked = ranked.join(totals, keys)
-    else:
-        ranked = ranked.withColumn("_n", totals.scalar())
-    # the sorted rows n_before .. n_before + n - 1 hold this value
-    position = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: p * (F.col("_n") - 1))
-    first, last = F.col("n_before"), F.col("n_before") + F.col("n")
-
-    def weight(p: Column) -> Column:
-        low, part = F.floor(p), p - F.floor(p)
-        w_low = F.when((low >= first) & (low < last), F.lit(1.0) - part).otherwise(F.lit(0.0))
-        w_high = F.when((low + 1 >= first) & (low + 1 < last), part).otherwise(F.lit(0.0))
-        return w_low + w_high
-
-    weighted = ranked.withColumn("_w", F.transform(position, weight))
-    hits = weighted.withColumn(
-        "_hit", F.explode(F.filter(
-            F.transform("_w", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda e: e["w"] > 0)))
-    names = F.array(*[F.lit(float(p)) for p in probs])
+
+    # the ranks each percentile needs (two per percentile), numbered by block of ranks
+    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    position = F.col("_g.p") * (F.col("_n") - 1)
+    part = position - F.floor(position)
+    needed = (
+        totals.select(*keys, "_n", F.explode(grid).alias("_g"))
+        .select(*keys, "_n", F.col("_g.i").alias("_i"), F.explode(F.array(
+            F.struct(F.floor(position).alias("r"), (F.lit(1.0) - part).alias("w")),
+            F.struct((F.floor(position) + 1).alias("r"), part.alias("w")))).alias("_e"))
+        .where(F.col("_e.w") > 0)
+        .select(*keys, "_i", F.col("_e.r").alias("_rank"), F.col("_e.w").alias("_w"),
+                _block(F.col("_e.r"), F.col("_n")).alias("_block"))
+    )
+    # a value holds the sorted rows n_before .. n_before + n - 1, as a rule within one block
+    sized = ranked.join(totals, keys) if keys else ranked.withColumn("_n", totals.scalar())
+    spread = sized.withColumn("_last", F.col("n_before") + F.col("n") - 1).withColumn(
+        "_block", F.explode(F.sequence(_block(F.col("n_before"), F.col("_n")), _block(F.col("_last"), F.col("_n")))))
     return (
-        hits.groupBy(*keys, F.col("_hit.i").alias("_i"))
-        .agg(F.sum(F.col("_hit.w") * F.col(value)).alias("quantile"))
-        .withColumn("prob", names[F.col("_i")]).select(*keys, "prob", "quantile")
+        spread.join(F.broadcast(needed) if not keys else needed, [*keys, "_block"])
+        .where((F.col("_rank") >= F.col("n_before")) & (F.col("_rank") <= F.col("_last")))
+        .groupBy(*keys, "_i").agg(F.sum(F.col("_w") * F.col(value)).alias("quantile"))
+        .withColumn("prob", F.array(*[F.lit(float(p)) for p in probs])[F.col("_i")])
+        .select(*keys, "prob", "quantile")
     )
+
+
+def _block(rank: Column, n: Column) -> Column:
+    return F.floor(rank * F.lit(4096) / n).cast("long")

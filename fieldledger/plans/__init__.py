@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("features",)
+MODULES = ("features", "scalars", "splits", "prep", "metrics")
 
 
 def load() -> None:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-ROW_KEY = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                      F.date_format("date_post", "yyyyMMdd"))
+
+def row_key(date: str = "date_post") -> Column:
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                       F.date_format(date, "yyyyMMdd"))
 
 
 def shape(df: DataFrame, strings: Sequence[str] = (), ints: Sequence[str] = (),
@@ -36,6 +38,8 @@ def flt(expr: str, name: str | None = None, digits: int = 6) -> str:
 KEY_SQL = ("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
            "strftime(date_post, '%Y%m%d'))")
 
+LINE_KEY_SQL = KEY_SQL.replace("date_post", "l_shipdate")
+
 TX_SQL = """tx AS (
   SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey,
                             l_extendedprice) AS tx_id,

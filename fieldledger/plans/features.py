@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import prior, splits
 from ..sources.tables import TX, transactions
-from .common import (FLOAT_FEATURES, INT_FEATURES, KEY_SQL, ROW_KEY, features_sql, flt, num, shape, txt)
+from .common import (FLOAT_FEATURES, INT_FEATURES, KEY_SQL, features_sql, flt, num, row_key, shape, txt)
 from .registry import query
 
 
@@ -17,7 +17,7 @@ def all_features(spark, sf, hot_rows=prior.HOT_ROWS):
 
 
 def _keyed(df):
-    return df.withColumn("row_key", ROW_KEY)
+    return df.withColumn("row_key", row_key())
 
 
 def _sql(strings=(), ints=(), floats=(), where=""):
