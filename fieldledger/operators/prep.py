@@ -202,26 +202,28 @@ def quantile_normalize(train: DataFrame, df: DataFrame, cols: Sequence[str]) ->
             last[q] = i
         marks = sorted(first)
 
-        def pick(values):
-            return F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("_seg").cast("int") - 1)
-
-        x = F.col(c)
-        out = out.withColumn("_x", x.cast("double"))
-        out = Bucketizer(splits=[float("-inf"), *marks, float("inf")], inputCol="_x", outputCol="_seg",
+        # one row per segment between distinct points, at most 1001
+        rows = [(0, None, None, None, None, None)]
+        for j, m in enumerate(marks):
+            up = marks[j + 1] if j + 1 < len(marks) else None
+            rows.append((j + 1, m, first[m], last[m], up, None if up is None else first[up]))
+        segments = df.sparkSession.createDataFrame(
+            rows, "_seg int, _start double, _begin int, _end int, _next double, _next_at int")
+        out = out.withColumn("_x", F.col(c).cast("double"))
+        out = Bucketizer(splits=[float("-inf"), *marks, float("inf")], inputCol="_x", outputCol="_b",
                          handleInvalid="keep").transform(out)
-        start, begin = pick(marks), pick([first[m] for m in marks])
-        end = pick([last[m] for m in marks])
-        after, after_at = pick([*marks[1:], marks[-1]]), pick([*[first[m] for m in marks[1:]], n_q - 1])
+        out = out.withColumn("_seg", F.col("_b").cast("int")).join(F.broadcast(segments), "_seg", "left")
+        x, start, end = F.col(c), F.col("_start"), F.col("_end")
         cdf = (
             F.when(x.isNull() | F.isnan(x), None)
             .when((F.col("_seg") == 0) | ((F.col("_seg") == 1) & (x == start)), F.lit(0.0))
             .when(F.col("_seg") == len(marks), F.lit(1.0))
-            .when(x == start, (begin + end) / F.lit(2.0 * (n_q - 1)))
-            .otherwise((end + (x - start) / (after - start) * (after_at - end)) / F.lit(n_q - 1.0))
+            .when(x == start, (F.col("_begin") + end) / F.lit(2.0 * (n_q - 1)))
+            .otherwise((end + (x - start) / (F.col("_next") - start) * (F.col("_next_at") - end)) / F.lit(n_q - 1.0))
         )
         out = out.withColumn("_p", cdf).withColumn(
             c, inverse_normal(F.greatest(F.least(F.col("_p"), F.lit(high)), F.lit(low)))
-        ).drop("_x", "_seg", "_p")
+        ).drop("_x", "_b", "_seg", "_start", "_begin", "_end", "_next", "_next_at", "_p")
     return out
 
 

@@ -102,7 +102,8 @@ def order_statistics(
     ranked = cumulative(counts, value, ["n"], keys, bounds)
 
     # the ranks each percentile needs (two per percentile), numbered by block of ranks
-    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    levels = F.split(F.lit(",".join(repr(float(p)) for p in probs)), ",").cast("array<double>")
+    grid = F.transform(levels, lambda p, i: F.struct(i.alias("i"), p.alias("p")))
     position = F.col("_g.p") * (F.col("_n") - 1)
     part = position - F.floor(position)
     needed = (
@@ -122,7 +123,7 @@ def order_statistics(
         spread.join(F.broadcast(needed) if not keys else needed, [*keys, "_block"])
         .where((F.col("_rank") >= F.col("n_before")) & (F.col("_rank") <= F.col("_last")))
         .groupBy(*keys, "_i").agg(F.sum(F.col("_w") * F.col(value)).alias("quantile"))
-        .withColumn("prob", F.array(*[F.lit(float(p)) for p in probs])[F.col("_i")])
+        .withColumn("prob", levels[F.col("_i")])
         .select(*keys, "prob", "quantile")
     )
 

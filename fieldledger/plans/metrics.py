@@ -183,9 +183,9 @@ pc AS (SELECT c::VARCHAR AS class, count(*) FILTER (truth = c)::DOUBLE AS sup, c
 m AS (SELECT class, sup, hit, coalesce(hit / nullif(prd, 0), 0) AS p, coalesce(hit / nullif(sup, 0), 0) AS r,
   coalesce(2 * hit / nullif(sup + prd, 0), 0) AS f FROM pc)
 SELECT class, {flt('p', 'precision')}, {flt('r', 'recall')}, {flt('f', 'f1')}, {num('sup', 'support')} FROM m
-UNION ALL SELECT 'accuracy', {flt('sum(hit) / sum(sup)')}, {flt('sum(hit) / sum(sup)')}, {flt('sum(hit) / sum(sup)')}, {num('sum(sup)')} FROM m
-UNION ALL SELECT 'macro avg', {flt('avg(p)')}, {flt('avg(r)')}, {flt('avg(f)')}, {num('sum(sup)')} FROM m
-UNION ALL SELECT 'weighted avg', {flt('sum(p * sup) / sum(sup)')}, {flt('sum(r * sup) / sum(sup)')}, {flt('sum(f * sup) / sum(sup)')}, {num('sum(sup)')} FROM m""")
+UNION ALL SELECT 'accuracy', round(CAST(sum(hit) / sum(sup) AS DOUBLE), 6), round(CAST(sum(hit) / sum(sup) AS DOUBLE), 6), round(CAST(sum(hit) / sum(sup) AS DOUBLE), 6), CAST(sum(sup) AS BIGINT) FROM m
+UNION ALL SELECT 'macro avg', round(CAST(avg(p) AS DOUBLE), 6), round(CAST(avg(r) AS DOUBLE), 6), round(CAST(avg(f) AS DOUBLE), 6), CAST(sum(sup) AS BIGINT) FROM m
+UNION ALL SELECT 'weighted avg', round(CAST(sum(p * sup) / sum(sup) AS DOUBLE), 6), round(CAST(sum(r * sup) / sum(sup) AS DOUBLE), 6), round(CAST(sum(f * sup) / sum(sup) AS DOUBLE), 6), CAST(sum(sup) AS BIGINT) FROM m""")
 def classification_report(spark, sf):
     df = T.classified(spark, sf).withColumn("pred", (F.col("score") > 0.8).cast("int") + F.col("toxic"))
     return shape(M.classification_report(df, "truth", "pred"), ["class"], ["support"], ["precision", "recall", "f1"])
