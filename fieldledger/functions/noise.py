@@ -37,6 +37,13 @@ def hash_normal(key: Column) -> Column:
     )
 
 
+def hash_normal_flat(key: Column) -> Column:
+    """hash_normal for plain projections, where the generated code shares the digest."""
+    h = F.md5(key)
+    return F.sqrt(F.lit(-2.0) * F.log((_bits(h, 1) + F.lit(0.5)) / F.lit(TWO_52))) * F.cos(
+        F.lit(2.0) * F.pi() * (_bits(h, 14) / F.lit(TWO_52)))
+
+
 def normal_vector(size: Column, *parts) -> Column:
     """array<double> of iid normals; element d is keyed by parts and d."""
     return F.transform(

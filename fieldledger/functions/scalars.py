@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, functions as F
 
+from .noise import let
+
 MAX_DOUBLE = 1.7976931348623157e308
 NONE_SENTINEL = "__none__"
 
@@ -180,10 +182,11 @@ def binary_label(probability: Column) -> Column:
 
 
 def softmax(values: Column) -> Column:
-    shifted = F.transform(values, lambda v: F.exp(v - F.array_max(values)))
-    return F.transform(shifted, lambda e: e / F.aggregate(shifted, F.lit(0.0), lambda a, v: a + v))
+    powers = let(values, lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))))
+    return let(powers, lambda e: let(
+        F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda all_: F.transform(e, lambda x: x / all_)))
 
 
 def argmax(values: Column) -> Column:
     """First position of the largest value, from 0."""
-    return F.array_position(values, F.array_max(values)) - 1
+    return let(values, lambda v: F.array_position(v, F.array_max(v)) - 1)

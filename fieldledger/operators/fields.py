@@ -1,4 +1,26 @@
-from pyspark.sql import DataFrame, Window, functions as F
+"""Velocity and noise fields fitted on noised copies of the data.
+
+A field answers, per dimension and noise level, which way a noised value should move. Three
+kinds: `flow` (straight path from noise to data), `vp` (variance-preserving diffusion, the
+field predicts the noise) and `contraction` (data shrinks to the origin). Noise is a hash of
+(row key, purpose, seed, copy, dimension), the same at every level.
+
+The fit is one aggregation: every task reduces its noised copies to one cell per
+(level, dimension, bin), so the shuffle does not grow with rows, copies or levels. The fitted
+table is bounded by levels x dimensions x bins and is packed into one row for scoring.
+"""
+
+from __future__ import annotations
+
+import json
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from ..functions import noise as N, scalars as S
+from . import prep
 
 
 def vp_schedule(df: DataFrame, keys, n: str, b0: float = 0.1, b1: float = 8.0) -> DataFrame:
@@ -10,3 +32,439 @@ def vp_schedule(df: DataFrame, keys, n: str, b0: float = 0.1, b1: float = 8.0) -
     w = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = grid.withColumn("beta", beta).withColumn("cum", F.exp(F.sum(F.log(F.lit(1.0) - F.col("beta"))).over(w)))
     return out.withColumns({"sqrt_cum": F.sqrt("cum"), "sqrt_1m_cum": F.sqrt(F.lit(1.0) - F.col("cum"))}).drop(n)
+
+
+@dataclass(frozen=True)
+class FieldSpec:
+    kind: str = "flow"              # flow | vp | contraction
+    learner: str = "binned"         # binned | linear
+    n_t: int = 20
+    copies: int = 20
+    bins: int = 32
+    span: float = 4.0               # bins cover [-span, span]; values beyond fall in the end bins
+    eps: float = 1e-3
+    b0: float = 0.1
+    b1: float = 8.0
+    seed: int = 666
+
+    def __post_init__(self):
+        if self.kind not in ("flow", "vp", "contraction"):
+            raise ValueError(f"unknown kind {self.kind}")
+        if self.learner not in ("binned", "linear"):
+            raise ValueError(f"unknown learner {self.learner}")
+        if self.kind == "contraction" and self.learner == "linear":
+            # the target is -x, which a line fits exactly: every score would be 0
+            raise ValueError("a contraction field takes the binned learner")
+
+    @property
+    def fit_levels(self) -> list[tuple[int, float]]:
+        if self.kind == "contraction":  # the target does not depend on the level
+            return [(0, 0.0)]
+        return list(enumerate(S.grid_levels(self.n_t, self.eps)))
+
+
+@dataclass(frozen=True)
+class FieldModel:
+    """A fitted field. table: one row per label with `grid` = array[level][dimension] of cells;
+    ranges: one row with the training range of each dimension (flow and vp only)."""
+
+    spec: FieldSpec
+    table: DataFrame
+    ranges: DataFrame | None
+
+    def grid(self) -> Column:
+        return self.table.select("grid").scalar()
+
+    def grids_by_label(self) -> Column:
+        return self.table.agg(F.array_sort(F.collect_list(F.struct("label", "grid")))).scalar()
+
+    def range_array(self) -> Column:
+        return self.ranges.select("ranges").scalar()
+
+    def save(self, path: str) -> None:
+        self.table.write.parquet(f"{path}/table")
+        if self.ranges is not None:
+            self.ranges.write.parquet(f"{path}/ranges")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, spec: FieldSpec) -> "FieldModel":
+        ranges = None if spec.kind == "contraction" else spark.read.parquet(f"{path}/ranges")
+        return FieldModel(spec, spark.read.parquet(f"{path}/table"), ranges)
+
+    def materialize(self, path: str) -> "FieldModel":
+        """Write the model and use the written copy, so that several scores share one fit."""
+        self.save(path)
+        return FieldModel.load(self.table.sparkSession, path, self.spec)
+
+
+def literal_rows(rows: Sequence[dict], schema: str) -> Column:
+    """A constant array of structs; one literal in the plan whatever its length."""
+    return F.from_json(F.lit(json.dumps(list(rows))), f"array<struct<{schema}>>")
+
+
+def bin_of(x: Column, spec: FieldSpec) -> Column:
+    pos = F.floor((x + F.lit(spec.span)) * F.lit(spec.bins / (2.0 * spec.span)))
+    return F.greatest(F.least(pos, F.lit(spec.bins - 1)), F.lit(0)).cast("int")
+
+
+def predict(cells: Column, x: Column, spec: FieldSpec) -> Column:
+    """Field at x from the cells of one (level, dimension)."""
+    if spec.learner == "linear":
+        return cells[0] * x + cells[1]
+    return cells[bin_of(x, spec)]
+
+
+def noised(
+    df: DataFrame, key: str, z: str, spec: FieldSpec, levels: Sequence[tuple[int, float]],
+    purpose: str = "fit", keep: Sequence[str] = (),
+) -> DataFrame:
+    """Long form: keep columns, d, copy, t_idx, x_t and the target y of the field.
+
+    Dimensions and copies are exploded before the levels, so the noise of a cell is drawn once
+    and shared by its levels."""
+    long = df.select(F.col(key).cast("string").alias("_key"), *keep, F.posexplode(z).alias("d", "_x1"))
+    long = long.where(~F.isnan("_x1"))
+    if spec.kind == "contraction":
+        steps = long.withColumns({"copy": F.lit(0), "_x0": F.lit(0.0)})
+    else:
+        steps = long.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(spec.copies - 1)))).withColumn(
+            "_x0", N.hash_normal_flat(N.noise_key(
+                F.col("_key"), purpose, spec.seed, F.col("copy").cast("string"), F.col("d").cast("string"))))
+    rows = []
+    for i, t in levels:
+        mean, std = S.vp_coefficients(t, spec.b0, spec.b1)
+        a, b = {"flow": (t, 1.0 - t), "vp": (mean, std), "contraction": (1.0 - t, 0.0)}[spec.kind]
+        rows.append({"i": i, "a": a, "b": b})
+    steps = steps.withColumn("_l", F.explode(literal_rows(rows, "i int, a double, b double")))
+    x_t = F.col("_l.a") * F.col("_x1") + F.col("_l.b") * F.col("_x0")
+    target = {"flow": F.col("_x1") - F.col("_x0"), "vp": F.col("_x0"), "contraction": -x_t}[spec.kind]
+    return steps.select("_key", *keep, "d", "copy", F.col("_l.i").alias("t_idx"), x_t.alias("x_t"), target.alias("y"))
+
+
+def fit_field(
+    df: DataFrame, key: str, features: str, spec: FieldSpec, label: str | None = None, scale: bool = True,
+    ranges: DataFrame | None = None,
+) -> FieldModel:
+    """Fit one field, or one per value of label. flow and vp scale to [-1, 1] first; contraction
+    takes features that are standardized already. Missing values are skipped per dimension."""
+    if spec.kind == "contraction":
+        ranges, rows = None, df.withColumn("_z", F.col(features))
+    else:
+        if ranges is None:
+            ranges = df.sparkSession.range(1).select(prep.minmax_vector(df, features).alias("ranges"))
+        rows = df.withColumn("_r", ranges.select("ranges").scalar()).withColumn(
+            "_z", prep.scale_to_unit(F.col(features), F.col("_r"))).drop("_r")
+    rows = rows.withColumn("label", F.col(label) if label else F.lit(0))
+    long = noised(rows, key, "_z", spec, spec.fit_levels, keep=["label"])
+    by = ["label", "t_idx", "d"]
+    if spec.learner == "linear":
+        cells = long.groupBy(*by).agg(F.array(
+            F.coalesce(F.regr_slope("y", "x_t"), F.lit(0.0)),
+            F.coalesce(F.regr_intercept("y", "x_t"), F.avg("y"))).alias("cells"))
+    else:
+        sums = long.groupBy(*by, bin_of(F.col("x_t"), spec).alias("bin")).agg(
+            F.sum("y").alias("s"), F.count("y").alias("n"))
+        cells = (
+            sums.groupBy(*by).agg(
+                F.map_from_entries(F.collect_list(F.struct("bin", F.col("s") / F.col("n")))).alias("m"),
+                (F.sum("s") / F.sum("n")).alias("all"))
+            .withColumn("cells", F.transform(
+                F.sequence(F.lit(0), F.lit(spec.bins - 1)),
+                lambda b: F.coalesce(F.try_element_at("m", b), F.col("all"))))
+        )
+    levels = cells.groupBy("label", "t_idx").agg(F.array_sort(F.collect_list(F.struct("d", "cells"))).alias("a"))
+    levels = levels.select("label", "t_idx", F.transform("a", lambda e: e["cells"]).alias("a"))
+    table = levels.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("t_idx", "a"))).alias("g"))
+    return FieldModel(spec, table.select("label", F.transform("g", lambda e: e["a"]).alias("grid")), ranges)
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
+def pairs(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("n")))
+
+
+def euler_rows(spec: FieldSpec, start_idx: int, start_t: float, steps: int) -> list[dict]:
+    """The field level used at each step of width 1 / (n_t - 1): half-even rounding of t (n_t - 1)."""
+    h = 1.0 / (spec.n_t - 1)
+    rows, t = [], start_t
+    for _ in range(steps):
+        i = 0 if spec.kind == "contraction" else int(round(t * (spec.n_t - 1)))
+        rows.append({"i": i, "h": h})
+        t += h
+    return rows
+
+
+STEP_SCHEMA = "i int, h double"
+
+
+def euler(x: Column, grid: Column, steps: Column, spec: FieldSpec) -> Column:
+    """Follow the field through the steps; steps is an array of (i, h)."""
+    return F.aggregate(steps, x, lambda v, s: F.zip_with(
+        v, grid[s["i"]], lambda a, g: a + s["h"] * predict(g, a, spec)))
+
+
+def score_levels(spec: FieldSpec, which: str) -> list[int]:
+    """Noise levels that enter a score."""
+    half = spec.n_t // 2
+    if which not in ("deviation", "reconstruction", "decision"):
+        raise ValueError(f"unknown score {which}")
+    if spec.kind == "flow":
+        return [spec.n_t - 2] if which == "decision" else list(range(half, spec.n_t - 1))
+    if spec.kind == "vp":
+        return [1] if which == "decision" else list(range(1, half + 1))
+    return list(range(0, half))
+
+
+LEVEL_SCHEMA = "i int, a double, b double, t double, steps array<struct<i int, h double>>"
+
+
+def _level_rows(spec: FieldSpec, which: str) -> list[dict]:
+    rows = []
+    for i in score_levels(spec, which):
+        if spec.kind == "contraction":
+            t = i / (spec.n_t - 1)
+            a, b = 1.0 - t, 0.0
+        else:
+            t = S.grid_levels(spec.n_t, spec.eps)[i]
+            a, b = (t, 1.0 - t) if spec.kind == "flow" else S.vp_coefficients(t, spec.b0, spec.b1)
+        steps = [] if spec.kind == "vp" or which != "reconstruction" else euler_rows(spec, i, t, spec.n_t - 1 - i)
+        rows.append({"i": i, "a": a, "b": b, "t": t, "steps": steps})
+    return rows
+
+
+def score(
+    df: DataFrame, key: str, features: str, model: FieldModel, which: str,
+    copies: int | None = None, seed: int = 0, out: str = "score",
+) -> DataFrame:
+    """Adds the anomaly score. A projection: the packed model is a scalar subquery and each row
+    folds its copies and levels in place, so scoring shuffles nothing."""
+    spec = model.spec
+    df = df.withColumn("_grid", model.grid())
+    if spec.kind == "contraction":
+        value = N.let(F.col(features), lambda x: _contraction_score(x, F.col("_grid"), spec, which))
+        return df.withColumn(out, value).drop("_grid")
+
+    copies = copies or spec.copies
+    df = df.withColumn("_r", model.range_array()).withColumn("_z", prep.scale_to_unit(F.col(features), F.col("_r")))
+    noise = N.normal_replicates(F.size("_z"), copies, F.col(key).cast("string"), "score", seed)
+    levels = literal_rows(_level_rows(spec, which), LEVEL_SCHEMA)
+    z, grid = F.col("_z"), F.col("_grid")
+
+    def field_error(z: Column, x0: Column, lv: Column) -> Column:
+        def one(e: Column, g: Column) -> Column:
+            guess = predict(g, lv["a"] * e["x"] + lv["b"] * e["n"], spec)
+            if spec.kind == "flow":
+                gap = e["x"] - e["n"] - guess
+            else:  # both scores carry -1 / std
+                gap = (guess - e["n"]) / lv["b"]
+            return gap * gap
+
+        return total(F.zip_with(pairs(z, x0), grid[lv["i"]], one))
+
+    def data_error(z: Column, seen: Column, x0: Column, lv: Column) -> Column:
+        if spec.kind == "flow":
+            start = F.zip_with(z, x0, lambda x, n: lv["a"] * x + lv["b"] * n)
+            end = euler(start, grid, lv["steps"], spec)
+        else:  # denoised estimate (x_t + std^2 * score) / mean, with score = -guess / std
+            def denoise(e: Column, g: Column) -> Column:
+                x_t = lv["a"] * e["x"] + lv["b"] * e["n"]
+                return (x_t - lv["b"] * predict(g, x_t, spec)) / lv["a"]
+
+            end = F.zip_with(pairs(z, x0), grid[lv["i"]], denoise)
+        back = _raw(end, F.col("_r"))
+        return total(F.zip_with(seen, back, lambda a, b: (a - b) * (a - b)))
+
+    def over_noise(error) -> Column:
+        return F.aggregate(noise, F.lit(0.0), lambda acc, x0: acc + F.aggregate(
+            levels, F.lit(0.0), lambda a, lv: a + error(x0, lv)))
+
+    # the scaled row is bound once, not once per copy and level
+    if which == "reconstruction":
+        summed = N.let(z, lambda v: N.let(_raw(v, F.col("_r")), lambda seen: over_noise(
+            lambda x0, lv: data_error(v, seen, x0, lv))))
+    else:
+        summed = N.let(z, lambda v: over_noise(lambda x0, lv: field_error(v, x0, lv)))
+    return df.withColumn(out, summed / F.lit(float(copies))).drop("_grid", "_r", "_z")
+
+
+def _contraction_score(x: Column, grid: Column, spec: FieldSpec, which: str) -> Column:
+    cells = grid[0]
+    if which == "decision":
+        return F.sqrt(total(F.zip_with(x, cells, lambda a, g: (predict(g, a, spec) + a) * (predict(g, a, spec) + a))))
+    levels = literal_rows(_level_rows(spec, which), LEVEL_SCHEMA)
+
+    def field_error(lv: Column) -> Column:
+        def one(a: Column, g: Column) -> Column:
+            gap = lv["a"] * a + predict(g, lv["a"] * a, spec)
+            return gap * gap
+
+        return total(F.zip_with(x, cells, one))
+
+    def end_distance(lv: Column) -> Column:
+        end = euler(F.transform(x, lambda a: lv["a"] * a), grid, lv["steps"], spec)
+        return total(F.transform(end, lambda a: a * a))
+
+    error = end_distance if which == "reconstruction" else field_error
+    return F.aggregate(levels, F.lit(0.0), lambda acc, lv: acc + error(lv))
+
+
+# generation, imputation, classification ------------------------------------------------
+
+def _raw(x: Column, ranges: Column, int_positions: Sequence[int] = ()) -> Column:
+    return prep.clip_to_range(prep.unscale_from_unit(x, ranges), ranges, int_positions)
+
+
+def draw_label(priors: DataFrame, label: str, key: Column) -> Column:
+    """A label per row by inverse CDF of the priors at a hash uniform."""
+    cdf = priors.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), "prob")))).scalar()
+
+    def pick(values: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast(priors.schema[label].dataType).alias("l"))
+        return F.aggregate(values, zero, lambda a, e: F.struct(
+            (a["cum"] + e["prob"]).alias("cum"),
+            F.when(a["l"].isNull() & (N.hash_uniform(key) < a["cum"] + e["prob"]), e["l"])
+            .otherwise(a["l"]).alias("l")))["l"]
+
+    return F.coalesce(pick(cdf), F.element_at(cdf, -1)["l"])
+
+
+def reverse_schedule(spec: FieldSpec, n_steps: int | None = None, repaint: bool = False,
+                     r: int = 5, j: float = 0.1) -> list[dict]:
+    """Steps of the reverse SDE from t = 1 to eps. A forward entry (back = 1) jumps j steps back
+    by diffusing again; it follows every j-th step until that stretch has been done r times."""
+    n = n_steps or spec.n_t
+    times = [1.0 + (spec.eps - 1.0) * i / (n - 1) for i in range(n)]
+    widths = [times[i] - (times[i + 1] if i + 1 < n else 0.0) for i in range(n)]
+    hop = math.ceil(j * n)
+    rows: list[dict] = []
+
+    def entry(i: int, h: float, back: int) -> None:
+        t = times[i]
+        _, std = S.vp_coefficients(t, spec.b0, spec.b1)
+        rows.append({"s": len(rows), "i": int(round(t * (spec.n_t - 1))), "h": h, "back": back,
+                     "beta": spec.b0 + t * (spec.b1 - spec.b0), "std": std})
+
+    i, rounds = 0, 0
+    while i < n - 1:
+        entry(i, widths[i], 0)
+        if repaint and (i + 1) % hop == 0:
+            if rounds < r - 1:
+                entry(i, sum(widths[i - hop + 1:i + 1]), 1)
+                rounds += 1
+                i -= hop
+            else:
+                rounds = 0
+        i += 1
+    return rows
+
+
+REVERSE_SCHEMA = "s int, i int, h double, back int, beta double, std double"
+
+
+def reverse_diffuse(x: Column, grid: Column, spec: FieldSpec, schedule: list[dict], *noise_parts) -> Column:
+    """Euler-Maruyama through the schedule, new noise per step, then one denoising move at eps."""
+    steps = literal_rows(schedule, REVERSE_SCHEMA)
+    _, last_std = S.vp_coefficients(spec.eps, spec.b0, spec.b1)
+    last_i = int(round(spec.eps * (spec.n_t - 1)))
+
+    def move(v: Column, s: Column) -> Column:
+        kick = N.normal_vector(F.size(v), *noise_parts, s["s"].cast("string"))
+
+        def one(e: Column, g: Column) -> Column:
+            drift = F.lit(-0.5) * s["beta"] * e["x"]
+            pull = s["beta"] * (-predict(g, e["x"], spec) / s["std"])
+            shake = F.sqrt(s["beta"]) * F.sqrt(s["h"]) * e["n"]
+            return F.when(s["back"] == 1, e["x"] + drift * s["h"] + shake).otherwise(
+                e["x"] - (drift - pull) * s["h"] + shake)
+
+        return F.zip_with(pairs(v, kick), grid[s["i"]], one)
+
+    end = F.aggregate(steps, x, move)
+    return F.zip_with(end, grid[last_i], lambda a, g: a - F.lit(last_std) * predict(g, a, spec))
+
+
+def generate(keys: DataFrame, key: str, model: FieldModel, seed: int = 0, priors: DataFrame | None = None,
+             label: str = "label", int_positions: Sequence[int] = (), out: str = "generated") -> DataFrame:
+    """One synthetic row per key. With priors and a label-conditional model, a label is drawn first."""
+    spec = model.spec
+    if spec.kind == "contraction":
+        raise ValueError("a contraction field does not generate")
+    key_text = F.col(key).cast("string")
+    df = keys.withColumn("_r", model.range_array())
+    if priors is None:
+        df = df.withColumn("_grid", model.grid())
+    else:
+        drawn = draw_label(priors, label, N.noise_key(key_text, "label", seed))
+        df = df.withColumn(label, drawn).withColumn("_g", model.grids_by_label()).withColumn(
+            "_grid", F.filter("_g", lambda g: g["label"] == F.col(label))[0]["grid"]).drop("_g")
+    df = df.withColumn("_x0", N.normal_vector(F.size("_r"), key_text, "generate", seed))
+    if spec.kind == "flow":
+        steps = literal_rows(euler_rows(spec, 0, 0.0, spec.n_t - 1), STEP_SCHEMA)
+        x = euler(F.col("_x0"), F.col("_grid"), steps, spec)
+    else:
+        x = reverse_diffuse(F.col("_x0"), F.col("_grid"), spec, reverse_schedule(spec), key_text, "step", seed)
+    return df.withColumn(out, _raw(x, F.col("_r"), int_positions)).drop("_r", "_grid", "_x0")
+
+
+def impute(df: DataFrame, key: str, features: str, model: FieldModel, k: int = 1, repaint: bool = False,
+           r: int = 5, j: float = 0.1, seed: int = 0, int_positions: Sequence[int] = ()) -> DataFrame:
+    """k completed copies of each row (column `imputation`). Observed cells are kept; a missing
+    cell follows the reverse SDE of its dimension."""
+    spec = model.spec
+    if spec.kind != "vp":
+        raise ValueError("imputation takes a vp field")
+    key_text = F.col(key).cast("string")
+    rows = df.withColumn("imputation", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    rows = rows.withColumns({"_r": model.range_array(), "_grid": model.grid()})
+    parts = (key_text, "impute", seed, F.col("imputation").cast("string"))
+    rows = rows.withColumn("_x0", N.normal_vector(F.size("_r"), *parts, "start"))
+    schedule = reverse_schedule(spec, repaint=repaint, r=r, j=j)
+    drawn = _raw(reverse_diffuse(F.col("_x0"), F.col("_grid"), spec, schedule, *parts), F.col("_r"), int_positions)
+    # rows without a gap skip the solver
+    filled = F.zip_with(features, drawn, lambda a, b: F.when(a.isNull() | F.isnan(a), b).otherwise(a))
+    gap = F.exists(features, lambda v: v.isNull() | F.isnan(v))
+    return rows.withColumn(features, F.when(gap, filled).otherwise(F.col(features))).drop("_r", "_grid", "_x0")
+
+
+def classify(df: DataFrame, key: str, features: str, model: FieldModel, n_t: int = 10, n_z: int = 10,
+             seed: int = 0) -> DataFrame:
+    """predicted: the label whose field best explains the noise added to the row; distances: mean
+    squared error per label; proba: softmax of the negative distances, in label order."""
+    spec = model.spec
+    rows = df.withColumns({"_g": model.grids_by_label(), "_r": model.range_array()})
+    rows = rows.withColumn("_z", prep.scale_to_unit(F.col(features), F.col("_r")))
+    looks, t = [], 0.0
+    for step in range(n_t - 1):
+        t += 1.0 / n_t
+        a, b = (t, 1.0 - t) if spec.kind == "flow" else S.vp_coefficients(t, spec.b0, spec.b1)
+        for z in range(n_z):
+            looks.append({"i": int(round(t * (spec.n_t - 1))), "a": a, "b": b, "z": z, "s": step})
+    looks_col = literal_rows(looks, "i int, a double, b double, z int, s int")
+    # the noise of a look is shared by all labels
+    rows = rows.withColumn("_looks", F.transform(looks_col, lambda lk: F.struct(
+        lk["i"].alias("i"), lk["a"].alias("a"), lk["b"].alias("b"),
+        pairs(F.col("_z"), N.normal_vector(
+            F.size("_z"), F.col(key).cast("string"), "classify", seed, lk["z"].cast("string"), lk["s"].cast("string"),
+        )).alias("p"))))
+
+    def distance(grid: Column) -> Column:
+        def look(lk: Column) -> Column:
+            def one(e: Column, g: Column) -> Column:
+                guess = predict(g, lk["a"] * e["x"] + lk["b"] * e["n"], spec)
+                gap = (e["x"] - guess - e["n"]) if spec.kind == "flow" else (guess - e["n"])
+                return gap * gap
+
+            return total(F.zip_with(lk["p"], grid[lk["i"]], one))
+
+        return F.aggregate("_looks", F.lit(0.0), lambda a, lk: a + look(lk)) / F.lit(float(len(looks)))
+
+    rows = rows.withColumn("distances", F.transform("_g", lambda g: F.struct(
+        distance(g["grid"]).alias("distance"), g["label"].alias("label"))))
+    return rows.withColumns({
+        "predicted": F.array_min("distances")["label"],
+        "proba": S.softmax(F.transform("distances", lambda e: -e["distance"])),
+    }).drop("_g", "_r", "_z", "_looks")
+
