@@ -65,8 +65,9 @@ class FieldSpec:
 
 @dataclass(frozen=True)
 class FieldModel:
-    """A fitted field. table: one row per label with `grid` = array[level][dimension] of cells;
-    ranges: one row with the training range of each dimension (flow and vp only)."""
+    """A fitted field. table: one row per label with `grid` = array[level][dimension] of cells, and
+    `ranges` where the label has its own; ranges: one row with the training range of each
+    dimension where all labels share it (flow and vp only)."""
 
     spec: FieldSpec
     table: DataFrame
@@ -129,7 +130,8 @@ def noised(
     else:
         steps = long.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(spec.copies - 1)))).withColumn(
             "_x0", N.hash_normal_flat(N.noise_key(
-                F.col("_key"), purpose, spec.seed, F.col("copy").cast("string"), F.col("d").cast("string"))))
+                F.col("_key"), purpose, F.col("_seed") if "_seed" in keep else spec.seed,
+                F.col("copy").cast("string"), F.col("d").cast("string"))))
     rows = []
     for i, t in levels:
         mean, std = S.vp_coefficients(t, spec.b0, spec.b1)
@@ -142,20 +144,26 @@ def noised(
 
 
 def fit_field(
-    df: DataFrame, key: str, features: str, spec: FieldSpec, label: str | None = None, scale: bool = True,
-    ranges: DataFrame | None = None,
+    df: DataFrame, key: str, features: str, spec: FieldSpec, label: str | None = None,
+    scale_by_label: bool = False, seed: Column | None = None,
 ) -> FieldModel:
-    """Fit one field, or one per value of label. flow and vp scale to [-1, 1] first; contraction
-    takes features that are standardized already. Missing values are skipped per dimension."""
+    """Fit one field, or one per value of label. flow and vp scale to [-1, 1] first, over all rows
+    or per label; contraction takes features that are standardized already. Missing values are
+    skipped per dimension. seed: a column that varies the noise, spec.seed by default."""
+    df = df.withColumn("label", F.col(label) if label else F.lit(0))
+    ranges, by_label = None, None
     if spec.kind == "contraction":
-        ranges, rows = None, df.withColumn("_z", F.col(features))
+        rows = df.withColumn("_z", F.col(features))
+    elif scale_by_label:
+        by_label = label_ranges(df, features)
+        rows = df.join(F.broadcast(by_label), "label").withColumn(
+            "_z", prep.scale_to_unit(F.col(features), F.col("ranges"))).drop("ranges")
     else:
-        if ranges is None:
-            ranges = df.sparkSession.range(1).select(prep.minmax_vector(df, features).alias("ranges"))
+        ranges = df.sparkSession.range(1).select(prep.minmax_vector(df, features).alias("ranges"))
         rows = df.withColumn("_r", ranges.select("ranges").scalar()).withColumn(
             "_z", prep.scale_to_unit(F.col(features), F.col("_r"))).drop("_r")
-    rows = rows.withColumn("label", F.col(label) if label else F.lit(0))
-    long = noised(rows, key, "_z", spec, spec.fit_levels, keep=["label"])
+    rows = rows.withColumn("_seed", F.lit(str(spec.seed)) if seed is None else seed.cast("string"))
+    long = noised(rows, key, "_z", spec, spec.fit_levels, keep=["label", "_seed"])
     by = ["label", "t_idx", "d"]
     if spec.learner == "linear":
         cells = long.groupBy(*by).agg(F.array(
@@ -175,7 +183,20 @@ def fit_field(
     levels = cells.groupBy("label", "t_idx").agg(F.array_sort(F.collect_list(F.struct("d", "cells"))).alias("a"))
     levels = levels.select("label", "t_idx", F.transform("a", lambda e: e["cells"]).alias("a"))
     table = levels.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("t_idx", "a"))).alias("g"))
-    return FieldModel(spec, table.select("label", F.transform("g", lambda e: e["a"]).alias("grid")), ranges)
+    table = table.select("label", F.transform("g", lambda e: e["a"]).alias("grid"))
+    if by_label is not None:
+        table = table.join(by_label, "label")
+    return FieldModel(spec, table, ranges)
+
+
+def label_ranges(df: DataFrame, features: str) -> DataFrame:
+    """label, ranges: the value range of every dimension within the label."""
+    long = df.select("label", F.posexplode(features).alias("d", "v")).where(~F.isnan("v"))
+    stats = long.groupBy("label", "d").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    w = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
+    packed = stats.groupBy("label").agg(F.array_sort(F.collect_list(
+        F.struct("d", F.struct(F.col("lo").alias("lo"), w.alias("w"), F.col("hi").alias("hi")).alias("r")))).alias("a"))
+    return packed.select("label", F.transform("a", lambda e: e["r"]).alias("ranges"))
 
 
 def total(values: Column) -> Column:
@@ -237,18 +258,27 @@ def _level_rows(spec: FieldSpec, which: str) -> list[dict]:
 
 def score(
     df: DataFrame, key: str, features: str, model: FieldModel, which: str,
-    copies: int | None = None, seed: int = 0, out: str = "score",
+    copies: int | None = None, seed: int | Column = 0, out: str = "score",
 ) -> DataFrame:
     """Adds the anomaly score. A projection: the packed model is a scalar subquery and each row
     folds its copies and levels in place, so scoring shuffles nothing."""
-    spec = model.spec
     df = df.withColumn("_grid", model.grid())
+    if model.ranges is not None:
+        df = df.withColumn("_r", model.range_array())
+    return score_attached(df, key, features, model.spec, which, copies, seed, out)
+
+
+def score_attached(
+    df: DataFrame, key: str, features: str, spec: FieldSpec, which: str,
+    copies: int | None = None, seed: int | Column = 0, out: str = "score",
+) -> DataFrame:
+    """score() for rows that carry their own model in _grid and _r."""
     if spec.kind == "contraction":
         value = N.let(F.col(features), lambda x: _contraction_score(x, F.col("_grid"), spec, which))
-        return df.withColumn(out, value).drop("_grid")
+        return df.withColumn(out, value).drop("_grid", "_r")
 
     copies = copies or spec.copies
-    df = df.withColumn("_r", model.range_array()).withColumn("_z", prep.scale_to_unit(F.col(features), F.col("_r")))
+    df = df.withColumn("_z", prep.scale_to_unit(F.col(features), F.col("_r")))
     noise = N.normal_replicates(F.size("_z"), copies, F.col(key).cast("string"), "score", seed)
     levels = literal_rows(_level_rows(spec, which), LEVEL_SCHEMA)
     z, grid = F.col("_z"), F.col("_grid")
