@@ -89,8 +89,9 @@ class FieldModel:
 
     @staticmethod
     def load(spark: SparkSession, path: str, spec: FieldSpec) -> "FieldModel":
-        ranges = None if spec.kind == "contraction" else spark.read.parquet(f"{path}/ranges")
-        return FieldModel(spec, spark.read.parquet(f"{path}/table"), ranges)
+        table = spark.read.parquet(f"{path}/table")
+        shared = spec.kind != "contraction" and "ranges" not in table.columns
+        return FieldModel(spec, table, spark.read.parquet(f"{path}/ranges") if shared else None)
 
     def materialize(self, path: str) -> "FieldModel":
         """Write the model and use the written copy, so that several scores share one fit."""

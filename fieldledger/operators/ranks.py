@@ -109,20 +109,22 @@ def order_statistics(
     needed = (
         totals.select(*keys, "_n", F.explode(grid).alias("_g"))
         .select(*keys, "_n", F.col("_g.i").alias("_i"), F.explode(F.array(
-            F.struct(F.floor(position).alias("r"), (F.lit(1.0) - part).alias("w")),
-            F.struct((F.floor(position) + 1).alias("r"), part.alias("w")))).alias("_e"))
-        .where(F.col("_e.w") > 0)
-        .select(*keys, "_i", F.col("_e.r").alias("_rank"), F.col("_e.w").alias("_w"),
-                _block(F.col("_e.r"), F.col("_n")).alias("_block"))
+            F.struct(F.floor(position).alias("r"), F.lit(False).alias("upper"), part.alias("part")),
+            F.struct((F.floor(position) + 1).alias("r"), F.lit(True).alias("upper"), part.alias("part")))).alias("_e"))
+        .where(~F.col("_e.upper") | (F.col("_e.part") > 0))
+        .select(*keys, "_i", F.col("_e.r").alias("_rank"), F.col("_e.upper").alias("_upper"),
+                F.col("_e.part").alias("_part"), _block(F.col("_e.r"), F.col("_n")).alias("_block"))
     )
     # a value holds the sorted rows n_before .. n_before + n - 1, as a rule within one block
     sized = ranked.join(totals, keys) if keys else ranked.withColumn("_n", totals.scalar())
     spread = sized.withColumn("_last", F.col("n_before") + F.col("n") - 1).withColumn(
         "_block", F.explode(F.sequence(_block(F.col("n_before"), F.col("_n")), _block(F.col("_last"), F.col("_n")))))
+    low, high = F.max(F.when(~F.col("_upper"), F.col(value))), F.max(F.when(F.col("_upper"), F.col(value)))
     return (
         spread.join(F.broadcast(needed) if not keys else needed, [*keys, "_block"])
         .where((F.col("_rank") >= F.col("n_before")) & (F.col("_rank") <= F.col("_last")))
-        .groupBy(*keys, "_i").agg(F.sum(F.col("_w") * F.col(value)).alias("quantile"))
+        # low + (high - low) * part, which is exact where both ranks hold one value
+        .groupBy(*keys, "_i").agg((low + F.coalesce((high - low) * F.max("_part"), F.lit(0.0))).alias("quantile"))
         .withColumn("prob", levels[F.col("_i")])
         .select(*keys, "prob", "quantile")
     )

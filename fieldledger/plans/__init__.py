@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("features", "scalars", "splits", "prep", "metrics", "tables", "fields", "reports")
+MODULES = ("features", "scalars", "splits", "prep", "metrics", "tables", "fields", "reports", "study")
 
 
 def load() -> None:
