@@ -12,6 +12,7 @@ from ..session import cut_lineage, scratch_path
 from . import fields, metrics, prep, ranks, splits
 
 SCORES = ("deviation", "reconstruction", "decision")
+BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def study_parts(df: DataFrame, key: str, features: str, label: str, seed=42):
@@ -45,14 +46,13 @@ def score_grid(
     cases = F.array(*[F.lit(i * 1000 + int(s)) for i in range(n_levels) for s in seeds])
     rows = test.select(key, features, label).withColumn("case", F.explode(cases))
     table = model.table.withColumnsRenamed({"label": "case", "grid": "_grid", "ranges": "_r"})
-    rows = rows.join(F.broadcast(table), "case")
+    # the packed models are the only thing sent to every executor, and only while they are small
+    dims = model.table.select(F.size(F.col("grid")[0])).first()[0]
+    size = 8 * n_levels * len(seeds) * len(spec.fit_levels) * dims * spec.bins
+    rows = rows.join(F.broadcast(table) if size <= BROADCAST_BYTES else table, "case")
     for which in scores:
-        kept_grid, kept_r = F.col("_grid"), F.col("_r") if "_r" in rows.columns else None
-        rows = rows.withColumn("_g2", kept_grid)
-        if kept_r is not None:
-            rows = rows.withColumn("_r2", kept_r)
-        rows = fields.score_attached(rows, key, features, spec, which, seed=(F.col("case") % 1000).cast("string"), out=which)
-        rows = rows.withColumnsRenamed({"_g2": "_grid", "_r2": "_r"})
+        rows = fields.score_attached(rows, key, features, spec, which,
+                                     seed=(F.col("case") % 1000).cast("string"), out=which, keep_model=True)
     long = rows.select(key, label, (F.col("case") / 1000).cast("int").alias("level_idx"),
                        (F.col("case") % 1000).alias("seed"), *scores)
     long = long.unpivot([key, label, "level_idx", "seed"], list(scores), "score_kind", "score")

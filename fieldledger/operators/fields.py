@@ -157,7 +157,7 @@ def fit_field(
         rows = df.withColumn("_z", F.col(features))
     elif scale_by_label:
         by_label = label_ranges(df, features)
-        rows = df.join(F.broadcast(by_label), "label").withColumn(
+        rows = df.join(by_label, "label").withColumn(
             "_z", prep.scale_to_unit(F.col(features), F.col("ranges"))).drop("ranges")
     else:
         ranges = df.sparkSession.range(1).select(prep.minmax_vector(df, features).alias("ranges"))
@@ -271,12 +271,13 @@ def score(
 
 def score_attached(
     df: DataFrame, key: str, features: str, spec: FieldSpec, which: str,
-    copies: int | None = None, seed: int | Column = 0, out: str = "score",
+    copies: int | None = None, seed: int | Column = 0, out: str = "score", keep_model: bool = False,
 ) -> DataFrame:
     """score() for rows that carry their own model in _grid and _r."""
+    done = [] if keep_model else ["_grid", "_r"]
     if spec.kind == "contraction":
         value = N.let(F.col(features), lambda x: _contraction_score(x, F.col("_grid"), spec, which))
-        return df.withColumn(out, value).drop("_grid", "_r")
+        return df.withColumn(out, value).drop(*done)
 
     copies = copies or spec.copies
     df = df.withColumn("_z", prep.scale_to_unit(F.col(features), F.col("_r")))
@@ -318,7 +319,7 @@ def score_attached(
             lambda x0, lv: data_error(v, seen, x0, lv))))
     else:
         summed = N.let(z, lambda v: over_noise(lambda x0, lv: field_error(v, x0, lv)))
-    return df.withColumn(out, summed / F.lit(float(copies))).drop("_grid", "_r", "_z")
+    return df.withColumn(out, summed / F.lit(float(copies))).drop("_z", *done)
 
 
 def _contraction_score(x: Column, grid: Column, spec: FieldSpec, which: str) -> Column:
@@ -348,18 +349,20 @@ def _raw(x: Column, ranges: Column, int_positions: Sequence[int] = ()) -> Column
     return prep.clip_to_range(prep.unscale_from_unit(x, ranges), ranges, int_positions)
 
 
-def draw_label(priors: DataFrame, label: str, key: Column) -> Column:
-    """A label per row by inverse CDF of the priors at a hash uniform."""
-    cdf = priors.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), "prob")))).scalar()
+def draw_label(df: DataFrame, priors: DataFrame, label: str, key: Column) -> DataFrame:
+    """Adds a label per row by inverse CDF of the priors at a hash uniform."""
+    cdf = priors.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), "prob"))))
+    kind = priors.schema[label].dataType
 
-    def pick(values: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast(priors.schema[label].dataType).alias("l"))
-        return F.aggregate(values, zero, lambda a, e: F.struct(
+    def pick(u: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast(kind).alias("l"))
+        return F.aggregate("_cdf", start, lambda a, e: F.struct(
             (a["cum"] + e["prob"]).alias("cum"),
-            F.when(a["l"].isNull() & (N.hash_uniform(key) < a["cum"] + e["prob"]), e["l"])
-            .otherwise(a["l"]).alias("l")))["l"]
+            F.when(a["l"].isNull() & (u < a["cum"] + e["prob"]), e["l"]).otherwise(a["l"]).alias("l")))["l"]
 
-    return F.coalesce(pick(cdf), F.element_at(cdf, -1)["l"])
+    drawn = N.let(N.hash_uniform(key), pick)
+    return df.withColumn("_cdf", cdf.scalar()).withColumn(
+        label, F.coalesce(drawn, F.element_at("_cdf", -1)["l"])).drop("_cdf")
 
 
 def reverse_schedule(spec: FieldSpec, n_steps: int | None = None, repaint: bool = False,
@@ -428,8 +431,8 @@ def generate(keys: DataFrame, key: str, model: FieldModel, seed: int = 0, priors
     if priors is None:
         df = df.withColumn("_grid", model.grid())
     else:
-        drawn = draw_label(priors, label, N.noise_key(key_text, "label", seed))
-        df = df.withColumn(label, drawn).withColumn("_g", model.grids_by_label()).withColumn(
+        df = draw_label(df, priors, label, N.noise_key(key_text, "label", seed))
+        df = df.withColumn("_g", model.grids_by_label()).withColumn(
             "_grid", F.filter("_g", lambda g: g["label"] == F.col(label))[0]["grid"]).drop("_g")
     df = df.withColumn("_x0", N.normal_vector(F.size("_r"), key_text, "generate", seed))
     if spec.kind == "flow":

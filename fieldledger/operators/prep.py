@@ -301,10 +301,16 @@ def collapse_rare(train: DataFrame, df: DataFrame, cols: Sequence[str], min_freq
 
 
 def vocabulary(train: DataFrame, col: str) -> DataFrame:
-    """value, code: the sorted distinct values numbered from 0. The values are the groups of a
-    pre-aggregated count, so the window sees one row per value."""
-    values = category_counts(train, col)
-    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("long").alias("code"))
+    """value, code: the sorted distinct values numbered from 0. Numbered within the leading three
+    characters, on top of the counts of the smaller ones, so a long vocabulary is not sorted in one task."""
+    values = train.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
+    values = values.withColumn("_lead", F.substring("value", 1, 3))
+    sizes = values.groupBy("_lead").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_lead", F.coalesce(
+        F.sum("_n").over(Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("_lead").orderBy("value")) - 1
+    return values.withColumn("_rank", rank).join(starts, "_lead").select(
+        "value", (F.col("_start") + F.col("_rank")).cast("long").alias("code"))
 
 
 def ordinal_encode(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -70,9 +70,9 @@ def small_payment_patterns(df: DataFrame, tx: TransactionColumns, prob: float =
         tx.account, F.col("quantile").alias("_cut"))
     rows = df.join(cut, tx.account).withColumn("_small", F.col(tx.amount) <= F.col("_cut")).withColumn(
         "_m", F.trunc(tx.date, "month"))
-    before = F.lag(tx.amount).over(Window.partitionBy(*tx.series, "_m").orderBy(tx.date, *tx.ties))
+    small = previous_in_series(rows.where("_small"), tx, tx.amount, "_prev", [*tx.series, "_m"])
     runs = (
-        rows.where("_small").withColumn("_prev", before).groupBy(*tx.series, "_m").agg(
+        small.groupBy(*tx.series, "_m").agg(
             F.count(F.lit(1)).alias("_ns"),
             F.count_if(F.abs(F.col(tx.amount) - F.col("_prev")) <= 1).alias("_seq"))
         .groupBy(*tx.series).agg(

@@ -5,14 +5,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import experiment as X, fields as M, learners as L, metrics, prep, prior, splits
 from ..session import scratch_path
 from ..sources import tables as T
 from ..streaming import features as SF, scoring
-from .common import KEY_SQL, features_sql, flt, num, row_key, shape
+from .common import KEY_SQL, LINE_KEY_SQL, features_sql, flt, num, row_key, shape
 from .features import all_features
-from .fields import CONTRACTION, FLOW, bin_sql, field_join, fitted, score_sql
+from .fields import CONTRACTION, FLOW, bin_sql, field_join, fit_sql, fitted, levels_sql, score_sql
 from .registry import query
+from .scalars import normal_sql
 from .splits import CONTAM_SQL
 
 SWEEP_SQL = f"""WITH {CONTAM_SQL},
@@ -104,6 +106,26 @@ def fit_contraction_network(spark, sf):
     return shape(L.score_network(v, "row_id", "features", net, "decision"), (), ["row_id"], ["score"], 4)
 
 
+LINE_SPEC = M.FieldSpec("flow", n_t=10, copies=5)
+LINE_SQL = f"""WITH rw AS (SELECT {LINE_KEY_SQL} AS vec_id, CAST(l_quantity >= 50 AS BIGINT) AS label,
+  unnest(range(4)) AS d, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS x FROM lineitem),
+rg AS (SELECT d, min(x) AS lo, max(x) AS hi, max(x) - min(x) AS w FROM rw WHERE label = 0 GROUP BY d),
+z AS (SELECT rw.*, (x - lo) / w * 2 - 1 AS z1 FROM rw JOIN rg USING (d)),
+{fit_sql(LINE_SPEC)},
+sn AS MATERIALIZED (SELECT *, {normal_sql("concat_ws('|', vec_id, 'score', 0, k, d)")} AS x0 FROM (SELECT *, unnest(range(5)) AS k FROM z)),
+st AS (SELECT sn.*, t_idx, a * z1 + b * x0 AS xt FROM sn, {levels_sql(LINE_SPEC, [(i, S.grid_levels(10, 0.001)[i]) for i in range(5, 9)])}),
+p AS {field_join('st', 'xt', LINE_SPEC)}
+SELECT vec_id AS row_id, {flt('sum((z1 - x0 - f) * (z1 - x0 - f)) / 5', 'score', 4)} FROM p GROUP BY vec_id"""
+
+
+@query("lineitem_flow_deviation", LINE_SQL)
+def lineitem_flow_deviation(spark, sf):
+    """A flow field on the four numbers of every normal line item, and the deviation of all."""
+    df = T.line_numbers(spark, sf)
+    model = M.fit_field(df.where("label = 0"), "row_id", "features", LINE_SPEC)
+    return shape(M.score(df, "row_id", "features", model, "deviation"), ["row_id"], (), ["score"], 4)
+
+
 STREAM_INTS = ["iban_mismatch", "swift_mismatch", "method_mismatch", "channel_mismatch", "tx_count_this_month_so_far",
                "is_new_series", "series_tx_count_before"]
 STREAM_FLOATS = ["amount_zscore_series", "amount_ratio_to_mean", "day_deviation_from_usual"]

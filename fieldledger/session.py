@@ -40,6 +40,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/fieldledger/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df):
+    """Give every core a part of a plain scan that has fewer splits than cores. For work that costs
+    far more per row than moving the row; a scan of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df, name: str = "stage"):
     """Write df below the shared folder and read it back, so that a lost executor
     does not replay everything before it."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.prior import TransactionColumns
+from ..session import spread
 
 TX = TransactionColumns(
     account="bank_account_uuid",
@@ -47,7 +48,7 @@ def transactions(spark: SparkSession, sf: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """row_id, features array<double>, label (1 = anomaly), class (0..9)."""
-    return table(spark, sf, "embeddings").select(
+    return spread(table(spark, sf, "embeddings")).select(
         F.col("vec_id").alias("row_id"),
         F.col("embedding").cast("array<double>").alias("features"),
         (F.col("label") == 9).cast("int").alias("label"),
@@ -57,7 +58,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def line_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Four numeric columns of lineitem as features, with a text row key."""
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                     F.date_format("l_shipdate", "yyyyMMdd")).alias("row_id"),
         F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("features"),
