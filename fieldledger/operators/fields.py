@@ -281,7 +281,7 @@ def score_attached(
 
     copies = copies or spec.copies
     df = df.withColumn("_z", prep.scale_to_unit(F.col(features), F.col("_r")))
-    noise = N.normal_replicates(F.size("_z"), copies, F.col(key).cast("string"), "score", seed)
+    noise = N.normal_replicates(F.size("_r"), copies, F.col(key).cast("string"), "score", seed)
     levels = literal_rows(_level_rows(spec, which), LEVEL_SCHEMA)
     z, grid = F.col("_z"), F.col("_grid")
 
@@ -477,14 +477,15 @@ def classify(df: DataFrame, key: str, features: str, model: FieldModel, n_t: int
         for z in range(n_z):
             looks.append({"i": int(round(t * (spec.n_t - 1))), "a": a, "b": b, "z": z, "s": step})
     looks_col = literal_rows(looks, "i int, a double, b double, z int, s int")
-    # the noise of a look is shared by all labels
-    rows = rows.withColumn("_looks", F.transform(looks_col, lambda lk: F.struct(
-        lk["i"].alias("i"), lk["a"].alias("a"), lk["b"].alias("b"),
-        pairs(F.col("_z"), N.normal_vector(
-            F.size("_z"), F.col(key).cast("string"), "classify", seed, lk["z"].cast("string"), lk["s"].cast("string"),
-        )).alias("p"))))
-
-    def distance(grid: Column) -> Column:
+
+    def noised_looks(z: Column) -> Column:
+        return F.transform(looks_col, lambda lk: F.struct(
+            lk["i"].alias("i"), lk["a"].alias("a"), lk["b"].alias("b"),
+            pairs(z, N.normal_vector(
+                F.size("_r"), F.col(key).cast("string"), "classify", seed, lk["z"].cast("string"),
+                lk["s"].cast("string"))).alias("p")))
+
+    def distance(grid: Column, noised_: Column) -> Column:
         def look(lk: Column) -> Column:
             def one(e: Column, g: Column) -> Column:
                 guess = predict(g, lk["a"] * e["x"] + lk["b"] * e["n"], spec)
@@ -493,12 +494,14 @@ def classify(df: DataFrame, key: str, features: str, model: FieldModel, n_t: int
 
             return total(F.zip_with(lk["p"], grid[lk["i"]], one))
 
-        return F.aggregate("_looks", F.lit(0.0), lambda a, lk: a + look(lk)) / F.lit(float(len(looks)))
+        return F.aggregate(noised_, F.lit(0.0), lambda a, lk: a + look(lk)) / F.lit(float(len(looks)))
 
-    rows = rows.withColumn("distances", F.transform("_g", lambda g: F.struct(
-        distance(g["grid"]).alias("distance"), g["label"].alias("label"))))
+    # the scaled row and its noised looks are bound once and shared by all labels
+    per_label = N.let(F.col("_z"), lambda z: N.let(noised_looks(z), lambda noised_: F.transform(
+        "_g", lambda g: F.struct(distance(g["grid"], noised_).alias("distance"), g["label"].alias("label")))))
+    rows = rows.withColumn("distances", per_label)
     return rows.withColumns({
         "predicted": F.array_min("distances")["label"],
         "proba": S.softmax(F.transform("distances", lambda e: -e["distance"])),
-    }).drop("_g", "_r", "_z", "_looks")
+    }).drop("_g", "_r", "_z")
 
