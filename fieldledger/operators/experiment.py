@@ -12,7 +12,6 @@ from ..session import cut_lineage, scratch_path
 from . import fields, metrics, prep, ranks, splits
 
 SCORES = ("deviation", "reconstruction", "decision")
-BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def study_parts(df: DataFrame, key: str, features: str, label: str, seed=42):
@@ -33,8 +32,8 @@ def score_grid(
     """(scored test rows per level, seed and score; the levels).
 
     All levels and seeds are labels of one conditional fit: one aggregation instead of a fit per
-    cell of the grid, shared by the scores. Test rows meet the models by a broadcast of the
-    fitted table, whose size is levels x seeds x the cells of one field."""
+    cell of the grid, shared by the scores. The models are broadcast; their size is levels x seeds
+    x the cells of one field."""
     normal, abnormal, test = study_parts(df, key, features, label)
     levels = cut_lineage(splits.contamination_levels(normal, abnormal, n_levels), "levels")
     train = splits.contaminate(normal, abnormal, levels.drop("level"), key)
@@ -45,14 +44,9 @@ def score_grid(
                              seed=F.col("seed")).materialize(scratch_path(df.sparkSession, "model"))
     cases = F.array(*[F.lit(i * 1000 + int(s)) for i in range(n_levels) for s in seeds])
     rows = test.select(key, features, label).withColumn("case", F.explode(cases))
-    table = model.table.withColumnsRenamed({"label": "case", "grid": "_grid", "ranges": "_r"})
-    # the packed models are the only thing sent to every executor, and only while they are small
-    dims = model.table.select(F.size(F.col("grid")[0])).first()[0]
-    size = 8 * n_levels * len(seeds) * len(spec.fit_levels) * dims * spec.bins
-    rows = rows.join(F.broadcast(table) if size <= BROADCAST_BYTES else table, "case")
     for which in scores:
-        rows = fields.score_attached(rows, key, features, spec, which,
-                                     seed=(F.col("case") % 1000).cast("string"), out=which, keep_model=True)
+        rows = fields.score(rows, key, features, model, which, seed=(F.col("case") % 1000).cast("string"),
+                            out=which, label="case")
     long = rows.select(key, label, (F.col("case") / 1000).cast("int").alias("level_idx"),
                        (F.col("case") % 1000).alias("seed"), *scores)
     long = long.unpivot([key, label, "level_idx", "seed"], list(scores), "score_kind", "score")

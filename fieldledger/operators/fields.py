@@ -17,6 +17,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import noise as N, scalars as S
@@ -124,15 +126,15 @@ def noised(
 
     Dimensions and copies are exploded before the levels, so the noise of a cell is drawn once
     and shared by its levels."""
-    long = df.select(F.col(key).cast("string").alias("_key"), *keep, F.posexplode(z).alias("d", "_x1"))
+    seed = F.col("_seed") if "_seed" in keep else spec.seed
+    word = N.words(F.col(key).cast("string"), purpose, seed)
+    long = df.withColumn("_w", word).select("_w", *keep, F.posexplode(z).alias("d", "_x1"))
     long = long.where(~F.isnan("_x1"))
     if spec.kind == "contraction":
         steps = long.withColumns({"copy": F.lit(0), "_x0": F.lit(0.0)})
     else:
         steps = long.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(spec.copies - 1)))).withColumn(
-            "_x0", N.hash_normal_flat(N.noise_key(
-                F.col("_key"), purpose, F.col("_seed") if "_seed" in keep else spec.seed,
-                F.col("copy").cast("string"), F.col("d").cast("string"))))
+            "_x0", N.hash_normal(F.col("_w"), F.col("copy"), F.col("d")))
     rows = []
     for i, t in levels:
         mean, std = S.vp_coefficients(t, spec.b0, spec.b1)
@@ -141,7 +143,7 @@ def noised(
     steps = steps.withColumn("_l", F.explode(literal_rows(rows, "i int, a double, b double")))
     x_t = F.col("_l.a") * F.col("_x1") + F.col("_l.b") * F.col("_x0")
     target = {"flow": F.col("_x1") - F.col("_x0"), "vp": F.col("_x0"), "contraction": -x_t}[spec.kind]
-    return steps.select("_key", *keep, "d", "copy", F.col("_l.i").alias("t_idx"), x_t.alias("x_t"), target.alias("y"))
+    return steps.select(*keep, "d", "copy", F.col("_l.i").alias("t_idx"), x_t.alias("x_t"), target.alias("y"))
 
 
 def fit_field(
@@ -240,9 +242,6 @@ def score_levels(spec: FieldSpec, which: str) -> list[int]:
     return list(range(0, half))
 
 
-LEVEL_SCHEMA = "i int, a double, b double, t double, steps array<struct<i int, h double>>"
-
-
 def _level_rows(spec: FieldSpec, which: str) -> list[dict]:
     rows = []
     for i in score_levels(spec, which):
@@ -257,90 +256,110 @@ def _level_rows(spec: FieldSpec, which: str) -> list[dict]:
     return rows
 
 
-def score(
-    df: DataFrame, key: str, features: str, model: FieldModel, which: str,
-    copies: int | None = None, seed: int | Column = 0, out: str = "score",
-) -> DataFrame:
-    """Adds the anomaly score. A projection: the packed model is a scalar subquery and each row
-    folds its copies and levels in place, so scoring shuffles nothing."""
-    df = df.withColumn("_grid", model.grid())
-    if model.ranges is not None:
-        df = df.withColumn("_r", model.range_array())
-    return score_attached(df, key, features, model.spec, which, copies, seed, out)
-
-
-def score_attached(
-    df: DataFrame, key: str, features: str, spec: FieldSpec, which: str,
-    copies: int | None = None, seed: int | Column = 0, out: str = "score", keep_model: bool = False,
-) -> DataFrame:
-    """score() for rows that carry their own model in _grid and _r."""
-    done = [] if keep_model else ["_grid", "_r"]
-    if spec.kind == "contraction":
-        value = N.let(F.col(features), lambda x: _contraction_score(x, F.col("_grid"), spec, which))
-        return df.withColumn(out, value).drop(*done)
-
-    copies = copies or spec.copies
-    df = df.withColumn("_z", prep.scale_to_unit(F.col(features), F.col("_r")))
-    noise = N.normal_replicates(F.size("_r"), copies, F.col(key).cast("string"), "score", seed)
-    levels = literal_rows(_level_rows(spec, which), LEVEL_SCHEMA)
-    z, grid = F.col("_z"), F.col("_grid")
+@dataclass(frozen=True)
+class Arrays:
+    """A fitted field as numpy arrays: grid [levels, dimensions, cells]; low, width, high of the
+    training range (None for contraction)."""
 
-    def field_error(z: Column, x0: Column, lv: Column) -> Column:
-        def one(e: Column, g: Column) -> Column:
-            guess = predict(g, lv["a"] * e["x"] + lv["b"] * e["n"], spec)
-            if spec.kind == "flow":
-                gap = e["x"] - e["n"] - guess
-            else:  # both scores carry -1 / std
-                gap = (guess - e["n"]) / lv["b"]
-            return gap * gap
-
-        return total(F.zip_with(pairs(z, x0), grid[lv["i"]], one))
-
-    def data_error(z: Column, seen: Column, x0: Column, lv: Column) -> Column:
-        if spec.kind == "flow":
-            start = F.zip_with(z, x0, lambda x, n: lv["a"] * x + lv["b"] * n)
-            end = euler(start, grid, lv["steps"], spec)
-        else:  # denoised estimate (x_t + std^2 * score) / mean, with score = -guess / std
-            def denoise(e: Column, g: Column) -> Column:
-                x_t = lv["a"] * e["x"] + lv["b"] * e["n"]
-                return (x_t - lv["b"] * predict(g, x_t, spec)) / lv["a"]
-
-            end = F.zip_with(pairs(z, x0), grid[lv["i"]], denoise)
-        back = _raw(end, F.col("_r"))
-        return total(F.zip_with(seen, back, lambda a, b: (a - b) * (a - b)))
-
-    def over_noise(error) -> Column:
-        return F.aggregate(noise, F.lit(0.0), lambda acc, x0: acc + F.aggregate(
-            levels, F.lit(0.0), lambda a, lv: a + error(x0, lv)))
-
-    # the scaled row is bound once, not once per copy and level
-    if which == "reconstruction":
-        summed = N.let(z, lambda v: N.let(_raw(v, F.col("_r")), lambda seen: over_noise(
-            lambda x0, lv: data_error(v, seen, x0, lv))))
-    else:
-        summed = N.let(z, lambda v: over_noise(lambda x0, lv: field_error(v, x0, lv)))
-    return df.withColumn(out, summed / F.lit(float(copies))).drop("_z", *done)
+    grid: object
+    ranges: object
 
 
-def _contraction_score(x: Column, grid: Column, spec: FieldSpec, which: str) -> Column:
-    cells = grid[0]
-    if which == "decision":
-        return F.sqrt(total(F.zip_with(x, cells, lambda a, g: (predict(g, a, spec) + a) * (predict(g, a, spec) + a))))
-    levels = literal_rows(_level_rows(spec, which), LEVEL_SCHEMA)
+def model_arrays(model: FieldModel) -> dict:
+    """label -> Arrays on the driver. The size is labels x levels x dimensions x bins, fixed by the
+    spec and not by the rows."""
+    shared = None if model.ranges is None else model.ranges.first()["ranges"]
+    out = {}
+    for r in model.table.collect():
+        own = r["ranges"] if "ranges" in model.table.columns else shared
+        ranges = None if own is None else np.array([[e["lo"], e["w"], e["hi"]] for e in own]).T
+        out[r["label"]] = Arrays(np.array(r["grid"], dtype="float64"), ranges)
+    return out
 
-    def field_error(lv: Column) -> Column:
-        def one(a: Column, g: Column) -> Column:
-            gap = lv["a"] * a + predict(g, lv["a"] * a, spec)
-            return gap * gap
 
-        return total(F.zip_with(x, cells, one))
+def score(
+    df: DataFrame, key: str, features: str, model: FieldModel, which: str,
+    copies: int | None = None, seed: int | Column = 0, out: str = "score", label: str | None = None,
+) -> DataFrame:
+    """Adds the anomaly score, with the field of the row's own label where one is given.
 
-    def end_distance(lv: Column) -> Column:
-        end = euler(F.transform(x, lambda a: lv["a"] * a), grid, lv["steps"], spec)
-        return total(F.transform(end, lambda a: a * a))
+    A projection: the model is broadcast, Arrow batches of (features, noise words) go through one
+    vectorized expression, and nothing is shuffled."""
+    spec = model.spec
+    levels = _level_rows(spec, which)
+    copies = 1 if spec.kind == "contraction" else (copies or spec.copies)
+    shared = df.sparkSession.sparkContext.broadcast(model_arrays(model))
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, a: pd.Series, b: pd.Series, case: pd.Series) -> pd.Series:
+        result = np.full(len(x), np.nan)
+        for c in case.unique():
+            at = np.flatnonzero((case == c).to_numpy())
+            field = shared.value[c]
+            step = max(1, 1_000_000 // (copies * field.grid.shape[1]))  # cells held at a time
+            for i in range(0, len(at), step):
+                part = at[i:i + step]
+                data = np.stack([np.asarray(v, dtype="float64") for v in x.iloc[part]])
+                noise = None
+                if spec.kind != "contraction":
+                    noise = N.normals(a.iloc[part].to_numpy(), b.iloc[part].to_numpy(), copies, data.shape[1])
+                result[part] = score_rows(data, noise, field, spec, which, levels)
+        return pd.Series(result)
+
+    word = N.words(F.col(key).cast("string"), "score", seed if isinstance(seed, Column) else str(seed))
+    case = F.col(label) if label else F.lit(next(iter(shared.value)))
+    return (
+        df.withColumn("_w", word)
+        .withColumn(out, run(F.col(features), F.col("_w.a"), F.col("_w.b"), case)).drop("_w")
+    )
+
+
+def score_rows(x, noise, field: Arrays, spec: FieldSpec, which: str, levels: list[dict]):
+    """Scores of a batch: x [rows, dims], noise [rows, copies, dims]."""
+    dims = np.arange(x.shape[1])
+
+    def at(level: int, v):
+        cells = field.grid[level]
+        if spec.learner == "linear":
+            return cells[:, 0] * v + cells[:, 1]
+        pos = np.floor((v + spec.span) * (spec.bins / (2.0 * spec.span)))
+        return cells[dims, np.clip(pos, 0, spec.bins - 1).astype(np.int64)]
+
+    def follow(v, steps):
+        for s in steps:
+            v = v + s["h"] * at(s["i"], v)
+        return v
 
-    error = end_distance if which == "reconstruction" else field_error
-    return F.aggregate(levels, F.lit(0.0), lambda acc, lv: acc + error(lv))
+    if spec.kind == "contraction":
+        if which == "decision":
+            return np.sqrt(((at(0, x) + x) ** 2).sum(1))
+        total_ = np.zeros(len(x))
+        for lv in levels:
+            v = lv["a"] * x
+            end = follow(v, lv["steps"]) if which == "reconstruction" else v + at(0, v)
+            total_ += (end ** 2).sum(1)
+        return total_
+
+    low, width, high = field.ranges
+    z = ((x - low) / width * 2.0 - 1.0)[:, None, :]
+
+    def raw(v):
+        return np.clip((v + 1.0) / 2.0 * width + low, low, high)
+
+    seen = raw(z)
+    total_ = np.zeros(noise.shape[:2])
+    for lv in levels:
+        v = lv["a"] * z + lv["b"] * noise
+        if which != "reconstruction":
+            guess = at(lv["i"], v)
+            # both vp scores carry -1 / std
+            gap = z - noise - guess if spec.kind == "flow" else (guess - noise) / lv["b"]
+        elif spec.kind == "flow":
+            gap = seen - raw(follow(v, lv["steps"]))
+        else:  # denoised estimate (x_t + std^2 * score) / mean, with score = -guess / std
+            gap = seen - raw((v - lv["b"] * at(lv["i"], v)) / lv["a"])
+        total_ += (gap ** 2).sum(2)
+    return total_.mean(1)
 
 
 # generation, imputation, classification ------------------------------------------------
@@ -398,14 +417,14 @@ def reverse_schedule(spec: FieldSpec, n_steps: int | None = None, repaint: bool
 REVERSE_SCHEMA = "s int, i int, h double, back int, beta double, std double"
 
 
-def reverse_diffuse(x: Column, grid: Column, spec: FieldSpec, schedule: list[dict], *noise_parts) -> Column:
+def reverse_diffuse(x: Column, grid: Column, spec: FieldSpec, schedule: list[dict], word: Column) -> Column:
     """Euler-Maruyama through the schedule, new noise per step, then one denoising move at eps."""
     steps = literal_rows(schedule, REVERSE_SCHEMA)
     _, last_std = S.vp_coefficients(spec.eps, spec.b0, spec.b1)
     last_i = int(round(spec.eps * (spec.n_t - 1)))
 
     def move(v: Column, s: Column) -> Column:
-        kick = N.normal_vector(F.size(v), *noise_parts, s["s"].cast("string"))
+        kick = N.normal_vector(F.size(v), word, s["s"])
 
         def one(e: Column, g: Column) -> Column:
             drift = F.lit(-0.5) * s["beta"] * e["x"]
@@ -434,13 +453,14 @@ def generate(keys: DataFrame, key: str, model: FieldModel, seed: int = 0, priors
         df = draw_label(df, priors, label, N.noise_key(key_text, "label", seed))
         df = df.withColumn("_g", model.grids_by_label()).withColumn(
             "_grid", F.filter("_g", lambda g: g["label"] == F.col(label))[0]["grid"]).drop("_g")
-    df = df.withColumn("_x0", N.normal_vector(F.size("_r"), key_text, "generate", seed))
+    df = df.withColumns({"_w": N.words(key_text, "generate", seed), "_ws": N.words(key_text, "step", seed)})
+    df = df.withColumn("_x0", N.normal_vector(F.size("_r"), F.col("_w"), 0))
     if spec.kind == "flow":
         steps = literal_rows(euler_rows(spec, 0, 0.0, spec.n_t - 1), STEP_SCHEMA)
         x = euler(F.col("_x0"), F.col("_grid"), steps, spec)
     else:
-        x = reverse_diffuse(F.col("_x0"), F.col("_grid"), spec, reverse_schedule(spec), key_text, "step", seed)
-    return df.withColumn(out, _raw(x, F.col("_r"), int_positions)).drop("_r", "_grid", "_x0")
+        x = reverse_diffuse(F.col("_x0"), F.col("_grid"), spec, reverse_schedule(spec), F.col("_ws"))
+    return df.withColumn(out, _raw(x, F.col("_r"), int_positions)).drop("_r", "_grid", "_x0", "_w", "_ws")
 
 
 def impute(df: DataFrame, key: str, features: str, model: FieldModel, k: int = 1, repaint: bool = False,
@@ -453,14 +473,16 @@ def impute(df: DataFrame, key: str, features: str, model: FieldModel, k: int = 1
     key_text = F.col(key).cast("string")
     rows = df.withColumn("imputation", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     rows = rows.withColumns({"_r": model.range_array(), "_grid": model.grid()})
-    parts = (key_text, "impute", seed, F.col("imputation").cast("string"))
-    rows = rows.withColumn("_x0", N.normal_vector(F.size("_r"), *parts, "start"))
+    turn = F.col("imputation").cast("string")
+    rows = rows.withColumns({"_w": N.words(key_text, "impute", seed, turn),
+                             "_ws": N.words(key_text, "impute-step", seed, turn)})
+    rows = rows.withColumn("_x0", N.normal_vector(F.size("_r"), F.col("_w"), 0))
     schedule = reverse_schedule(spec, repaint=repaint, r=r, j=j)
-    drawn = _raw(reverse_diffuse(F.col("_x0"), F.col("_grid"), spec, schedule, *parts), F.col("_r"), int_positions)
+    drawn = _raw(reverse_diffuse(F.col("_x0"), F.col("_grid"), spec, schedule, F.col("_ws")), F.col("_r"), int_positions)
     # rows without a gap skip the solver
     filled = F.zip_with(features, drawn, lambda a, b: F.when(a.isNull() | F.isnan(a), b).otherwise(a))
     gap = F.exists(features, lambda v: v.isNull() | F.isnan(v))
-    return rows.withColumn(features, F.when(gap, filled).otherwise(F.col(features))).drop("_r", "_grid", "_x0")
+    return rows.withColumn(features, F.when(gap, filled).otherwise(F.col(features))).drop("_r", "_grid", "_x0", "_w", "_ws")
 
 
 def classify(df: DataFrame, key: str, features: str, model: FieldModel, n_t: int = 10, n_z: int = 10,
@@ -475,15 +497,14 @@ def classify(df: DataFrame, key: str, features: str, model: FieldModel, n_t: int
         t += 1.0 / n_t
         a, b = (t, 1.0 - t) if spec.kind == "flow" else S.vp_coefficients(t, spec.b0, spec.b1)
         for z in range(n_z):
-            looks.append({"i": int(round(t * (spec.n_t - 1))), "a": a, "b": b, "z": z, "s": step})
-    looks_col = literal_rows(looks, "i int, a double, b double, z int, s int")
+            looks.append({"i": int(round(t * (spec.n_t - 1))), "a": a, "b": b, "s": step * n_z + z})
+    looks_col = literal_rows(looks, "i int, a double, b double, s int")
+    rows = rows.withColumn("_w", N.words(F.col(key).cast("string"), "classify", seed))
 
     def noised_looks(z: Column) -> Column:
         return F.transform(looks_col, lambda lk: F.struct(
             lk["i"].alias("i"), lk["a"].alias("a"), lk["b"].alias("b"),
-            pairs(z, N.normal_vector(
-                F.size("_r"), F.col(key).cast("string"), "classify", seed, lk["z"].cast("string"),
-                lk["s"].cast("string"))).alias("p")))
+            pairs(z, N.normal_vector(F.size("_r"), F.col("_w"), lk["s"])).alias("p")))
 
     def distance(grid: Column, noised_: Column) -> Column:
         def look(lk: Column) -> Column:
@@ -503,5 +524,5 @@ def classify(df: DataFrame, key: str, features: str, model: FieldModel, n_t: int
     return rows.withColumns({
         "predicted": F.array_min("distances")["label"],
         "proba": S.softmax(F.transform("distances", lambda e: -e["distance"])),
-    }).drop("_g", "_r", "_z")
+    }).drop("_g", "_r", "_z", "_w")
 

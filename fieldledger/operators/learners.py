@@ -42,7 +42,8 @@ def _noised_vectors(df: DataFrame, key: str, z: str, spec: FieldSpec, levels: Se
                     purpose: str, covs: str | None) -> DataFrame:
     """One row per (row, copy, level): _x the model input, _true the field, _std its scale."""
     grid = S.grid_levels(spec.n_t, spec.eps)
-    rows = df.withColumn("_x0s", N.normal_replicates(F.size(z), copies, F.col(key).cast("string"), purpose, spec.seed))
+    rows = df.withColumn("_x0s", N.normal_replicates(
+        F.size(z), copies, N.words(F.col(key).cast("string"), purpose, spec.seed)))
     rows = rows.withColumn("_x0", F.explode("_x0s")).drop("_x0s")
     entries = []
     for i in levels:

@@ -44,8 +44,8 @@ def fit_sql(spec, where="label = 0", by="0") -> str:
     if spec.kind == "contraction":
         noise, x1 = "(SELECT *, 0 AS k, 0.0::DOUBLE AS x0 FROM z)", "zs"
     else:
-        key = f"concat_ws('|', vec_id, 'fit', {spec.seed}, k, d)"
-        noise = (f"(SELECT *, {normal_sql(key)} AS x0 FROM (SELECT *, unnest(range({spec.copies})) AS k FROM z WHERE {where}))")
+        key = f"concat_ws('|', vec_id, 'fit', {spec.seed})"
+        noise = (f"(SELECT *, {normal_sql(key, 'k')} AS x0 FROM (SELECT *, unnest(range({spec.copies})) AS k FROM z WHERE {where}))")
         x1 = "z1"
     y = {"flow": f"{x1} - x0", "vp": "x0", "contraction": f"-(a * {x1})"}[spec.kind]
     return f"""nz AS MATERIALIZED {noise},
@@ -84,8 +84,8 @@ def score_sql(spec, which: str, copies: int = 2, seed: int = 0, digits: int = 4)
             return (f"{head}, {start}, p AS {field_join('st', 'xt', spec, '0')} SELECT {num('vec_id', 'row_id')}, "
                     f"{flt('sum((xt + f) * (xt + f))', 'score', digits)} FROM p GROUP BY vec_id")
     else:
-        key = f"concat_ws('|', vec_id, 'score', {seed}, k, d)"
-        start = (f"sn AS MATERIALIZED (SELECT *, {normal_sql(key)} AS x0 FROM (SELECT *, unnest(range({copies})) AS k FROM z)), "
+        key = f"concat_ws('|', vec_id, 'score', {seed})"
+        start = (f"sn AS MATERIALIZED (SELECT *, {normal_sql(key, 'k')} AS x0 FROM (SELECT *, unnest(range({copies})) AS k FROM z)), "
                  f"st AS (SELECT sn.*, t_idx, b, a, a * z1 + b * x0 AS xt FROM sn, {levels_sql(spec, levels)})")
         gap = "(z1 - x0 - f)" if spec.kind == "flow" else "((f - x0) / b)"
         if which != "reconstruction":
@@ -216,7 +216,7 @@ def _steps_sql(spec, start: str, schedule, noise_key: str) -> str:
     parts, prev = [], start
     for s in schedule:
         joined = field_join(prev, "q.xt", spec, str(s["i"]))
-        shake = f"sqrt({s['beta']!r}::DOUBLE) * sqrt({s['h']!r}::DOUBLE) * {normal_sql(noise_key.format(s=s['s']))}"
+        shake = f"sqrt({s['beta']!r}::DOUBLE) * sqrt({s['h']!r}::DOUBLE) * {normal_sql(noise_key, str(s['s']))}"
         drift = f"(-0.5::DOUBLE * {s['beta']!r}::DOUBLE * xt)"
         if s["back"]:
             new = f"xt + {drift} * {s['h']!r}::DOUBLE + {shake}"
@@ -236,7 +236,7 @@ def generate_flow_sql() -> str:
     for s in range(FLOW.n_t - 1):
         parts.append(f"e{s} AS MATERIALIZED (SELECT * EXCLUDE (f) REPLACE (xt + {h!r}::DOUBLE * f AS xt) FROM {field_join(prev, 'q.xt', FLOW, str(s))})")
         prev = f"e{s}"
-    key = "concat_ws('|', vec_id, 'generate', 0, d)"
+    key = "concat_ws('|', vec_id, 'generate', 0)"
     return (f"WITH {DATA_SQL}, {fit_sql(FLOW)}, st AS (SELECT *, {normal_sql(key)} AS xt FROM z), {', '.join(parts)} "
             f"SELECT {num('vec_id', 'row_id')}, {num('d')}, {flt('greatest(lo, least(hi, (xt + 1) / 2 * w + lo))', 'value', 4)} FROM {prev}")
 
@@ -250,8 +250,8 @@ def generate_flow(spark, sf):
 
 
 GENERATE_VP_SQL = (
-    f"WITH {DATA_SQL}, {fit_sql(VP)}, st AS (SELECT *, " + normal_sql("concat_ws('|', vec_id, 'generate', 0, d)")
-    + " AS xt FROM z), " + _steps_sql(VP, "st", M.reverse_schedule(VP), "concat_ws('|', vec_id, 'step', 0, {s}, d)")
+    f"WITH {DATA_SQL}, {fit_sql(VP)}, st AS (SELECT *, " + normal_sql("concat_ws('|', vec_id, 'generate', 0)")
+    + " AS xt FROM z), " + _steps_sql(VP, "st", M.reverse_schedule(VP), "concat_ws('|', vec_id, 'step', 0)")
     + f" SELECT {num('vec_id', 'row_id')}, {num('d')}, {flt('value', 'value', 4)} FROM fin")
 
 
@@ -264,8 +264,8 @@ def generate_vp(spark, sf):
 
 def impute_sql(repaint: bool) -> str:
     schedule = M.reverse_schedule(VP, repaint=repaint, r=2, j=0.3)
-    key = "concat_ws('|', vec_id, 'impute', 0, k, {s}, d)"
-    return (f"WITH {DATA_SQL}, {fit_sql(VP)}, st AS MATERIALIZED (SELECT *, {normal_sql(key.format(s=chr(39) + 'start' + chr(39)))} AS xt "
+    start, key = "concat_ws('|', vec_id, 'impute', 0, k)", "concat_ws('|', vec_id, 'impute-step', 0, k)"
+    return (f"WITH {DATA_SQL}, {fit_sql(VP)}, st AS MATERIALIZED (SELECT *, {normal_sql(start)} AS xt "
             f"FROM (SELECT *, unnest(range(2)) AS k FROM z)), {_steps_sql(VP, 'st', schedule, key)} "
             f"SELECT {num('vec_id', 'row_id')}, {num('k', 'imputation')}, {num('d')}, "
             f"{flt('CASE WHEN (vec_id + d) % 5 = 0 THEN value ELSE x END', 'value', 4)} FROM fin")
@@ -293,10 +293,10 @@ def classify_sql(tail: str) -> str:
     for s in range(3):
         t += 0.25
         for k in range(2):
-            looks.append(f"({int(round(t * (FLOW.n_t - 1)))}, {t!r}::DOUBLE, {1 - t!r}::DOUBLE, {k}, {s})")
-    key = "concat_ws('|', vec_id, 'classify', 0, k, s, d)"
+            looks.append(f"({int(round(t * (FLOW.n_t - 1)))}, {t!r}::DOUBLE, {1 - t!r}::DOUBLE, {s * 2 + k})")
+    key = "concat_ws('|', vec_id, 'classify', 0)"
     return (f"WITH {ALL_SQL}, {fit_sql(FLOW, 'true', 'class % 3')}, "
-            f"nzl AS MATERIALIZED (SELECT *, a * z1 + b * x0 AS xt FROM (SELECT z.*, lk.*, {normal_sql(key)} AS x0 FROM z, (VALUES {', '.join(looks)}) AS lk(t_idx, a, b, k, s))), "
+            f"nzl AS MATERIALIZED (SELECT *, a * z1 + b * x0 AS xt FROM (SELECT z.*, lk.*, {normal_sql(key, 's')} AS x0 FROM z, (VALUES {', '.join(looks)}) AS lk(t_idx, a, b, s))), "
             f"st AS (SELECT *, unnest(range(3)) AS lab3 FROM nzl), "
             f"p AS {field_join('st', 'q.xt', FLOW, 'q.t_idx', 'q.lab3')}, "
             f"ds AS (SELECT vec_id, lab3, sum((z1 - f - x0) * (z1 - f - x0)) / {len(looks)} AS dist FROM p GROUP BY vec_id, lab3) {tail}")

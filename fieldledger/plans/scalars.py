@@ -21,9 +21,21 @@ def uniform_sql(key: str) -> str:
     return f"({hex_sql(key, 1)} / {BITS})"
 
 
-def normal_sql(key: str) -> str:
-    return (f"(sqrt(-2.0::DOUBLE * ln(({hex_sql(key, 1)} + 0.5::DOUBLE) / {BITS}))"
-            f" * cos(2.0::DOUBLE * pi() * ({hex_sql(key, 14)} / {BITS})))")
+def normal_sql(key: str, slot="0", d="d") -> str:
+    """Normal of (slot, d) for the row whose digest text is key."""
+    count = f"(CAST({slot} AS BIGINT) * {N.SLOT} + {d} + 1) * {N.STRIDE}"
+
+    def turn(x):
+        return f"xor({x} >> 16, {x})"
+
+    def uniform(start):
+        x = f"((CAST('0x' || substr(md5({key}), {start}, 8) AS BIGINT) + {count}) & {N.MASK})"
+        for _ in range(2):
+            x = f"(({turn(x)} * {N.MIX}) & {N.MASK})"
+        return turn(x)
+
+    return (f"(sqrt(-2.0::DOUBLE * ln(({uniform(1)} + 0.5::DOUBLE) / 4294967296::DOUBLE))"
+            f" * cos(2.0::DOUBLE * pi() * ({uniform(9)} / 4294967296::DOUBLE)))")
 
 
 def _tx(spark, sf):
@@ -215,13 +227,13 @@ def vp_discrete_schedule(spark, sf):
 
 NOISE_DIMS_SQL = ("v AS (SELECT vec_id, d, CAST(embedding[d + 1] AS DOUBLE) AS x1 "
                   "FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS d FROM embeddings)), "
-                  f"p AS (SELECT *, {normal_sql('''concat_ws('|', vec_id, 'path', 0, d)''')} AS x0, "
+                  f"p AS (SELECT *, {normal_sql('''concat_ws('|', vec_id, 'path')''')} AS x0, "
                   "0.05 * (vec_id % 20) AS t FROM v)")
 
 
 def _paths(spark, sf, arrays):
     v = T.vectors(spark, sf).withColumn(
-        "x0", N.normal_vector(F.size("features"), F.col("row_id").cast("string"), "path", 0))
+        "x0", N.normal_vector(F.size("features"), N.words(F.col("row_id").cast("string"), "path"), 0))
     v = v.withColumn("t", F.lit(0.05) * (F.col("row_id") % 20)).withColumns(arrays)
     zipped = F.arrays_zip(*[F.col(a) for a in arrays])
     return v.select(F.col("row_id").alias("vec_id"), F.posexplode(zipped).alias("d", "e")).select(
@@ -253,9 +265,9 @@ def contraction_path(spark, sf):
 
 
 @query("gaussian_noise", f"SELECT {LINE_KEY_SQL} AS row_key, "
-       f"{flt(normal_sql(f'''concat_ws('|', {LINE_KEY_SQL}, 'noise', 7)'''), 'z')} FROM lineitem")
+       f"{flt(normal_sql(f'''concat_ws('|', {LINE_KEY_SQL}, 'noise', 7)''', '3', '1'), 'z')} FROM lineitem")
 def gaussian_noise(spark, sf):
-    out = _line(spark, sf).withColumn("z", N.hash_normal(N.noise_key(F.col("row_key"), "noise", 7)))
+    out = _line(spark, sf).withColumn("z", N.hash_normal(N.words(F.col("row_key"), "noise", 7), F.lit(3), F.lit(1)))
     return shape(out, ["row_key"], (), ["z"])
 
 

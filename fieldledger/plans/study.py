@@ -112,7 +112,7 @@ LINE_SQL = f"""WITH rw AS (SELECT {LINE_KEY_SQL} AS vec_id, CAST(l_quantity >= 5
 rg AS (SELECT d, min(x) AS lo, max(x) AS hi, max(x) - min(x) AS w FROM rw WHERE label = 0 GROUP BY d),
 z AS (SELECT rw.*, (x - lo) / w * 2 - 1 AS z1 FROM rw JOIN rg USING (d)),
 {fit_sql(LINE_SPEC)},
-sn AS MATERIALIZED (SELECT *, {normal_sql("concat_ws('|', vec_id, 'score', 0, k, d)")} AS x0 FROM (SELECT *, unnest(range(5)) AS k FROM z)),
+sn AS MATERIALIZED (SELECT *, {normal_sql("concat_ws('|', vec_id, 'score', 0)", 'k')} AS x0 FROM (SELECT *, unnest(range(5)) AS k FROM z)),
 st AS (SELECT sn.*, t_idx, a * z1 + b * x0 AS xt FROM sn, {levels_sql(LINE_SPEC, [(i, S.grid_levels(10, 0.001)[i]) for i in range(5, 9)])}),
 p AS {field_join('st', 'xt', LINE_SPEC)}
 SELECT vec_id AS row_id, {flt('sum((z1 - x0 - f) * (z1 - x0 - f)) / 5', 'score', 4)} FROM p GROUP BY vec_id"""
