@@ -64,12 +64,13 @@ def hash_normal(word: Column, slot: Column, d: Column) -> Column:
 def normal_vector(size: Column, word: Column, slot) -> Column:
     """array<double> of iid normals for one slot of the row."""
     at = slot if isinstance(slot, Column) else F.lit(slot)
-    return F.transform(F.sequence(F.lit(0), size - 1), lambda d: hash_normal(word, at, d))
+    return let(word, lambda w: F.transform(F.sequence(F.lit(0), size - 1), lambda d: hash_normal(w, at, d)))
 
 
 def normal_replicates(size: Column, copies: int, word: Column) -> Column:
     """array<array<double>>: one normal vector for each of the copies."""
-    return F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda k: normal_vector(size, word, k))
+    return let(word, lambda w: F.transform(
+        F.sequence(F.lit(0), F.lit(copies - 1)), lambda k: normal_vector(size, w, k)))
 
 
 def normals(a, b, slots: int, dims: int):

@@ -5,8 +5,8 @@ kinds: `flow` (straight path from noise to data), `vp` (variance-preserving diff
 field predicts the noise) and `contraction` (data shrinks to the origin). Noise is a hash of
 (row key, purpose, seed, copy, dimension), the same at every level.
 
-The fit is one aggregation: every task reduces its noised copies to one cell per
-(level, dimension, bin), so the shuffle does not grow with rows, copies or levels. The fitted
+The fit is one aggregation: every task reduces its noised copies, batch by batch, to one cell
+per (level, dimension, bin), so the shuffle does not grow with rows, copies or levels. The fitted
 table is bounded by levels x dimensions x bins and is packed into one row for scoring.
 """
 
@@ -118,9 +118,18 @@ def predict(cells: Column, x: Column, spec: FieldSpec) -> Column:
     return cells[bin_of(x, spec)]
 
 
+def level_weights(spec: FieldSpec) -> list[dict]:
+    """i, a, b of every fitted level: a noised value is a * data + b * noise."""
+    rows = []
+    for i, t in spec.fit_levels:
+        mean, std = S.vp_coefficients(t, spec.b0, spec.b1)
+        a, b = {"flow": (t, 1.0 - t), "vp": (mean, std), "contraction": (1.0 - t, 0.0)}[spec.kind]
+        rows.append({"i": i, "a": a, "b": b})
+    return rows
+
+
 def noised(
-    df: DataFrame, key: str, z: str, spec: FieldSpec, levels: Sequence[tuple[int, float]],
-    purpose: str = "fit", keep: Sequence[str] = (),
+    df: DataFrame, key: str, z: str, spec: FieldSpec, purpose: str = "fit", keep: Sequence[str] = (),
 ) -> DataFrame:
     """Long form: keep columns, d, copy, t_idx, x_t and the target y of the field.
 
@@ -135,12 +144,7 @@ def noised(
     else:
         steps = long.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(spec.copies - 1)))).withColumn(
             "_x0", N.hash_normal(F.col("_w"), F.col("copy"), F.col("d")))
-    rows = []
-    for i, t in levels:
-        mean, std = S.vp_coefficients(t, spec.b0, spec.b1)
-        a, b = {"flow": (t, 1.0 - t), "vp": (mean, std), "contraction": (1.0 - t, 0.0)}[spec.kind]
-        rows.append({"i": i, "a": a, "b": b})
-    steps = steps.withColumn("_l", F.explode(literal_rows(rows, "i int, a double, b double")))
+    steps = steps.withColumn("_l", F.explode(literal_rows(level_weights(spec), "i int, a double, b double")))
     x_t = F.col("_l.a") * F.col("_x1") + F.col("_l.b") * F.col("_x0")
     target = {"flow": F.col("_x1") - F.col("_x0"), "vp": F.col("_x0"), "contraction": -x_t}[spec.kind]
     return steps.select(*keep, "d", "copy", F.col("_l.i").alias("t_idx"), x_t.alias("x_t"), target.alias("y"))
@@ -166,15 +170,14 @@ def fit_field(
         rows = df.withColumn("_r", ranges.select("ranges").scalar()).withColumn(
             "_z", prep.scale_to_unit(F.col(features), F.col("_r"))).drop("_r")
     rows = rows.withColumn("_seed", F.lit(str(spec.seed)) if seed is None else seed.cast("string"))
-    long = noised(rows, key, "_z", spec, spec.fit_levels, keep=["label", "_seed"])
     by = ["label", "t_idx", "d"]
     if spec.learner == "linear":
+        long = noised(rows, key, "_z", spec, keep=["label", "_seed"])
         cells = long.groupBy(*by).agg(F.array(
             F.coalesce(F.regr_slope("y", "x_t"), F.lit(0.0)),
             F.coalesce(F.regr_intercept("y", "x_t"), F.avg("y"))).alias("cells"))
     else:
-        sums = long.groupBy(*by, bin_of(F.col("x_t"), spec).alias("bin")).agg(
-            F.sum("y").alias("s"), F.count("y").alias("n"))
+        sums = cell_sums(rows, key, "_z", spec).groupBy(*by, "bin").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
         cells = (
             sums.groupBy(*by).agg(
                 F.map_from_entries(F.collect_list(F.struct("bin", F.col("s") / F.col("n")))).alias("m"),
@@ -192,6 +195,50 @@ def fit_field(
     return FieldModel(spec, table, ranges)
 
 
+def cell_sums(rows: DataFrame, key: str, z: str, spec: FieldSpec) -> DataFrame:
+    """Per task: sum and count of the target in every (label, level, dimension, bin) that occurs.
+    The noised copies exist only batch by batch; a task holds and emits at most the cells."""
+    levels = level_weights(spec)
+    kind = rows.schema["label"].dataType.simpleString()
+    copies = 1 if spec.kind == "contraction" else spec.copies
+
+    def add_batch(totals: dict, label, x, a, b) -> None:
+        dims = x.shape[1]
+        noise = np.zeros((len(x), 1, dims)) if spec.kind == "contraction" else N.normals(a, b, copies, dims)
+        data = np.broadcast_to(x[:, None, :], noise.shape)
+        known = ~np.isnan(data)
+        where = np.broadcast_to(np.arange(dims) * spec.bins, noise.shape)
+        if label not in totals:
+            totals[label] = np.zeros((2, len(levels), dims * spec.bins))
+        for at, lv in enumerate(levels):
+            v = lv["a"] * data + lv["b"] * noise
+            y = {"flow": lambda: data - noise, "vp": lambda: noise, "contraction": lambda: -v}[spec.kind]()
+            pos = np.floor((v[known] + spec.span) * (spec.bins / (2.0 * spec.span)))
+            cell = where[known] + np.clip(pos, 0, spec.bins - 1).astype(np.int64)
+            totals[label][0, at] += np.bincount(cell, y[known], dims * spec.bins)
+            totals[label][1, at] += np.bincount(cell, minlength=dims * spec.bins)
+
+    def run(batches):
+        totals: dict = {}
+        for pdf in batches:
+            for label, part in pdf.groupby("label", sort=False):
+                width = len(part[z].iloc[0])
+                step = max(1, 1_000_000 // (copies * width))  # cells held at a time
+                for i in range(0, len(part), step):
+                    some = part.iloc[i:i + step]
+                    x = np.stack([np.asarray(v, dtype="float64") for v in some[z]])
+                    add_batch(totals, label, x, some["a"].to_numpy(), some["b"].to_numpy())
+        for label, (s, n) in totals.items():
+            t_idx, cell = np.nonzero(n)
+            yield pd.DataFrame({
+                "label": label, "t_idx": [levels[i]["i"] for i in t_idx], "d": cell // spec.bins,
+                "bin": cell % spec.bins, "s": s[t_idx, cell], "n": n[t_idx, cell].astype("int64")})
+
+    word = N.words(F.col(key).cast("string"), "fit", F.col("_seed"))
+    packed = rows.withColumn("_w", word).select("label", z, F.col("_w.a").alias("a"), F.col("_w.b").alias("b"))
+    return packed.mapInPandas(run, f"label {kind}, t_idx int, d int, bin int, s double, n long")
+
+
 def label_ranges(df: DataFrame, features: str) -> DataFrame:
     """label, ranges: the value range of every dimension within the label."""
     long = df.select("label", F.posexplode(features).alias("d", "v")).where(~F.isnan("v"))
@@ -423,8 +470,8 @@ def reverse_diffuse(x: Column, grid: Column, spec: FieldSpec, schedule: list[dic
     _, last_std = S.vp_coefficients(spec.eps, spec.b0, spec.b1)
     last_i = int(round(spec.eps * (spec.n_t - 1)))
 
-    def move(v: Column, s: Column) -> Column:
-        kick = N.normal_vector(F.size(v), word, s["s"])
+    def move(v: Column, s: Column, w: Column) -> Column:
+        kick = N.normal_vector(F.size(v), w, s["s"])
 
         def one(e: Column, g: Column) -> Column:
             drift = F.lit(-0.5) * s["beta"] * e["x"]
@@ -435,7 +482,7 @@ def reverse_diffuse(x: Column, grid: Column, spec: FieldSpec, schedule: list[dic
 
         return F.zip_with(pairs(v, kick), grid[s["i"]], one)
 
-    end = F.aggregate(steps, x, move)
+    end = N.let(word, lambda w: F.aggregate(steps, x, lambda v, s: move(v, s, w)))
     return F.zip_with(end, grid[last_i], lambda a, g: a - F.lit(last_std) * predict(g, a, spec))
 
 
@@ -502,9 +549,9 @@ def classify(df: DataFrame, key: str, features: str, model: FieldModel, n_t: int
     rows = rows.withColumn("_w", N.words(F.col(key).cast("string"), "classify", seed))
 
     def noised_looks(z: Column) -> Column:
-        return F.transform(looks_col, lambda lk: F.struct(
+        return N.let(F.col("_w"), lambda w: F.transform(looks_col, lambda lk: F.struct(
             lk["i"].alias("i"), lk["a"].alias("a"), lk["b"].alias("b"),
-            pairs(z, N.normal_vector(F.size("_r"), F.col("_w"), lk["s"])).alias("p")))
+            pairs(z, N.normal_vector(F.size("_r"), w, lk["s"])).alias("p"))))
 
     def distance(grid: Column, noised_: Column) -> Column:
         def look(lk: Column) -> Column:

@@ -184,7 +184,7 @@ def fit_per_dimension(spark, sf):
     ranges = spark.range(1).select(prep.minmax_vector(holes, "features").alias("ranges"))
     z = holes.withColumn("_r", ranges.select("ranges").scalar()).withColumn(
         "z", prep.scale_to_unit(F.col("features"), F.col("_r")))
-    long = M.noised(z, "row_id", "z", FLOW, FLOW.fit_levels)
+    long = M.noised(z, "row_id", "z", FLOW)
     return shape(long.groupBy("t_idx", "d").agg(F.avg("y").alias("f")), (), ["t_idx", "d"], ["f"], 5)
 
 
