@@ -207,15 +207,16 @@ def cell_sums(rows: DataFrame, key: str, z: str, spec: FieldSpec) -> DataFrame:
         noise = np.zeros((len(x), 1, dims)) if spec.kind == "contraction" else N.normals(a, b, copies, dims)
         data = np.broadcast_to(x[:, None, :], noise.shape)
         known = ~np.isnan(data)
-        where = np.broadcast_to(np.arange(dims) * spec.bins, noise.shape)
+        keep = (lambda v: v.ravel()) if known.all() else (lambda v: v[known])
+        data, noise, where = keep(data), keep(noise), keep(np.broadcast_to(np.arange(dims) * spec.bins, noise.shape))
         if label not in totals:
             totals[label] = np.zeros((2, len(levels), dims * spec.bins))
         for at, lv in enumerate(levels):
             v = lv["a"] * data + lv["b"] * noise
             y = {"flow": lambda: data - noise, "vp": lambda: noise, "contraction": lambda: -v}[spec.kind]()
-            pos = np.floor((v[known] + spec.span) * (spec.bins / (2.0 * spec.span)))
-            cell = where[known] + np.clip(pos, 0, spec.bins - 1).astype(np.int64)
-            totals[label][0, at] += np.bincount(cell, y[known], dims * spec.bins)
+            pos = np.floor((v + spec.span) * (spec.bins / (2.0 * spec.span)))
+            cell = where + np.clip(pos, 0, spec.bins - 1).astype(np.int64)
+            totals[label][0, at] += np.bincount(cell, y, dims * spec.bins)
             totals[label][1, at] += np.bincount(cell, minlength=dims * spec.bins)
 
     def run(batches):

@@ -40,14 +40,20 @@ def test_scoring_has_no_shuffle(rows, tmp_path):
 
 
 def normals(key, purpose, seed, copy, dims):
+    """The noise rule with plain integers."""
     import hashlib
 
-    out = []
-    for d in range(dims):
-        h = hashlib.md5("|".join(map(str, (key, purpose, seed, copy, d))).encode()).hexdigest()
-        u1, u2 = (int(h[:13], 16) + 0.5) / 2**52, int(h[13:26], 16) / 2**52
-        out.append(np.sqrt(-2 * np.log(u1)) * np.cos(2 * np.pi * u2))
-    return np.array(out)
+    h = hashlib.md5("|".join(map(str, (key, purpose, seed))).encode()).hexdigest()
+
+    def uniform(word, d):
+        x = (word + (copy * 65536 + d + 1) * 0x1E3779B9) % 2**32
+        for _ in range(2):
+            x = ((x >> 16 ^ x) * 0x45D9F3B) % 2**32
+        return x >> 16 ^ x
+
+    a, b = int(h[:8], 16), int(h[8:16], 16)
+    return np.array([np.sqrt(-2 * np.log((uniform(a, d) + 0.5) / 2**32)) * np.cos(2 * np.pi * uniform(b, d) / 2**32)
+                     for d in range(dims)])
 
 
 def test_flow_scores_against_numpy(rows, tmp_path):
@@ -150,10 +156,24 @@ def test_vp_coefficients_and_grid(spark):
     assert row["t"] == pytest.approx(list(np.linspace(0.001, 1, 5)))
 
 
-def test_noise_is_standard_normal(spark):
-    out = spark.range(20000).select(N.hash_normal(N.noise_key(F.col("id"), "t")).alias("z"))
-    mean, sd = out.agg(F.avg("z"), F.stddev_pop("z")).first()
-    assert abs(mean) < 0.03 and sd == pytest.approx(1.0, abs=0.03)
+def test_noise_is_standard_normal_and_the_same_in_columns_and_arrays(spark):
+    df = spark.range(4000).withColumn("w", N.words(F.col("id").cast("string"), "t"))
+    rows = df.select("w.a", "w.b", N.normal_replicates(F.lit(3), 2, F.col("w")).alias("z")).collect()
+    z = np.array([r["z"] for r in rows])
+    assert np.allclose(z, N.normals(np.array([r["a"] for r in rows]), np.array([r["b"] for r in rows]), 2, 3))
+    assert np.allclose(z[7, 1], normals_of("7|t", 1))
+    assert np.abs(z.mean(0)).max() < 0.06 and z.std(0) == pytest.approx(1.0, abs=0.05)
+    # cells of a row do not move together
+    assert np.abs(np.corrcoef(z.reshape(4000, 6).T) - np.eye(6)).max() < 0.06
+
+
+def normals_of(text, copy):
+    key, purpose = text.split("|")
+    import hashlib
+
+    h = hashlib.md5(text.encode()).hexdigest()
+    a = np.array([int(h[:8], 16)]), np.array([int(h[8:16], 16)])
+    return N.normals(*a, copy + 1, 3)[0, copy]
 
 
 def test_sweep_by_label_equals_separate_fits(rows, spark):
