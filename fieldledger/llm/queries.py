@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, quality_rules
-from .common import table
+from . import count_viterbi, gumbel_sampling, html_blocks, minhash_join, packing, quality_rules, rp_forest, string_kernel, toxic_crf
+from .common import fold, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,49 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
+
+
+@query("op5_minhash_join")
+def op5_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_string_kernel")
+def op3_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = string_kernel.train(docs, ~held_out)
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return string_kernel.predict(rows, model).drop("text")
+
+
+@query("op9_toxic_crf")
+def op9_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = toxic_crf.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxic_crf.score(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op1_html_blocks")
+def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_blocks.extract(pages.select("page_id", "url", "html"), html_blocks.train(pages))
+
+
+@query("op7_rp_forest")
+def op7_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_count_viterbi")
+def op4_count_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_viterbi.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_gumbel_sampling")
+def op2_gumbel_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gumbel_sampling.sample(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "sample", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "log_prob", "perturbed",
+                        "inclusion", F.crc32("ids").alias("ids_crc32"))
