@@ -28,13 +28,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import mixed, slices, with_fields
 
-TOXIC = 2000
-CLEAN = 8000
+TOXIC = 800
+CLEAN = 3200
 LONGEST = 8192
 BITS = 17
 ORDERS = (3, 4, 5, 6)
 WINDOW = 24
-EPOCHS = 12
+EPOCHS = 8
 FLOOR = 1e-9
 WORD = re.compile(r"[^ \t-\r]+")
 
@@ -237,9 +237,9 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     order = np.random.default_rng(5)
     for _ in range(EPOCHS):
         turn = order.permutation(len(windows))
-        for a in range(0, len(turn), 256):
-            part = [windows[i] for i in turn[a:a + 256]]
-            truth = np.concatenate([flags[i] for i in turn[a:a + 256]]).astype(float)
+        for a in range(0, len(turn), 512):
+            part = [windows[i] for i in turn[a:a + 512]]
+            truth = np.concatenate([flags[i] for i in turn[a:a + 512]]).astype(float)
             at: dict[bytes, int] = {}
             index = np.array([at.setdefault(w, len(at)) for words in part for w in words])
             rows, places = grams(list(at))
@@ -318,6 +318,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id
     share = F.when(F.col("_y") == 1, F.lit(min(1 << 30, (TOXIC << 30) // counts[1]))).otherwise(
         F.lit(min(1 << 30, (CLEAN << 30) // counts[0])))
     found = sorted((tuple(r) for r in rows.where(draw < share).select(key, text, "_y").collect()), key=lambda r: r[0])
+    found = list({r[1]: r for r in found}.values())  # copies would count as evidence again and again
     kept = [r for y in (0, 1) for r in [x for x in found if x[2] == y][:2 * limit[y]]]
     return fit([r[1] for r in kept], [r[2] for r in kept])
 
