@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import count_viterbi, gumbel_sampling, html_blocks, minhash_join, packing, quality_rules, rp_forest, string_kernel, toxic_crf
+from . import (count_viterbi, ctw, gumbel_sampling, html_blocks, minhash_join, packing, quality_rules, rp_forest, string_kernel,
+               toxic_crf)
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -103,3 +104,8 @@ def op2_gumbel_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = gumbel_sampling.sample(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "sample", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "log_prob", "perturbed",
                         "inclusion", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op10_ctw")
+def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scores(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0)
