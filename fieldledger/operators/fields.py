@@ -85,9 +85,10 @@ class FieldModel:
         return self.ranges.select("ranges").scalar()
 
     def save(self, path: str) -> None:
-        self.table.write.parquet(f"{path}/table")
+        """The table comes last: its marker of success stands for the whole model."""
         if self.ranges is not None:
-            self.ranges.write.parquet(f"{path}/ranges")
+            self.ranges.write.mode("overwrite").parquet(f"{path}/ranges")
+        self.table.write.mode("overwrite").parquet(f"{path}/table")
 
     @staticmethod
     def load(spark: SparkSession, path: str, spec: FieldSpec) -> "FieldModel":
@@ -343,7 +344,9 @@ def score(
         result = np.full(len(x), np.nan)
         for c in case.unique():
             at = np.flatnonzero((case == c).to_numpy())
-            field = shared.value[c]
+            field = shared.value.get(c)
+            if field is None:  # a label without a model has no score
+                continue
             step = max(1, 1_000_000 // (copies * field.grid.shape[1]))  # cells held at a time
             for i in range(0, len(at), step):
                 part = at[i:i + step]
@@ -434,32 +437,25 @@ def draw_label(df: DataFrame, priors: DataFrame, label: str, key: Column) -> Dat
 
 def reverse_schedule(spec: FieldSpec, n_steps: int | None = None, repaint: bool = False,
                      r: int = 5, j: float = 0.1) -> list[dict]:
-    """Steps of the reverse SDE from t = 1 to eps. A forward entry (back = 1) jumps j steps back
-    by diffusing again; it follows every j-th step until that stretch has been done r times."""
+    """Steps of the reverse SDE from t = 1 to eps: stretches of j * n steps, each gone through r times with
+    a jump back to its start in between (back = 1: diffused again in one step), then the steps that are left
+    over, once. Without repaint every step is done once."""
     n = n_steps or spec.n_t
-    times = [1.0 + (spec.eps - 1.0) * i / (n - 1) for i in range(n)]
-    widths = [times[i] - (times[i + 1] if i + 1 < n else 0.0) for i in range(n)]
+    times = np.linspace(1.0, spec.eps, n)
+    widths = times - np.append(times[1:], 0.0)
     hop = math.ceil(j * n)
-    rows: list[dict] = []
-
-    def entry(i: int, h: float, back: int) -> None:
-        t = times[i]
-        _, std = S.vp_coefficients(t, spec.b0, spec.b1)
-        rows.append({"s": len(rows), "i": int(round(t * (spec.n_t - 1))), "h": h, "back": back,
-                     "beta": spec.b0 + t * (spec.b1 - spec.b0), "std": std})
-
-    i, rounds = 0, 0
-    while i < n - 1:
-        entry(i, widths[i], 0)
-        if repaint and (i + 1) % hop == 0:
-            if rounds < r - 1:
-                entry(i, sum(widths[i - hop + 1:i + 1]), 1)
-                rounds += 1
-                i -= hop
-            else:
-                rounds = 0
-        i += 1
-    return rows
+    whole = (n - 1) // hop * hop if repaint else 0
+    plan: list[tuple[int, float, int]] = []
+    for first in range(0, whole, hop):
+        stretch = [(i, widths[i], 0) for i in range(first, first + hop)]
+        jump = (first + hop - 1, widths[first:first + hop].sum(), 1)
+        plan += stretch + [jump, *stretch] * (r - 1)
+    plan += [(i, widths[i], 0) for i in range(whole, n - 1)]
+    return [
+        {"s": s, "i": int(round(times[i] * (spec.n_t - 1))), "h": float(h), "back": back,
+         "beta": float(spec.b0 + times[i] * (spec.b1 - spec.b0)),
+         "std": float(S.vp_coefficients(float(times[i]), spec.b0, spec.b1)[1])}
+        for s, (i, h, back) in enumerate(plan)]
 
 
 REVERSE_SCHEMA = "s int, i int, h double, back int, beta double, std double"

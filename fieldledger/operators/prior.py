@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
 from ..session import cut_lineage
 
+# fixed values: the columns of the feature vector, in their order
 FEATURE_COLUMNS = (
     "amount_zscore_series", "amount_ratio_to_mean",
     "day_deviation_from_usual",
@@ -30,8 +30,9 @@ FEATURE_COLUMNS = (
     "amount",
 )
 DEFAULT_GAP_DAYS = 30
-MAX_HOT_KEYS = 10_000
 HOT_ROWS = 20_000_000
+# stands for a missing date in the keys of chunks; it sorts where nulls do
+NO_DAY = "0001-01-01"
 
 
 @dataclass(frozen=True)
@@ -55,23 +56,28 @@ class TransactionColumns:
         return {"iban": self.iban, "swift": self.swift, "method": self.method, "channel": self.channel}
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], value: str, min_rows: int) -> DataFrame | None:
-    """Keys with more than max(min_rows, rows / MAX_HOT_KEYS) rows and their mean value.
+def present(column: str) -> Column:
+    """A text that is never null and tells a missing value from all others: null is a key like any other."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
 
-    At most MAX_HOT_KEYS keys can pass that test, so the result is safe to broadcast
-    whatever the size of the data. None when there is no such key.
-    """
-    total = df.count()
-    limit = max(min_rows, total // MAX_HOT_KEYS)
-    if total <= limit:
-        return None
-    found = (
-        df.dropna(subset=list(keys)).groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.avg(value).alias("_center"))
-        .where(F.col("_rows") > limit).drop("_rows")
-    )
-    rows = found.collect()  # bounded by MAX_HOT_KEYS
-    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
+
+def day_key(tx: TransactionColumns) -> Column:
+    return F.coalesce(F.col(tx.date), F.lit(NO_DAY).cast("date"))
+
+
+def series_keys(keys: Sequence[str]) -> dict[str, Column]:
+    return {f"_k{i}": present(k) for i, k in enumerate(keys)}
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], value: str, min_rows: int) -> DataFrame | None:
+    """Keys with more than min_rows rows (missing keys too) and their mean value, as a written table that is
+    joined and not broadcast: their number may grow with the data. None when there is no such key."""
+    made = series_keys(keys)
+    found = cut_lineage(
+        df.groupBy(*[c.alias(k) for k, c in made.items()])
+        .agg(F.count(F.lit(1)).alias("_rows"), F.coalesce(F.avg(value), F.lit(0.0)).alias("_center"))
+        .where(F.col("_rows") > min_rows).drop("_rows"), "hot-keys")
+    return None if found.isEmpty() else found
 
 
 def _before(*keys, order) -> object:
@@ -97,7 +103,7 @@ def _whole_series_state(df: DataFrame, tx: TransactionColumns, modes: Sequence[s
             f"_f_{m}": -F.min("_pos").over(by_value),
         })
     # everything else shares one more sort
-    month_start = F.when(F.col("_last").isNull() | (F.trunc("_last", "month") != month), F.col("_pos"))
+    month_start = F.when((F.col("_pos") == 1) | ~F.trunc("_last", "month").eqNullSafe(month), F.col("_pos"))
     state = {
         "_n": F.count(F.lit(1)).over(prior),
         "_mean": F.avg(amount).over(prior),
@@ -141,22 +147,24 @@ def _histogram_median(histogram: Column) -> Column:
 def _chunked_series_state(
     df: DataFrame, tx: TransactionColumns, modes: Sequence[str], sub_day: str | None
 ) -> DataFrame:
-    """The same state for series cut into chunks. df carries _center per series."""
-    chunk = [tx.date] + ([sub_day] if sub_day else [])
-    key = [*tx.series, *chunk]
+    """The same state for series cut into chunks. df carries _center per series and its keys; sub_day holds no null."""
+    series = list(series_keys(tx.series))
+    chunk = ["_day"] + ([sub_day] if sub_day else [])
+    key = [*series, *chunk]
     x = F.col(tx.amount) - F.col("_center")
-    df = df.withColumn("_x", x).withColumn("_xx", x * x)
+    df = df.withColumns({"_day": day_key(tx), "_x": x, "_xx": x * x})
     inside = _before(*key, order=tx.ties)
 
     # state at the start of each chunk, from chunk totals
     totals = df.groupBy(*key).agg(
         F.count(F.lit(1)).alias("_t_n"), F.sum("_x").alias("_t_s"), F.sum("_xx").alias("_t_ss"),
-        F.min(tx.amount).alias("_t_lo"), F.max(tx.amount).alias("_t_hi"),
+        F.min(tx.amount).alias("_t_lo"), F.max(tx.amount).alias("_t_hi"), F.count(tx.amount).alias("_t_a"),
+        F.max(tx.date).alias("_t_date"),
     )
-    wd = _before(*tx.series, order=chunk)
-    day = F.dayofmonth(tx.date)
+    wd = _before(*series, order=chunk)
+    day = F.dayofmonth("_t_date")
     carry = (
-        totals.withColumn("_ym", F.trunc(tx.date, "month"))
+        totals.withColumn("_ym", F.trunc("_t_date", "month"))
         .select(
             *key,
             F.coalesce(F.sum("_t_n").over(wd), F.lit(0)).alias("_n0"),
@@ -164,8 +172,9 @@ def _chunked_series_state(
             F.coalesce(F.sum("_t_ss").over(wd), F.lit(0.0)).alias("_ss0"),
             F.min("_t_lo").over(wd).alias("_lo0"),
             F.max("_t_hi").over(wd).alias("_hi0"),
-            F.max(tx.date).over(wd).alias("_last0"),
-            F.coalesce(F.sum("_t_n").over(_before(*tx.series, "_ym", order=chunk)), F.lit(0)).alias("_m0"),
+            F.coalesce(F.sum("_t_a").over(wd), F.lit(0)).alias("_a0"),
+            F.max("_t_date").over(wd).alias("_last0"),
+            F.coalesce(F.sum("_t_n").over(_before(*series, "_ym", order=chunk)), F.lit(0)).alias("_m0"),
             F.array(*[
                 F.coalesce(F.sum(F.when(day == d, F.col("_t_n"))).over(wd), F.lit(0)).cast("long")
                 for d in range(1, 32)
@@ -182,51 +191,48 @@ def _chunked_series_state(
     out = base
     for m in modes:
         v = tx.modes[m]
-        per_value = base.groupBy(*key, v).agg(F.count(F.lit(1)).alias("_vc"), F.min("_pos").alias("_vp"))
+        out = out.withColumn("_v", present(v))
+        per_value = base.groupBy(*key, present(v).alias("_v")).agg(
+            F.count(F.lit(1)).alias("_vc"), F.min("_pos").alias("_vp"), F.max(v).alias("_value"))
         per_value = (
             per_value
-            .withColumn("_c0", F.coalesce(F.sum("_vc").over(_before(*tx.series, v, order=chunk)), F.lit(0)))
-            .withColumn("_fp", F.min("_vp").over(Window.partitionBy(*tx.series, v)))
+            .withColumn("_c0", F.coalesce(F.sum("_vc").over(_before(*series, "_v", order=chunk)), F.lit(0)))
+            .withColumn("_fp", F.min("_vp").over(Window.partitionBy(*series, "_v")))
         )
         best = (
             per_value.groupBy(*key)
             .agg(F.max(F.struct((F.col("_c0") + F.col("_vc")).alias("c"), (-F.col("_fp")).alias("f"),
-                                F.col(v).alias("v"))).alias("_b"))
+                                F.col("_value").alias("v"))).alias("_b"))
             .select(*key, F.max("_b").over(wd).alias("_best0"))
         )
-        side = per_value.select(
-            *[F.col(k).alias(f"_j_{k}") for k in key], F.col(v).alias("_j_v"), "_c0", "_fp")
-        same = [F.col(k) == F.col(f"_j_{k}") for k in key] + [F.col(v).eqNullSafe(F.col("_j_v"))]
-        out = (
-            out.join(side, reduce(lambda a, b: a & b, same)).drop("_j_v", *[f"_j_{k}" for k in key])
-            .join(best, key)
-        )
-        count_now = F.col("_c0") + F.row_number().over(Window.partitionBy(*key, v).orderBy(*tx.ties))
+        out = out.join(per_value.select(*key, "_v", "_c0", "_fp"), [*key, "_v"]).join(best, key)
+        count_now = F.col("_c0") + F.row_number().over(Window.partitionBy(*key, "_v").orderBy(*tx.ties))
         out = out.withColumn("_cand", F.struct(
             count_now.cast("long").alias("c"), (-F.col("_fp")).alias("f"), F.col(v).alias("v")))
         out = out.withColumn(
             f"_mode_{m}", F.greatest(F.col("_best0"), F.max("_cand").over(inside))["v"]
-        ).drop("_c0", "_fp", "_best0", "_cand")
+        ).drop("_c0", "_fp", "_best0", "_cand", "_v")
 
     n = F.col("_n0") + F.col("_n1")
+    amounts = F.col("_a0") + F.coalesce(F.count(tx.amount).over(inside), F.lit(0))
     s = F.col("_s0") + F.coalesce(F.sum("_x").over(inside), F.lit(0.0))
     ss = F.col("_ss0") + F.coalesce(F.sum("_xx").over(inside), F.lit(0.0))
     out = (
-        out.withColumn("_n", n).withColumn("_s", s).withColumn("_ss", ss)
+        out.withColumn("_n", n).withColumn("_a", amounts).withColumn("_s", s).withColumn("_ss", ss)
         .withColumn("_lo", F.least("_lo0", F.min(tx.amount).over(inside)))
         .withColumn("_hi", F.greatest("_hi0", F.max(tx.amount).over(inside)))
     )
-    shift = F.try_divide("_s", "_n")
+    shift = F.try_divide("_s", "_a")
     today = F.dayofmonth(tx.date)
     return (
         out.withColumn("_mean", F.col("_center") + shift)
-        .withColumn("_sd", F.sqrt(F.greatest(F.try_divide("_ss", "_n") - shift * shift, F.lit(0.0))))
+        .withColumn("_sd", F.sqrt(F.greatest(F.try_divide("_ss", "_a") - shift * shift, F.lit(0.0))))
         .withColumn("_usual_day", _histogram_median(F.transform(
             "_hist0", lambda c, i: c + F.when(i + 1 == today, F.col("_n1")).otherwise(0))))
         .withColumn("_last", F.when(F.col("_n1") > 0, F.col(tx.date)).otherwise(F.col("_last0")))
         .withColumn("_month_n", F.col("_m0") + F.col("_n1"))
         .drop("_center", "_x", "_xx", "_n0", "_s0", "_ss0", "_lo0", "_hi0", "_last0", "_m0", "_hist0",
-              "_n1", "_pos", "_s", "_ss")
+              "_n1", "_pos", "_s", "_ss", "_a", "_a0", "_day")
     )
 
 
@@ -239,10 +245,12 @@ def series_state(
     hot: the series to cut into chunks, from hot_keys."""
     if hot is None:
         return _whole_series_state(df, tx, modes)
-    small = df.join(F.broadcast(hot), tx.series, "left_anti")
-    large = df.join(F.broadcast(hot), tx.series)
+    keys = series_keys(tx.series)
+    keyed = df.withColumns(keys)
+    small = keyed.join(hot, list(keys), "left_anti").drop(*keys)
+    large = keyed.join(hot, list(keys))
     return _whole_series_state(small, tx, modes).unionByName(
-        _chunked_series_state(large, tx, modes, sub_day))
+        _chunked_series_state(large, tx, modes, sub_day).drop(*keys))
 
 
 def series_features(
@@ -286,57 +294,63 @@ def series_features(
 
 def key_counts(
     df: DataFrame, tx: TransactionColumns, key: str, prefix: str,
-    cutoff: Column | None = None, sub_day: str | None = None,
+    cutoff: Column | None = None, sub_day: str | None = None, base: DataFrame | None = None,
 ) -> DataFrame:
-    """Earlier rows of a global key: is_new_<prefix> over all rows, <prefix>_count_before
-    restarting after the cutoff. Rows are spread over (key, day); the days before come from
-    per-day totals."""
-    chunk = [tx.date] + ([sub_day] if sub_day else [])
-    days = df.groupBy(key, *chunk).agg(F.count(F.lit(1)).alias("_t"))
+    """Earlier rows of a global key (a missing key is a key): is_new_<prefix> over all rows,
+    <prefix>_count_before restarting after the cutoff. Rows are spread over (key, day); the days
+    before come from per-day totals of base, which is df or what df was made from."""
+    chunk = ["_day"] + ([sub_day] if sub_day else [])
+    names = {"_key": present(key), "_day": day_key(tx)}
+    days = (df if base is None else base).withColumns(names).groupBy("_key", *chunk).agg(F.count(F.lit(1)).alias("_t"))
     if cutoff is not None:
         days = days.withColumn("_cutoff", cutoff)
-        after = F.col(tx.date) > F.col("_cutoff")
+        after = F.coalesce(F.col("_day") > F.col("_cutoff"), F.lit(False))
     else:
         after = F.lit(False)
     days = days.withColumn("_after", after).select(
-        key, *chunk,
-        F.coalesce(F.sum("_t").over(_before(key, order=chunk)), F.lit(0)).alias("_all0"),
-        F.coalesce(F.sum("_t").over(_before(key, "_after", order=chunk)), F.lit(0)).alias("_split0"),
+        "_key", *chunk,
+        F.coalesce(F.sum("_t").over(_before("_key", order=chunk)), F.lit(0)).alias("_all0"),
+        F.coalesce(F.sum("_t").over(_before("_key", "_after", order=chunk)), F.lit(0)).alias("_split0"),
     )
-    rank = F.row_number().over(Window.partitionBy(key, *chunk).orderBy(*tx.ties)) - 1
+    rank = F.row_number().over(Window.partitionBy("_key", *chunk).orderBy(*tx.ties)) - 1
     before = F.col("_split0") + F.col("_r")
     return (
-        df.withColumn("_r", rank).join(days, [key, *chunk], "left")
+        df.withColumns(names).withColumn("_r", rank).join(days, ["_key", *chunk], "left")
         .withColumn(f"is_new_{prefix}", (F.col("_all0") + F.col("_r") == 0).cast("int"))
         .withColumn(f"{prefix}_count_before", before.cast("long"))
         .withColumn(f"{prefix}_count_before_log", F.log1p(before))
-        .drop("_r", "_all0", "_split0")
+        .drop("_r", "_all0", "_split0", *names)
     )
 
 
-def known_name_new_iban(df: DataFrame, tx: TransactionColumns, sub_day: str | None = None) -> DataFrame:
+def known_name_new_iban(
+    df: DataFrame, tx: TransactionColumns, sub_day: str | None = None, base: DataFrame | None = None
+) -> DataFrame:
     """_first_pair: the row is the first of its (recipient, iban) pair."""
-    chunk = [tx.date] + ([sub_day] if sub_day else [])
-    pair = [tx.name, tx.iban]
+    chunk = ["_day"] + ([sub_day] if sub_day else [])
+    pair = ["_name", "_iban"]
+    names = {"_name": present(tx.name), "_iban": present(tx.iban), "_day": day_key(tx)}
+    df, base = (None if x is None else x.withColumns(names) for x in (df, base))
     firsts = (
-        df.groupBy(*pair).agg(F.min(F.struct(*chunk)).alias("_f"))
+        (df if base is None else base).groupBy(*pair).agg(F.min(F.struct(*chunk)).alias("_f"))
         .select(*pair, *[F.col(f"_f.{c}").alias(c) for c in chunk], F.lit(True).alias("_hit"))
     )
     rank = F.row_number().over(Window.partitionBy(*pair, *chunk).orderBy(*tx.ties))
     return (
         df.withColumn("_r", rank).join(firsts, [*pair, *chunk], "left")
         .withColumn("_first_pair", F.coalesce(F.col("_hit"), F.lit(False)) & (F.col("_r") == 1))
-        .drop("_r", "_hit")
+        .drop("_r", "_hit", *names)
     )
 
 
 def counterparty_features(
     df: DataFrame, tx: TransactionColumns, cutoff: Column | None = None, sub_day: str | None = None
 ) -> DataFrame:
-    """Features of the recipient and the iban over all accounts."""
-    out = known_name_new_iban(df, tx, sub_day)
-    out = key_counts(out, tx, tx.name, "ref_name", cutoff, sub_day)
-    out = key_counts(out, tx, tx.iban, "iban", cutoff, sub_day)
+    """Features of the recipient and the iban over all accounts. All totals come from df itself, not from the
+    frames that the joins before have made of it."""
+    out = known_name_new_iban(df, tx, sub_day, df)
+    out = key_counts(out, tx, tx.name, "ref_name", cutoff, sub_day, df)
+    out = key_counts(out, tx, tx.iban, "iban", cutoff, sub_day, df)
     return out.withColumn(
         "known_name_new_iban",
         (F.col("_first_pair") & (F.col("is_new_ref_name") == 0)).cast("int"),
@@ -359,7 +373,9 @@ def transaction_features(
     df: DataFrame, tx: TransactionColumns, cutoff: Column | None = None,
     hot_rows: int = HOT_ROWS, sub_day: str | None = None,
 ) -> DataFrame:
-    """All 21 features, strictly prior, one row per transaction."""
+    """All 21 features, strictly prior, one row per transaction. The ledger is read once and written; counts
+    and features read the copy."""
+    df = cut_lineage(df, "ledger")
     hot = hot_keys(df, tx.series, tx.amount, hot_rows)
     out = counterparty_features(df, tx, cutoff, sub_day)
     out = series_features(out, tx, cutoff, hot=hot, sub_day=sub_day)

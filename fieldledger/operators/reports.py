@@ -11,23 +11,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import ranks
-from .prior import TransactionColumns
+from .prior import TransactionColumns, day_key, series_keys
 
 
 def previous_in_series(df: DataFrame, tx: TransactionColumns, value: str, out: str,
                        keys: Sequence[str] | None = None) -> DataFrame:
     """The value on the row before, in (date, ties) order. Rows are spread over (series, day);
     the first row of a day takes the last value of the day before."""
-    keys = list(keys or tx.series)
-    chunk = [*keys, tx.date]
-    last = df.groupBy(*chunk).agg(F.max_by(value, F.struct(*tx.ties)).alias("_last"))
-    carried = last.select(*chunk, F.lag("_last").over(Window.partitionBy(*keys).orderBy(tx.date)).alias("_carry"))
+    made = series_keys(list(keys or tx.series))
+    keys, chunk = list(made), [*made, "_day"]
+    df = df.withColumns({**made, "_day": day_key(tx)})
+    # a struct around the value: max_by would skip a last row whose value is missing
+    last = df.groupBy(*chunk).agg(F.max_by(F.struct(value), F.struct(*tx.ties)).alias("_last"))
+    carried = last.select(*chunk, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_day"))[value].alias("_carry"))
     w = Window.partitionBy(*chunk).orderBy(*tx.ties)
     return (
         df.withColumn("_rn", F.row_number().over(w)).withColumn("_lag", F.lag(value).over(w))
         .join(carried, chunk)
         .withColumn(out, F.when(F.col("_rn") > 1, F.col("_lag")).otherwise(F.col("_carry")))
-        .drop("_rn", "_lag", "_carry")
+        .drop("_rn", "_lag", "_carry", *chunk)
     )
 
 
@@ -101,22 +103,31 @@ def iban_changes(df: DataFrame, tx: TransactionColumns) -> DataFrame:
         "distance", F.levenshtein("previous_iban", tx.iban))
 
 
-def _with_deletions(name: Column) -> Column:
-    """The name and every string with one character left out. Two names within one edit of each
-    other share an entry, so they meet in an equi join."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(
-        F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))
-    return F.array_distinct(F.concat(F.array(name), cut))
+def _with_deletions(name: Column, edits: int) -> Column:
+    """The name and every string with up to `edits` characters left out. Two names within that many
+    edits of each other share an entry, so they meet in an equi join."""
 
+    def shorter(text: Column) -> Column:
+        # no sequence from 1 down to 0 for an empty text
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: i <= F.length(text))
+        return F.transform(places, lambda i: F.concat(
+            F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
 
-def new_recipient_similar_name(df: DataFrame, tx: TransactionColumns) -> DataFrame:
-    """One-off recipients of an account whose name is one edit away from a recurring recipient."""
+    out = F.array(name)
+    for _ in range(edits):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, shorter))))
+    return out
+
+
+def new_recipient_similar_name(df: DataFrame, tx: TransactionColumns, edits: int = 1) -> DataFrame:
+    """One-off recipients of an account whose name is at most `edits` edits away from a recurring
+    recipient. The number of variants of a name grows with its length to that power."""
     names = df.groupBy(tx.account, tx.name).agg(F.count(F.lit(1)).alias("_n"))
-    variants = names.withColumn("_v", F.explode(_with_deletions(F.col(tx.name))))
+    variants = names.withColumn("_v", F.explode(_with_deletions(F.col(tx.name), edits)))
     once = variants.where("_n = 1").select(tx.account, F.col(tx.name).alias("one_off"), "_v")
     often = variants.where("_n > 1").select(tx.account, F.col(tx.name).alias("recurring"), "_v")
     return (
-        once.join(often, [tx.account, "_v"]).where(F.levenshtein("one_off", "recurring") == 1)
+        once.join(often, [tx.account, "_v"]).where(F.levenshtein("one_off", "recurring").between(1, edits))
         .select(tx.account, "one_off", "recurring").distinct()
     )
 

@@ -136,7 +136,34 @@ def test_features_do_not_look_ahead(spark):
     assert sorted(map(tuple, full.select(cols).collect())) == sorted(map(tuple, part.select(cols).collect()))
 
 
-def test_hot_keys_are_bounded_and_exclude_nulls(spark):
-    df = frame(spark, [row(i, 1, name="n" if i % 2 else None) for i in range(20)])
+def test_missing_keys_can_be_hot(spark):
+    df = frame(spark, [row(i, 1, name="n" if i % 2 else None) for i in range(20)] + [row(50, 1, name="rare")])
     hot = prior.hot_keys(df, TX.series, TX.amount, 3)
-    assert [r["name"] for r in hot.collect()] == ["n"]
+    assert sorted(r["_k1"] for r in hot.collect()) == ["", "=n"]
+    assert prior.hot_keys(df, TX.series, TX.amount, 30) is None
+
+
+def test_whole_and_chunked_series_agree_on_missing_values(spark):
+    rng = random.Random(11)
+
+    def maybe(value, odds=0.2):
+        return None if rng.random() < odds else value
+
+    rows = []
+    for r in random_rows(12, 200):
+        r = list(r)
+        for i in (1, 2, 3, 4, 5, 6):
+            r[i] = maybe(r[i])
+        r[7], r[8] = maybe(r[7], 0.15), maybe(r[8])
+        rows.append(tuple(r))
+    df = frame(spark, rows).repartition(4)
+    cut = F.lit(dt.date(2024, 2, 10))
+    usual = [f"usual_{m}" for m in TX.modes]
+    names = ["k", *prior.FEATURE_COLUMNS, *usual, "ref_name_count_before", "iban_count_before"]
+    whole, chunked = (
+        {r["k"]: r for r in prior.transaction_features(df, TX, cut, hot_rows).select(names).collect()} for hot_rows in (10**9, 1))
+    assert len(whole) == len(chunked) == len(rows)
+    for k, r in whole.items():
+        for n in names:
+            assert chunked[k][n] == (pytest.approx(r[n], abs=1e-9) if isinstance(r[n], float) else r[n]), (k, n)
+    assert all(r["ref_name_count_before"] is not None and r["is_new_iban"] is not None for r in whole.values())
