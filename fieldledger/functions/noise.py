@@ -62,8 +62,9 @@ def hash_normal(word: Column, slot: Column, d: Column) -> Column:
 
 
 def normal_vector(size: Column, word: Column, slot) -> Column:
-    """array<double> of iid normals for one slot of the row."""
+    """array<double> of iid normals for one slot of the row. A row wider than a slot is an error."""
     at = slot if isinstance(slot, Column) else F.lit(slot)
+    size = F.when(size <= SLOT, size).otherwise(F.raise_error(F.lit(f"noise has {SLOT} dimensions per row at most")).cast("int"))
     return let(word, lambda w: F.transform(F.sequence(F.lit(0), size - 1), lambda d: hash_normal(w, at, d)))
 
 
@@ -73,17 +74,20 @@ def normal_replicates(size: Column, copies: int, word: Column) -> Column:
         F.sequence(F.lit(0), F.lit(copies - 1)), lambda k: normal_vector(size, w, k)))
 
 
-def normals(a, b, slots: int, dims: int):
-    """numpy form of hash_normal: a, b arrays of words; returns [rows, slots, dims]."""
+def normals(a, b, slots: int, dims: int, first: int = 0):
+    """numpy form of hash_normal: a, b arrays of words; returns [rows, slots, dims], slots counted from `first`."""
     import numpy as np
 
+    if dims > SLOT or first + slots > SLOT:
+        raise ValueError(f"noise has {SLOT} slots of {SLOT} dimensions per row at most")
+
     def uniform(w):
         x = (w.astype(np.uint64)[:, None, None] + count) & np.uint64(MASK)
         for _ in range(2):
             x = (((x >> np.uint64(16)) ^ x) * np.uint64(MIX)) & np.uint64(MASK)
         return ((x >> np.uint64(16)) ^ x).astype(np.float64)
 
-    at = np.arange(slots, dtype=np.uint64)[:, None] * np.uint64(SLOT) + np.arange(dims, dtype=np.uint64)[None, :]
+    at = np.arange(first, first + slots, dtype=np.uint64)[:, None] * np.uint64(SLOT) + np.arange(dims, dtype=np.uint64)[None, :]
     count = ((at + np.uint64(1)) * np.uint64(STRIDE))[None]
     radius = np.sqrt(-2.0 * np.log((uniform(a) + 0.5) / TWO_32))
     return radius * np.cos(2.0 * np.pi * (uniform(b) / TWO_32))

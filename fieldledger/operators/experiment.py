@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import json
 from collections.abc import Callable, Sequence
@@ -38,21 +39,24 @@ def score_grid(
     levels = cut_lineage(splits.contamination_levels(normal, abnormal, n_levels), "levels")
     train = splits.contaminate(normal, abnormal, levels.drop("level"), key)
     seed_list = F.array(*[F.lit(int(s)) for s in seeds])
-    train = train.withColumn("seed", F.explode(seed_list)).withColumn("case", F.col("level_idx") * 1000 + F.col("seed"))
+    train = train.withColumn("seed", F.explode(seed_list)).withColumn("case", _case("level_idx", "seed"))
     train = cut_lineage(train.select(key, features, "seed", "case"), "train")
     model = fields.fit_field(train, key, features, spec, label="case", scale_by_label=True,
                              seed=F.col("seed")).materialize(scratch_path(df.sparkSession, "model"))
-    cases = F.array(*[F.lit(i * 1000 + int(s)) for i in range(n_levels) for s in seeds])
-    rows = test.select(key, features, label).withColumn("case", F.explode(cases))
+    cases = F.array(*[F.struct(F.lit(i).alias("level_idx"), F.lit(int(s)).alias("seed")) for i in range(n_levels) for s in seeds])
+    rows = test.select(key, features, label, F.inline(cases)).withColumn("case", _case("level_idx", "seed"))
     for which in scores:
-        rows = fields.score(rows, key, features, model, which, seed=(F.col("case") % 1000).cast("string"),
-                            out=which, label="case")
-    long = rows.select(key, label, (F.col("case") / 1000).cast("int").alias("level_idx"),
-                       (F.col("case") % 1000).alias("seed"), *scores)
+        rows = fields.score(rows, key, features, model, which, seed=F.col("seed").cast("string"), out=which, label="case")
+    long = rows.select(key, label, "level_idx", "seed", *scores)
     long = long.unpivot([key, label, "level_idx", "seed"], list(scores), "score_kind", "score")
     return long, levels
 
 
+def _case(level: str, seed: str):
+    """The name of a training set: its level and its seed, whatever numbers they are."""
+    return F.concat_ws("/", F.col(level).cast("string"), F.col(seed).cast("string"))
+
+
 def sweep(df: DataFrame, key: str, features: str, label: str, spec: fields.FieldSpec,
           scores: Sequence[str] = SCORES, n_levels: int = 10, seeds: Sequence[int] = (0, 1, 2, 3, 4)) -> DataFrame:
     """score_kind, level_idx, level, mean and std over seeds of AUROC and average precision."""
@@ -67,20 +71,24 @@ def sweep(df: DataFrame, key: str, features: str, label: str, spec: fields.Field
 
 
 def data_fingerprint(df: DataFrame, key: str) -> str:
-    """Order-free fingerprint of the rows that a model was fitted on; one aggregate."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("x")).first()
-    return f"{row['n']}-{row['x']}"
+    """Order-free fingerprint of the rows that a model was fitted on; one aggregate. A sum of row hashes:
+    repeated rows add up and do not cancel."""
+    total = F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))
+    row = df.agg(F.count(F.lit(1)).alias("n"), total.alias("x")).first()
+    return f"{','.join(sorted(df.columns))}-{row['n']}-{row['x']}"
 
 
-def cache_key(config: dict, data: str) -> str:
-    return hashlib.md5(json.dumps({"config": config, "data": data}, sort_keys=True).encode()).hexdigest()
+def cache_key(config: dict, data: str, spec: fields.FieldSpec) -> str:
+    whole = {"config": config, "data": data, "spec": dataclasses.asdict(spec)}
+    return hashlib.md5(json.dumps(whole, sort_keys=True).encode()).hexdigest()
 
 
 def fit_or_load(df: DataFrame, key: str, spec: fields.FieldSpec, config: dict, folder: str,
                 fit: Callable[[DataFrame], fields.FieldModel]) -> fields.FieldModel:
-    """The saved model of this configuration and data, or a new one that is saved."""
+    """The saved model of this configuration, spec and data, or a new one that is saved. What a save that broke
+    off has left is written anew."""
     spark = df.sparkSession
-    path = f"{folder}/{cache_key(config, data_fingerprint(df, key))}"
+    path = f"{folder}/{cache_key(config, data_fingerprint(df, key), spec)}"
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/table/_SUCCESS")
     if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         return fields.FieldModel.load(spark, path, spec)

@@ -39,7 +39,8 @@ def vp_schedule(df: DataFrame, keys, n: str, b0: float = 0.1, b1: float = 8.0) -
 @dataclass(frozen=True)
 class FieldSpec:
     kind: str = "flow"              # flow | vp | contraction
-    learner: str = "binned"         # binned | linear
+    learner: str = "binned"         # binned | linear (own value of a dimension), affine (all dimensions)
+    ridge: float = 1e-6             # of the affine learner, as a share of the rows
     n_t: int = 20
     copies: int = 20
     bins: int = 32
@@ -52,9 +53,9 @@ class FieldSpec:
     def __post_init__(self):
         if self.kind not in ("flow", "vp", "contraction"):
             raise ValueError(f"unknown kind {self.kind}")
-        if self.learner not in ("binned", "linear"):
+        if self.learner not in ("binned", "linear", "affine"):
             raise ValueError(f"unknown learner {self.learner}")
-        if self.kind == "contraction" and self.learner == "linear":
+        if self.kind == "contraction" and self.learner != "binned":
             # the target is -x, which a line fits exactly: every score would be 0
             raise ValueError("a contraction field takes the binned learner")
 
@@ -113,7 +114,9 @@ def bin_of(x: Column, spec: FieldSpec) -> Column:
 
 
 def predict(cells: Column, x: Column, spec: FieldSpec) -> Column:
-    """Field at x from the cells of one (level, dimension)."""
+    """Field at x from the cells of one (level, dimension); an affine field needs the whole row (Arrays.at)."""
+    if spec.learner == "affine":
+        raise ValueError("an affine field is evaluated on whole rows")
     if spec.learner == "linear":
         return cells[0] * x + cells[1]
     return cells[bin_of(x, spec)]
@@ -177,6 +180,8 @@ def fit_field(
         cells = long.groupBy(*by).agg(F.array(
             F.coalesce(F.regr_slope("y", "x_t"), F.lit(0.0)),
             F.coalesce(F.regr_intercept("y", "x_t"), F.avg("y"))).alias("cells"))
+    elif spec.learner == "affine":
+        cells = affine_cells(rows, key, "_z", spec)
     else:
         sums = cell_sums(rows, key, "_z", spec).groupBy(*by, "bin").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
         cells = (
@@ -241,6 +246,53 @@ def cell_sums(rows: DataFrame, key: str, z: str, spec: FieldSpec) -> DataFrame:
     return packed.mapInPandas(run, f"label {kind}, t_idx int, d int, bin int, s double, n long")
 
 
+def affine_cells(rows: DataFrame, key: str, z: str, spec: FieldSpec) -> DataFrame:
+    """label, t_idx, d, cells: weights of all noised dimensions and a constant, by least squares.
+
+    A task adds up the moments of its noised copies and emits (dims + 1) x (2 dims + 1) numbers per label and
+    level; Spark sums them, and each (label, level) is one small system. Rows with a missing value are left out."""
+    levels = level_weights(spec)
+    kind = rows.schema["label"].dataType.simpleString()
+
+    def run(batches):
+        totals: dict = {}
+        for pdf in batches:
+            for label, part in pdf.groupby("label", sort=False):
+                dims = len(part[z].iloc[0])
+                step = max(1, 500_000 // (spec.copies * dims))
+                for i in range(0, len(part), step):
+                    some = part.iloc[i:i + step]
+                    x = np.stack([np.asarray(v, dtype="float64") for v in some[z]])
+                    noise = N.normals(some["a"].to_numpy(), some["b"].to_numpy(), spec.copies, dims)
+                    whole = ~np.isnan(x).any(axis=1)
+                    noise = noise[whole].reshape(-1, dims)
+                    data = np.repeat(x[whole], spec.copies, axis=0)
+                    total_ = totals.setdefault(label, np.zeros((len(levels), dims + 1, 2 * dims + 1)))
+                    target = data - noise if spec.kind == "flow" else noise
+                    for at, lv in enumerate(levels):
+                        seen = np.hstack([lv["a"] * data + lv["b"] * noise, np.ones((len(data), 1))])
+                        total_[at] += seen.T @ np.hstack([seen, target])
+        for label, sums in totals.items():
+            at, i, j = np.indices(sums.shape)
+            yield pd.DataFrame({"label": label, "t_idx": np.array([lv["i"] for lv in levels])[at.ravel()], "i": i.ravel(),
+                                "j": j.ravel(), "v": sums.ravel()})
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        n = int(group["i"].max()) + 1
+        moments = np.zeros((n, 2 * n - 1))
+        moments[group["i"], group["j"]] = group["v"]
+        keep = spec.ridge * max(moments[n - 1, n - 1], 1.0) * np.diag(np.append(np.ones(n - 1), 0.0))
+        weights = np.linalg.lstsq(moments[:, :n] + keep, moments[:, n:], rcond=None)[0]
+        return pd.DataFrame({"label": group["label"].iloc[0], "t_idx": group["t_idx"].iloc[0], "d": range(n - 1),
+                             "cells": list(weights.T)})
+
+    word = N.words(F.col(key).cast("string"), "fit", F.col("_seed"))
+    packed = rows.withColumn("_w", word).select("label", z, F.col("_w.a").alias("a"), F.col("_w.b").alias("b"))
+    sums = packed.mapInPandas(run, f"label {kind}, t_idx int, i int, j int, v double")
+    sums = sums.groupBy("label", "t_idx", "i", "j").agg(F.sum("v").alias("v"))
+    return sums.groupBy("label", "t_idx").applyInPandas(solve, f"label {kind}, t_idx int, d int, cells array<double>")
+
+
 def label_ranges(df: DataFrame, features: str) -> DataFrame:
     """label, ranges: the value range of every dimension within the label."""
     long = df.select("label", F.posexplode(features).alias("d", "v")).where(~F.isnan("v"))
@@ -270,15 +322,6 @@ def euler_rows(spec: FieldSpec, start_idx: int, start_t: float, steps: int) -> l
     return rows
 
 
-STEP_SCHEMA = "i int, h double"
-
-
-def euler(x: Column, grid: Column, steps: Column, spec: FieldSpec) -> Column:
-    """Follow the field through the steps; steps is an array of (i, h)."""
-    return F.aggregate(steps, x, lambda v, s: F.zip_with(
-        v, grid[s["i"]], lambda a, g: a + s["h"] * predict(g, a, spec)))
-
-
 def score_levels(spec: FieldSpec, which: str) -> list[int]:
     """Noise levels that enter a score."""
     half = spec.n_t // 2
@@ -313,6 +356,33 @@ class Arrays:
     grid: object
     ranges: object
 
+    def at(self, level: int, v, spec: FieldSpec):
+        """The field at v [..., dims]."""
+        cells = self.grid[level]
+        if spec.learner == "affine":
+            return v @ cells[:, :-1].T + cells[:, -1]
+        if spec.learner == "linear":
+            return cells[:, 0] * v + cells[:, 1]
+        pos = np.floor((v + spec.span) * (spec.bins / (2.0 * spec.span)))
+        return cells[np.arange(v.shape[-1]), np.clip(pos, 0, spec.bins - 1).astype(np.int64)]
+
+    def follow(self, v, steps: list[dict], spec: FieldSpec):
+        for s in steps:
+            v = v + s["h"] * self.at(s["i"], v, spec)
+        return v
+
+    def unit(self, x):
+        low, width, _ = self.ranges
+        return (x - low) / width * 2.0 - 1.0
+
+    def raw(self, v, int_positions: Sequence[int] = ()):
+        """Back to the training range; integer positions are rounded half-even, then all are clamped."""
+        low, width, high = self.ranges
+        x = (v + 1.0) / 2.0 * width + low
+        if len(int_positions):
+            x[..., list(int_positions)] = np.rint(x[..., list(int_positions)])
+        return np.clip(x, low, high)
+
 
 def model_arrays(model: FieldModel) -> dict:
     """label -> Arrays on the driver. The size is labels x levels x dimensions x bins, fixed by the
@@ -329,8 +399,10 @@ def model_arrays(model: FieldModel) -> dict:
 def score(
     df: DataFrame, key: str, features: str, model: FieldModel, which: str,
     copies: int | None = None, seed: int | Column = 0, out: str = "score", label: str | None = None,
+    int_positions: Sequence[int] = (),
 ) -> DataFrame:
-    """Adds the anomaly score, with the field of the row's own label where one is given.
+    """Adds the anomaly score, with the field of the row's own label where one is given; a label without a
+    field has no score. int_positions: dimensions that reconstruction rounds.
 
     A projection: the model is broadcast, Arrow batches of (features, noise words) go through one
     vectorized expression, and nothing is shuffled."""
@@ -354,7 +426,7 @@ def score(
                 noise = None
                 if spec.kind != "contraction":
                     noise = N.normals(a.iloc[part].to_numpy(), b.iloc[part].to_numpy(), copies, data.shape[1])
-                result[part] = score_rows(data, noise, field, spec, which, levels)
+                result[part] = score_rows(data, noise, field, spec, which, levels, int_positions)
         return pd.Series(result)
 
     word = N.words(F.col(key).cast("string"), "score", seed if isinstance(seed, Column) else str(seed))
@@ -365,60 +437,37 @@ def score(
     )
 
 
-def score_rows(x, noise, field: Arrays, spec: FieldSpec, which: str, levels: list[dict]):
+def score_rows(x, noise, field: Arrays, spec: FieldSpec, which: str, levels: list[dict], int_positions: Sequence[int] = ()):
     """Scores of a batch: x [rows, dims], noise [rows, copies, dims]."""
-    dims = np.arange(x.shape[1])
-
-    def at(level: int, v):
-        cells = field.grid[level]
-        if spec.learner == "linear":
-            return cells[:, 0] * v + cells[:, 1]
-        pos = np.floor((v + spec.span) * (spec.bins / (2.0 * spec.span)))
-        return cells[dims, np.clip(pos, 0, spec.bins - 1).astype(np.int64)]
-
-    def follow(v, steps):
-        for s in steps:
-            v = v + s["h"] * at(s["i"], v)
-        return v
-
     if spec.kind == "contraction":
         if which == "decision":
-            return np.sqrt(((at(0, x) + x) ** 2).sum(1))
+            return np.sqrt(((field.at(0, x, spec) + x) ** 2).sum(1))
         total_ = np.zeros(len(x))
         for lv in levels:
             v = lv["a"] * x
-            end = follow(v, lv["steps"]) if which == "reconstruction" else v + at(0, v)
+            end = field.follow(v, lv["steps"], spec) if which == "reconstruction" else v + field.at(0, v, spec)
             total_ += (end ** 2).sum(1)
         return total_
 
-    low, width, high = field.ranges
-    z = ((x - low) / width * 2.0 - 1.0)[:, None, :]
-
-    def raw(v):
-        return np.clip((v + 1.0) / 2.0 * width + low, low, high)
-
-    seen = raw(z)
+    z = field.unit(x)[:, None, :]
+    seen = field.raw(z, int_positions)
     total_ = np.zeros(noise.shape[:2])
     for lv in levels:
         v = lv["a"] * z + lv["b"] * noise
         if which != "reconstruction":
-            guess = at(lv["i"], v)
+            guess = field.at(lv["i"], v, spec)
             # both vp scores carry -1 / std
             gap = z - noise - guess if spec.kind == "flow" else (guess - noise) / lv["b"]
         elif spec.kind == "flow":
-            gap = seen - raw(follow(v, lv["steps"]))
+            gap = seen - field.raw(field.follow(v, lv["steps"], spec), int_positions)
         else:  # denoised estimate (x_t + std^2 * score) / mean, with score = -guess / std
-            gap = seen - raw((v - lv["b"] * at(lv["i"], v)) / lv["a"])
+            gap = seen - field.raw((v - lv["b"] * field.at(lv["i"], v, spec)) / lv["a"], int_positions)
         total_ += (gap ** 2).sum(2)
     return total_.mean(1)
 
 
 # generation, imputation, classification ------------------------------------------------
 
-def _raw(x: Column, ranges: Column, int_positions: Sequence[int] = ()) -> Column:
-    return prep.clip_to_range(prep.unscale_from_unit(x, ranges), ranges, int_positions)
-
-
 def draw_label(df: DataFrame, priors: DataFrame, label: str, key: Column) -> DataFrame:
     """Adds a label per row by inverse CDF of the priors at a hash uniform."""
     cdf = priors.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), "prob"))))
@@ -458,29 +507,48 @@ def reverse_schedule(spec: FieldSpec, n_steps: int | None = None, repaint: bool
         for s, (i, h, back) in enumerate(plan)]
 
 
-REVERSE_SCHEMA = "s int, i int, h double, back int, beta double, std double"
+def reverse_diffuse(x, field: Arrays, spec: FieldSpec, schedule: list[dict], a, b, known=None, start=None):
+    """Euler-Maruyama through the schedule from x [rows, dims], new noise per step, then one denoising move at
+    eps. known: rows with their observed cells, nan elsewhere; at every step these follow their own way from
+    the noise `start` to the data, so that the cells to be filled move next to them."""
+    for s in schedule:
+        if known is not None:
+            x = np.where(np.isnan(known), x, np.sqrt(max(0.0, 1.0 - s["std"] ** 2)) * known + s["std"] * start)
+        drift = -0.5 * s["beta"] * x
+        shake = np.sqrt(s["beta"] * s["h"]) * N.normals(a, b, 1, x.shape[1], s["s"])[:, 0]
+        if s["back"]:
+            x = x + drift * s["h"] + shake
+        else:
+            x = x - (drift + s["beta"] * field.at(s["i"], x, spec) / s["std"]) * s["h"] + shake
+    _, std = S.vp_coefficients(spec.eps, spec.b0, spec.b1)
+    if known is not None:
+        x = np.where(np.isnan(known), x, np.sqrt(1.0 - std**2) * known + std * start)
+    return x - std * field.at(int(round(spec.eps * (spec.n_t - 1))), x, spec)
 
 
-def reverse_diffuse(x: Column, grid: Column, spec: FieldSpec, schedule: list[dict], word: Column) -> Column:
-    """Euler-Maruyama through the schedule, new noise per step, then one denoising move at eps."""
-    steps = literal_rows(schedule, REVERSE_SCHEMA)
-    _, last_std = S.vp_coefficients(spec.eps, spec.b0, spec.b1)
-    last_i = int(round(spec.eps * (spec.n_t - 1)))
+def _by_field(model: FieldModel, session: SparkSession, work, kind: str = "array<double>"):
+    """A function of columns (label, then others) for `work(field, *columns)` over the rows of one label at a
+    time; rows whose label has no field get null. Second result: the only label of a model without labels."""
+    shared = session.sparkContext.broadcast(model_arrays(model))
 
-    def move(v: Column, s: Column, w: Column) -> Column:
-        kick = N.normal_vector(F.size(v), w, s["s"])
+    @F.pandas_udf(kind)
+    def run(case: pd.Series, *columns: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(case), dtype="object")
+        for c in case.unique():
+            field = shared.value.get(c)
+            at = np.flatnonzero((case == c).to_numpy())
+            if field is None:
+                continue
+            for i in range(0, len(at), 2_000):
+                part = at[i:i + 2_000]
+                out.iloc[part] = pd.Series(list(work(field, *(x.iloc[part] for x in columns))), index=out.index[part])
+        return out
 
-        def one(e: Column, g: Column) -> Column:
-            drift = F.lit(-0.5) * s["beta"] * e["x"]
-            pull = s["beta"] * (-predict(g, e["x"], spec) / s["std"])
-            shake = F.sqrt(s["beta"]) * F.sqrt(s["h"]) * e["n"]
-            return F.when(s["back"] == 1, e["x"] + drift * s["h"] + shake).otherwise(
-                e["x"] - (drift - pull) * s["h"] + shake)
+    return run, F.lit(next(iter(shared.value), None))
 
-        return F.zip_with(pairs(v, kick), grid[s["i"]], one)
 
-    end = N.let(word, lambda w: F.aggregate(steps, x, lambda v, s: move(v, s, w)))
-    return F.zip_with(end, grid[last_i], lambda a, g: a - F.lit(last_std) * predict(g, a, spec))
+def _matrix(x: pd.Series):
+    return np.stack([np.asarray([np.nan if e is None else e for e in v], dtype="float64") for v in x])
 
 
 def generate(keys: DataFrame, key: str, model: FieldModel, seed: int = 0, priors: DataFrame | None = None,
@@ -490,43 +558,48 @@ def generate(keys: DataFrame, key: str, model: FieldModel, seed: int = 0, priors
     if spec.kind == "contraction":
         raise ValueError("a contraction field does not generate")
     key_text = F.col(key).cast("string")
-    df = keys.withColumn("_r", model.range_array())
-    if priors is None:
-        df = df.withColumn("_grid", model.grid())
-    else:
-        df = draw_label(df, priors, label, N.noise_key(key_text, "label", seed))
-        df = df.withColumn("_g", model.grids_by_label()).withColumn(
-            "_grid", F.filter("_g", lambda g: g["label"] == F.col(label))[0]["grid"]).drop("_g")
+    steps = euler_rows(spec, 0, 0.0, spec.n_t - 1) if spec.kind == "flow" else reverse_schedule(spec)
+
+    def work(field, a, b, sa, sb):
+        x = N.normals(a.to_numpy(), b.to_numpy(), 1, field.grid.shape[1])[:, 0]
+        if spec.kind == "flow":
+            x = field.follow(x, steps, spec)
+        else:
+            x = reverse_diffuse(x, field, spec, steps, sa.to_numpy(), sb.to_numpy())
+        return field.raw(x, int_positions)
+
+    run, only = _by_field(model, keys.sparkSession, work)
+    df = keys if priors is None else draw_label(keys, priors, label, N.noise_key(key_text, "label", seed))
     df = df.withColumns({"_w": N.words(key_text, "generate", seed), "_ws": N.words(key_text, "step", seed)})
-    df = df.withColumn("_x0", N.normal_vector(F.size("_r"), F.col("_w"), 0))
-    if spec.kind == "flow":
-        steps = literal_rows(euler_rows(spec, 0, 0.0, spec.n_t - 1), STEP_SCHEMA)
-        x = euler(F.col("_x0"), F.col("_grid"), steps, spec)
-    else:
-        x = reverse_diffuse(F.col("_x0"), F.col("_grid"), spec, reverse_schedule(spec), F.col("_ws"))
-    return df.withColumn(out, _raw(x, F.col("_r"), int_positions)).drop("_r", "_grid", "_x0", "_w", "_ws")
+    case = only if priors is None else F.col(label)
+    return df.withColumn(out, run(case, "_w.a", "_w.b", "_ws.a", "_ws.b")).drop("_w", "_ws")
 
 
 def impute(df: DataFrame, key: str, features: str, model: FieldModel, k: int = 1, repaint: bool = False,
-           r: int = 5, j: float = 0.1, seed: int = 0, int_positions: Sequence[int] = ()) -> DataFrame:
-    """k completed copies of each row (column `imputation`). Observed cells are kept; a missing
-    cell follows the reverse SDE of its dimension."""
+           r: int = 5, j: float = 0.1, seed: int = 0, int_positions: Sequence[int] = (), label: str | None = None) -> DataFrame:
+    """k completed copies of each row (column `imputation`), with the field of the row's label where one is given.
+    Observed cells are kept; a missing cell follows the reverse SDE, next to the observed cells on theirs. An
+    affine field looks at the whole row, so a filled cell depends on the others; binned and linear ones do not."""
     spec = model.spec
     if spec.kind != "vp":
         raise ValueError("imputation takes a vp field")
     key_text = F.col(key).cast("string")
+    schedule = reverse_schedule(spec, repaint=repaint, r=r, j=j)
+
+    def work(field, x, a, b, sa, sb):
+        x = _matrix(x)
+        start = N.normals(a.to_numpy(), b.to_numpy(), 1, x.shape[1])[:, 0]
+        drawn = reverse_diffuse(start, field, spec, schedule, sa.to_numpy(), sb.to_numpy(), field.unit(x), start)
+        return np.where(np.isnan(x), field.raw(drawn, int_positions), x)
+
+    run, only = _by_field(model, df.sparkSession, work)
     rows = df.withColumn("imputation", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    rows = rows.withColumns({"_r": model.range_array(), "_grid": model.grid()})
     turn = F.col("imputation").cast("string")
     rows = rows.withColumns({"_w": N.words(key_text, "impute", seed, turn),
                              "_ws": N.words(key_text, "impute-step", seed, turn)})
-    rows = rows.withColumn("_x0", N.normal_vector(F.size("_r"), F.col("_w"), 0))
-    schedule = reverse_schedule(spec, repaint=repaint, r=r, j=j)
-    drawn = _raw(reverse_diffuse(F.col("_x0"), F.col("_grid"), spec, schedule, F.col("_ws")), F.col("_r"), int_positions)
-    # rows without a gap skip the solver
-    filled = F.zip_with(features, drawn, lambda a, b: F.when(a.isNull() | F.isnan(a), b).otherwise(a))
-    gap = F.exists(features, lambda v: v.isNull() | F.isnan(v))
-    return rows.withColumn(features, F.when(gap, filled).otherwise(F.col(features))).drop("_r", "_grid", "_x0", "_w", "_ws")
+    filled = run(F.col(label) if label else only, features, "_w.a", "_w.b", "_ws.a", "_ws.b")
+    # rows without a gap come out as they are
+    return rows.withColumn(features, filled).drop("_w", "_ws")
 
 
 def classify(df: DataFrame, key: str, features: str, model: FieldModel, n_t: int = 10, n_z: int = 10,
@@ -534,39 +607,40 @@ def classify(df: DataFrame, key: str, features: str, model: FieldModel, n_t: int
     """predicted: the label whose field best explains the noise added to the row; distances: mean
     squared error per label; proba: softmax of the negative distances, in label order."""
     spec = model.spec
-    rows = df.withColumns({"_g": model.grids_by_label(), "_r": model.range_array()})
-    rows = rows.withColumn("_z", prep.scale_to_unit(F.col(features), F.col("_r")))
     looks, t = [], 0.0
     for step in range(n_t - 1):
         t += 1.0 / n_t
         a, b = (t, 1.0 - t) if spec.kind == "flow" else S.vp_coefficients(t, spec.b0, spec.b1)
         for z in range(n_z):
-            looks.append({"i": int(round(t * (spec.n_t - 1))), "a": a, "b": b, "s": step * n_z + z})
-    looks_col = literal_rows(looks, "i int, a double, b double, s int")
-    rows = rows.withColumn("_w", N.words(F.col(key).cast("string"), "classify", seed))
-
-    def noised_looks(z: Column) -> Column:
-        return N.let(F.col("_w"), lambda w: F.transform(looks_col, lambda lk: F.struct(
-            lk["i"].alias("i"), lk["a"].alias("a"), lk["b"].alias("b"),
-            pairs(z, N.normal_vector(F.size("_r"), w, lk["s"])).alias("p"))))
-
-    def distance(grid: Column, noised_: Column) -> Column:
-        def look(lk: Column) -> Column:
-            def one(e: Column, g: Column) -> Column:
-                guess = predict(g, lk["a"] * e["x"] + lk["b"] * e["n"], spec)
-                gap = (e["x"] - guess - e["n"]) if spec.kind == "flow" else (guess - e["n"])
-                return gap * gap
-
-            return total(F.zip_with(lk["p"], grid[lk["i"]], one))
-
-        return F.aggregate(noised_, F.lit(0.0), lambda a, lk: a + look(lk)) / F.lit(float(len(looks)))
-
-    # the scaled row and its noised looks are bound once and shared by all labels
-    per_label = N.let(F.col("_z"), lambda z: N.let(noised_looks(z), lambda noised_: F.transform(
-        "_g", lambda g: F.struct(distance(g["grid"], noised_).alias("distance"), g["label"].alias("label")))))
-    rows = rows.withColumn("distances", per_label)
+            looks.append((int(round(t * (spec.n_t - 1))), a, b, step * n_z + z))
+    fields = model_arrays(model)
+    names = sorted(fields)
+    shared = df.sparkSession.sparkContext.broadcast([fields[n] for n in names])
+
+    @F.pandas_udf("array<double>")
+    def distances(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for i in range(0, len(x), 1_000):
+            part = slice(i, i + 1_000)
+            data = _matrix(x.iloc[part])
+            noise = N.normals(a.iloc[part].to_numpy(), b.iloc[part].to_numpy(), len(looks), data.shape[1])
+            per_label = []
+            for field in shared.value:
+                z, total_ = field.unit(data), 0.0
+                for level, wa, wb, slot in looks:
+                    n = noise[:, slot]
+                    guess = field.at(level, wa * z + wb * n, spec)
+                    gap = z - guess - n if spec.kind == "flow" else guess - n
+                    total_ = total_ + (gap**2).sum(1)
+                per_label.append(total_ / len(looks))
+            out += list(np.stack(per_label, axis=1))
+        return pd.Series(out)
+
+    word = N.words(F.col(key).cast("string"), "classify", seed)
+    labels = F.array(*[F.lit(n) for n in names])
+    rows = df.withColumn("_w", word).withColumn("_d", distances(F.col(features), "_w.a", "_w.b"))
+    rows = rows.withColumn("distances", F.zip_with("_d", labels, lambda d, n: F.struct(d.alias("distance"), n.alias("label"))))
     return rows.withColumns({
         "predicted": F.array_min("distances")["label"],
         "proba": S.softmax(F.transform("distances", lambda e: -e["distance"])),
-    }).drop("_g", "_r", "_z", "_w")
-
+    }).drop("_d", "_w")

@@ -8,6 +8,7 @@ from ..functions.noise import noise_key
 from .prior import TransactionColumns
 
 KINDS = ("amount", "frequency", "payee", "timing", "channel", "iban_mismatch", "subtle_payee")
+# fixed values: the factors here, and the notes and description texts in inject()
 FACTORS = (1.5, 1.8, 2.0)
 HEX, LETTERS, DIGITS = "0123456789abcdef", "ABCDEFGHIJKLMNOP", "0123456789012345"
 

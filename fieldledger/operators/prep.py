@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.noise import hash_uniform, noise_key
 from . import ranks
 
+# fixed values
 CAT_MISSING = "nan"
 CAT_RARE = "__rare__"
 
@@ -391,13 +392,12 @@ def snap_to_real(real: DataFrame, synth: DataFrame, col: str) -> DataFrame:
     real value on each side comes from a window inside the range, and from the neighbouring
     ranges where the range has none."""
     values = real.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull()).distinct()
-    bounds = ranks.value_bounds(values, "_x", rows_per_range=200_000)
-    marks = values.withColumn("_real", F.col("_x"))
     # equal synthetic values need one answer: ask once per value
-    asked = (
-        synth.select(F.col(col).cast("double").alias("_x")).distinct()
-        .withColumn("_real", F.lit(None).cast("double"))
-    )
+    asked = synth.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull()).distinct()
+    # ranges of both together: few real values must not send all synthetic ones to one task
+    bounds = ranks.value_bounds(values.union(asked), "_x", rows_per_range=200_000)
+    marks = values.withColumn("_real", F.col("_x"))
+    asked = asked.withColumn("_real", F.lit(None).cast("double"))
     both = ranks.with_range(marks.unionByName(asked), "_x", bounds)
     edges = both.where(F.col("_real").isNotNull()).groupBy("_range").agg(
         F.max("_real").alias("_top"), F.min("_real").alias("_bottom"))

@@ -27,10 +27,16 @@ def scored(spark, sf):
 def cuts_sql(keys: str = "") -> str:
     """thresholds and threshold metrics per key list (with a trailing comma)."""
     by = f"GROUP BY {keys.rstrip(', ')}" if keys else ""
+    over = f"PARTITION BY {keys.rstrip(', ')}" if keys else ""
+    pair = f"JOIN rk USING ({keys.rstrip(', ')})" if keys else ", rk"
     join = f"JOIN sc USING ({keys.rstrip(', ')})" if keys else ", sc"
     return f"""{SCORED_SQL},
-arr AS (SELECT {keys} quantile_cont(score, [{', '.join(str(p / 100.0) for p in M.PERCENTILES)}]) AS qs FROM sc {by}),
-th AS (SELECT {keys} unnest({PCT_SQL}) AS percentile, unnest(qs) AS threshold FROM arr),
+rk AS (SELECT {keys} score, row_number() OVER ({over} ORDER BY score) - 1 AS r FROM sc),
+spot AS (SELECT {keys} percentile, part * (n - 1) AS h FROM (SELECT {keys} count(*) AS n FROM sc {by}),
+  (SELECT unnest({PCT_SQL}) AS percentile, unnest([{', '.join(repr(p / 100.0) + '::DOUBLE' for p in M.PERCENTILES)}]) AS part)),
+th AS (SELECT {keys} percentile, lo + coalesce((hi - lo) * (h - floor(h)), 0) AS threshold FROM (
+  SELECT {keys} percentile, any_value(h) AS h, max(score) FILTER (r = floor(h)) AS lo, max(score) FILTER (r = floor(h) + 1) AS hi
+  FROM spot {pair} GROUP BY {keys} percentile)),
 cm AS (SELECT {keys} percentile, threshold,
     count(*) FILTER (score > threshold AND label = 1) AS tp, count(*) FILTER (score > threshold AND label = 0) AS fp,
     count(*) FILTER (score <= threshold AND label = 1) AS fn, count(*) FILTER (score <= threshold AND label = 0) AS tn

@@ -1,9 +1,17 @@
-"""Session and shared-folder helpers."""
+"""Session and shared-folder helpers.
+
+Written stages live below spark.checkpoint.dir, which the driver and all executors see. They are left
+to the session: `clear_scratch` removes what this session has written, and runs when Python ends.
+"""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -27,29 +35,67 @@ def get_session(app: str = "fieldledger", master: str | None = None, **conf) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where none is set."""
+    """The folder named in spark.checkpoint.dir. Where none is set, a local one if the executors are threads
+    of this process, and an error if they are not: they would write to disks of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="fieldledger-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def clear_scratch(spark: SparkSession | None = None) -> int:
+    """Remove what cut_lineage has written in this session (all sessions if None); frames that read it end there."""
+    mine = [(s, p) for s, p in _WRITTEN if spark is None or s is spark]
+    for session, path in mine:
+        _WRITTEN.remove((session, path))
+        if session.sparkContext._jsc is None:  # stopped: it cannot delete any more
+            continue
+        with contextlib.suppress(Exception):
+            place = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(mine)
+
+
+atexit.register(clear_scratch)
+
+
+def ship(spark: SparkSession) -> str:
+    """Give the package to executors that do not have it installed; returns the archive's path."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="fieldledger-"), "fieldledger.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(archive)
+    return archive
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/fieldledger/{name}-{uuid.uuid4().hex}"
 
 
 def spread(df):
-    """Give every core a part of a plain scan that has fewer splits than cores. For work that costs
-    far more per row than moving the row; a scan of many files is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df in as many parts as spark.fieldledger.spread says, as it is where that is not set. For small files whose rows
+    cost far more to work on than to move; whoever sets up the session knows whether it has such."""
+    parts = df.sparkSession.conf.get("spark.fieldledger.spread", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def cut_lineage(df, name: str = "stage"):
     """Write df below the shared folder and read it back, so that a lost executor
     does not replay everything before it."""
     path = scratch_path(df.sparkSession, name)
+    _WRITTEN.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

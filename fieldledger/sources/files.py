@@ -28,9 +28,11 @@ def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
 
 
 def read_transactions(spark: SparkSession, *paths: str) -> DataFrame:
-    """Transactions from the first path that exists. Dates are yyyyMMdd; the text is read with a
-    fixed schema, so nothing is scanned to infer one."""
-    raw = spark.read.csv(first_existing(spark, paths), schema=TRANSACTION_SCHEMA, header=True)
+    """Transactions from the first path that exists. Dates are yyyyMMdd. Columns are found by the names in the
+    header, in whatever order; only the header is read to learn them. A missing column is an error."""
+    raw = spark.read.csv(first_existing(spark, paths), header=True)
+    kinds = dict(c.split() for c in TRANSACTION_SCHEMA.split(", "))
+    raw = raw.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()])
     return raw.withColumn("date_post", F.to_date("date_post", "yyyyMMdd"))
 
 
@@ -80,13 +82,12 @@ def read_split_dataset(spark: SparkSession, path: str, parts: Sequence[str] | No
 
 
 def read_csv_roles(spark: SparkSession, paths: dict[str, str], cat: Sequence[str], target: str) -> DataFrame:
-    """One CSV per split; categorical columns as text, the other features as double."""
+    """One CSV per split; categorical columns as text, the other features and the target as double."""
     out = None
     for split, path in paths.items():
         raw = spark.read.csv(path, header=True)
         cols = [
-            F.col(c).cast("string" if c in cat else "double").alias(c) if c != target else F.col(c)
-            for c in raw.columns
+            F.col(c).cast("string" if c in cat and c != target else "double").alias(c) for c in raw.columns
         ]
         part = raw.select(*cols, F.lit(split).alias("split"))
         out = part if out is None else out.unionByName(part)
@@ -106,13 +107,14 @@ def write_results(df: DataFrame, path: str) -> str:
 
 
 def read_results(spark: SparkSession, paths: Sequence[str]) -> list[DataFrame]:
-    """The result tables that exist; missing ones are skipped."""
+    """The result tables that exist; missing ones are skipped. A table that cannot be read is an error."""
     found = []
     for p in paths:
         try:
             found.append(spark.read.parquet(p))
-        except AnalysisException:
-            continue
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
     return found
 
 

@@ -237,3 +237,89 @@ def test_fit_or_load_tells_data_apart(rows, spark, tmp_path):
     for part in (data, data, data.where("row_id < 100"), data):
         X.fit_or_load(part, "row_id", spec, {"name": "t"}, str(tmp_path), fit)
     assert len(calls) == 2
+
+
+def test_cache_key_and_fingerprint(spark, tmp_path):
+    from fieldledger.operators import experiment as X
+
+    frames = [spark.createDataFrame([(v,) for v in values], "x string") for values in ("aabb", "ccdd", "bbaa")]
+    prints = [X.data_fingerprint(f, "x") for f in frames]
+    assert prints[0] == prints[2] != prints[1]
+    assert X.cache_key({}, "d", M.FieldSpec(bins=4)) != X.cache_key({}, "d", M.FieldSpec(bins=32))
+
+
+def test_reverse_schedule_goes_through_whole_stretches():
+    steps = M.reverse_schedule(M.FieldSpec("vp", n_t=10), repaint=True, r=3, j=0.3)
+    assert [(s["i"], s["back"]) for s in steps] == [
+        (i, b) for first in (9, 6, 3) for i, b in (
+            [(first, 0), (first - 1, 0), (first - 2, 0)] + [(first - 2, 1), (first, 0), (first - 1, 0), (first - 2, 0)] * 2)]
+    once = M.reverse_schedule(M.FieldSpec("vp", n_t=10), repaint=True, r=2, j=0.4)
+    assert [s["back"] for s in once] == [0] * 4 + [1] + [0] * 4 + [0] * 4 + [1] + [0] * 4 + [0]
+
+
+def correlated(spark, n=800):
+    """Two dimensions that move together and one that does not, in two labels with different slopes."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(n):
+        label = i % 2
+        x, e, free = rng.normal(), rng.normal() * 0.1, rng.normal()
+        rows.append((i, [x, (1.0 if label else -1.0) * x + e, free], label))
+    return spark.createDataFrame(rows, "row_id long, features array<double>, label int")
+
+
+def test_affine_cells_are_least_squares(spark):
+    df = correlated(spark, 60).where("label = 1")
+    spec = M.FieldSpec("vp", "affine", n_t=4, copies=3, ridge=0.0)
+    model = M.fit_field(df, "row_id", "features", spec)
+    field = next(iter(M.model_arrays(model).values()))
+    rows = sorted(df.collect(), key=lambda r: r["row_id"])
+    z = field.unit(np.array([r["features"] for r in rows]))
+    words = df.orderBy("row_id").select(N.words(F.col("row_id").cast("string"), "fit", str(spec.seed)).alias("w")).select("w.*").collect()
+    noise = N.normals(np.array([w["a"] for w in words]), np.array([w["b"] for w in words]), 3, 3).reshape(-1, 3)
+    lv = M.level_weights(spec)[2]
+    seen = np.hstack([lv["a"] * np.repeat(z, 3, axis=0) + lv["b"] * noise, np.ones((len(noise), 1))])
+    assert np.allclose(field.grid[2], np.linalg.lstsq(seen, noise, rcond=None)[0].T, atol=1e-6)
+
+
+def test_affine_generates_correlated_columns(spark):
+    df = correlated(spark).where("label = 1")
+    for kind in ("flow", "vp"):
+        model = M.fit_field(df, "row_id", "features", M.FieldSpec(kind, "affine", n_t=20, copies=5))
+        x = np.array([r["generated"] for r in M.generate(df.select("row_id"), "row_id", model).collect()])
+        c = np.corrcoef(x.T)
+        assert c[0, 1] > 0.8 and abs(c[0, 2]) < 0.2
+
+
+def test_affine_imputes_from_the_row_and_its_label(spark):
+    df = correlated(spark)
+    model = M.fit_field(df, "row_id", "features", M.FieldSpec("vp", "affine", n_t=40, copies=5), label="label")
+    holes = df.withColumn("truth", F.col("features")[1]).withColumn(
+        "features", F.transform("features", lambda x, i: F.when(i == 1, F.lit(None).cast("double")).otherwise(x)))
+    out = M.impute(holes, "row_id", "features", model, label="label").collect()
+    got, truth = np.array([r["features"][1] for r in out]), np.array([r["truth"] for r in out])
+    for label in (0, 1):
+        own = np.array([r["label"] == label for r in out])
+        assert np.corrcoef(got[own], truth[own])[0, 1] > 0.8
+    unknown = M.impute(holes.limit(1).withColumn("label", F.lit(7)), "row_id", "features", model, label="label").first()
+    assert unknown["features"] is None
+
+
+def test_affine_scores_and_classifies(spark):
+    df = correlated(spark)
+    spec = M.FieldSpec("flow", "affine", n_t=10, copies=5)
+    model = M.fit_field(df, "row_id", "features", spec, label="label")
+    right = M.classify(df, "row_id", "features", model).where("predicted = label").count()
+    assert right > 0.85 * df.count()
+    odd = df.withColumn("features", F.array(F.col("features")[0], -F.col("features")[1], F.col("features")[2])).withColumn("label", F.col("label"))
+    for which in ("deviation", "reconstruction", "decision"):
+        plain, turned = (M.score(x, "row_id", "features", model, which, label="label").agg(F.avg("score")).first()[0] for x in (df, odd))
+        assert turned > plain
+    assert M.score(df.limit(3).withColumn("label", F.lit(9)), "row_id", "features", model, "decision", label="label").where("score is null").count() == 3
+
+
+def test_reconstruction_rounds_integers(spark):
+    df = spark.createDataFrame([(i, [float(i % 5), i / 7.0]) for i in range(60)], "row_id long, features array<double>")
+    model = M.fit_field(df, "row_id", "features", M.FieldSpec("vp", n_t=6, copies=3))
+    out = M.generate(df.select("row_id"), "row_id", model, int_positions=[0]).collect()
+    assert all(r["generated"][0] == round(r["generated"][0]) for r in out)

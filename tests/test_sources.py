@@ -101,3 +101,64 @@ def test_previous_row_crosses_days(ledger):
     for r in sorted(out, key=lambda r: (r["d"], r["k"])):
         assert r["before"] == last.get((r["acc"], r["name"]))
         last[r["acc"], r["name"]] = r["iban"]
+
+
+def test_previous_row_with_missing_keys(spark):
+    rows = [(k, "a", name, f"i{k}", "s", "ACH", "API", day, 1.0) for k, (name, day) in enumerate([
+        (None, dt.date(2024, 1, 1)), (None, dt.date(2024, 1, 2)), ("n", None), ("n", None), ("n", dt.date(2024, 1, 3)), (None, None), ("n", dt.date(2024, 1, 3))])]
+    df = spark.createDataFrame(rows, "k long, acc string, name string, iban string, swift string, method string, channel string, d date, amount double")
+    got = {r["k"]: r["before"] for r in reports.previous_in_series(df, TX, "iban", "before").collect()}
+    assert got == {5: None, 0: "i5", 1: "i0", 2: None, 3: "i2", 4: "i3", 6: "i4"}
+
+
+def test_names_two_edits_apart(spark):
+    rows = [("a", n, i) for i, n in enumerate(["Acme Ltd"] * 2 + ["Acne Lt", "Acme", "Bcme Ltds", "A"])]
+    df = spark.createDataFrame(rows, "acc string, name string, k int")
+    assert {r["one_off"] for r in reports.new_recipient_similar_name(df, TX, 2).collect()} == {"Acne Lt", "Bcme Ltds"}
+
+
+def test_transactions_by_header(spark, tmp_path):
+    names = files.TRANSACTION_COLUMNS[::-1]
+    values = {c: c for c in names} | {"date_post": "20240305", "amount": "12.5"}
+    (tmp_path / "x.csv").write_text(",".join(names) + "\n" + ",".join(values[c] for c in names) + "\n")
+    row = files.read_transactions(spark, str(tmp_path / "x.csv")).first()
+    assert (row["amount"], row["date_post"], row["channel"]) == (12.5, dt.date(2024, 3, 5), "channel")
+
+
+def test_target_is_a_number(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,c,y\n1,u,2\n")
+    df = files.read_csv_roles(spark, {"train": str(tmp_path / "a.csv")}, ["c"], "y")
+    assert dict(df.dtypes) == {"x": "double", "c": "string", "y": "double", "split": "string"}
+
+
+def test_unreadable_results_are_an_error(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    (tmp_path / "empty").mkdir()
+    assert files.read_results(spark, [str(tmp_path / "none")]) == []
+    with pytest.raises(AnalysisException):
+        files.read_results(spark, [str(tmp_path / "empty")])
+
+
+def test_scratch_is_removed_and_needs_a_shared_folder(spark, monkeypatch):
+    import os
+
+    from fieldledger import session
+
+    before = set(map(id, session._WRITTEN))
+    df = session.cut_lineage(spark.range(3), "gone")
+    [path] = [p for x, p in ((id(w), w[1]) for w in session._WRITTEN) if x not in before]
+    assert os.path.isdir(path) and df.count() == 3
+    monkeypatch.setattr(session, "_WRITTEN", [(spark, path)])
+    assert session.clear_scratch(spark) == 1 and not os.path.exists(path)
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Cluster)
