@@ -18,7 +18,6 @@ scores are 0. Repeated rows are scored one by one. Clashing columns are replaced
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +32,8 @@ CLEAN = 3200
 LONGEST = 8192
 BITS = 17
 ORDERS = (3, 4, 5, 6)
+CUE_ORDERS = (4, 5, 6)
+CUE_BITS = 22
 WINDOW = 24
 EPOCHS = 8
 FLOOR = 1e-9
@@ -44,8 +45,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, hash place) of every n-gram of each word between the edges ^ and $, and of the whole word."""
+def grams(words: list[bytes], orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, hash place) of every n-gram of each word between the edges ^ and $."""
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     buffer = np.frombuffer(b"".join(b"^" + w + b"$" for w in words), np.uint8)
@@ -55,12 +56,12 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     left = ends[owner] - np.arange(len(buffer))  # bytes to the word's end, this one included
     rows, places = [], []
     gram = np.zeros(len(buffer), np.uint64)
-    for order in range(1, max(ORDERS) + 1):
+    for order in range(1, max(orders) + 1):
         gram = gram[:len(buffer) - order + 1] * np.uint64(0x100000001B3) + buffer[order - 1:] + np.uint64(order)
-        if order in ORDERS:
+        if order in orders:
             inside = left[:len(gram)] >= order
             rows.append(owner[:len(gram)][inside])
-            places.append(mixed(gram[inside]) >> np.uint64(64 - BITS))
+            places.append(mixed(gram[inside]) >> np.uint64(64 - bits))
     return np.concatenate(rows), np.concatenate(places).astype(np.int64)
 
 
@@ -158,53 +159,46 @@ def chain(model: Model, documents: list[list[bytes]]) -> tuple[np.ndarray, np.nd
     return p, offsets, pairs
 
 
-def cues(toxic: list[list[bytes]], clean: list[list[bytes]]) -> set[bytes]:
-    """n-grams of words whose toxic documents are too many for chance."""
-
-    def counted(documents: list[list[bytes]]) -> Counter:
-        made: dict[bytes, frozenset] = {}
-        total: Counter = Counter()
-        for words in documents:
-            found: set = set()
-            for w in set(words):
-                if w not in made:
-                    x = b"^" + w + b"$"
-                    made[w] = frozenset(x[i:i + n] for n in (4, 5, 6) for i in range(len(x) - n + 1))
-                found |= made[w]
-            total.update(found)
+def cues(toxic: list[list[bytes]], clean: list[list[bytes]]) -> np.ndarray:
+    """Which n-gram places (of CUE_ORDERS, hashed to CUE_BITS) occur in more toxic documents than chance allows."""
+
+    def counted(documents: list[list[bytes]]) -> np.ndarray:
+        total = np.zeros(1 << CUE_BITS, np.int32)
+        for a in range(0, len(documents), 200):
+            part = documents[a:a + 200]
+            at: dict[bytes, int] = {}
+            index = [np.unique([at.setdefault(w, len(at)) for w in words]) for words in part if words]
+            rows, places = grams(list(at), CUE_ORDERS, CUE_BITS)
+            places = places[np.argsort(rows, kind="stable")]
+            size = np.bincount(rows, minlength=len(at))
+            first = np.cumsum(size) - size
+            for words in index:
+                many = size[words]
+                ends = np.cumsum(many)
+                total[np.unique(places[np.repeat(first[words] - (ends - many), many) + np.arange(ends[-1])])] += 1
         return total
 
     bad, good = counted(toxic), counted(clean)
     prior = len(toxic) / (len(toxic) + len(clean))
-    need = np.log(len(bad) + 1) + 3
-    out = set()
-    for gram, hits in bad.items():
-        n = hits + good[gram]
-        rate = hits / n
-        if rate >= 0.9:
-            surprise = n * (rate * np.log(rate / prior) + ((1 - rate) * np.log((1 - rate) / (1 - prior)) if rate < 1 else 0))
-            if surprise > need:
-                out.add(gram)
-    return out
+    need = np.log(np.count_nonzero(bad) + 1) + 3
+    n = np.maximum(bad + good, 1)
+    rate = bad / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        surprise = n * (rate * np.log(rate / prior) + np.where(rate < 1, (1 - rate) * np.log((1 - rate) / (1 - prior)), 0))
+    return (rate >= 0.9) & (surprise > need)
 
 
-def holds(word: bytes, found: set[bytes]) -> bool:
-    x = b"^" + word + b"$"
-    return any(x[i:i + n] in found for n in (4, 5, 6) for i in range(len(x) - n + 1))
+def holding(words: list[bytes], found: np.ndarray) -> np.ndarray:
+    """Whether each word has a cue."""
+    rows, places = grams(words, CUE_ORDERS, CUE_BITS)
+    return np.bincount(rows, found[places], len(words)) > 0
 
 
-def _windows(toxic: list[list[bytes]], clean: list[list[bytes]], found: set[bytes]) -> tuple[list, list]:
+def _windows(toxic: list[list[bytes]], clean: list[list[bytes]], found: np.ndarray) -> tuple[list, list]:
     """Stretches of WINDOW words with their labels: around toxic words, and as many from clean documents."""
-    known: dict[bytes, bool] = {}
-
-    def label(w: bytes) -> bool:
-        if w not in known:
-            known[w] = holds(w, found)
-        return known[w]
-
     texts, labels = [], []
     for words in toxic:
-        flags = [label(w) for w in words]
+        flags = holding(words, found).tolist()
         done = 0
         for i, flag in enumerate(flags):
             if flag and i >= done:
@@ -306,18 +300,19 @@ def document_score(model: Model | None, logit: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text",
           label: str = "toxic") -> Model | None:
-    """Fit on a bounded sample of labelled documents: a count per class, then the rows whose hash is below the
-    class's share."""
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key), F.col(label).alias("_y")).dropDuplicates([key])
-    rows = docs.where(usable & (F.length(text) <= LONGEST)).select(key, text).join(known, key)
-    counts = {r[0]: r[1] for r in rows.groupBy("_y").count().collect()}
+    """Fit on a bounded sample of labelled documents: a count per class, then the labels whose hash is below the
+    class's share. They are so few that they are broadcast to the documents."""
+    known = labels.where(usable & F.col(label).isin(0, 1)).select(F.col(key), F.col(label).alias("_y"))
+    counts = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
     if len(counts) < 2:
         return None
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30))
     limit = {1: TOXIC, 0: CLEAN}
     share = F.when(F.col("_y") == 1, F.lit(min(1 << 30, (TOXIC << 30) // counts[1]))).otherwise(
         F.lit(min(1 << 30, (CLEAN << 30) // counts[0])))
-    found = sorted((tuple(r) for r in rows.where(draw < share).select(key, text, "_y").collect()), key=lambda r: r[0])
+    drawn = known.where(draw < share).dropDuplicates([key]).limit(2 * (TOXIC + CLEAN))
+    rows = docs.where(F.length(text) <= LONGEST).select(key, text).join(F.broadcast(drawn), key)
+    found = sorted((tuple(r) for r in rows.collect()), key=lambda r: (r[0], r[1]))
     found = list({r[1]: r for r in found}.values())  # copies would count as evidence again and again
     kept = [r for y in (0, 1) for r in [x for x in found if x[2] == y][:2 * limit[y]]]
     return fit([r[1] for r in kept], [r[2] for r in kept])
