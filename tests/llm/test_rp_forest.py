@@ -63,3 +63,29 @@ def test_empty_table_and_floats(spark):
     assert R.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])] * 2, "vec_id long, embedding array<float>")
     assert sorted(map(tuple, R.near_vectors(docs).collect())) == [(1, 3, 1, True)] * 2 + [(2, 3, 1, False)] * 2
+
+
+def test_recall_at_the_threshold():
+    """Pairs of cosine 0.9 among 12,000 vectors in leaves of the size that queries use: share that meet in a leaf."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(10_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = draw.normal(size=(2_000, 64))
+    side -= (side * x[:2_000]).sum(1, keepdims=True) * x[:2_000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.vstack([x, .9 * x[:2_000] + math.sqrt(1 - .81) * side])
+    depth = math.ceil(math.log2(len(x) / R.LEAF))
+    met = np.zeros(2_000, bool)
+    for tree in range(R.TREES):
+        for _, rows in R.route(x, tree, R.fit_tree(x, tree, depth)):
+            inside = np.zeros(len(x), bool)
+            inside[rows] = True
+            met |= inside[:2_000] & inside[10_000:]
+    assert met.mean() > .97
+
+
+def test_recall_on_the_table(spark, sf):
+    rows = [(r[0], [float(v) for v in r[1]]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    want = {k: n for k, n, _, _ in plain(rows)}
+    got = {r["vec_id"]: r["n_links"] for r in R.near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"), leaf=64).collect()}
+    assert all(got[k] <= n for k, n in want.items()) and sum(got.values()) >= .9 * sum(want.values())
