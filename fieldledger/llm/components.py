@@ -19,8 +19,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points to one smaller node that points nowhere."""
+    inner = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    return inner.isEmpty() and edges.groupBy("a").count().where("count > 1").isEmpty()
+
+
+def near_labels(edges: DataFrame, hops: int = 2) -> DataFrame:
+    """(node, label): the smallest node within `hops` links of each node that has one. Equal labels are in one
+    component; one component may have several labels."""
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
+    for _ in range(hops - 1):
+        seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
+        labels = labels.join(seen, labels["node"] == seen["a"]).select("node", F.least("label", "m").alias("label"))
+    return labels
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -28,12 +41,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Nulls and loops are no edges; repeated and reversed edges count once. No edges give no rows."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
                     "edges")
-    before = _state(edges)
-    while before[0]:
+    while not _stars(edges):
         edges = written(_small_star(_large_star(edges)), "star")
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
     out = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return out.union(edges.select(F.col("b"), F.col("b")).distinct())

@@ -1,16 +1,19 @@
 """Near-duplicate documents by an inverted join on signature coordinates.
 
-Documents with the same shingle set are one class. Each class has a signature of COORDINATES minima and
-is posted under coordinate values. Two classes with at least MATCHES equal coordinates must meet in a
-list even if each posts only its rarest COORDINATES - MATCHES + 1 values (prefix), and values that no
-other class has need not be posted at all (skip). Values that thousands of documents share are common,
-so they stay out of the prefix of every document that has rarer ones.
+Documents with the same shingle set are one class. Each class has a signature of minima and is posted
+under coordinate values. Two classes with at least t of k equal coordinates must meet in a list even if
+each posts only its k - t + 1 rarest values (prefix), and values that no other class has need not be
+posted at all (skip). Values that thousands of documents share are common, so they stay out of the prefix
+of every document that has rarer ones, and a document with more than k - t values of its own has no partner.
 
-Long lists come from groups of near copies. They are not expanded into pairs: first every list links its
-members to one pivot, and only members still in different components meet in pairs, the rest of a long
-list in tiles of fixed size. Pairs with enough equal coordinates are confirmed on the full sets.
+This is done twice: a COARSE signature of all classes tells which can have a partner at all; only those
+get a FINE one, whose lists are compared. Long lists come from groups of near copies. They are not
+expanded into pairs: first every list links its members to one pivot, the member with the fewest values of
+its own, and only members that this has not brought together are compared, in tiles of fixed size; a pair
+leaves a tile only with enough equal coordinates, and only in one of its lists. Such pairs are confirmed
+on the full sets.
 
-With 32 coordinates and 17 matches a pair of similarity 0.85 is missed with probability below 1e-5.
+A pair of similarity 0.85 is missed with probability below 5e-5 (COARSE: 17 of 32, FINE: 297 of 384).
 
 Null and empty texts have no shingles and are linked with nothing. Texts with fewer words than a shingle
 are one shingle. Repeated rows are copies of each other. Other columns are ignored.
@@ -26,17 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import WordHashes, mixed, slices, written
-from .components import connected_components
+from .components import connected_components, near_labels
 
 WORDS = 5
-COORDINATES = 32
-MATCHES = 17
-#: Lists of up to this many classes are joined with themselves, longer ones in tiles of this many rows.
-TILE = 64
-PIVOT_ROUNDS = 2
+COARSE, COARSE_MATCHES = 32, 17
+FINE, FINE_MATCHES = 384, 297
+#: Lists of up to SHORT classes are joined with themselves, longer ones in tiles of about TILE rows.
+SHORT, TILE = 6, 256
 
-_ODD = mixed(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
-_XOR = mixed(np.arange(1001, 1001 + COORDINATES, dtype=np.uint64))
+_ODD = mixed(np.arange(1, 1000, dtype=np.uint64)) | np.uint64(1)
+_XOR = mixed(np.arange(1001, 2000, dtype=np.uint64))
 
 
 def shingles(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -53,12 +55,13 @@ def shingles(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def signature(elements: np.ndarray) -> np.ndarray:
-    least = np.full(COORDINATES, np.uint64(2**64 - 1))
-    for i in range(0, len(elements), 1 << 14):
-        part = elements[i:i + (1 << 14)]
-        np.minimum(least, ((part[:, None] ^ _XOR) * _ODD[:COORDINATES]).min(axis=0), out=least)
-    return least
+def signature(elements: np.ndarray, first: int, count: int) -> np.ndarray:
+    """Minima of the elements under the hash functions first .. first + count - 1, their upper 32 bits."""
+    least = np.full(count, np.uint64(2**64 - 1))
+    odd, flip = _ODD[first:first + count], _XOR[first:first + count]
+    for i in range(0, len(elements), 1 << 12):
+        np.minimum(least, ((elements[i:i + (1 << 12), None] ^ flip) * odd).min(axis=0), out=least)
+    return (least >> np.uint64(32)).astype("<u4")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -73,7 +76,7 @@ def _class_of(elements: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, class (hash of the set, null if empty), sig (COORDINATES 64-bit values as binary)."""
+    """doc_id, n_shingles, class (hash of the set, null if empty), sig (the coarse signature as binary)."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +84,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
+                 pa.array([signature(s, 0, COARSE).tobytes() if len(s) else None for s in sets], pa.binary())],
                 names=["doc_id", "n_shingles", "class", "sig"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -89,32 +92,46 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """class, n, elements (binary) of the documents whose key is in wanted.doc_id."""
+    """class, n_shingles, sig (fine, binary), elements (binary) of the documents whose key is in wanted.doc_id."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _sets(batches):
             sets = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["class", "elements"])
+                [pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([signature(s, COARSE, FINE).tobytes() for s in sets], pa.binary()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "n_shingles", "sig", "elements"])
 
-    return rows.mapInArrow(run, "class long, elements binary")
+    return rows.mapInArrow(run, "class long, n_shingles long, sig binary, elements binary")
 
 
-def _values(sig) -> list:
-    """The signature's coordinate values as longs, from its binary form."""
-    return F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)),
-                       lambda i: F.xxhash64(i, F.substr(sig, i * 8 + 1, F.lit(8))))
+def _posted(classes: DataFrame, count: int) -> DataFrame:
+    """class, i (coordinate), v (coordinate and value as one key), f (classes that share it), for shared values only."""
+    values = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(
+        i.alias("i"), F.xxhash64(i, F.substr("sig", i * 4 + 1, F.lit(4))).alias("v")))
+    posted = classes.select("class", F.inline(values))
+    shared = posted.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
+    return posted.join(shared, "v")
+
+
+def partners_possible(classes: DataFrame) -> DataFrame:
+    """The classes that share enough coarse values with others to have a partner."""
+    return _posted(classes, COARSE).groupBy("class").count().where(F.col("count") >= COARSE_MATCHES).select("class")
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """class -> prefix: its rarest shared coordinate values, for classes that can reach MATCHES at all."""
-    posted = classes.select("class", F.explode(_values(F.col("sig"))).alias("v"))
-    shared = posted.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = posted.join(shared, "v").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("all"))
-    return ranked.where(F.size("all") >= MATCHES).select(
-        "class", F.slice("all", F.lit(1), F.size("all") - (MATCHES - 1))["v"].alias("prefix"))
+    """class, shared (number of its fine values that others have), prefix: array of (i, v), its rarest shared values,
+    as many as a partner must meet at least one of."""
+    every = _posted(classes, FINE).groupBy("class").agg(F.sort_array(F.collect_list(F.struct("f", "v", "i"))).alias("all"))
+    return every.where(F.size("all") >= FINE_MATCHES).select(
+        "class", F.size("all").alias("shared"),
+        F.transform(F.slice("all", F.lit(1), F.size("all") - (FINE_MATCHES - 1)), lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v")))
+        .alias("prefix"))
+
+
+def _matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "<u4").reshape(-1, FINE)
 
 
 def _enough(pairs: DataFrame, posted: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
@@ -128,14 +145,11 @@ def _enough(pairs: DataFrame, posted: DataFrame, tested: DataFrame | None, perce
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, COORDINATES)
-                    for c in ("sa", "sb"))
-            keep = (a == b).sum(axis=1) >= MATCHES
-            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep))
+            if batch.num_rows:
+                a, b = (_matrix(batch.column(c).to_pylist()) for c in ("sa", "sb"))
+                yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= FINE_MATCHES))
 
-    return pairs.mapInArrow(run, "a long, b long, na long, nb long")
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -158,46 +172,53 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _tiles(lists: DataFrame, posted: DataFrame) -> DataFrame:
-    """Pairs with enough matches from lists (v, class, comp, f) longer than TILE. A list is dealt into blocks of
-    about TILE rows and every two blocks meet in one group; only pairs that pass leave it."""
+    """Pairs with enough matches from lists (v, i, class, comp, f). A list is dealt into blocks of about TILE rows
+    and every two blocks meet in one group; a pair with enough matches leaves the group if i is the first
+    coordinate that both prefixes have in common, so it comes from one of its lists only."""
     import pandas as pd
 
     blocks = F.ceil(F.col("f") / TILE).cast("int")
-    rows = lists.select("v", "class", "comp", blocks.alias("blocks"),
+    rows = lists.select("v", "i", "class", "comp", blocks.alias("blocks"),
                         F.pmod(F.xxhash64("class"), blocks).cast("int").alias("own"))
-    rows = rows.join(posted.select("class", "sig"), "class").select(
-        "v", "class", "comp", "own", "sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("v", "class", "comp", "own", "sig", F.least("own", "other").alias("i"),
-                       F.greatest("own", "other").alias("j"))
+    rows = rows.join(posted.select("class", "sig", F.col("prefix.i").alias("places")), "class").select(
+        "v", "i", "class", "comp", "own", "sig", "places", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "i", "class", "comp", "own",
+                       "sig", F.transform("places", lambda i: i.cast("smallint")).alias("places"))
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint64).reshape(-1, COORDINATES)
-        left = np.flatnonzero(group["own"] == group["i"])
-        right = np.flatnonzero(group["own"] == group["j"])
-        comp, out = group["comp"].to_numpy(), []
-        for x in left:
-            hit = right[((sig[right] == sig[x]).sum(axis=1) >= MATCHES) & (comp[right] != comp[x])]
-            out += [(x, y) for y in hit]
-        at = group["class"].to_numpy()
-        return pd.DataFrame({"a": [at[x] for x, _ in out], "b": [at[y] for _, y in out]}, dtype="int64")
-
-    return rows.groupBy("v", "i", "j").applyInPandas(meet, "a long, b long")
-
-
-def _labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
-    """lists with the component each class has so far."""
-    if links is None:
-        return lists.withColumn("comp", F.col("class"))
-    comps = connected_components(links).select(F.col("node").alias("class"), "component")
-    return lists.join(comps, "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
-
-
-def _open(lists: DataFrame, seed: int) -> DataFrame:
-    """Rows of the lists that still hold more than one component, with a pivot and the list's length."""
-    heads = lists.groupBy("v").agg(
-        F.min(F.struct(F.xxhash64("class", F.lit(seed)).alias("h"), F.col("class").alias("class"), F.col("comp").alias("comp"))).alias("p"),
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("f")).where("lo <> hi")
-    return lists.join(heads.select("v", F.col("p.class").alias("pivot"), F.col("p.comp").alias("pivot_comp"), "f"), "v")
+        sig, comp, at = _matrix(group["sig"]), group["comp"].to_numpy(), group["class"].to_numpy()
+        posted_at = np.zeros(sig.shape, bool)
+        for k, places in enumerate(group["places"]):
+            posted_at[k, places] = True
+        left, right = np.flatnonzero(group["own"] == group["x"]), np.flatnonzero(group["own"] == group["y"])
+        place, a, b = int(group["i"].iloc[0]), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in left:
+            equal = sig[right] == sig[k]
+            hit = np.flatnonzero((equal.sum(axis=1) >= FINE_MATCHES) & (comp[right] != comp[k]))
+            both = equal[hit] & posted_at[right[hit]] & posted_at[k]
+            hit = right[hit[both.argmax(axis=1) == place]]
+            a.append(np.full(len(hit), at[k]))
+            b.append(at[hit])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return rows.groupBy("v", "x", "y").applyInPandas(meet, "a long, b long")
+
+
+def _pivot_pairs(lists: DataFrame) -> DataFrame:
+    """(pivot, member) of every list; the pivot is the member with the fewest values of its own, which in a group of
+    near copies is closest to all others."""
+    order = F.struct(-F.col("shared"), F.xxhash64("class"))
+    pivots = lists.groupBy("v").agg(F.min_by("class", order).alias("pivot"))
+    return lists.join(pivots, "v").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
+
+
+def _open(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """v, i, class, comp, f of the lists that hold more than one label after the links found so far; f is the length."""
+    labels = near_labels(links).select(F.col("node").alias("class"), "label")
+    rows = lists.join(labels, "class", "left").select("v", "i", "class", F.coalesce("label", "class").alias("comp"))
+    several = rows.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("f")).where("lo <> hi")
+    return rows.join(several.select("v", "f"), "v")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,29 +227,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     if percent < 80:
         raise ValueError("the match threshold is chosen for similarities of 0.8 or more")
     base = written(signatures(docs, key, text), "signatures")
-    classes = base.where("class is not null").groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
-    posted = written(postings(classes).join(classes, "class"), "postings")
-    sets = written(full_sets(docs, posted.select("doc_id"), key, text), "sets")
-    lists = posted.select("class", F.explode("prefix").alias("v"))
-
-    links = tested = None
-    for step in range(PIVOT_ROUNDS + 1):
-        rows = _open(_labelled(lists, links), step)
-        if step < PIVOT_ROUNDS:
-            pairs = rows.where("comp <> pivot_comp").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
-        else:
-            rows = written(rows, "open")
-            short = rows.where(f"f <= {TILE}").select("v", "class", "comp")
-            other = short.select("v", F.col("class").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = short.withColumnRenamed("class", "a").join(other, "v").where("a < b and comp <> comp_b").select("a", "b")
-            pairs = pairs.union(_tiles(rows.where(f"f > {TILE}"), posted))
-        done = written(confirmed(_enough(pairs, posted, tested, percent), sets, percent), "confirmed")
-        tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
-        new = done.where("linked").select("a", "b")
-        links = new if links is None else links.union(new)
-
-    comps = connected_components(links)
+    classes = base.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    wanted = written(partners_possible(classes).join(classes.select("class", "doc_id"), "class"), "wanted")
+    sets = written(full_sets(docs, wanted.select("doc_id"), key, text), "sets")
+    fine = sets.groupBy("class").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    posted = written(postings(fine).join(fine, "class"), "postings")
+    lists = posted.select("class", "shared", F.inline("prefix"))
+
+    first = written(confirmed(_enough(_pivot_pairs(lists), posted, None, percent), sets, percent), "confirmed")
+    links = first.where("linked").select("a", "b")
+    rows = written(_open(lists, links), "open")
+    short = rows.where(f"f <= {SHORT}").select("v", "class", "comp")
+    other = short.select("v", F.col("class").alias("b"), F.col("comp").alias("comp_b"))
+    pairs = short.withColumnRenamed("class", "a").join(other, "v").where("a < b and comp <> comp_b").select("a", "b")
+    pairs = pairs.union(_tiles(rows.where(f"f > {SHORT}"), posted))
+    rest = written(confirmed(_enough(pairs, posted, first.select("a", "b"), percent), sets, percent), "confirmed")
+    comps = connected_components(links.union(rest.where("linked").select("a", "b")))
     members = base.join(comps, base["class"] == comps["node"], "left").select(
         "doc_id", "n_shingles", "class", F.coalesce("component", "class").alias("comp"))
     members = written(members, "members")

@@ -59,7 +59,8 @@ def test_against_all_pairs(spark):
 
 def test_tiles_find_what_lists_find(spark, monkeypatch):
     monkeypatch.setattr(M, "TILE", 8)
-    monkeypatch.setattr(M, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(M, "SHORT", 2)
+    monkeypatch.setattr(M, "_pivot_pairs", lambda lists: lists.select(lists["class"].alias("a"), lists["class"].alias("b")))
     rows = corpus(5)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(map(tuple, M.near_duplicates(docs).collect())) == plain(rows)
