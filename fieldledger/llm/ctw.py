@@ -275,11 +275,16 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     below = total + 0.1 * (kinds + 1)
 
-    hot_words = {bytes(r[0]): math.log10((r[1] + 0.1) / below) for r in most_frequent(words, "c", HOT_WORDS).collect()}
-    hot = most_frequent(valued, "every", HOT_GRAMS).select("gram", "value").toPandas()
+    found = most_frequent(words, "c", HOT_WORDS).toArrow()
+    shares = np.log10((found.column("c").to_numpy() + 0.1) / below).tolist()
+    hot_words = dict(zip(found.column("word").to_pylist(), shares))
+    found = most_frequent(valued, "every", HOT_GRAMS).select("gram", "value").toArrow()
+    # one gram per slot; a gram whose slot another one has is looked up with the rare ones
     keys, values = np.full(1 << SLOTS, np.uint64(2**64 - 1)), np.zeros(1 << SLOTS)
-    slot = _slot(hot["gram"].to_numpy().astype(np.uint64))
-    keys[slot], values[slot] = hot["gram"].to_numpy().astype(np.uint64), hot["value"].to_numpy()
+    gram = found.column("gram").to_numpy().astype(np.uint64)
+    slot = _slot(gram)
+    keys[slot], values[slot] = gram, found.column("value").to_numpy()
+    del found
     shared = rows.sparkSession.sparkContext.broadcast((hot_words, keys, values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
