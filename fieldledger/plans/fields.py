@@ -13,7 +13,7 @@ from .registry import query
 from .scalars import normal_sql
 from ..functions import scalars as S
 
-SPEC = dict(n_t=6, copies=2, bins=16)
+SPEC = dict(n_t=20, copies=20, bins=32)
 FLOW, VP = M.FieldSpec("flow", **SPEC), M.FieldSpec("vp", **SPEC)
 CONTRACTION = M.FieldSpec("contraction", **SPEC)
 
@@ -290,10 +290,10 @@ _impute("impute_repaint", True)
 
 def classify_sql(tail: str) -> str:
     looks, t = [], 0.0
-    for s in range(3):
-        t += 0.25
-        for k in range(2):
-            looks.append(f"({int(round(t * (FLOW.n_t - 1)))}, {t!r}::DOUBLE, {1 - t!r}::DOUBLE, {s * 2 + k})")
+    for s in range(9):
+        t += 1.0 / 10
+        for k in range(10):
+            looks.append(f"({int(round(t * (FLOW.n_t - 1)))}, {t!r}::DOUBLE, {1 - t!r}::DOUBLE, {s * 10 + k})")
     key = "concat_ws('|', vec_id, 'classify', 0)"
     return (f"WITH {ALL_SQL}, {fit_sql(FLOW, 'true', 'class % 3')}, "
             f"nzl AS MATERIALIZED (SELECT *, a * z1 + b * x0 AS xt FROM (SELECT z.*, lk.*, {normal_sql(key, 's')} AS x0 FROM z, (VALUES {', '.join(looks)}) AS lk(t_idx, a, b, s))), "
@@ -306,7 +306,7 @@ def classify_sql(tail: str) -> str:
     f"SELECT {num('vec_id', 'row_id')}, {num('arg_min(lab3, dist)', 'predicted')}, {flt('min(dist)', 'distance', 4)} FROM ds GROUP BY vec_id"))
 def classify_by_field(spark, sf):
     v, model = conditional(spark, sf, FLOW)
-    out = M.classify(v, "row_id", "features", model, n_t=4, n_z=2)
+    out = M.classify(v, "row_id", "features", model)
     return shape(out.withColumn("distance", F.array_min("distances")["distance"]), (), ["row_id", "predicted"], ["distance"], 4)
 
 
@@ -315,5 +315,5 @@ def classify_by_field(spark, sf):
     f"SELECT {num('vec_id', 'row_id')}, {num('lab3', 'label')}, {flt('e / sum(e) OVER (PARTITION BY vec_id)', 'proba', 4)} FROM mn"))
 def classify_proba(spark, sf):
     v, model = conditional(spark, sf, FLOW)
-    out = M.classify(v, "row_id", "features", model, n_t=4, n_z=2)
+    out = M.classify(v, "row_id", "features", model)
     return shape(out.select("row_id", F.posexplode("proba").alias("label", "proba")), (), ["row_id", "label"], ["proba"], 4)

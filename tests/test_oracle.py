@@ -16,6 +16,18 @@ def test_query(spark, con, sf, name):
     assert count > 0 or name in ("contains_join",)
 
 
+THRESHOLDS = ["score_percentiles", "threshold_metrics", "best_f1_threshold", "extreme_case_summary", "best_percentile_by_mean_f1",
+              "percentile_curve"]
+
+
+@pytest.mark.parametrize("name", THRESHOLDS)
+def test_thresholds_at_a_larger_scale(spark, name):
+    """One unit in the last place of a threshold moves a row across it; more rows, more chances."""
+    larger = "/root/testdata/sf0.01"
+    _, problem = check.compare(spark, check.connect(larger), larger, entry.queries()[name], ORACLES[name])
+    assert problem is None, problem
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(NAMES)
 
