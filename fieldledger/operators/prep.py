@@ -12,6 +12,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.noise import hash_uniform, noise_key
+from ..session import cut_lineage
 from . import ranks
 
 # fixed values
@@ -302,15 +303,15 @@ def collapse_rare(train: DataFrame, df: DataFrame, cols: Sequence[str], min_freq
 
 
 def vocabulary(train: DataFrame, col: str) -> DataFrame:
-    """value, code: the sorted distinct values numbered from 0. Numbered within the leading three
-    characters, on top of the counts of the smaller ones, so a long vocabulary is not sorted in one task."""
+    """value, code: the sorted distinct values numbered from 0. Values are dealt out by ranges of whole values (a
+    shared beginning does not matter), numbered inside a range and on top of the counts of the ranges below."""
     values = train.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
-    values = values.withColumn("_lead", F.substring("value", 1, 3))
-    sizes = values.groupBy("_lead").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_lead", F.coalesce(
-        F.sum("_n").over(Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("_lead").orderBy("value")) - 1
-    return values.withColumn("_rank", rank).join(starts, "_lead").select(
+    dealt = cut_lineage(values.repartitionByRange("value").withColumn("_range", F.spark_partition_id()), "vocabulary")
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
+    starts = sizes.select("_range", F.coalesce(
+        F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy("value")) - 1
+    return dealt.withColumn("_rank", rank).join(F.broadcast(starts), "_range").select(
         "value", (F.col("_start") + F.col("_rank")).cast("long").alias("code"))
 
 
@@ -327,28 +328,28 @@ def ordinal_encode(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> Data
     return out
 
 
-def vocabulary_array(train: DataFrame, col: str) -> Column:
-    return train.agg(F.array_sort(F.collect_set(col))).scalar()
+def _indicators(train: DataFrame, df: DataFrame, col: str, out: str, first: int) -> DataFrame:
+    """out: one 0/1 entry per training value from position `first` on. The rows get the position by a join; the
+    vocabulary itself never meets in one row."""
+    vocab = cut_lineage(vocabulary(train, col), "codes").select(F.col("value").alias(col), F.col("code").alias("_code"))
+    size = vocab.agg(F.count(F.lit(1)).cast("int")).scalar()
+    places = F.slice(F.sequence(F.lit(0), F.greatest("_size", F.lit(1)) - 1), F.lit(first + 1), F.greatest(F.col("_size") - first, F.lit(0)))
+    marks = F.transform(places, lambda i: (i == F.coalesce("_code", F.lit(-1))).cast("double"))
+    return df.join(vocab, col, "left").withColumn("_size", size).withColumn(out, marks).drop("_code", "_size")
 
 
 def one_hot_encode(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """<col>_onehot: one 0/1 entry per sorted training value, all zero for an unseen value."""
-    out = df
+    """<col>_onehot: one 0/1 entry per sorted training value, all zero for an unseen or missing value."""
     for c in cols:
-        out = out.withColumn("_v", vocabulary_array(train, c)).withColumn(
-            f"{c}_onehot", F.transform("_v", lambda v: (v == F.col(c)).cast("double"))).drop("_v")
-    return out
+        df = _indicators(train, df, c, f"{c}_onehot", 0)
+    return df
 
 
 def one_hot_drop_first(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """<col>_dummies: as one_hot_encode without the first value, which is all zero."""
-    out = df
     for c in cols:
-        out = out.withColumn("_v", vocabulary_array(train, c)).withColumn(
-            f"{c}_dummies",
-            F.transform(F.slice("_v", F.lit(2), F.greatest(F.size("_v") - 1, F.lit(0))),
-                        lambda v: (v == F.col(c)).cast("double"))).drop("_v")
-    return out
+        df = _indicators(train, df, c, f"{c}_dummies", 1)
+    return df
 
 
 def decode_one_hot(dummies) -> Column:

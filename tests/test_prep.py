@@ -105,3 +105,19 @@ def test_transform_dataset_options(spark, norm, enc):
     assert out.count() == 400
     stats = out.where("split = 'train'").agg(F.avg("y"), F.stddev_pop("y")).first()
     assert stats[0] == pytest.approx(0, abs=1e-9) and stats[1] == pytest.approx(1)
+
+
+def test_long_vocabulary_with_one_prefix(spark):
+    n = 20_000
+    train = spark.range(n).select(F.format_string("customer_%08d", F.col("id") * 7).alias("c"))
+    codes = {r["value"]: r["code"] for r in P.vocabulary(train, "c").collect()}
+    assert len(codes) == n and all(codes[f"customer_{i * 7:08d}"] == i for i in range(0, n, 97))
+
+
+def test_one_hot_of_unseen_and_missing(spark):
+    train = spark.createDataFrame([("b",), ("a",), ("c",), (None,)], "c string")
+    df = spark.createDataFrame([("a",), ("c",), ("x",), (None,)], "c string")
+    got = {r["c"]: (r["c_onehot"], r["c_dummies"]) for r in P.one_hot_drop_first(train, P.one_hot_encode(train, df, ["c"]), ["c"]).collect()}
+    assert got == {"a": ([1, 0, 0], [0, 0]), "c": ([0, 0, 1], [0, 1]), "x": ([0, 0, 0], [0, 0]), None: ([0, 0, 0], [0, 0])}
+    empty = train.where("c is null")
+    assert P.one_hot_encode(empty, df, ["c"]).first()["c_onehot"] == []

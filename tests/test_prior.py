@@ -167,3 +167,46 @@ def test_whole_and_chunked_series_agree_on_missing_values(spark):
         for n in names:
             assert chunked[k][n] == (pytest.approx(r[n], abs=1e-9) if isinstance(r[n], float) else r[n]), (k, n)
     assert all(r["ref_name_count_before"] is not None and r["is_new_iban"] is not None for r in whole.values())
+
+
+def test_stream_state_with_missing_values():
+    rng = random.Random(5)
+    rows = []
+    for k, r in enumerate(random_rows(3, 40)):
+        r = list(r)
+        for i in (3, 4, 5, 6, 8):
+            r[i] = None if rng.random() < 0.3 else r[i]
+        rows.append((k, r[7], r[8], *r[3:7]))
+    whole, saved, seen = json.loads(stream.EMPTY), stream.EMPTY, []
+    for row in rows:
+        state = json.loads(saved)  # every row after a reload
+        one, two = stream.advance(whole, row), stream.advance(state, row)
+        saved = json.dumps(state)
+        assert one == two and json.loads(saved) == json.loads(json.dumps(whole))
+        for mismatch, place, mode in zip(two[4:8], range(3, 7), range(4)):
+            counts = {}
+            for i, r in enumerate(seen):
+                counts.setdefault(r[place], [0, -i])[0] += 1
+            usual = max(counts, key=lambda v: counts[v]) if counts else None
+            assert mismatch == int(bool(seen) and row[place] != usual)
+        seen.append(row)
+
+
+def test_stream_equals_batch_on_missing_values(spark):
+    rng = random.Random(21)
+    rows = []
+    for r in random_rows(8, 60):
+        r = list(r)
+        for i in (3, 5, 8):
+            r[i] = None if rng.random() < 0.25 else r[i]
+        rows.append(tuple(r))
+    got = prior.series_features(frame(spark, rows), TX).collect()
+    names = ["amount_zscore_series", "amount_ratio_to_mean", "day_deviation_from_usual", "iban_mismatch", "swift_mismatch",
+             "method_mismatch", "channel_mismatch", "tx_count_this_month_so_far", "is_new_series", "series_tx_count_before",
+             "days_since_last_in_series"]
+    states = {}
+    for r in sorted(got, key=lambda r: (r["d"], r["k"])):
+        state = states.setdefault((r["acc"], r["name"]), json.loads(stream.EMPTY))
+        out = stream.advance(state, (r["k"], r["d"], r["amount"], r["iban"], r["swift"], r["method"], r["channel"]))
+        for n, v in zip(names, out[1:]):
+            assert (v is None) == (r[n] is None) and (v is None or r[n] == pytest.approx(v, abs=1e-6)), (r["k"], n)
