@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import mixed, slices, written
 
-DEPTH = 5
+DEPTH = 4
 END = b"\n"
 #: Frequent words and grams that are broadcast, at most.
 HOT_WORDS = 1 << 18
@@ -262,8 +262,39 @@ def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
     return rows.where(F.lit(False) if bound is None else step >= bound)
 
 
-def _slot(gram: np.ndarray) -> np.ndarray:
-    return (mixed(gram) >> np.uint64(64 - SLOTS)).astype(np.int64)
+EMPTY = np.uint64(2**64 - 1)
+
+
+def _slot(gram: np.ndarray, turn: int) -> np.ndarray:
+    """The gram's first or second place in the table."""
+    return (mixed(gram + np.uint64(turn << 56)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
+def hot_table(gram: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grams, most frequent first, and values in a table of 2^SLOTS places. A gram takes its first place, else its
+    second; the few that find both taken, rare ones as a rule, are looked up with the rare grams."""
+    keys, values = np.full(1 << SLOTS, EMPTY), np.zeros(1 << SLOTS)
+    for part in np.array_split(np.arange(len(gram)), 64):
+        for turn in (0, 1):
+            slot = _slot(gram[part], turn)
+            first = np.zeros(len(part), bool)
+            first[np.unique(slot, return_index=True)[1]] = True
+            took = first & (keys[slot] == EMPTY)
+            keys[slot[took]], values[slot[took]] = gram[part[took]], value[part[took]]
+            part = part[~took]
+    return keys, values
+
+
+def looked_up(gram: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each gram is in the table, its value or 0)."""
+    slot = _slot(gram, 0)
+    hit = keys[slot] == gram
+    found = np.where(hit, values[slot], 0.0)
+    rest = np.flatnonzero(~hit)
+    slot = _slot(gram[rest], 1)
+    second = keys[slot] == gram[rest]
+    hit[rest[second]], found[rest[second]] = True, values[slot[second]]
+    return hit, found
 
 
 def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -278,12 +309,8 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     found = most_frequent(words, "c", HOT_WORDS).toArrow()
     shares = np.log10((found.column("c").to_numpy() + 0.1) / below).tolist()
     hot_words = dict(zip(found.column("word").to_pylist(), shares))
-    found = most_frequent(valued, "every", HOT_GRAMS).select("gram", "value").toArrow()
-    # one gram per slot; a gram whose slot another one has is looked up with the rare ones
-    keys, values = np.full(1 << SLOTS, np.uint64(2**64 - 1)), np.zeros(1 << SLOTS)
-    gram = found.column("gram").to_numpy().astype(np.uint64)
-    slot = _slot(gram)
-    keys[slot], values[slot] = gram, found.column("value").to_numpy()
+    found = most_frequent(valued, "every", HOT_GRAMS).toArrow().sort_by([("every", "descending"), ("gram", "ascending")])
+    keys, values = hot_table(found.column("gram").to_numpy().astype(np.uint64), found.column("value").to_numpy())
     del found
     shared = rows.sparkSession.sparkContext.broadcast((hot_words, keys, values))
 
@@ -307,9 +334,8 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
                 known = np.bincount(owner[warm], minlength=n)
                 gram = grams(texts, depth)
                 gram_owner = np.repeat(np.arange(n), [len(t) for t in texts])
-                slot = _slot(gram)
-                hit = keys[slot] == gram
-                score = np.bincount(gram_owner[hit], values[slot[hit]], n)
+                hit, found = looked_up(gram, keys, values)
+                score = np.bincount(gram_owner, found, n)
                 ids = row + np.arange(n)
                 row += n
 

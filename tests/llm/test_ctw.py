@@ -108,3 +108,14 @@ def test_no_training_rows_empty_table_repeated_rows(spark):
 def test_log_gamma():
     x = np.array([.5, 1, 1.5, 3, 10.5, 1e4, 1e8])
     assert np.allclose(ctw.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-8)
+
+
+def test_hot_table(monkeypatch):
+    monkeypatch.setattr(ctw, "SLOTS", 8)
+    draw = np.random.default_rng(1)
+    gram = draw.choice(1 << 40, 400, replace=False).astype(np.uint64)
+    value = draw.normal(size=400)
+    keys, values = ctw.hot_table(gram, value)
+    hit, found = ctw.looked_up(np.append(gram, np.uint64(5)), keys, values)
+    assert not hit[-1] and hit[:15].all() and 128 < hit.sum() <= 256
+    assert np.allclose(found[:-1], np.where(hit[:-1], value, 0))
