@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldledger.llm import minhash_join, packing, quality_rules, string_kernel
-from fieldledger.llm.common import fold, written
+from fieldledger.llm.common import fold, having, written
 
 #: The language kernel, the shingle join and the tokenizer have no SQL form; tests/llm compares stages with plain versions.
 ORACLE_SQL = None
@@ -34,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near copies: the one with the smallest key, once if its row is repeated."""
     kept = minhash_join.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = written(kept, "kept")
-    once = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    once = having(docs, kept.where("n = 1").select("doc_id"), "doc_id")
+    repeated = having(docs, kept.where("n > 1").select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
     return once.union(repeated).select(*docs.columns)
 
 

@@ -49,6 +49,18 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+#: Up to so many integer keys (16 MB) are sent to the rows instead of the rows to the keys.
+FEW_KEYS = 2_000_000
+
+
+def having(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in keys, a written table of one column. Long rows stay where they are while the keys
+    are few enough to be broadcast, which is checked; beyond that both sides are shuffled."""
+    integral = keys.schema[key].dataType.simpleString() in ("int", "bigint")
+    few = integral and keys.count() <= FEW_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, key, "left_semi")
+
+
 class WordHashes(dict):
     """word -> 64-bit hash; emptied when it holds `most` words, so a task's memory stays bounded."""
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHashes, mixed, slices, written
+from .common import WordHashes, having, mixed, slices, written
 from .components import connected_components, near_labels
 
 WORDS = 5
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """class, n_shingles, sig (fine, binary), elements (binary) of the documents whose key is in wanted.doc_id."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi")
+    rows = having(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _sets(batches):
