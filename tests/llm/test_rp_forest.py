@@ -89,3 +89,36 @@ def test_recall_on_the_table(spark, sf):
     want = {k: n for k, n, _, _ in plain(rows)}
     got = {r["vec_id"]: r["n_links"] for r in R.near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"), leaf=64).collect()}
     assert all(got[k] <= n for k, n in want.items()) and sum(got.values()) >= .9 * sum(want.values())
+
+
+def dense_third(n, seed=5, size=64):
+    """n unit vectors, a third of them in one group around the threshold, and the number of links of each."""
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(n, size))
+    x[:n // 3] = draw.normal(size=size) + draw.normal(size=(n // 3, size)) * .33
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x, np.concatenate([(x[k:k + 500] @ x.T >= .9).sum(axis=1) - 1 for k in range(0, n, 500)])
+
+
+def test_recall_in_a_large_group(spark):
+    """A group of a third of the rows, at the settings that queries use."""
+    x, want = dense_third(6000)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = np.array([n for _, n in sorted((r["vec_id"], r["n_links"]) for r in R.near_vectors(rows).collect())])
+    assert want.sum() > 1_000_000 and (got <= want).all() and got.sum() >= .99 * want.sum()
+
+
+def test_large_leaf_with_a_group_stays_whole(spark):
+    x, want = dense_third(1500)
+    rows = spark.createDataFrame([(0, i, 64 * 8, i, v.tobytes()) for i, v in enumerate(x[:500])],
+                                 "tree int, row long, size int, class long, vec binary")
+    placed = rows.selectExpr("tree", "0L AS leaf", "size", "class", "vec")
+    assert R.split_large(placed, 64).select("leaf").distinct().count() == 1
+    assert 2 * R.links(R.split_large(placed, 64), .9, 64).count() == want[:500].sum()
+
+
+def test_more_trees_for_a_deep_forest():
+    points = np.random.default_rng(8).normal(size=(4000, 32))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    assert len(R.fit_forest(points, R.TREES, 2, .9, len(points), R.LARGEST)) == R.TREES
+    assert len(R.fit_forest(points, R.TREES, 4, .9, 10**7, R.LARGEST)) > R.TREES
