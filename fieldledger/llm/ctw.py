@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import mixed, slices, written
 
-DEPTH = 4
+DEPTH = 5
 END = b"\n"
 #: Frequent words and grams that are broadcast, at most.
 HOT_WORDS = 1 << 18

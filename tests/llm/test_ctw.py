@@ -119,3 +119,12 @@ def test_hot_table(monkeypatch):
     hit, found = ctw.looked_up(np.append(gram, np.uint64(5)), keys, values)
     assert not hit[-1] and hit[:15].all() and 128 < hit.sum() <= 256
     assert np.allclose(found[:-1], np.where(hit[:-1], value, 0))
+
+
+def test_default_depth_mixes_contexts_of_5_bytes(spark):
+    train = ["abcdex", "zbcdey"] * 5  # the last byte follows from the fifth before it
+    docs = spark.createDataFrame(list(enumerate([*train, "abcdex", "abcdey"])), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ctw.scores(docs, F.col("doc_id") < len(train)).collect()}
+    score = model([ctw.normal(t) for t in train], 5)
+    assert got[10] == pytest.approx(score(b"abcdex\n"), rel=1e-7) and got[11] == pytest.approx(score(b"abcdey\n"), rel=1e-7)
+    assert got[10] > got[11]
