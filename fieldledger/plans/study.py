@@ -44,8 +44,8 @@ def contamination_sweep(spark, sf):
 
 @query("contamination_sweep_flow")
 def contamination_sweep_flow(spark, sf):
-    """All three scores of a flow field at three levels over two seeds."""
-    out = X.sweep(T.vectors(spark, sf), "row_id", "features", "label", FLOW, X.SCORES, 3, [0, 1])
+    """All three scores of a flow field at the study's ten levels over its five seeds."""
+    out = X.sweep(T.vectors(spark, sf), "row_id", "features", "label", FLOW)
     return shape(out, ["score_kind"], ["level_idx", "n_seeds"],
                  ["level", "auroc_mean", "auroc_std", "auprc_mean", "auprc_std"])
 
@@ -101,8 +101,7 @@ def fit_with_covariates(spark, sf):
 def fit_contraction_network(spark, sf):
     v = T.vectors(spark, sf)
     v = prep.standard_scale_vector(v.where("label = 0"), v, "features", "features")
-    net, _ = L.fit_contraction_network(v.where("label = 0"), "row_id", "features", 64, epochs=3, rate=0.005,
-                                       hidden=32, embed=16)
+    net, _ = L.fit_contraction_network(v.where("label = 0"), "row_id", "features", 64)
     return shape(L.score_network(v, "row_id", "features", net, "decision"), (), ["row_id"], ["score"], 4)
 
 
