@@ -13,7 +13,8 @@ its own, and only members that this has not brought together are compared, in ti
 leaves a tile only with enough equal coordinates, and only in one of its lists. Such pairs are confirmed
 on the full sets.
 
-A pair of similarity 0.85 is missed with probability below 5e-5 (COARSE: 17 of 32, FINE: 297 of 384).
+The matches wanted follow from the similarity asked for: a pair that has it is missed with probability below 5e-5.
+For 0.85 they are 17 of 32 (COARSE) and 297 of 384 (FINE).
 
 Null and empty texts have no shingles and are linked with nothing. Texts with fewer words than a shingle
 are one shingle. Repeated rows are copies of each other. Other columns are ignored.
@@ -21,6 +22,7 @@ are one shingle. Repeated rows are copies of each other. Other columns are ignor
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,9 @@ from .common import WordHashes, having, mixed, slices, written
 from .components import connected_components, near_labels
 
 WORDS = 5
-COARSE, COARSE_MATCHES = 32, 17
-FINE, FINE_MATCHES = 384, 297
+COARSE, FINE = 32, 384
+#: Probability that a pair of the similarity asked for has too few equal coordinates, at most.
+COARSE_MISS, FINE_MISS = 5e-6, 4.5e-5
 #: Lists of up to SHORT classes are joined with themselves, longer ones in tiles of about TILE rows.
 SHORT, TILE = 6, 256
 
@@ -41,6 +44,16 @@ _ODD = mixed(np.arange(1, 1000, dtype=np.uint64)) | np.uint64(1)
 _XOR = mixed(np.arange(1001, 2000, dtype=np.uint64))
 
 
+def matches_wanted(count: int, percent: int, miss: float) -> int:
+    """The most equal coordinates of `count` that a pair of that similarity falls short of with probability <= miss."""
+    p, below = percent / 100, 0.0
+    for t in range(count):
+        below += math.comb(count, t) * p**t * (1 - p)**(count - t)
+        if below > miss:
+            return max(1, t)
+    return count
+
+
 def shingles(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit shingles of a sequence of word hashes."""
     if len(hashes) < words:
@@ -115,18 +128,18 @@ def _posted(classes: DataFrame, count: int) -> DataFrame:
     return posted.join(shared, "v")
 
 
-def partners_possible(classes: DataFrame) -> DataFrame:
+def partners_possible(classes: DataFrame, matches: int) -> DataFrame:
     """The classes that share enough coarse values with others to have a partner."""
-    return _posted(classes, COARSE).groupBy("class").count().where(F.col("count") >= COARSE_MATCHES).select("class")
+    return _posted(classes, COARSE).groupBy("class").count().where(F.col("count") >= matches).select("class")
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, matches: int) -> DataFrame:
     """class, shared (number of its fine values that others have), prefix: array of (i, v), its rarest shared values,
     as many as a partner must meet at least one of."""
     every = _posted(classes, FINE).groupBy("class").agg(F.sort_array(F.collect_list(F.struct("f", "v", "i"))).alias("all"))
-    return every.where(F.size("all") >= FINE_MATCHES).select(
+    return every.where(F.size("all") >= matches).select(
         "class", F.size("all").alias("shared"),
-        F.transform(F.slice("all", F.lit(1), F.size("all") - (FINE_MATCHES - 1)), lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v")))
+        F.transform(F.slice("all", F.lit(1), F.size("all") - (matches - 1)), lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v")))
         .alias("prefix"))
 
 
@@ -134,7 +147,7 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<u4").reshape(-1, FINE)
 
 
-def _enough(pairs: DataFrame, posted: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
+def _enough(pairs: DataFrame, posted: DataFrame, tested: DataFrame | None, percent: int, matches: int) -> DataFrame:
     """Pairs (a, b) not tested before whose signatures and set sizes allow the similarity."""
     side = lambda x: posted.select(F.col("class").alias(x), F.col("sig").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
@@ -147,7 +160,7 @@ def _enough(pairs: DataFrame, posted: DataFrame, tested: DataFrame | None, perce
         for batch in batches:
             if batch.num_rows:
                 a, b = (_matrix(batch.column(c).to_pylist()) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= FINE_MATCHES))
+                yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= matches))
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -171,7 +184,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _tiles(lists: DataFrame, posted: DataFrame) -> DataFrame:
+def _tiles(lists: DataFrame, posted: DataFrame, matches: int) -> DataFrame:
     """Pairs with enough matches from lists (v, i, class, comp, f). A list is dealt into blocks of about TILE rows
     and every two blocks meet in one group; a pair with enough matches leaves the group if i is the first
     coordinate that both prefixes have in common, so it comes from one of its lists only."""
@@ -194,7 +207,7 @@ def _tiles(lists: DataFrame, posted: DataFrame) -> DataFrame:
         place, a, b = int(group["i"].iloc[0]), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in left:
             equal = sig[right] == sig[k]
-            hit = np.flatnonzero((equal.sum(axis=1) >= FINE_MATCHES) & (comp[right] != comp[k]))
+            hit = np.flatnonzero((equal.sum(axis=1) >= matches) & (comp[right] != comp[k]))
             both = equal[hit] & posted_at[right[hit]] & posted_at[k]
             hit = right[hit[both.argmax(axis=1) == place]]
             a.append(np.full(len(hit), at[k]))
@@ -225,23 +238,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     """doc_id, n_shingles, component_id, kept: one row per row of docs. component_id is the smallest key that links
     reach; kept marks the rows whose key it is."""
     if percent < 80:
-        raise ValueError("the match threshold is chosen for similarities of 0.8 or more")
+        raise ValueError("the signatures are made for similarities of 0.8 or more")
+    coarse, enough = matches_wanted(COARSE, percent, COARSE_MISS), matches_wanted(FINE, percent, FINE_MISS)
     base = written(signatures(docs, key, text), "signatures")
     classes = base.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
-    wanted = written(partners_possible(classes).join(classes.select("class", "doc_id"), "class"), "wanted")
+    wanted = written(partners_possible(classes, coarse).join(classes.select("class", "doc_id"), "class"), "wanted")
     sets = written(full_sets(docs, wanted.select("doc_id"), key, text), "sets")
     fine = sets.groupBy("class").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
-    posted = written(postings(fine).join(fine, "class"), "postings")
+    posted = written(postings(fine, enough).join(fine, "class"), "postings")
     lists = posted.select("class", "shared", F.inline("prefix"))
 
-    first = written(confirmed(_enough(_pivot_pairs(lists), posted, None, percent), sets, percent), "confirmed")
+    first = written(confirmed(_enough(_pivot_pairs(lists), posted, None, percent, enough), sets, percent), "confirmed")
     links = first.where("linked").select("a", "b")
     rows = written(_open(lists, links), "open")
     short = rows.where(f"f <= {SHORT}").select("v", "class", "comp")
     other = short.select("v", F.col("class").alias("b"), F.col("comp").alias("comp_b"))
     pairs = short.withColumnRenamed("class", "a").join(other, "v").where("a < b and comp <> comp_b").select("a", "b")
-    pairs = pairs.union(_tiles(rows.where(f"f > {SHORT}"), posted))
-    rest = written(confirmed(_enough(pairs, posted, first.select("a", "b"), percent), sets, percent), "confirmed")
+    pairs = pairs.union(_tiles(rows.where(f"f > {SHORT}"), posted, enough))
+    rest = written(confirmed(_enough(pairs, posted, first.select("a", "b"), percent, enough), sets, percent), "confirmed")
     comps = connected_components(links.union(rest.where("linked").select("a", "b")))
     members = base.join(comps, base["class"] == comps["node"], "left").select(
         "doc_id", "n_shingles", "class", F.coalesce("component", "class").alias("comp"))

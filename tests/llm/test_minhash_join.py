@@ -83,3 +83,13 @@ def test_components(spark):
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     alone = {n for n in root if all(a == b for a, b in edges if n in (a, b))}
     assert got == {n: r for n, r in root.items() if n not in alone}
+
+
+def test_matches_follow_from_the_percent(spark):
+    assert (M.matches_wanted(M.COARSE, 85, M.COARSE_MISS), M.matches_wanted(M.FINE, 85, M.FINE_MISS)) == (17, 297)
+    rows = []
+    for i in range(100):  # 400 shingles each, 356 shared: similarity 0.802
+        words = [f"w{i}x{k}" for k in range(448)]
+        rows += [(2 * i, " ".join(words[:404])), (2 * i + 1, " ".join(words[44:]))]
+    found = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80)
+    assert found.where("kept").count() == 100
