@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (count_viterbi, ctw, gumbel_sampling, html_blocks, minhash_join, packing, quality_rules, rp_forest, string_kernel,
-               toxic_crf)
+from . import (collocations, count_viterbi, ctw, gumbel_sampling, html_blocks, minhash_join, packing, quality_rules, rp_forest, spelling,
+               string_kernel, toxic_crf)
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -109,3 +109,66 @@ def op2_gumbel_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ctw")
 def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scores(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0)
+
+
+COLLOCATION_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k AS words, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k)),
+c AS MATERIALIZED (SELECT lang, words, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM c WHERE words = 1 GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, words, phrase, a, string_split(phrase, ' ') AS ws FROM c WHERE words > 1 AND a >= 30),
+k AS (SELECT lang, words, phrase, a, ws, unnest(range(1, words)) AS k FROM f),
+x AS (SELECT k.lang, k.words, k.phrase, k.a, k.k, u.a AS l, v.a AS r, CAST(2000000::HUGEINT * k.a // (u.a + v.a) AS BIGINT) AS score
+  FROM k JOIN c u ON u.lang = k.lang AND u.phrase = array_to_string(k.ws[1:k.k], ' ')
+  JOIN c v ON v.lang = k.lang AND v.phrase = array_to_string(k.ws[k.k + 1:], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+s AS (SELECT lang, a AS big, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, a, ws, words, m, unnest(range(1, words - m + 2)) AS i FROM f, (SELECT unnest([2, 3]) AS m) WHERE words > m)),
+z AS (SELECT lang, phrase, max(big) AS big FROM s GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank, b.phrase, a, l, r, n, score
+FROM b JOIN n USING (lang) LEFT JOIN z ON z.lang = b.lang AND z.phrase = b.phrase
+WHERE coalesce(100 * z.big < 80 * b.a, true)
+QUALIFY rank <= 2000
+"""
+
+
+@query("op12_collocations", COLLOCATION_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SPELLING_SQL = r"""
+WITH RECURSIVE b AS (SELECT list(list_reduce([0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, i) ORDER BY i) AS tab
+  FROM (SELECT unnest(range(256)) AS i)),
+o AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS key, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents WHERE text IS NOT NULL),
+c AS (SELECT key, run, count(*) AS n FROM o GROUP BY ALL),
+y AS (SELECT run, n, flatten([CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END
+    FOR x IN string_split(key || ':' || run, '')]) AS bytes FROM c),
+h AS (SELECT run, n, length(run) AS len, xor(list_reduce(bytes, lambda s, v: xor(s >> 8, tab[xor(s, v) % 256 + 1]), 4294967295), 4294967295) AS h
+  FROM y, b),
+k AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % len) || substr(run, h % len + 2) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM k WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS MATERIALIZED (SELECT word, n, i, length(word) AS len, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT x.word, y.word AS near, y.n AS near_n FROM d x JOIN d y ON x.i = y.i AND x.len = y.len AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.rest = v.word
+  UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word),
+q AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near FROM p
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) = 1),
+f AS MATERIALIZED (SELECT v.word, CASE WHEN near_n >= 5 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM v LEFT JOIN q USING (word)),
+r AS (SELECT word AS root, word AS at, 0 AS depth FROM f WHERE form IS NULL
+  UNION ALL SELECT r.root, f.word, r.depth + 1 FROM r JOIN f ON f.form = r.at)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON r.at = f.word
+"""
+
+
+@query("op13_spelling", SPELLING_SQL)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
