@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (collocations, count_viterbi, ctw, gumbel_sampling, html_blocks, minhash_join, packing, quality_rules, rp_forest, spelling,
-               string_kernel, toxic_crf)
+               string_kernel, toxic_crf, url_filter)
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -172,3 +172,11 @@ SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON r.at = f.word
 @query("op13_spelling", SPELLING_SQL)
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+@query("op11_url_filter")
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"), URL_RULES)
