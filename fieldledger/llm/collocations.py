@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -36,7 +37,7 @@ ABSORBED = 80
 #: log2 of the bits of the bitmaps of words, and of phrases (8 and 32 MB).
 WORD_BITS, PHRASE_BITS = 26, 28
 #: Tokens and distinct words of a block inside a task, and bytes of text made into tokens at once.
-BLOCK, VOCABULARY, SEGMENT = 3_000_000, 400_000, 4 << 20
+BLOCK, VOCABULARY, SEGMENT = 1_500_000, 250_000, 4 << 20
 #: Parts in which a language is ranked before its best are ranked together.
 RANK_PARTS = 64
 
@@ -218,7 +219,7 @@ def phrase_counts(docs: DataFrame, word_bits, pair_bits, long_bits) -> DataFrame
 
     def run(block: Block, shard: int) -> Iterator[pa.RecordBatch]:
         allowed = block.allowed(word_bits.value, pair_bits.value)
-        text = block.words
+        text = pa.array(block.words, pa.binary())
         for words in range(2, LONGEST + 1):
             keys, ok = block.grams(words), allowed[words - 1]
             at = np.flatnonzero(_has_where(long_bits.value, keys, ok) if words > 2 else ok)
@@ -230,11 +231,12 @@ def phrase_counts(docs: DataFrame, word_bits, pair_bits, long_bits) -> DataFrame
                     same[1:] &= block.id[order[1:] + i] == block.id[order[:-1] + i]
             first = np.flatnonzero(~same)
             n = np.diff(np.append(first, len(order)))
-            columns = [block.id[order[first] + i].tolist() for i in range(words)]
+            parts = [text.take(pa.array(block.id[order[first] + i])) for i in range(words)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block.names, pa.string()).take(pa.array(block.language[order[first]])),
-                 pa.array([b" ".join([text[i] for i in row]) for row in zip(*columns)], pa.binary()),
+                 pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())),
                  pa.array(np.full(len(first), words, np.int32)), pa.array(n)], names=["lang", "phrase", "words", "a"])
+            del parts, order
 
     rows = _tasks(docs, run, "lang string, phrase binary, words int, a long")
     return rows.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
