@@ -10,7 +10,8 @@ apart and put together again in other layouts (other containers, with menus, not
 forms, reader comments around and between the paragraphs), so that the network learns paths that the
 sample does not hold.
 
-Null and empty pages give an empty text. Truncated pages and unclosed elements are read as far as they go.
+Null and empty pages give an empty text, an empty table no rows. Truncated pages and unclosed elements are read as far as they
+go; a path holds DEEPEST names at most, so that the work grows with the length of a page however deep it is nested.
 Repeated rows are extracted one by one. Columns of the input that clash with text and n_chars are replaced.
 """
 
@@ -63,10 +64,14 @@ OTHER_NAMES = {
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|head)\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)"
+    r"|<(script|style|noscript|template|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+#: Elements that bound the search for an open element of the same kind.
+CONTAINERS = ("table", "ul", "ol", "select", "dl")
+#: A path holds so many names at most: elements further inside have the path of the last one that fits.
+DEEPEST = 512
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PARTS = re.compile(r"[^a-z]+")
 
@@ -78,12 +83,41 @@ class Block:
     linked: int
 
 
+class _Open:
+    """The open elements, with the places of each kind, so that a tag costs the same however many are open."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.paths: list[tuple[str, ...]] = [()]
+        self.places: dict[str, list[int]] = {}
+
+    def add(self, tag: str, names: list[str]) -> None:
+        here = self.paths[-1]
+        self.paths.append((*here, tag, *names) if len(here) + 1 + len(names) <= DEEPEST else here)
+        self.places.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def close(self, tag: str, above: int = -1) -> None:
+        """End the last element of this kind, with all inside it, unless it lies at or below place `above`."""
+        first = self.last(tag)
+        if first > above:
+            while len(self.tags) > first:
+                self.places[self.tags.pop()].pop()
+                self.paths.pop()
+
+
 def parse(page: str | None) -> list[Block]:
-    """Leaf blocks in page order; their path holds tags, and the names in class, id and role after a dot."""
+    """Leaf blocks in page order; their path holds tags, and the names in class, id and role after a dot. What stands in a
+    head, which ends at its end tag, at body or at the first block, is no block."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Open()
     pieces: list[str] = []
     linked = links = at = 0
+    in_head = False
     page = page or ""
 
     def flush() -> None:
@@ -92,13 +126,13 @@ def parse(page: str | None) -> list[Block]:
             raw = "".join(pieces)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                blocks.append(Block(tuple(x for _, names in stack for x in names), text, linked))
+                blocks.append(Block(stack.paths[-1], text, linked))
             pieces.clear()
         linked = 0
 
     def text_until(end: int) -> None:
         nonlocal linked
-        if end > at:
+        if end > at and not in_head:
             pieces.append(page[at:end])
             if links:
                 linked += end - at
@@ -112,6 +146,12 @@ def parse(page: str | None) -> list[Block]:
                 pieces.append(" ")
             continue
         closing = bool(m[2] or m[5])
+        if tag == "head":
+            in_head = not closing
+            continue
+        if in_head and (tag == "title" or tag not in BLOCKS):
+            continue
+        in_head = False
         if tag == "a":
             links = 0 if closing else 1
         elif tag == "br":
@@ -120,22 +160,16 @@ def parse(page: str | None) -> list[Block]:
             flush()
             links = 0
             if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                stack.close(tag)
                 continue
-            ended = ("p",) if tag in ENDS_PARAGRAPH else ()
-            for kind in {*ended, *CLOSES.get(tag, ())}:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == kind:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in ("table", "ul", "ol", "select", "dl") and kind != "p":
-                        break
+            if tag in ENDS_PARAGRAPH:
+                stack.close("p")
+            for kind in CLOSES.get(tag, ()):
+                if kind != "p":
+                    stack.close(kind, max(map(stack.last, CONTAINERS)))
             if tag not in VOID:
                 names = [x for v in NAMES.findall(m[4] or m[7] or "") for x in PARTS.split(v.lower()) if x]
-                stack.append((tag, (tag, *("." + x for x in names))))
+                stack.add(tag, ["." + x for x in names])
     text_until(len(page))
     flush()
     return blocks

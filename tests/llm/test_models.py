@@ -124,6 +124,38 @@ def test_pages_of_the_table(spark, sf):
         assert r["text"] == "\n\n".join(b.text for b in H.parse(html[r["page_id"]]) if "article" in b.path)
 
 
+def test_scripts_heads_and_nesting(labeller):
+    script = '<script>var s="<body>"; evil()</script>'
+    blocks = H.parse(f"<html><head><title>t</title>{script}<style>p {{}}</style><body><p>one{script}<p>two<style>a<body>b</style> three</p>")
+    assert [(b.text, b.path) for b in blocks] == [("one", ("html", "body", "p")), ("two three", ("html", "body", "p"))]
+    assert [b.text for b in H.parse("<head><title>t</title><p>in the body</p>")] == ["in the body"]
+    assert [b.text for b in H.parse("<head><title>t</title><meta x></head>bare <b>text</b>")] == ["bare text"]
+    for depth in (10, 3000):
+        deep = H.parse("<div class='a b'>" * depth + "<ul><li>x" * 5 + "</p>y<li>z" * depth)
+        assert len(deep) == 5 + 2 * depth - 1 or len(deep) == 1 + 2 * depth
+        assert max(len(b.path) for b in deep) <= H.DEEPEST
+    listed = H.parse("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>")
+    assert [(b.text, len(b.path)) for b in listed] == [("a", 2), ("b", 4), ("c", 4), ("d", 2)]
+
+
+def test_work_grows_with_the_length_of_a_deep_page():
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        H.parse("<div>" * n + "</p>x" * n)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert min(seconds(40_000) for _ in range(3)) < 60 * min(seconds(4000) for _ in range(3))
+
+
+def test_empty_table_of_pages(spark, labeller):
+    pages = spark.createDataFrame([], "page_id long, url string, html string, n_chars string")
+    assert H.extract(pages, labeller).count() == 0
+    assert H.train(pages) is not None
+
+
 def test_gradient():
     draw = np.random.default_rng(1)
     blocks = [[H.Block(("html", "body", "p"), "a b c", 0), H.Block(("nav", "li"), "x", 1), H.Block(("p",), "tail end.", 0)],
