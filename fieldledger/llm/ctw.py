@@ -298,7 +298,8 @@ def looked_up(gram: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[n
 
 
 def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, n_bytes, base_score, score: one row per row of docs."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte (code length; null for no
+    bytes): one row per row of docs."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     counts = written(gathered(rows, depth), "counts")
     words = counts.where("word is not null").select("word", F.col("train").alias("c"))
@@ -375,5 +376,6 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     every = whole.unionByName(by_word, allowMissingColumns=True).unionByName(by_gram, allowMissingColumns=True)
     return every.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), (~F.max("train")).alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), F.sum("n_bytes").alias("n_bytes"),
-        F.sum("base_score").alias("base_score"), F.sum("score").alias("score")).drop("row")
+        F.sum("n_known").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        F.sum("base_score").alias("base_score"), F.sum("score").alias("score"), F.sum("n_bytes").alias("n_bytes")).drop("row").withColumn(
+        "bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("score") / (F.log10(F.lit(2.0)) * F.col("n_bytes"))))
