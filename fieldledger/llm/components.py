@@ -25,17 +25,6 @@ def _stars(edges: DataFrame) -> bool:
     return inner.isEmpty() and edges.groupBy("a").count().where("count > 1").isEmpty()
 
 
-def near_labels(edges: DataFrame, hops: int = 2) -> DataFrame:
-    """(node, label): the smallest node within `hops` links of each node that has one. Equal labels are in one
-    component; one component may have several labels."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-    for _ in range(hops - 1):
-        seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        labels = labels.join(seen, labels["node"] == seen["a"]).select("node", F.least("label", "m").alias("label"))
-    return labels
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) long -> (node, component): each node that has an edge with the smallest node it can reach.
     Nulls and loops are no edges; repeated and reversed edges count once. No edges give no rows."""

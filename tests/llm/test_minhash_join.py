@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+
 from fieldledger.llm import minhash_join as M
 from fieldledger.llm.components import connected_components
 
@@ -60,6 +62,7 @@ def test_against_all_pairs(spark):
 def test_tiles_find_what_lists_find(spark, monkeypatch):
     monkeypatch.setattr(M, "TILE", 8)
     monkeypatch.setattr(M, "SHORT", 2)
+    monkeypatch.setattr(M, "WIDE_TILE", 8)
     monkeypatch.setattr(M, "_pivot_pairs", lambda lists: lists.select(lists["class"].alias("a"), lists["class"].alias("b")))
     rows = corpus(5)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
@@ -73,6 +76,58 @@ def test_empty_table_extra_columns_repeated_rows(spark):
     assert sorted(map(tuple, M.near_duplicates(docs).collect())) == [(1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (3, 2, 1, False)]
 
 
+def test_rows_without_a_key(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, words), (2, words + " x"), (None, "only nulls have this text"), (None, "only nulls have this text"), (5, "another text of five words")]
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r[0]), r[1], str(r[2]), r[3]) for r in got) == [
+        ("2", 57, "2", True), ("5", 1, "5", True), ("None", 1, "None", True), ("None", 1, "None", True), ("None", 56, "2", False)]
+
+
+def near_copies(count, seed=1):
+    draw = random.Random(seed)
+    base = [f"w{i}" for i in range(400)]
+    out = []
+    for _ in range(count):
+        copy = list(base)
+        for at in draw.sample(range(400), 4):
+            copy[at] = f"e{draw.randrange(10**9)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_what_tiles_pass_on_grows_with_the_rows(spark, monkeypatch):
+    """Copies that are near each other, most of them not linked: pairs must not grow with the square of their number."""
+    made = []
+    keep = M.written
+    monkeypatch.setattr(M, "written", lambda df, name: made.append((name, keep(df, name))) or made[-1][1])
+    for n in (200, 400, 800):
+        made.clear()
+        rows = list(enumerate(near_copies(n)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = sorted(map(tuple, M.near_duplicates(docs).collect()))
+        if n == 200:
+            assert got == plain(rows)
+        for name, df in made:
+            if name in ("confirmed", "candidates", "tiled", "differences"):
+                assert df.count() <= 20 * n, (n, name)
+
+
+def test_links_from_differences():
+    draw = random.Random(4)
+    for percent in (50, 85):
+        sets = [np.array(sorted(draw.sample(range(100), draw.randrange(30, 60))), np.uint64) for _ in range(40)]
+        pivot = sets[0]
+        gone = [np.setdiff1d(pivot, s) for s in sets]
+        deltas = [np.concatenate([g, np.setdiff1d(s, pivot)]) for g, s in zip(gone, sets)]
+        left, right = np.arange(0, 25), np.arange(15, 40)
+        got = M.linked_pairs(len(pivot), np.array([len(g) for g in gone]), deltas, left, right, percent)
+        for i, a in enumerate(left):
+            for j, b in enumerate(right):
+                x, y = set(sets[a].tolist()), set(sets[b].tolist())
+                assert got[i, j] == (100 * len(x & y) >= percent * len(x | y))
+
+
 def test_components(spark):
     draw = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 140)] + [(500, i) for i in range(501, 560)] + [(draw.randrange(1000, 1080), draw.randrange(1000, 1080)) for _ in range(50)]
