@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import noise as N, scalars as S
-from . import prep
+from . import prep, trees as TR
+from .codec import Codec
 
 
 def vp_schedule(df: DataFrame, keys, n: str, b0: float = 0.1, b1: float = 8.0) -> DataFrame:
@@ -39,7 +40,7 @@ def vp_schedule(df: DataFrame, keys, n: str, b0: float = 0.1, b1: float = 8.0) -
 @dataclass(frozen=True)
 class FieldSpec:
     kind: str = "flow"              # flow | vp | contraction
-    learner: str = "binned"         # binned | linear (own value of a dimension), affine (all dimensions)
+    learner: str = "binned"         # binned | linear (own value of a dimension), affine | trees (all dimensions, covariates)
     ridge: float = 1e-6             # of the affine learner, as a share of the rows
     n_t: int = 20
     copies: int = 20
@@ -49,12 +50,15 @@ class FieldSpec:
     b0: float = 0.1
     b1: float = 8.0
     seed: int = 666
+    trees: TR.TreeSpec = TR.TreeSpec()
 
     def __post_init__(self):
         if self.kind not in ("flow", "vp", "contraction"):
             raise ValueError(f"unknown kind {self.kind}")
-        if self.learner not in ("binned", "linear", "affine"):
+        if self.learner not in ("binned", "linear", "affine", "trees"):
             raise ValueError(f"unknown learner {self.learner}")
+        if self.learner == "trees" and not 2 <= self.bins <= 255:
+            raise ValueError("trees take 2 to 255 bins")
         if self.kind == "contraction" and self.learner != "binned":
             # the target is -x, which a line fits exactly: every score would be 0
             raise ValueError("a contraction field takes the binned learner")
@@ -68,9 +72,10 @@ class FieldSpec:
 
 @dataclass(frozen=True)
 class FieldModel:
-    """A fitted field. table: one row per label with `grid` = array[level][dimension] of cells, and
-    `ranges` where the label has its own; ranges: one row with the training range of each
-    dimension where all labels share it (flow and vp only)."""
+    """A fitted field. table: one row per label with `grid` = array[level][dimension] of cells (of trees:
+    array[level][row of trees.predicted]), `ranges` where the label has its own, and `covs`, the training ranges of the
+    covariates, where the field has any, and `codec` where its numbers code typed columns; ranges: one row with the training range of each dimension where all
+    labels share it (flow and vp only)."""
 
     spec: FieldSpec
     table: DataFrame
@@ -114,9 +119,9 @@ def bin_of(x: Column, spec: FieldSpec) -> Column:
 
 
 def predict(cells: Column, x: Column, spec: FieldSpec) -> Column:
-    """Field at x from the cells of one (level, dimension); an affine field needs the whole row (Arrays.at)."""
-    if spec.learner == "affine":
-        raise ValueError("an affine field is evaluated on whole rows")
+    """Field at x from the cells of one (level, dimension); affine fields and trees need the whole row (Arrays.at)."""
+    if spec.learner in ("affine", "trees"):
+        raise ValueError("this field is evaluated on whole rows")
     if spec.learner == "linear":
         return cells[0] * x + cells[1]
     return cells[bin_of(x, spec)]
@@ -156,12 +161,23 @@ def noised(
 
 def fit_field(
     df: DataFrame, key: str, features: str, spec: FieldSpec, label: str | None = None,
-    scale_by_label: bool = False, seed: Column | None = None,
+    scale_by_label: bool = False, seed: Column | None = None, covs: str | None = None,
+    codec: Codec | None = None,
 ) -> FieldModel:
     """Fit one field, or one per value of label. flow and vp scale to [-1, 1] first, over all rows
     or per label; contraction takes features that are standardized already. Missing values are
-    skipped per dimension. seed: a column that varies the noise, spec.seed by default."""
+    skipped per dimension (affine: rows with one are left out). seed: a column that varies the noise, spec.seed by
+    default. covs: a column of numbers that the field looks at but does not move (affine and trees), scaled to [-1, 1]
+    over all rows. codec: what the features were encoded with; the field then compares, generates and fills in columns."""
+    if covs and spec.learner not in ("affine", "trees"):
+        raise ValueError("covariates take a learner that looks at whole rows")
     df = df.withColumn("label", F.col(label) if label else F.lit(0))
+    if covs:
+        beside = df.sparkSession.range(1).select(prep.minmax_vector(df, covs).alias("covs"))
+        df = df.withColumn("_cr", beside.select("covs").scalar()).withColumn(
+            "_c", prep.scale_to_unit(F.col(covs).cast("array<double>"), F.col("_cr"))).drop("_cr")
+    else:
+        df = df.withColumn("_c", F.array().cast("array<double>"))
     ranges, by_label = None, None
     if spec.kind == "contraction":
         rows = df.withColumn("_z", F.col(features))
@@ -182,25 +198,48 @@ def fit_field(
             F.coalesce(F.regr_intercept("y", "x_t"), F.avg("y"))).alias("cells"))
     elif spec.learner == "affine":
         cells = affine_cells(rows, key, "_z", spec)
+    elif spec.learner == "trees":
+        dims, beside_dims = rows.select(F.size("_z"), F.size("_c")).first() or (0, 0)
+        if dims:
+            cells = tree_cells(rows, key, "_z", spec, dims, beside_dims)
+            table = TR.grow(cells, spec.trees, spec.bins, dims + beside_dims, dims)
+        else:  # no rows, no models
+            kind = rows.schema["label"].dataType.simpleString()
+            table = df.sparkSession.createDataFrame([], f"label {kind}, grid array<array<array<double>>>")
     else:
-        sums = cell_sums(rows, key, "_z", spec).groupBy(*by, "bin").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-        cells = (
-            sums.groupBy(*by).agg(
-                F.map_from_entries(F.collect_list(F.struct("bin", F.col("s") / F.col("n")))).alias("m"),
-                (F.sum("s") / F.sum("n")).alias("all"))
-            .withColumn("cells", F.transform(
-                F.sequence(F.lit(0), F.lit(spec.bins - 1)),
-                lambda b: F.coalesce(F.try_element_at("m", b), F.col("all"))))
-        )
-    levels = cells.groupBy("label", "t_idx").agg(F.array_sort(F.collect_list(F.struct("d", "cells"))).alias("a"))
-    levels = levels.select("label", "t_idx", F.transform("a", lambda e: e["cells"]).alias("a"))
-    table = levels.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("t_idx", "a"))).alias("g"))
-    table = table.select("label", F.transform("g", lambda e: e["a"]).alias("grid"))
+        cells = binned_cells(cell_sums(rows, key, "_z", spec).groupBy(*by, "bin").agg(F.sum("s").alias("s"), F.sum("n").alias("n")), spec)
+    if spec.learner != "trees":
+        table = packed_cells(cells)
     if by_label is not None:
         table = table.join(by_label, "label")
+    if covs:
+        table = table.withColumn("covs", beside.select("covs").scalar())
+    if codec:
+        table = table.withColumn("codec", F.lit(codec.to_json()))
     return FieldModel(spec, table, ranges)
 
 
+def binned_cells(sums: DataFrame, spec: FieldSpec) -> DataFrame:
+    """label, t_idx, d, cells: the mean target of every bin, of the whole dimension where a bin is empty; from sums (label, t_idx, d,
+    bin, s, n)."""
+    return (
+        sums.groupBy("label", "t_idx", "d").agg(
+            F.map_from_entries(F.collect_list(F.struct("bin", F.col("s") / F.col("n")))).alias("m"),
+            (F.sum("s") / F.sum("n")).alias("all"))
+        .withColumn("cells", F.transform(
+            F.sequence(F.lit(0), F.lit(spec.bins - 1)),
+            lambda b: F.coalesce(F.try_element_at("m", b), F.col("all"))))
+    )
+
+
+def packed_cells(cells: DataFrame) -> DataFrame:
+    """label, grid: the cells (label, t_idx, d, cells) of every label as array[level][dimension]."""
+    levels = cells.groupBy("label", "t_idx").agg(F.array_sort(F.collect_list(F.struct("d", "cells"))).alias("a"))
+    levels = levels.select("label", "t_idx", F.transform("a", lambda e: e["cells"]).alias("a"))
+    table = levels.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("t_idx", "a"))).alias("g"))
+    return table.select("label", F.transform("g", lambda e: e["a"]).alias("grid"))
+
+
 def cell_sums(rows: DataFrame, key: str, z: str, spec: FieldSpec) -> DataFrame:
     """Per task: sum and count of the target in every (label, level, dimension, bin) that occurs.
     The noised copies exist only batch by batch; a task holds and emits at most the cells."""
@@ -247,9 +286,9 @@ def cell_sums(rows: DataFrame, key: str, z: str, spec: FieldSpec) -> DataFrame:
 
 
 def affine_cells(rows: DataFrame, key: str, z: str, spec: FieldSpec) -> DataFrame:
-    """label, t_idx, d, cells: weights of all noised dimensions and a constant, by least squares.
+    """label, t_idx, d, cells: weights of all noised dimensions, the covariates and a constant, by least squares.
 
-    A task adds up the moments of its noised copies and emits (dims + 1) x (2 dims + 1) numbers per label and
+    A task adds up the moments of its noised copies and emits (inputs + 1) x (inputs + 1 + dims) numbers per label and
     level; Spark sums them, and each (label, level) is one small system. Rows with a missing value are left out."""
     levels = level_weights(spec)
     kind = rows.schema["label"].dataType.simpleString()
@@ -263,14 +302,17 @@ def affine_cells(rows: DataFrame, key: str, z: str, spec: FieldSpec) -> DataFram
                 for i in range(0, len(part), step):
                     some = part.iloc[i:i + step]
                     x = np.stack([np.asarray(v, dtype="float64") for v in some[z]])
+                    beside = _matrix(some["_c"])
                     noise = N.normals(some["a"].to_numpy(), some["b"].to_numpy(), spec.copies, dims)
-                    whole = ~np.isnan(x).any(axis=1)
+                    whole = ~np.isnan(x).any(axis=1) & ~np.isnan(beside).any(axis=1)
                     noise = noise[whole].reshape(-1, dims)
                     data = np.repeat(x[whole], spec.copies, axis=0)
-                    total_ = totals.setdefault(label, np.zeros((len(levels), dims + 1, 2 * dims + 1)))
+                    rest = np.repeat(np.hstack([beside[whole], np.ones((int(whole.sum()), 1))]), spec.copies, axis=0)
+                    n = dims + rest.shape[1]
+                    total_ = totals.setdefault(label, np.zeros((len(levels), n, n + dims)))
                     target = data - noise if spec.kind == "flow" else noise
                     for at, lv in enumerate(levels):
-                        seen = np.hstack([lv["a"] * data + lv["b"] * noise, np.ones((len(data), 1))])
+                        seen = np.hstack([lv["a"] * data + lv["b"] * noise, rest])
                         total_[at] += seen.T @ np.hstack([seen, target])
         for label, sums in totals.items():
             at, i, j = np.indices(sums.shape)
@@ -279,20 +321,62 @@ def affine_cells(rows: DataFrame, key: str, z: str, spec: FieldSpec) -> DataFram
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         n = int(group["i"].max()) + 1
-        moments = np.zeros((n, 2 * n - 1))
+        moments = np.zeros((n, int(group["j"].max()) + 1))
         moments[group["i"], group["j"]] = group["v"]
         keep = spec.ridge * max(moments[n - 1, n - 1], 1.0) * np.diag(np.append(np.ones(n - 1), 0.0))
         weights = np.linalg.lstsq(moments[:, :n] + keep, moments[:, n:], rcond=None)[0]
-        return pd.DataFrame({"label": group["label"].iloc[0], "t_idx": group["t_idx"].iloc[0], "d": range(n - 1),
+        return pd.DataFrame({"label": group["label"].iloc[0], "t_idx": group["t_idx"].iloc[0], "d": range(weights.shape[1]),
                              "cells": list(weights.T)})
 
-    word = N.words(F.col(key).cast("string"), "fit", F.col("_seed"))
-    packed = rows.withColumn("_w", word).select("label", z, F.col("_w.a").alias("a"), F.col("_w.b").alias("b"))
-    sums = packed.mapInPandas(run, f"label {kind}, t_idx int, i int, j int, v double")
+    sums = _packed(rows, key, z).mapInPandas(run, f"label {kind}, t_idx int, i int, j int, v double")
     sums = sums.groupBy("label", "t_idx", "i", "j").agg(F.sum("v").alias("v"))
     return sums.groupBy("label", "t_idx").applyInPandas(solve, f"label {kind}, t_idx int, d int, cells array<double>")
 
 
+def _packed(rows: DataFrame, key: str, z: str) -> DataFrame:
+    """label, z, _c, a, b: what the fits over whole rows read, with the noise words of the row."""
+    word = N.words(F.col(key).cast("string"), "fit", F.col("_seed"))
+    return rows.withColumn("_w", word).select("label", z, "_c", F.col("_w.a").alias("a"), F.col("_w.b").alias("b"))
+
+
+def tree_cells(rows: DataFrame, key: str, z: str, spec: FieldSpec, dims: int, beside: int) -> DataFrame:
+    """label, t_idx, x, s, n: the noised copies counted by the bins of all inputs (x: noised dimensions, then covariates), with
+    the sum and the number of each dimension's target. Copies exist only batch by batch; cells are merged in the task and by Spark."""
+    levels = level_weights(spec)
+    kind = rows.schema["label"].dataType.simpleString()
+    names = [*(f"s{d}" for d in range(dims)), *(f"n{d}" for d in range(dims))]
+
+    def merged(x: np.ndarray, y: np.ndarray, known: np.ndarray):
+        if x.shape[1] > 8:  # that many inputs hardly ever fall into one cell twice
+            return x, [np.where(known[:, d], y[:, d], 0.0) for d in range(dims)], [known[:, d].astype(np.int64) for d in range(dims)]
+        code = np.zeros((len(x), 8), np.uint8)
+        code[:, :x.shape[1]] = x
+        _, first, at = np.unique(code.view(np.uint64).ravel(), return_index=True, return_inverse=True)
+        sums = [np.bincount(at, np.where(known[:, d], y[:, d], 0.0), len(first)) for d in range(dims)]
+        return x[first], sums, [np.bincount(at[known[:, d]], minlength=len(first)) for d in range(dims)]
+
+    def run(batches):
+        for pdf in batches:
+            for label, part in pdf.groupby("label", sort=False):
+                step = max(1, 2_000_000 // (spec.copies * max(1, dims)))
+                for i in range(0, len(part), step):
+                    some = part.iloc[i:i + step]
+                    data = np.repeat(_matrix(some[z]), spec.copies, axis=0)
+                    noise = N.normals(some["a"].to_numpy(), some["b"].to_numpy(), spec.copies, dims).reshape(-1, dims)
+                    covs = np.repeat(TR.bins_of(_matrix(some["_c"]) * spec.span, spec.bins, spec.span), spec.copies, axis=0)
+                    target, known = (data - noise if spec.kind == "flow" else noise), ~np.isnan(data)
+                    for lv in levels:
+                        x = np.hstack([TR.bins_of(lv["a"] * data + lv["b"] * noise, spec.bins, spec.span), covs])
+                        x, sums, counts = merged(x, target, known)
+                        yield pd.DataFrame({"label": label, "t_idx": lv["i"], "x": [v.tobytes() for v in x], **dict(zip(names, sums + counts))})
+
+    fields = ", ".join([*(f"s{d} double" for d in range(dims)), *(f"n{d} long" for d in range(dims))])
+    long = _packed(rows, key, z).mapInPandas(run, f"label {kind}, t_idx int, x binary{', ' * bool(fields)}{fields}")
+    sums = long.groupBy("label", "t_idx", "x").agg(*(F.sum(c).alias(c) for c in names))
+    return sums.select("label", "t_idx", "x", F.array(*names[:dims]).cast("array<double>").alias("s"),
+                       F.array(*names[dims:]).cast("array<long>").alias("n"))
+
+
 def label_ranges(df: DataFrame, features: str) -> DataFrame:
     """label, ranges: the value range of every dimension within the label."""
     long = df.select("label", F.posexplode(features).alias("d", "v")).where(~F.isnan("v"))
@@ -351,24 +435,44 @@ def _level_rows(spec: FieldSpec, which: str) -> list[dict]:
 @dataclass(frozen=True)
 class Arrays:
     """A fitted field as numpy arrays: grid [levels, dimensions, cells]; low, width, high of the
-    training range (None for contraction)."""
+    training range (None for contraction); low, width, high of the covariates (None without); the codec (None without)."""
 
     grid: object
     ranges: object
-
-    def at(self, level: int, v, spec: FieldSpec):
-        """The field at v [..., dims]."""
+    covs: object = None
+    codec: Codec | None = None
+
+    def dims(self, spec: FieldSpec) -> int:
+        return self.grid.shape[1] - (2 if spec.learner == "trees" else 0)
+
+    def beside(self, c, rows: int):
+        """Scaled covariates of the rows [rows, covariates], from their values."""
+        if (c is None) != (self.covs is None):
+            raise ValueError("a field fitted with covariates is used with covariates, one without is not")
+        if c is None:
+            return np.zeros((rows, 0))
+        low, width, _ = self.covs
+        return (_matrix(c) - low) / width * 2.0 - 1.0
+
+    def at(self, level: int, v, spec: FieldSpec, c=None):
+        """The field at v [rows, ..., dims], beside scaled covariates c [rows, covariates]."""
         cells = self.grid[level]
+        if spec.learner in ("affine", "trees"):
+            c = np.zeros((len(v), 0)) if c is None else c
+            c = np.broadcast_to(c.reshape(len(v), *[1] * (v.ndim - 2), c.shape[1]), (*v.shape[:-1], c.shape[1]))
         if spec.learner == "affine":
-            return v @ cells[:, :-1].T + cells[:, -1]
+            return np.concatenate([v, c], axis=-1) @ cells[:, :-1].T + cells[:, -1]
+        if spec.learner == "trees":
+            x = np.concatenate([TR.bins_of(v, spec.bins, spec.span), TR.bins_of(c * spec.span, spec.bins, spec.span)], axis=-1)
+            return TR.predicted(cells, x.reshape(-1, x.shape[-1]), spec.trees).reshape(v.shape)
         if spec.learner == "linear":
             return cells[:, 0] * v + cells[:, 1]
         pos = np.floor((v + spec.span) * (spec.bins / (2.0 * spec.span)))
         return cells[np.arange(v.shape[-1]), np.clip(pos, 0, spec.bins - 1).astype(np.int64)]
 
-    def follow(self, v, steps: list[dict], spec: FieldSpec):
+    def follow(self, v, steps: list[dict], spec: FieldSpec, c=None):
         for s in steps:
-            v = v + s["h"] * self.at(s["i"], v, spec)
+            v = v + s["h"] * self.at(s["i"], v, spec, c)
         return v
 
     def unit(self, x):
@@ -376,9 +480,12 @@ class Arrays:
         return (x - low) / width * 2.0 - 1.0
 
     def raw(self, v, int_positions: Sequence[int] = ()):
-        """Back to the training range; integer positions are rounded half-even, then all are clamped."""
+        """Back to the training range; integer positions are rounded half-even, then all are clamped. With a codec, back
+        to the numbers of the columns."""
         low, width, high = self.ranges
         x = (v + 1.0) / 2.0 * width + low
+        if self.codec is not None:
+            return self.codec.decode(x, low, high)
         if len(int_positions):
             x[..., list(int_positions)] = np.rint(x[..., list(int_positions)])
         return np.clip(x, low, high)
@@ -391,18 +498,21 @@ def model_arrays(model: FieldModel) -> dict:
     out = {}
     for r in model.table.collect():
         own = r["ranges"] if "ranges" in model.table.columns else shared
-        ranges = None if own is None else np.array([[e["lo"], e["w"], e["hi"]] for e in own]).T
-        out[r["label"]] = Arrays(np.array(r["grid"], dtype="float64"), ranges)
+        beside = r["covs"] if "covs" in model.table.columns else None
+        ranges, covs = (None if x is None else np.array([[e["lo"], e["w"], e["hi"]] for e in x]).T for x in (own, beside))
+        codec = Codec.from_json(r["codec"]) if "codec" in model.table.columns else None
+        out[r["label"]] = Arrays(np.array(r["grid"], dtype="float64"), ranges, covs, codec)
     return out
 
 
 def score(
     df: DataFrame, key: str, features: str, model: FieldModel, which: str,
     copies: int | None = None, seed: int | Column = 0, out: str = "score", label: str | None = None,
-    int_positions: Sequence[int] = (),
+    int_positions: Sequence[int] = (), covs: str | None = None,
 ) -> DataFrame:
     """Adds the anomaly score, with the field of the row's own label where one is given; a label without a
-    field has no score. int_positions: dimensions that reconstruction rounds.
+    field has no score. int_positions: dimensions that reconstruction rounds. covs: the column of covariates, for a
+    field that was fitted with them.
 
     A projection: the model is broadcast, Arrow batches of (features, noise words) go through one
     vectorized expression, and nothing is shuffled."""
@@ -412,33 +522,38 @@ def score(
     shared = df.sparkSession.sparkContext.broadcast(model_arrays(model))
 
     @F.pandas_udf("double")
-    def run(x: pd.Series, a: pd.Series, b: pd.Series, case: pd.Series) -> pd.Series:
+    def run(x: pd.Series, a: pd.Series, b: pd.Series, case: pd.Series, beside: pd.Series) -> pd.Series:
         result = np.full(len(x), np.nan)
         for c in case.unique():
             at = np.flatnonzero((case == c).to_numpy())
             field = shared.value.get(c)
             if field is None:  # a label without a model has no score
                 continue
-            step = max(1, 1_000_000 // (copies * field.grid.shape[1]))  # cells held at a time
+            step = max(1, 1_000_000 // (copies * field.dims(spec)))  # cells held at a time
             for i in range(0, len(at), step):
                 part = at[i:i + step]
                 data = np.stack([np.asarray(v, dtype="float64") for v in x.iloc[part]])
                 noise = None
                 if spec.kind != "contraction":
                     noise = N.normals(a.iloc[part].to_numpy(), b.iloc[part].to_numpy(), copies, data.shape[1])
-                result[part] = score_rows(data, noise, field, spec, which, levels, int_positions)
+                c = field.beside(beside.iloc[part] if covs else None, len(part))
+                result[part] = score_rows(data, noise, field, spec, which, levels, int_positions, c)
         return pd.Series(result)
 
     word = N.words(F.col(key).cast("string"), "score", seed if isinstance(seed, Column) else str(seed))
     case = F.col(label) if label else F.lit(next(iter(shared.value)))
     return (
         df.withColumn("_w", word)
-        .withColumn(out, run(F.col(features), F.col("_w.a"), F.col("_w.b"), case)).drop("_w")
+        .withColumn(out, run(F.col(features), F.col("_w.a"), F.col("_w.b"), case, _beside(covs))).drop("_w")
     )
 
 
-def score_rows(x, noise, field: Arrays, spec: FieldSpec, which: str, levels: list[dict], int_positions: Sequence[int] = ()):
-    """Scores of a batch: x [rows, dims], noise [rows, copies, dims]."""
+def _beside(covs: str | None) -> Column:
+    return (F.col(covs) if covs else F.array()).cast("array<double>")
+
+
+def score_rows(x, noise, field: Arrays, spec: FieldSpec, which: str, levels: list[dict], int_positions: Sequence[int] = (), c=None):
+    """Scores of a batch: x [rows, dims], noise [rows, copies, dims], c: scaled covariates [rows, covariates]."""
     if spec.kind == "contraction":
         if which == "decision":
             return np.sqrt(((field.at(0, x, spec) + x) ** 2).sum(1))
@@ -455,13 +570,13 @@ def score_rows(x, noise, field: Arrays, spec: FieldSpec, which: str, levels: lis
     for lv in levels:
         v = lv["a"] * z + lv["b"] * noise
         if which != "reconstruction":
-            guess = field.at(lv["i"], v, spec)
+            guess = field.at(lv["i"], v, spec, c)
             # both vp scores carry -1 / std
             gap = z - noise - guess if spec.kind == "flow" else (guess - noise) / lv["b"]
         elif spec.kind == "flow":
-            gap = seen - field.raw(field.follow(v, lv["steps"], spec), int_positions)
+            gap = seen - field.raw(field.follow(v, lv["steps"], spec, c), int_positions)
         else:  # denoised estimate (x_t + std^2 * score) / mean, with score = -guess / std
-            gap = seen - field.raw((v - lv["b"] * field.at(lv["i"], v, spec)) / lv["a"], int_positions)
+            gap = seen - field.raw((v - lv["b"] * field.at(lv["i"], v, spec, c)) / lv["a"], int_positions)
         total_ += (gap ** 2).sum(2)
     return total_.mean(1)
 
@@ -507,7 +622,7 @@ def reverse_schedule(spec: FieldSpec, n_steps: int | None = None, repaint: bool
         for s, (i, h, back) in enumerate(plan)]
 
 
-def reverse_diffuse(x, field: Arrays, spec: FieldSpec, schedule: list[dict], a, b, known=None, start=None):
+def reverse_diffuse(x, field: Arrays, spec: FieldSpec, schedule: list[dict], a, b, known=None, start=None, c=None):
     """Euler-Maruyama through the schedule from x [rows, dims], new noise per step, then one denoising move at
     eps. known: rows with their observed cells, nan elsewhere; at every step these follow their own way from
     the noise `start` to the data, so that the cells to be filled move next to them."""
@@ -519,11 +634,11 @@ def reverse_diffuse(x, field: Arrays, spec: FieldSpec, schedule: list[dict], a,
         if s["back"]:
             x = x + drift * s["h"] + shake
         else:
-            x = x - (drift + s["beta"] * field.at(s["i"], x, spec) / s["std"]) * s["h"] + shake
+            x = x - (drift + s["beta"] * field.at(s["i"], x, spec, c) / s["std"]) * s["h"] + shake
     _, std = S.vp_coefficients(spec.eps, spec.b0, spec.b1)
     if known is not None:
         x = np.where(np.isnan(known), x, np.sqrt(1.0 - std**2) * known + std * start)
-    return x - std * field.at(int(round(spec.eps * (spec.n_t - 1))), x, spec)
+    return x - std * field.at(int(round(spec.eps * (spec.n_t - 1))), x, spec, c)
 
 
 def _by_field(model: FieldModel, session: SparkSession, work, kind: str = "array<double>"):
@@ -552,52 +667,60 @@ def _matrix(x: pd.Series):
 
 
 def generate(keys: DataFrame, key: str, model: FieldModel, seed: int = 0, priors: DataFrame | None = None,
-             label: str = "label", int_positions: Sequence[int] = (), out: str = "generated") -> DataFrame:
-    """One synthetic row per key. With priors and a label-conditional model, a label is drawn first."""
+             label: str = "label", int_positions: Sequence[int] = (), out: str = "generated", covs: str | None = None) -> DataFrame:
+    """One synthetic row per key. With priors and a label-conditional model, a label is drawn first; of a field with a
+    codec the numbers of its columns (Codec.to_columns). covs: the column of covariates
+    that a row is generated beside, for a field that was fitted with them."""
     spec = model.spec
     if spec.kind == "contraction":
         raise ValueError("a contraction field does not generate")
     key_text = F.col(key).cast("string")
     steps = euler_rows(spec, 0, 0.0, spec.n_t - 1) if spec.kind == "flow" else reverse_schedule(spec)
 
-    def work(field, a, b, sa, sb):
-        x = N.normals(a.to_numpy(), b.to_numpy(), 1, field.grid.shape[1])[:, 0]
+    def work(field, a, b, sa, sb, beside):
+        x = N.normals(a.to_numpy(), b.to_numpy(), 1, field.dims(spec))[:, 0]
+        c = field.beside(beside if covs else None, len(x))
         if spec.kind == "flow":
-            x = field.follow(x, steps, spec)
+            x = field.follow(x, steps, spec, c)
         else:
-            x = reverse_diffuse(x, field, spec, steps, sa.to_numpy(), sb.to_numpy())
+            x = reverse_diffuse(x, field, spec, steps, sa.to_numpy(), sb.to_numpy(), c=c)
         return field.raw(x, int_positions)
 
     run, only = _by_field(model, keys.sparkSession, work)
     df = keys if priors is None else draw_label(keys, priors, label, N.noise_key(key_text, "label", seed))
     df = df.withColumns({"_w": N.words(key_text, "generate", seed), "_ws": N.words(key_text, "step", seed)})
     case = only if priors is None else F.col(label)
-    return df.withColumn(out, run(case, "_w.a", "_w.b", "_ws.a", "_ws.b")).drop("_w", "_ws")
+    return df.withColumn(out, run(case, "_w.a", "_w.b", "_ws.a", "_ws.b", _beside(covs))).drop("_w", "_ws")
 
 
 def impute(df: DataFrame, key: str, features: str, model: FieldModel, k: int = 1, repaint: bool = False,
-           r: int = 5, j: float = 0.1, seed: int = 0, int_positions: Sequence[int] = (), label: str | None = None) -> DataFrame:
-    """k completed copies of each row (column `imputation`), with the field of the row's label where one is given.
+           r: int = 5, j: float = 0.1, seed: int = 0, int_positions: Sequence[int] = (), label: str | None = None,
+           covs: str | None = None) -> DataFrame:
+    """k completed copies of each row (column `imputation`), with the field of the row's label where one is given; of a field
+    with a codec the numbers of its columns (Codec.to_columns).
     Observed cells are kept; a missing cell follows the reverse SDE, next to the observed cells on theirs. An
-    affine field looks at the whole row, so a filled cell depends on the others; binned and linear ones do not."""
+    affine or tree field looks at the whole row (and the covariates in covs), so a filled cell depends on the others; binned and
+    linear ones do not."""
     spec = model.spec
     if spec.kind != "vp":
         raise ValueError("imputation takes a vp field")
     key_text = F.col(key).cast("string")
     schedule = reverse_schedule(spec, repaint=repaint, r=r, j=j)
 
-    def work(field, x, a, b, sa, sb):
+    def work(field, x, a, b, sa, sb, beside):
         x = _matrix(x)
+        c = field.beside(beside if covs else None, len(x))
         start = N.normals(a.to_numpy(), b.to_numpy(), 1, x.shape[1])[:, 0]
-        drawn = reverse_diffuse(start, field, spec, schedule, sa.to_numpy(), sb.to_numpy(), field.unit(x), start)
-        return np.where(np.isnan(x), field.raw(drawn, int_positions), x)
+        drawn = reverse_diffuse(start, field, spec, schedule, sa.to_numpy(), sb.to_numpy(), field.unit(x), start, c)
+        own = x if field.codec is None else field.codec.decode(x)
+        return np.where(np.isnan(own), field.raw(drawn, int_positions), own)
 
     run, only = _by_field(model, df.sparkSession, work)
     rows = df.withColumn("imputation", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     turn = F.col("imputation").cast("string")
     rows = rows.withColumns({"_w": N.words(key_text, "impute", seed, turn),
                              "_ws": N.words(key_text, "impute-step", seed, turn)})
-    filled = run(F.col(label) if label else only, features, "_w.a", "_w.b", "_ws.a", "_ws.b")
+    filled = run(F.col(label) if label else only, features, "_w.a", "_w.b", "_ws.a", "_ws.b", _beside(covs))
     # rows without a gap come out as they are
     return rows.withColumn(features, filled).drop("_w", "_ws")
 
@@ -614,6 +737,8 @@ def classify(df: DataFrame, key: str, features: str, model: FieldModel, n_t: int
         for z in range(n_z):
             looks.append((int(round(t * (spec.n_t - 1))), a, b, step * n_z + z))
     fields = model_arrays(model)
+    if any(f.covs is not None for f in fields.values()):
+        raise ValueError("classification takes fields without covariates")
     names = sorted(fields)
     shared = df.sparkSession.sparkContext.broadcast([fields[n] for n in names])
 

@@ -1,118 +1,15 @@
-"""Learners that use all dimensions at once: ML tree ensembles, and the contraction network."""
+"""Learners that use all dimensions at once: the contraction network. Tree ensembles are in trees.py."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions import noise as N, scalars as S
+from ..functions import noise as N
 from ..session import cut_lineage
-from . import prep
-from .fields import FieldSpec, score_levels
+from .trees import TreeSpec  # noqa: F401  (its place in earlier versions)
 
-ALIASES = {"xgboost": "gbt", "lgbm": "gbt", "catboost": "gbt", "gbt": "gbt", "random_forest": "random_forest"}
-
-
-@dataclass(frozen=True)
-class TreeSpec:
-    name: str = "gbt"
-    n_estimators: int = 100
-    max_depth: int = 7
-    eta: float = 0.3
-    subsample: float = 1.0
-    seed: int = 666
-    extra: tuple = ()
-
-    def estimator(self):
-        kind = ALIASES.get(self.name)
-        common = dict(featuresCol="_x", labelCol="_y", maxDepth=self.max_depth, seed=self.seed,
-                      subsamplingRate=self.subsample, **dict(self.extra))
-        if kind == "gbt":
-            return GBTRegressor(maxIter=self.n_estimators, stepSize=self.eta, **common)
-        if kind == "random_forest":
-            return RandomForestRegressor(numTrees=self.n_estimators, **common)
-        raise ValueError(f"unknown learner {self.name}")
-
-
-def _noised_vectors(df: DataFrame, key: str, z: str, spec: FieldSpec, levels: Sequence[int], copies: int,
-                    purpose: str, covs: str | None) -> DataFrame:
-    """One row per (row, copy, level): _x the model input, _true the field, _std its scale."""
-    grid = S.grid_levels(spec.n_t, spec.eps)
-    rows = df.withColumn("_x0s", N.normal_replicates(
-        F.size(z), copies, N.words(F.col(key).cast("string"), purpose, spec.seed)))
-    rows = rows.withColumn("_x0", F.explode("_x0s")).drop("_x0s")
-    entries = []
-    for i in levels:
-        a, b = (grid[i], 1.0 - grid[i]) if spec.kind == "flow" else S.vp_coefficients(grid[i], spec.b0, spec.b1)
-        entries.append(F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")))
-    rows = rows.withColumn("_l", F.explode(F.array(*entries)))
-    x_t = F.zip_with(z, "_x0", lambda x, n: F.col("_l.a") * x + F.col("_l.b") * n)
-    true = F.zip_with(z, "_x0", lambda x, n: x - n) if spec.kind == "flow" else F.col("_x0")
-    inputs = x_t if covs is None else F.concat(x_t, F.col(covs))
-    return rows.withColumns({
-        "_x": array_to_vector(inputs), "_true": true, "t_idx": F.col("_l.i"), "_std": F.col("_l.b")}).drop("_x0", "_l")
-
-
-@dataclass
-class TreeField:
-    """models[(level, dimension)]; ranges: one row with the scaling of the training data."""
-
-    spec: FieldSpec
-    dims: int
-    models: dict
-    ranges: DataFrame
-    covs: str | None = None
-
-
-def _scaled(df: DataFrame, features: str, ranges: DataFrame) -> DataFrame:
-    return df.withColumn("_r", ranges.select("ranges").scalar()).withColumn(
-        "_z", prep.scale_to_unit(F.col(features), F.col("_r"))).drop("_r")
-
-
-def fit_tree_field(df: DataFrame, key: str, features: str, spec: FieldSpec, trees: TreeSpec,
-                   levels: Sequence[int], dims: int, covs: str | None = None) -> TreeField:
-    """One regressor per (level, dimension), on all noised dimensions and the covariates. The noised
-    training rows are written once; the fits run one after another, each on the whole cluster."""
-    ranges = cut_lineage(df.sparkSession.range(1).select(prep.minmax_vector(df, features).alias("ranges")), "ranges")
-    z = _scaled(df, features, ranges)
-    data = cut_lineage(_noised_vectors(z, key, "_z", spec, levels, spec.copies, "fit", covs).select("t_idx", "_x", "_true"), "noised")
-    models = {}
-    for i in levels:
-        part = data.where(F.col("t_idx") == i)
-        for d in range(dims):
-            target = part.select("_x", F.col("_true")[d].alias("_y")).where(~F.isnan("_y"))
-            models[i, d] = trees.estimator().fit(target)
-    return TreeField(spec, dims, models, ranges, covs)
-
-
-def score_trees(df: DataFrame, key: str, features: str, model: TreeField, which: str, copies: int = 1) -> DataFrame:
-    """key, score: deviation or decision error of the tree field. Copies and levels of a row are
-    combined map-side before the shuffle on the row key."""
-    if which == "reconstruction":
-        raise ValueError("tree fields give deviation and decision scores")
-    spec = model.spec
-    z = _scaled(df, features, model.ranges)
-    levels = score_levels(spec, which)
-    rows = _noised_vectors(z, key, "_z", spec, levels, copies, "score", model.covs)
-    errors = None
-    for i in levels:
-        part = rows.where(F.col("t_idx") == i)
-        error: Column = F.lit(0.0)
-        for d in range(model.dims):
-            fitted = model.models[i, d].copy()
-            part = fitted.setPredictionCol(f"_p{d}").transform(part)
-            gap = F.col("_true")[d] - F.col(f"_p{d}")
-            error = error + (gap if spec.kind == "flow" else gap / F.col("_std")) ** 2
-        part = part.select(key, error.alias("_e"))
-        errors = part if errors is None else errors.unionByName(part)
-    return errors.groupBy(key).agg((F.sum("_e") / F.lit(float(copies))).alias("score"))
-
-
-# contraction network -------------------------------------------------------------------
 
 @dataclass
 class Network:
@@ -201,8 +98,8 @@ def _sum_gradients(rows: DataFrame, net: Network, features: str, time: str, lane
 def fit_contraction_network(df: DataFrame, key: str, features: str, dims: int, epochs: int = 100,
                             n_batch: int = 1, rate: float = 0.001, hidden: int = 256, embed: int = 128,
                             seed: int = 0) -> tuple[Network, list[float]]:
-    """Adam on mean squared error to -x at hash-drawn times. Each step is a job over one hash batch
-    of the rows; returns the network and the loss per step."""
+    """Adam on mean squared error to -x at hash-drawn times. The rows are written once, laid out by hash batch; each step is a job
+    that reads the files of its batch only. Returns the network and the loss per step."""
     import numpy as np
 
     net = Network.create(dims, hidden, embed, seed)
@@ -210,12 +107,11 @@ def fit_contraction_network(df: DataFrame, key: str, features: str, dims: int, e
     v = [np.zeros_like(w) for w in net.weights]
     losses, step = [], 0
     batch = (F.conv(F.substring(F.md5(N.noise_key(F.col(key), "batch", seed)), 1, 8), 16, 10).cast("long") % n_batch)
-    rows = df.withColumn("_b", batch)
+    rows = cut_lineage(df.select(key, features, batch.cast("int").alias("_b")), "batches", "_b")
     for epoch in range(epochs):
         for b in range(n_batch):
             step += 1
-            part = rows.where(F.col("_b") == b) if n_batch > 1 else rows
-            part = part.withColumn("_t", N.hash_uniform(N.noise_key(F.col(key), "time", seed, epoch)))
+            part = rows.where(F.col("_b") == b).withColumn("_t", N.hash_uniform(N.noise_key(F.col(key), "time", seed, epoch)))
             grads, loss = _sum_gradients(part, net, features, "_t")
             losses.append(loss)
             for i, g in enumerate(grads):

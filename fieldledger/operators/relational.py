@@ -1,4 +1,4 @@
-"""Small relational operators: result merging, set operations, membership, fingerprints."""
+"""Relational operators: result merging, set operations, membership, fingerprints, nearest rows."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
+from . import ranks
+from .prior import present
 
 
 def merge_results(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -71,3 +73,55 @@ def first_rows(df: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
 
 def intersect_models(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b)
+
+
+def _position(df: DataFrame, column: str) -> Column:
+    """Where a value stands, as a number: days of a date, seconds of a timestamp, the value itself otherwise."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind == "date":
+        return F.unix_date(column).cast("double")
+    return (F.unix_micros(column) / F.lit(1e6)) if kind == "timestamp" else F.col(column).cast("double")
+
+
+def nearest_join(left: DataFrame, right: DataFrame, on: tuple[str, str], keys: Sequence[tuple[str, str]], take: dict[str, str],
+                 direction: str = "nearest", tolerance: float | None = None, ties: Sequence[str] = (), rows_per_range: int = 200_000) -> DataFrame:
+    """Every row of left with columns (take: name -> column of right) of the row of right that has the same keys and the nearest value.
+
+    on, keys: (left column, right column). direction: `backward` (values up to the own), `forward` (from the own on) or
+    `nearest`, where the lower of two equally near ones counts. tolerance: largest distance, in days for dates and seconds for
+    timestamps. Of right rows with equal keys and value the one with the largest `ties` counts. Missing keys are keys like any
+    other; a missing value meets nothing; rows without a partner get nulls.
+
+    Both sides are asked once per key and value, and cut into value ranges together, so a key that holds most rows is
+    spread over tasks; what a range does not hold itself comes from the edges of the ranges beside it."""
+    if direction not in ("backward", "forward", "nearest"):
+        raise ValueError(f"unknown direction {direction}")
+    names = [f"_k{i}" for i in range(len(keys))]
+    mine = left.withColumns({n: present(k) for n, (k, _) in zip(names, keys)}).withColumn("_x", _position(left, on[0]))
+    theirs = right.withColumns({n: present(k) for n, (_, k) in zip(names, keys)}).withColumn("_x", _position(right, on[1]))
+    payload = F.struct(*(F.col(c).alias(f"_t{i}") for i, c in enumerate(take.values())))
+    order = F.struct(*ties) if ties else payload
+    marks = theirs.where(F.col("_x").isNotNull()).groupBy(*names, "_x").agg(F.max_by(payload, order).alias("_p"))
+    asked = mine.where(F.col("_x").isNotNull()).select(*names, "_x").distinct()
+    marks = marks.withColumn("_m", F.struct("_x", "_p")).drop("_p")
+    bounds = ranks.value_bounds(marks.select("_x").union(asked.select("_x")), "_x", rows_per_range)
+    both = marks.withColumn("_ask", F.lit(False)).unionByName(asked.withColumn("_ask", F.lit(True)), allowMissingColumns=True)
+    both = ranks.with_range(both, "_x", bounds)
+    chunk = [*names, "_range"]
+    edges = both.groupBy(*chunk).agg(F.max("_m").alias("_top"), F.min("_m").alias("_bottom"))
+    across = Window.partitionBy(*names).orderBy("_range")
+    edges = edges.select(*chunk, F.max("_top").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"),
+                         F.min("_bottom").over(Window.partitionBy(*names).orderBy(F.desc("_range")).rowsBetween(
+                             Window.unboundedPreceding, -1)).alias("_right"))
+    up = Window.partitionBy(*chunk).orderBy("_x").rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*chunk).orderBy(F.desc("_x")).rangeBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_low", F.max("_m").over(up)).withColumn("_high", F.min("_m").over(down)).where("_ask").join(edges, chunk)
+    low, high = F.coalesce("_low", "_left"), F.coalesce("_high", "_right")
+    before, after = F.col("_x") - low["_x"], high["_x"] - F.col("_x")
+    best = {"backward": low, "forward": high,
+            "nearest": F.when(low.isNull() | (after < before), high).otherwise(low)}[direction]
+    found = found.select(*names, "_x", best.alias("_best"))
+    if tolerance is not None:
+        found = found.where(F.abs(F.col("_best._x") - F.col("_x")) <= tolerance)
+    out = mine.join(found, [*names, "_x"], "left")
+    return out.select(*left.columns, *(F.col(f"_best._p._t{i}").alias(c) for i, c in enumerate(take)))

@@ -1,7 +1,8 @@
 """Analyst reports over a ledger, one result for all accounts.
 
 Series totals are aggregates joined back where rows need them. The previous row of a series
-comes from per-day chunks, so no series is gathered into one task.
+comes from per-day chunks, so no series is gathered into one task. A missing account or recipient is a key like any other.
+Columns of the ledger with the name of a result column are replaced by it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import ranks
-from .prior import TransactionColumns, day_key, series_keys
+from .prior import TransactionColumns, day_key, present, series_keys
 
 
 def previous_in_series(df: DataFrame, tx: TransactionColumns, value: str, out: str,
@@ -33,6 +34,44 @@ def previous_in_series(df: DataFrame, tx: TransactionColumns, value: str, out: s
     )
 
 
+def runs_in_series(df: DataFrame, tx: TransactionColumns, flag: str, keys: Sequence[str] | None = None) -> DataFrame:
+    """Runs of consecutive rows with flag = 1 in (date, ties) order: keys, run (from 1 within the series), start_date, end_date,
+    length, kind (persistent from two rows on, else one-off). A row without the flag, or with a missing one, ends a run.
+
+    A run is the flagged rows with equally many other rows before them. These are counted per (series, day), added up over
+    the days before, and counted on within the day, so a run that spans days is put together from counts and no series is
+    gathered; what a day holds of a run is one row before the runs are."""
+    names = list(keys or tx.series)
+    made = series_keys(names)
+    chunk = [*made, "_day"]
+    on = F.coalesce(F.col(flag) == 1, F.lit(False))
+    rows = df.withColumns({**made, "_day": day_key(tx), "_off": (~on).cast("long")})
+    days = rows.groupBy(*chunk).agg(F.sum("_off").alias("_o"))
+    days = days.select(*chunk, (F.sum("_o").over(Window.partitionBy(*made).orderBy("_day")) - F.col("_o")).alias("_before"))
+    inside = Window.partitionBy(*chunk).orderBy(*tx.ties)
+    rows = rows.withColumn("_inside", F.sum("_off").over(inside.rowsBetween(Window.unboundedPreceding, 0))).where("_off = 0")
+    parts = rows.groupBy(*chunk, "_inside").agg(*(F.first(c).alias(c) for c in names), F.count(F.lit(1)).alias("_n"),
+                                                F.min(tx.date).alias("_first"), F.max(tx.date).alias("_last"))
+    parts = parts.join(days, chunk).withColumn("_island", F.col("_before") + F.col("_inside"))
+    found = parts.groupBy(*made, "_island").agg(*(F.first(c).alias(c) for c in names), F.min("_first").alias("start_date"),
+                                                F.max("_last").alias("end_date"), F.sum("_n").alias("length"))
+    order = Window.partitionBy(*made).orderBy("_island")
+    return found.withColumn("run", F.row_number().over(order)).select(
+        *names, "run", "start_date", "end_date", "length", F.when(F.col("length") > 1, "persistent").otherwise("one-off").alias("kind"))
+
+
+def day_shift_runs(df: DataFrame, tx: TransactionColumns, days: int = 7) -> DataFrame:
+    """Runs of payments further than `days` from the median day of their series."""
+    return runs_in_series(_shifted(df, tx, days), tx, "shifted")
+
+
+def small_payment_runs(df: DataFrame, tx: TransactionColumns, prob: float = 0.1) -> DataFrame:
+    """Runs of payments of a series at or below the account's low percentile."""
+    cut = ranks.order_statistics(df.withColumn("_acc", present(tx.account)), tx.amount, [prob], ["_acc"])
+    rows = df.withColumn("_acc", present(tx.account)).join(cut.select("_acc", F.col("quantile").alias("_cut")), "_acc", "left")
+    return runs_in_series(rows.withColumn("_small", (F.col(tx.amount) <= F.col("_cut")).cast("int")).drop("_acc", "_cut"), tx, "_small")
+
+
 def customer_overview(df: DataFrame, tx: TransactionColumns) -> DataFrame:
     return df.groupBy(tx.account).agg(
         F.count(F.lit(1)).alias("n"), F.sum(tx.amount).alias("total"),
@@ -42,12 +81,14 @@ def customer_overview(df: DataFrame, tx: TransactionColumns) -> DataFrame:
 
 def recurring_amount_change(df: DataFrame, tx: TransactionColumns, k: float = 2.0) -> DataFrame:
     """Payments to recurring recipients further than k standard deviations from the series mean."""
+    made = series_keys(tx.series)
+    df = df.drop("n", "mean", "sd", "deviation").withColumns(made)
     stats = (
-        df.groupBy(*tx.series).agg(F.count(F.lit(1)).alias("n"), F.avg(tx.amount).alias("mean"),
-                                   F.stddev_pop(tx.amount).alias("sd"))
+        df.groupBy(*made).agg(F.count(F.lit(1)).alias("n"), F.avg(tx.amount).alias("mean"),
+                              F.stddev_pop(tx.amount).alias("sd"))
         .where((F.col("n") > 1) & (F.col("sd") > 0))
     )
-    return df.join(stats, tx.series).withColumn("deviation", (F.col(tx.amount) - F.col("mean")) / F.col("sd")).where(
+    return df.join(stats, list(made)).drop(*made).withColumn("deviation", (F.col(tx.amount) - F.col("mean")) / F.col("sd")).where(
         F.abs("deviation") > k)
 
 
@@ -68,21 +109,22 @@ def small_payment_patterns(df: DataFrame, tx: TransactionColumns, prob: float =
     """Per series: payments at or below the account's low percentile, whether there are only such
     payments, whether one month has a surge of them, and how many repeat or follow on the one
     before in the same month."""
-    cut = ranks.order_statistics(df, tx.amount, [prob], [tx.account]).select(
-        tx.account, F.col("quantile").alias("_cut"))
-    rows = df.join(cut, tx.account).withColumn("_small", F.col(tx.amount) <= F.col("_cut")).withColumn(
+    made = series_keys(tx.series)
+    df = df.withColumns({"_acc": present(tx.account), **made})
+    cut = ranks.order_statistics(df, tx.amount, [prob], ["_acc"]).select("_acc", F.col("quantile").alias("_cut"))
+    rows = df.join(cut, "_acc").withColumn("_small", F.col(tx.amount) <= F.col("_cut")).withColumn(
         "_m", F.trunc(tx.date, "month"))
-    small = previous_in_series(rows.where("_small"), tx, tx.amount, "_prev", [*tx.series, "_m"])
+    small = previous_in_series(rows.where("_small").drop(*made), tx, tx.amount, "_prev", [*tx.series, "_m"]).withColumns(made)
     runs = (
-        small.groupBy(*tx.series, "_m").agg(
+        small.groupBy(*made, "_m").agg(
             F.count(F.lit(1)).alias("_ns"),
             F.count_if(F.abs(F.col(tx.amount) - F.col("_prev")) <= 1).alias("_seq"))
-        .groupBy(*tx.series).agg(
+        .groupBy(*made).agg(
             F.sum("_ns").alias("small"), F.max("_ns").alias("most_small_in_month"),
             F.avg("_ns").alias("_avg"), F.sum("_seq").alias("sequential"))
     )
-    totals = rows.groupBy(*tx.series).agg(F.count(F.lit(1)).alias("payments"))
-    return runs.join(totals, tx.series).select(
+    totals = df.groupBy(*made).agg(*(F.first(c).alias(c) for c in tx.series), F.count(F.lit(1)).alias("payments"))
+    return runs.join(totals, list(made)).select(
         *tx.series, "payments", "small", "most_small_in_month", "sequential",
         (F.col("small") == F.col("payments")).cast("int").alias("only_small"),
         ((F.col("most_small_in_month") >= 2) & (F.col("most_small_in_month") > 1.5 * F.col("_avg")))
@@ -132,20 +174,27 @@ def new_recipient_similar_name(df: DataFrame, tx: TransactionColumns, edits: int
     )
 
 
-def payment_day_shift(df: DataFrame, tx: TransactionColumns, days: int = 7) -> DataFrame:
-    """Payments further than `days` from the median day of their series; persistent when the payment
-    before was shifted too. The median comes from 31 counts per series."""
-    counts = df.groupBy(*tx.series, F.dayofmonth(tx.date).alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*tx.series).orderBy("_d")
+def _shifted(df: DataFrame, tx: TransactionColumns, days: int) -> DataFrame:
+    """The rows of series with several payments, with median_day, payments and shifted: whether the day is further than `days` from
+    the median, which comes from 31 counts per series."""
+    made = series_keys(tx.series)
+    df = df.drop("median_day", "payments", "shifted", "kind").withColumns(made)
+    counts = df.groupBy(*made, F.dayofmonth(tx.date).alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*made).orderBy("_d")
     cum = counts.select(
-        *tx.series, "_d", F.sum("_c").over(w).alias("_cum"),
-        F.sum("_c").over(Window.partitionBy(*tx.series)).alias("_n"))
+        *made, "_d", F.sum("_c").over(w).alias("_cum"),
+        F.sum("_c").over(Window.partitionBy(*made)).alias("_n"))
     low = F.min(F.when(F.col("_cum") > F.floor((F.col("_n") - 1) / 2), F.col("_d")))
     high = F.min(F.when(F.col("_cum") > F.floor(F.col("_n") / 2), F.col("_d")))
-    medians = cum.groupBy(*tx.series).agg(((low + high) / 2).alias("median_day"), F.max("_n").alias("payments"))
-    rows = df.join(medians.where("payments > 1"), tx.series).withColumn(
+    medians = cum.groupBy(*made).agg(((low + high) / 2).alias("median_day"), F.max("_n").alias("payments"))
+    return df.join(medians.where("payments > 1"), list(made)).drop(*made).withColumn(
         "shifted", (F.abs(F.dayofmonth(tx.date) - F.col("median_day")) > days).cast("int"))
-    rows = previous_in_series(rows, tx, "shifted", "_before")
+
+
+def payment_day_shift(df: DataFrame, tx: TransactionColumns, days: int = 7) -> DataFrame:
+    """Payments further than `days` from the median day of their series; persistent when the payment
+    before was shifted too."""
+    rows = previous_in_series(_shifted(df, tx, days), tx, "shifted", "_before")
     return rows.where("shifted = 1").withColumn(
         "kind", F.when(F.col("_before") == 1, "persistent").otherwise("one-off")).drop("_before")
 

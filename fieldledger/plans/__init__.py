@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("features", "scalars", "splits", "prep", "metrics", "tables", "fields", "reports", "study")
+MODULES = ("features", "scalars", "splits", "prep", "metrics", "tables", "fields", "learners", "codes", "reports", "study")
 
 
 def load() -> None:

@@ -71,7 +71,7 @@ def fitted(spark, sf, spec):
     return v, M.fit_field(v.where("label = 0"), "row_id", "features", spec)
 
 
-def score_sql(spec, which: str, copies: int = 2, seed: int = 0, digits: int = 4) -> str:
+def score_sql(spec, which: str, copies: int = 20, seed: int = 0, digits: int = 4) -> str:
     levels = [(i, (i / (spec.n_t - 1) if spec.kind == "contraction" else S.grid_levels(spec.n_t, spec.eps)[i]))
               for i in M.score_levels(spec, which)]
     head = f"WITH {DATA_SQL}, {fit_sql(spec)}"
@@ -118,7 +118,7 @@ def _score(name, spec, which):
     @query(name, score_sql(spec, which))
     def run(spark, sf):
         v, model = fitted(spark, sf, spec)
-        return shape(M.score(v, "row_id", "features", model, which, copies=2), (), ["row_id"], ["score"], 4)
+        return shape(M.score(v, "row_id", "features", model, which), (), ["row_id"], ["score"], 4)
 
     return run
 
@@ -173,19 +173,16 @@ def fit_label_conditional(spark, sf):
     return shape(_cells(conditional(spark, sf, FLOW)[1]), (), ["label", "t_idx", "d", "bin"], ["f"], 5)
 
 
-@query("fit_per_dimension", f"""WITH {DATA_SQL.replace('FROM v WHERE label = 0 GROUP BY d', 'FROM v WHERE label = 0 AND (vec_id + d) % 5 <> 0 GROUP BY d')},
-{fit_sql(FLOW, 'label = 0 AND (vec_id + d) % 5 <> 0')}
-SELECT {num('t_idx')}, {num('d')}, {flt('f', 'f', 5)} FROM every""")
+HOLES = "label = 0 AND (vec_id + d) % 5 <> 0"
+
+
+@query("fit_per_dimension", cells_sql(FLOW, HOLES).replace("FROM v WHERE label = 0 GROUP BY d", f"FROM v WHERE {HOLES} GROUP BY d"))
 def fit_per_dimension(spark, sf):
     """Every fifth cell is missing; each dimension is fitted on what it has."""
     v = T.vectors(spark, sf).where("label = 0")
     holes = v.withColumn("features", F.transform("features", lambda x, d: F.when(
         (F.col("row_id") + d) % 5 == 0, F.lit(float("nan"))).otherwise(x)))
-    ranges = spark.range(1).select(prep.minmax_vector(holes, "features").alias("ranges"))
-    z = holes.withColumn("_r", ranges.select("ranges").scalar()).withColumn(
-        "z", prep.scale_to_unit(F.col("features"), F.col("_r")))
-    long = M.noised(z, "row_id", "z", FLOW)
-    return shape(long.groupBy("t_idx", "d").agg(F.avg("y").alias("f")), (), ["t_idx", "d"], ["f"], 5)
+    return shape(_cells(M.fit_field(holes, "row_id", "features", FLOW)), (), ["label", "t_idx", "d", "bin"], ["f"], 5)
 
 
 FIELD_SQL = f"WITH {DATA_SQL}, {fit_sql(FLOW)}, p AS {field_join('z', 'z1', FLOW, '3')} SELECT {num('vec_id', 'row_id')}, {num('d')}, {flt('f', 'f', 5)} FROM p"

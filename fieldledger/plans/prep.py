@@ -232,7 +232,6 @@ def _snap(spark, sf):
 
 
 query("snap_to_real_values", SNAP_SQL)(_snap)
-query("nearest_value_join", SNAP_SQL)(_snap)
 
 
 @query("transform_dataset", f"""WITH {CAT_SQL},

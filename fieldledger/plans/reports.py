@@ -155,6 +155,30 @@ def payment_day_shift(spark, sf):
     return shape(R.payment_day_shift(ledger(spark, sf), T.TX), ["row_key", "kind"], (), ["median_day"])
 
 
+def runs_sql(rows: str) -> str:
+    """Runs of rows with sh = 1 in `rows`, a query with bank_account_uuid, ref_name, tx_id, date_post, sh."""
+    return f"""i AS (SELECT *, sum(1 - sh) OVER ({PART} ORDER BY tx_id ROWS UNBOUNDED PRECEDING) AS island FROM ({rows})),
+g AS (SELECT bank_account_uuid, ref_name, island, min(date_post) AS start_date, max(date_post) AS end_date, count(*) AS length FROM i WHERE sh = 1 GROUP BY ALL)
+SELECT bank_account_uuid, ref_name, {num(f'row_number() OVER ({PART} ORDER BY island)', 'run')}, {txt('start_date')}, {txt('end_date')}, {num('length')},
+  CASE WHEN length > 1 THEN 'persistent' ELSE 'one-off' END AS kind FROM g"""
+
+
+def _runs(out):
+    return shape(out, [*SERIES, "start_date", "end_date", "kind"], ["run", "length"])
+
+
+@query("payment_day_shift_runs", tx_sql(f""", m AS (SELECT *, quantile_cont(day(date_post), 0.5) OVER ({PART}) AS md, count(*) OVER ({PART}) AS n FROM tx),
+{runs_sql('SELECT *, CAST(abs(day(date_post) - md) > 7 AS BIGINT) AS sh FROM m WHERE n > 1')}"""))
+def payment_day_shift_runs(spark, sf):
+    return _runs(R.day_shift_runs(T.transactions(spark, sf), T.TX))
+
+
+@query("small_payment_runs", tx_sql(f""", c AS (SELECT bank_account_uuid, quantile_cont(amount, 0.1) AS q FROM tx GROUP BY ALL),
+{runs_sql('SELECT tx.*, CAST(amount <= q AS BIGINT) AS sh FROM tx JOIN c USING (bank_account_uuid)')}"""))
+def small_payment_runs(spark, sf):
+    return _runs(R.small_payment_runs(T.transactions(spark, sf), T.TX))
+
+
 @query("invoice_period_mismatch", f"""WITH {NOTES_SQL}, p AS (SELECT *, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 75 AS INTEGER) AS posted,
 {note_part(1)} AS iy, {note_part(2)} AS im, {note_part(4)} AS term FROM n),
 d AS (SELECT *, date_diff('month', make_date(iy, im, 1), date_trunc('month', posted - CAST(term AS INTEGER))) AS off FROM p WHERE iy IS NOT NULL)

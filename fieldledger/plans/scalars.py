@@ -336,6 +336,13 @@ def dequantize(spark, sf):
     return shape(two.withColumnRenamed("l_quantity", "beta"), ["row_key"], (), ["uniform", "beta"])
 
 
+@query("dequantize_beta", f"SELECT {LINE_KEY_SQL} AS row_key, {flt(f'l_quantity + pow(sin(pi() * {uniform_sql(DEQ_KEY)} / 2), 2) - 0.5', 'beta')} FROM lineitem")
+def dequantize_beta(spark, sf):
+    """Noise of Beta(1/2, 1/2), whose quantiles are squared sines."""
+    out = prep.dequantize(_line(spark, sf), ["l_quantity"], "row_key", "beta", 0.5, 3)
+    return shape(out.withColumnRenamed("l_quantity", "beta"), ["row_key"], (), ["beta"])
+
+
 @query("requantize", f"SELECT {LINE_KEY_SQL} AS row_key, {flt(f'floor(l_quantity + {uniform_sql(DEQ_KEY)} * 0.5)', 'uniform')}, "
        f"{flt('round_even(l_quantity / 2, 0)', 'rounded')} FROM lineitem")
 def requantize(spark, sf):

@@ -9,39 +9,70 @@ from ..functions import scalars as S
 from ..operators import experiment as X, fields as M, learners as L, metrics, prep, prior, splits
 from ..session import scratch_path
 from ..sources import tables as T
-from ..streaming import features as SF, scoring
-from .common import KEY_SQL, LINE_KEY_SQL, features_sql, flt, num, row_key, shape
+from ..streaming import features as SF, ledger as SL, scoring
+from .common import FLOAT_FEATURES, INT_FEATURES, KEY_SQL, LINE_KEY_SQL, features_sql, flt, num, row_key, shape
 from .features import all_features
 from .fields import CONTRACTION, FLOW, bin_sql, field_join, fit_sql, fitted, levels_sql, score_sql
+from .metrics import SCORED_SQL, cuts_sql
 from .registry import query
 from .scalars import normal_sql
 from .splits import CONTAM_SQL
 
-SWEEP_SQL = f"""WITH {CONTAM_SQL},
+def _sweep_scores_sql() -> str:
+    """sc(score_kind, vec_id, label, level_idx, level, score): the three scores of a contraction field per level. It has no noise, so
+    the seeds do not differ."""
+    spec, h = CONTRACTION, 1.0 / (CONTRACTION.n_t - 1)
+    levels = [(i, i / (spec.n_t - 1)) for i in M.score_levels(spec, "deviation")]
+    parts, prev = [], "st"
+    for s in range(spec.n_t - 1):
+        parts.append(f"e{s} AS MATERIALIZED (SELECT * EXCLUDE (f) REPLACE (CASE WHEN t_idx + {s} < {spec.n_t - 1} THEN xt + {h!r}::DOUBLE * f ELSE xt END AS xt) "
+                     f"FROM {field_join(prev, 'q.xt', spec, '0', 'q.level_idx')})")
+        prev = f"e{s}"
+    return f"""{CONTAM_SQL},
 v AS (SELECT vec_id, d, CAST(embedding[d + 1] AS DOUBLE) AS x FROM (SELECT *, unnest(range(len(embedding))) AS d FROM embeddings)),
 rg AS (SELECT d, avg(x) AS mu, CASE WHEN max(x) > min(x) THEN stddev_pop(x) ELSE 1 END AS sd FROM v JOIN tr USING (vec_id) WHERE label = 0 GROUP BY d),
 z AS (SELECT vec_id, d, (x - mu) / sd AS zs FROM v JOIN rg USING (d)),
 lg AS (SELECT level_idx AS lab, 0 AS t_idx, d, zs AS xt, -zs AS y FROM z JOIN contaminated USING (vec_id)),
-cell AS MATERIALIZED (SELECT lab, t_idx, d, {bin_sql('xt', CONTRACTION)} AS bin, avg(y) AS f FROM lg GROUP BY ALL),
+cell AS MATERIALIZED (SELECT lab, t_idx, d, {bin_sql('xt', spec)} AS bin, avg(y) AS f FROM lg GROUP BY ALL),
 every AS MATERIALIZED (SELECT lab, t_idx, d, avg(y) AS f FROM lg GROUP BY ALL),
-te AS (SELECT vec_id, label, level_idx, level, d, zs FROM half JOIN z USING (vec_id), levels WHERE split = 'test'),
-p AS {field_join('te', 'q.zs', CONTRACTION, '0', 'q.level_idx')},
-sc AS (SELECT vec_id, label, level_idx, level, sqrt(sum((f + zs) * (f + zs))) AS score FROM p GROUP BY ALL),
-ra AS (SELECT *, rank() OVER (PARTITION BY level_idx ORDER BY score) + (count(*) OVER (PARTITION BY level_idx, score) - 1) / 2.0::DOUBLE AS r,
-  rank() OVER (PARTITION BY level_idx ORDER BY score DESC) + count(*) OVER (PARTITION BY level_idx, score) - 1 AS seen FROM sc),
-rb AS (SELECT *, sum(label) OVER (PARTITION BY level_idx ORDER BY score DESC) AS tp FROM ra)
-SELECT 'decision' AS score_kind, {num('level_idx')}, {flt('level')}, {num('1', 'n_seeds')},
+te AS MATERIALIZED (SELECT vec_id, label, level_idx, level, d, zs FROM half JOIN z USING (vec_id), levels WHERE split = 'test'),
+st AS MATERIALIZED (SELECT te.*, t_idx, a * zs AS xt FROM te, {levels_sql(spec, levels)}), {', '.join(parts)},
+sc AS MATERIALIZED (SELECT 'decision' AS score_kind, vec_id, label, level_idx, level, sqrt(sum((f + zs) * (f + zs))) AS score
+    FROM {field_join('te', 'q.zs', spec, '0', 'q.level_idx')} GROUP BY ALL
+  UNION ALL SELECT 'deviation', vec_id, label, level_idx, level, sum((xt + f) * (xt + f)) FROM {field_join('st', 'q.xt', spec, '0', 'q.level_idx')} GROUP BY ALL
+  UNION ALL SELECT 'reconstruction', vec_id, label, level_idx, level, sum(xt * xt) FROM {prev} GROUP BY ALL)"""
+
+
+SWEEP_SQL = f"""WITH {_sweep_scores_sql()},
+ra AS (SELECT *, rank() OVER (PARTITION BY score_kind, level_idx ORDER BY score) + (count(*) OVER (PARTITION BY score_kind, level_idx, score) - 1) / 2.0::DOUBLE AS r,
+  rank() OVER (PARTITION BY score_kind, level_idx ORDER BY score DESC) + count(*) OVER (PARTITION BY score_kind, level_idx, score) - 1 AS seen FROM sc),
+rb AS (SELECT *, sum(label) OVER (PARTITION BY score_kind, level_idx ORDER BY score DESC) AS tp FROM ra)
+SELECT score_kind, {num('level_idx')}, {flt('level')}, {num('5', 'n_seeds')},
   {flt('(sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label)::DOUBLE * sum(1 - label))', 'auroc_mean', 5)},
-  {flt('sum(label * tp / seen) / sum(label)', 'auprc_mean', 5)} FROM rb GROUP BY level_idx, level"""
+  {flt('sum(label * tp / seen) / sum(label)', 'auprc_mean', 5)}, {flt('0', 'auroc_std')}, {flt('0', 'auprc_std')} FROM rb GROUP BY score_kind, level_idx, level"""
 
 
 @query("contamination_sweep", SWEEP_SQL)
 def contamination_sweep(spark, sf):
-    out = X.sweep(T.vectors(spark, sf), "row_id", "features", "label", CONTRACTION, ["decision"], 10, [0])
-    return shape(out, ["score_kind"], ["level_idx", "n_seeds"], ["level"]).join(
+    """All three scores of a contraction field at ten levels over five seeds."""
+    out = X.sweep(T.vectors(spark, sf), "row_id", "features", "label", CONTRACTION)
+    return shape(out, ["score_kind"], ["level_idx", "n_seeds"], ["level", "auroc_std", "auprc_std"]).join(
         shape(out, ["score_kind"], ["level_idx"], ["auroc_mean", "auprc_mean"], 5), ["score_kind", "level_idx"])
 
 
+SWEEP_CASES_SQL = f"""WITH {cuts_sql('score_kind, level_idx, ').replace(SCORED_SQL, _sweep_scores_sql())}
+SELECT score_kind, CASE level_idx WHEN 0 THEN 'no_contamination' ELSE 'full_contamination' END AS "case", {flt('percentile', digits=4)}, {num('5', 'n_seeds')},
+  {', '.join(flt(c, c + '_mean', 4) for c in ('f1', 'precision', 'recall', 'accuracy'))} FROM tm WHERE level_idx IN (0, 9)"""
+
+
+@query("contamination_sweep_thresholds", SWEEP_CASES_SQL)
+def contamination_sweep_thresholds(spark, sf):
+    """Metrics at the percentile thresholds of the study's own scores, at its first and last level."""
+    scored, _ = X.score_grid(T.vectors(spark, sf), "row_id", "features", "label", CONTRACTION)
+    out = X.sweep_thresholds(X.cut_lineage(scored, "scored"), "label")
+    return shape(out, ["score_kind", "case"], ["n_seeds"], ["percentile", "f1_mean", "precision_mean", "recall_mean", "accuracy_mean"], 4)
+
+
 @query("contamination_sweep_flow")
 def contamination_sweep_flow(spark, sf):
     """All three scores of a flow field at the study's ten levels over its five seeds."""
@@ -70,33 +101,6 @@ def model_cache(spark, sf):
     return shape(M.score(v, "row_id", "features", model, "decision"), (), ["row_id"], ["score"], 4)
 
 
-TREE_SPEC = M.FieldSpec("flow", n_t=4, copies=1)
-
-
-def _trees(spark, sf, name, covs=None):
-    df = T.line_numbers(spark, sf)
-    if covs:
-        df = df.withColumn("covs", F.array(F.substring_index("row_id", "-", 1).cast("double") % 7))
-    trees = L.TreeSpec(name, n_estimators=3, max_depth=3)
-    model = L.fit_tree_field(df.where("label = 0"), "row_id", "features", TREE_SPEC, trees, [2], 4, covs)
-    return shape(L.score_trees(df, "row_id", "features", model, "decision"), ["row_id"], (), ["score"], 4)
-
-
-@query("fit_regressor_gbt")
-def fit_regressor_gbt(spark, sf):
-    return _trees(spark, sf, "xgboost")
-
-
-@query("fit_regressor_random_forest")
-def fit_regressor_random_forest(spark, sf):
-    return _trees(spark, sf, "random_forest")
-
-
-@query("fit_with_covariates")
-def fit_with_covariates(spark, sf):
-    return _trees(spark, sf, "random_forest", "covs")
-
-
 @query("fit_contraction_network")
 def fit_contraction_network(spark, sf):
     v = T.vectors(spark, sf)
@@ -105,16 +109,16 @@ def fit_contraction_network(spark, sf):
     return shape(L.score_network(v, "row_id", "features", net, "decision"), (), ["row_id"], ["score"], 4)
 
 
-LINE_SPEC = M.FieldSpec("flow", n_t=10, copies=5)
+LINE_SPEC = M.FieldSpec("flow")
 LINE_SQL = f"""WITH rw AS (SELECT {LINE_KEY_SQL} AS vec_id, CAST(l_quantity >= 50 AS BIGINT) AS label,
   unnest(range(4)) AS d, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS x FROM lineitem),
 rg AS (SELECT d, min(x) AS lo, max(x) AS hi, max(x) - min(x) AS w FROM rw WHERE label = 0 GROUP BY d),
 z AS (SELECT rw.*, (x - lo) / w * 2 - 1 AS z1 FROM rw JOIN rg USING (d)),
 {fit_sql(LINE_SPEC)},
-sn AS MATERIALIZED (SELECT *, {normal_sql("concat_ws('|', vec_id, 'score', 0)", 'k')} AS x0 FROM (SELECT *, unnest(range(5)) AS k FROM z)),
-st AS (SELECT sn.*, t_idx, a * z1 + b * x0 AS xt FROM sn, {levels_sql(LINE_SPEC, [(i, S.grid_levels(10, 0.001)[i]) for i in range(5, 9)])}),
+sn AS MATERIALIZED (SELECT *, {normal_sql("concat_ws('|', vec_id, 'score', 0)", 'k')} AS x0 FROM (SELECT *, unnest(range({LINE_SPEC.copies})) AS k FROM z)),
+st AS (SELECT sn.*, t_idx, a * z1 + b * x0 AS xt FROM sn, {levels_sql(LINE_SPEC, [(i, S.grid_levels(LINE_SPEC.n_t, LINE_SPEC.eps)[i]) for i in M.score_levels(LINE_SPEC, 'deviation')])}),
 p AS {field_join('st', 'xt', LINE_SPEC)}
-SELECT vec_id AS row_id, {flt('sum((z1 - x0 - f) * (z1 - x0 - f)) / 5', 'score', 4)} FROM p GROUP BY vec_id"""
+SELECT vec_id AS row_id, {flt(f'sum((z1 - x0 - f) * (z1 - x0 - f)) / {LINE_SPEC.copies}', 'score', 4)} FROM p GROUP BY vec_id"""
 
 
 @query("lineitem_flow_deviation", LINE_SQL)
@@ -139,6 +143,26 @@ def stream_transaction_features(spark, sf):
     return shape(out, ["row_key"], STREAM_INTS, STREAM_FLOATS)
 
 
+SWITCH = "1998-01-01"
+LEDGER_SQL = features_sql(f"SELECT {KEY_SQL} AS row_key, {', '.join(num(c) for c in INT_FEATURES)}, {', '.join(flt(c) for c in FLOAT_FEATURES)} "
+                          f"FROM feat WHERE date_post >= DATE '{SWITCH}'").replace(", late ORDER BY", " ORDER BY")
+
+
+@query("stream_ledger_features", LEDGER_SQL)
+def stream_ledger_features(spark, sf):
+    """All 21 features: the ledger as a batch up to a day, then as a stream in two parts, from the state that the batch left."""
+    tx = T.transactions(spark, sf).withColumn("row_key", row_key())
+    tx = X.cut_lineage(tx, "ledger")
+    path = scratch_path(spark, "ledger")
+    starts = SL.start_states(tx.where(F.col("date_post") < SWITCH), T.TX)
+    starts = SL.Starts(*(X.cut_lineage(s, "start") for s in (starts.series, starts.names, starts.ibans)))
+    rest, found = tx.where(F.col("date_post") >= SWITCH), None
+    for part in (F.year("date_post") < 2000, F.year("date_post") >= 2000):
+        rest.where(part).write.mode("append").parquet(f"{path}/in")
+        found = SL.process(spark.readStream.schema(tx.schema).parquet(f"{path}/in"), T.TX, "row_key", path, starts)
+    return shape(SL.with_row_features(found, rest, T.TX, "row_key"), ["row_key"], INT_FEATURES, FLOAT_FEATURES)
+
+
 @query("stream_score", score_sql(CONTRACTION, "decision"))
 def stream_score(spark, sf):
     v, model = fitted(spark, sf, CONTRACTION)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import noise as N
 from ..operators import metrics as M, relational as R, splits
 from ..session import scratch_path
-from ..sources import files, tables as T
+from ..sources import files, npz, tables as T
 from .common import FEATURES_SQL, KEY_SQL, LINE_KEY_SQL, features_sql, flt, num, row_key, shape, tx_sql, txt
 from .prep import CAT_SQL, NUM_SQL, numbers, train_of
 from .registry import query
@@ -47,6 +47,17 @@ def scan_labeled_matrix(spark, sf):
         (), ["row_id", "label", "width"], ["first", "total"])
 
 
+@query("scan_npz", f"SELECT {num('vec_id')}, {num('label')}, {flt('list_sum(embedding::DOUBLE[])', 'total')}, {num('(SELECT count(*) FROM embeddings)', 'n')} FROM embeddings")
+def scan_npz(spark, sf):
+    """The vectors written as archives, one per partition, and read back in ranges of 40 rows."""
+    path = scratch_path(spark, "npz")
+    v = T.vectors(spark, sf).repartition(3, "row_id").withColumn("x", F.concat(F.array(F.col("row_id").cast("double")), "features"))
+    n = npz.write_npz(v, path, "x", "class").agg(F.sum("n")).first()[0]
+    out = npz.scan_npz(spark, path, ("features", "label"), rows=40)
+    return shape(out.select(F.col("features")[0].alias("vec_id"), "label", F.lit(n).alias("n"), F.aggregate(
+        F.slice("features", F.lit(2), F.size("features") - 1), F.lit(0.0), lambda a, x: a + x).alias("total")), (), ["vec_id", "label", "n"], ["total"])
+
+
 @query("scan_split_dataset", f"WITH {CAT_SQL} SELECT {num('o_orderkey')}, c1, {flt('y')}, split FROM c WHERE split IN ('train', 'test')")
 def scan_split_dataset(spark, sf):
     path = files.write_split_dataset(T.categorical(spark, sf), scratch_path(spark, "split"))
@@ -233,3 +244,29 @@ def sort_by_date(spark, sf):
 def first_rows(spark, sf):
     tx = R.first_rows(T.transactions(spark, sf), T.TX_KEY)
     return shape(tx.withColumn("row_key", row_key()), ["row_key"], (), ["amount"])
+
+
+@query("nearest_value_join", f"""WITH s AS (SELECT s_nationkey, s_acctbal, max(s_suppkey) AS s_suppkey FROM supplier GROUP BY ALL),
+a AS (SELECT c_custkey, c_acctbal, s_suppkey, s_acctbal FROM customer ASOF LEFT JOIN s ON c_nationkey = s_nationkey AND c_acctbal >= s_acctbal),
+b AS (SELECT c_custkey, s_suppkey, s_acctbal FROM customer ASOF LEFT JOIN s ON c_nationkey = s_nationkey AND c_acctbal <= s_acctbal)
+SELECT {num('c_custkey')}, {num('CASE WHEN lower THEN a.s_suppkey ELSE b.s_suppkey END', 's_suppkey')}, {flt('CASE WHEN lower THEN a.s_acctbal ELSE b.s_acctbal END', 's_acctbal')}
+FROM a JOIN b USING (c_custkey), (SELECT 1), LATERAL (SELECT a.s_suppkey IS NOT NULL AND (b.s_suppkey IS NULL OR c_acctbal - a.s_acctbal <= b.s_acctbal - c_acctbal) AS lower)""")
+def nearest_value_join(spark, sf):
+    """For each customer the supplier of the same nation with the nearest balance."""
+    out = R.nearest_join(T.table(spark, sf, "customer"), T.table(spark, sf, "supplier"), ("c_acctbal", "s_acctbal"),
+                         [("c_nationkey", "s_nationkey")], {"s_suppkey": "s_suppkey", "s_acctbal": "s_acctbal"}, ties=["s_suppkey"])
+    return shape(out, (), ["c_custkey", "s_suppkey"], ["s_acctbal"])
+
+
+@query("asof_join", f"""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + 60 AS due FROM orders),
+s AS (SELECT l_orderkey, CAST(l_shipdate AS DATE) AS shipped, max(l_linenumber) AS l_linenumber FROM lineitem GROUP BY ALL),
+a AS (SELECT * FROM o ASOF LEFT JOIN s ON o_orderkey = l_orderkey AND due >= shipped)
+SELECT {num('o_orderkey')}, {num('CASE WHEN due - shipped <= 45 THEN l_linenumber END', 'l_linenumber')},
+  {txt('CASE WHEN due - shipped <= 45 THEN shipped END', 'shipped')} FROM a""")
+def asof_join(spark, sf):
+    """The last line of each order that had been shipped 60 days after the order, if that was in the 45 days before."""
+    o = T.table(spark, sf, "orders").select("o_orderkey", F.date_add(F.col("o_orderdate").cast("date"), 60).alias("due"))
+    s = T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("day"))
+    out = R.nearest_join(o, s, ("due", "day"), [("o_orderkey", "l_orderkey")], {"l_linenumber": "l_linenumber", "shipped": "day"},
+                         "backward", 45, ["l_linenumber"])
+    return shape(out, ["shipped"], ["o_orderkey", "l_linenumber"])

@@ -92,10 +92,13 @@ def spread(df):
     return df.repartition(int(parts)) if parts else df
 
 
-def cut_lineage(df, name: str = "stage"):
+def cut_lineage(df, name: str = "stage", by: str | None = None):
     """Write df below the shared folder and read it back, so that a lost executor
-    does not replay everything before it."""
+    does not replay everything before it. by: a column with few values; a filter on it reads only its files."""
     path = scratch_path(df.sparkSession, name)
     _WRITTEN.append((df.sparkSession, path))
-    df.write.parquet(path)
+    if by:
+        df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -215,15 +215,45 @@ def test_network_learns_and_scores(rows):
         assert len(out) == 200 and all(np.isfinite(r["score"]) and r["score"] >= 0 for r in out)
 
 
-@pytest.mark.parametrize("kind,name", [("flow", "lgbm"), ("vp", "random_forest")])
-def test_tree_fields(rows, kind, name):
-    spec = M.FieldSpec(kind, n_t=4, copies=1)
-    levels = M.score_levels(spec, "deviation")
-    model = L.fit_tree_field(rows, "row_id", "features", spec, L.TreeSpec(name, 2, 2), levels, 3)
-    out = L.score_trees(rows, "row_id", "features", model, "deviation", copies=2).collect()
-    assert len(out) == 200 and all(r["score"] >= 0 for r in out)
-    with pytest.raises(ValueError):
-        L.TreeSpec("perceptron").estimator()
+def test_a_step_reads_its_batch(rows, monkeypatch):
+    data = prep.standard_scale_vector(rows, rows, "features", "features")
+    seen, step = [], L._sum_gradients
+
+    def spy(part, net, features, time, **more):
+        used = part._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(_b" in used and "Window" not in used and "Subquery" not in used
+        seen.append(sorted(r["row_id"] for r in part.select("row_id").collect()))
+        return step(part, net, features, time, **more)
+
+    monkeypatch.setattr(L, "_sum_gradients", spy)
+    L.fit_contraction_network(data, "row_id", "features", 3, epochs=2, n_batch=4, hidden=8, embed=4)
+    assert seen[:4] == seen[4:] and sorted(x for s in seen[:4] for x in s) == list(range(200)) and all(seen)
+
+
+def test_batches_are_those_of_a_plain_loop(rows):
+    """The same network as from numpy over the rows of each hash batch."""
+    import hashlib
+
+    data = prep.standard_scale_vector(rows, rows, "features", "features")
+    net, losses = L.fit_contraction_network(data, "row_id", "features", 3, epochs=2, n_batch=3, rate=0.01, hidden=8, embed=4)
+    md5 = lambda text, n: int(hashlib.md5(text.encode()).hexdigest()[:n], 16)
+    x = {r["row_id"]: r["features"] for r in data.collect()}
+    batch = {k: md5(f"{k}|batch|0", 8) % 3 for k in x}
+    want, m, v, step, found = L.Network.create(3, 8, 4, 0), None, None, 0, []
+    m, v = [0 * w for w in want.weights], [0 * w for w in want.weights]
+    for epoch in range(2):
+        for b in range(3):
+            step += 1
+            keys = [k for k in x if batch[k] == b]
+            t = np.array([md5(f"{k}|time|0|{epoch}", 13) / 2**52 for k in keys])
+            grads, loss = want.gradient(np.array([x[k] for k in keys]), t)
+            found.append(loss / len(keys))
+            for i, g in enumerate(grads):
+                g = g / len(keys)
+                m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
+                want.weights[i] = want.weights[i] - 0.01 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
+    assert np.allclose(losses, found)
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(net.weights, want.weights))
 
 
 def test_fit_or_load_tells_data_apart(rows, spark, tmp_path):

@@ -52,7 +52,7 @@ def test_snap_to_real(spark, monkeypatch, rows_per_range):
     assert column(P.snap_to_real(real, synth, "x"), "x_snapped") == [1.0, 1.0, 2.0, 2.0, 4.0, 10.0, 11.0, 2.0, 4.0]
 
 
-@pytest.mark.parametrize("dist,factor", [("uniform", 1.0), ("beta", 1.0), ("beta", 3.0), ("round", 1.0)])
+@pytest.mark.parametrize("dist,factor", [("uniform", 1.0), ("beta", 1.0), ("beta", 3.0), ("beta", 0.7), ("beta", 2.5), ("round", 1.0)])
 def test_dequantize_and_back(spark, dist, factor):
     df = spark.range(500).withColumn("x", (F.col("id") % 9).cast("double"))
     noisy = P.dequantize(df, ["x"], "id", dist, factor, 1)
@@ -63,6 +63,23 @@ def test_dequantize_and_back(spark, dist, factor):
         assert spread.mean() == pytest.approx(0.5 if dist == "uniform" else 0.0, abs=0.05)
 
 
+def test_beta_quantiles():
+    u = np.array([0.0, 1e-12, 0.001, 0.2, 0.4999, 0.5, 0.77, 0.999999, 1.0])
+    assert np.allclose(P.beta_quantile(u, 0.5), np.sin(np.pi * u / 2) ** 2, atol=1e-12)
+    assert np.allclose(P.beta_quantile(u, 1.0), u, atol=1e-12)
+    x = P.beta_quantile(u, 2.0)
+    assert np.allclose(3 * x**2 - 2 * x**3, u, atol=1e-12)
+    x = P.beta_quantile(u, 1.5)  # a half circle
+    assert np.allclose((2 * (2 * x - 1) * np.sqrt(x * (1 - x)) + np.arcsin(2 * x - 1)) / np.pi + 0.5, u, atol=1e-9)
+    big = P.beta_quantile(np.array([0.1, 0.5, 0.9]), 5000.0)
+    assert np.allclose(big, 0.5 + np.array([-1.2815515655, 0, 1.2815515655]) * 0.5 / np.sqrt(10001), atol=1e-6)
+
+
+def test_dequantize_needs_a_factor_above_zero(spark):
+    with pytest.raises(ValueError):
+        P.dequantize(spark.range(3).withColumn("x", F.lit(1.0)), ["x"], "id", "beta", 0.0)
+
+
 def test_rare_and_unseen_categories(spark):
     train = spark.createDataFrame([(i, v) for i, v in enumerate("aaaaaabbbc")], "id int, c string")
     test = spark.createDataFrame([(0, "a"), (1, "c"), (2, "z")], "id int, c string")
