@@ -53,6 +53,14 @@ def test_no_python_in_the_plan(spark):
     assert not re.search("Python|Arrow|Pandas", plan) and "Exchange" not in plan
 
 
+def test_a_filter_copies_no_rule(spark):
+    docs = spark.createDataFrame([(1, "a", "en")], "doc_id long, text string, lang string").repartition(2)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = Q.ledger(docs)
+    for frame in (rows, rows.where(~Q.fails("2")).select("doc_id", "text", "lang"), Q.apply_policy(rows, "2").where("kept")):
+        assert plan(frame).count("xxhash64") == plan(rows).count("xxhash64") == 4
+
+
 @pytest.mark.parametrize("policy", list(Q.POLICIES))
 def test_masks(policy):
     assert bin(Q.mask_of(policy)).count("1") == len(Q.POLICIES[policy])
