@@ -31,12 +31,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest key, once if its row is repeated."""
-    kept = minhash_join.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
+    """One document of each group of near copies: the one with the smallest key.
+
+    Rows are told apart by key and text. Equal rows count as one document; different texts under one key stay or go together, and
+    stay if any of them is the one of its group. Rows without a key take part in links and are all kept: nothing names the one to keep."""
+    kept = minhash_join.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = written(kept, "kept")
     once = having(docs, kept.where("n = 1").select("doc_id"), "doc_id")
-    repeated = having(docs, kept.where("n > 1").select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
-    return once.union(repeated).select(*docs.columns)
+    repeated = having(docs, kept.where("n > 1").select("doc_id"), "doc_id").dropDuplicates(["doc_id", "text"])
+    return once.union(repeated).union(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
