@@ -54,3 +54,15 @@ def test_every_stage(spark, tmp_path):
 
     pieces = [r.asDict() for r in P.run(spark, str(tmp_path)).collect()]
     check([(r[0], r[1]) for r in want], pieces, 1024)
+
+
+def test_near_duplicates_by_row(spark):
+    words = text(random.Random(9), "aa", 60)
+    other, third = text(random.Random(10), "bb", 60), text(random.Random(11), "cc", 60)
+    rows = [(1, words), (2, words + " x"), (None, words + " y"), (7, other), (7, third), (7, third), (None, other + " z"), (9, third)]
+    docs = spark.createDataFrame([(k, t, "aa", "s", len(t)) for k, t in rows], COLUMNS)
+    got = P.near_duplicates(spark, docs, "")
+    order = lambda r: (r[0] is not None, r)
+    assert got.schema == docs.schema
+    assert sorted(((r[0], r[1]) for r in got.collect()), key=order) == sorted(
+        [(1, words), (None, words + " y"), (7, other), (7, third), (None, other + " z")], key=order)
