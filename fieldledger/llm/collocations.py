@@ -27,11 +27,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .bitmap import bitmap, has
-from .common import mixed, written
+from .common import mixed, release, written
 
 UNKNOWN = "und"
 LONGEST = 4
-SHARDS = 8
+SHARDS = 5
 #: A candidate goes if its words lie in a longer one with so many hundredths of its occurrences.
 ABSORBED = 80
 #: log2 of the bits of the bitmaps of words, and of phrases (8 and 32 MB).
@@ -161,20 +161,36 @@ def _tasks(docs: DataFrame, run: Callable[[Block, int], Iterator[pa.RecordBatch]
 
 
 def _word_counts(block: Block, shard: int) -> Iterator[pa.RecordBatch]:
-    cell = block.language.astype(np.int64) * len(block.words) + block.id
-    cell, n = np.unique(cell[block.id > 0], return_counts=True)
-    language, word = np.divmod(cell, len(block.words))
+    n = np.bincount(block.language.astype(np.int64) * len(block.words) + block.id, minlength=len(block.names) * len(block.words))
+    n = n.reshape(len(block.names), -1)
+    n[:, 0] = n[:, 1:].sum(axis=1)  # in place of the border: all words of the language
+    language, word = np.nonzero(n)
+    words = [BORDER + bytes([shard]), *block.words[1:]]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(block.names, pa.string()).take(pa.array(language)), pa.array(block.words, pa.binary()).take(pa.array(word)),
-         pa.array(mixed(block.hashes[word] ^ block.seeds[language]).view(np.int64)), pa.array(np.full(len(cell), shard, np.int32)),
-         pa.array(n)], names=["lang", "word", "key", "shard", "n"])
+        [pa.array(block.names, pa.string()).take(pa.array(language)), pa.array(words, pa.binary()).take(pa.array(word)),
+         pa.array(n[language, word])], names=["lang", "word", "n"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, word (binary), key, f and s0, s1, ...: the occurrences of every word, overall and per shard."""
-    rows = _tasks(docs, _word_counts, "lang string, word binary, key long, shard int, n long")
-    return rows.groupBy("lang", "word").agg(F.first("key").alias("key"), F.sum("n").alias("f"), *(
-        F.sum(F.when(F.col("shard") == s, F.col("n")).otherwise(0)).alias(f"s{s}") for s in range(SHARDS)))
+    """lang, word (binary), f: the occurrences of every word, and under BORDER and the shard's number those of all words of a shard."""
+    rows = _tasks(docs, _word_counts, "lang string, word binary, n long")
+    return rows.groupBy("lang", "word").agg(F.sum("n").alias("f"))
+
+
+def _is_total() -> Column:
+    return F.col("word").startswith(F.lit(bytearray(BORDER)))
+
+
+def word_keys(words: DataFrame) -> DataFrame:
+    """key of every (lang, word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("lang").to_pylist(), batch.column("word").to_pylist())
+            flat = np.array([xxhash.xxh3_64_intdigest(w) ^ xxhash.xxh3_64_intdigest(x.encode()) for x, w in rows], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(flat).view(np.int64))], names=["key"])
+
+    return words.select("lang", "word").mapInArrow(run, "key long")
 
 
 def _cell(seed: int, shard: int) -> int:
@@ -182,19 +198,18 @@ def _cell(seed: int, shard: int) -> int:
     return (seed >> 8 << 8 | shard) - (1 << 63)
 
 
-def local_supports(words: DataFrame, support: int) -> DataFrame:
-    """cell, least: the occurrences in a shard of a language that make a phrase locally frequent. Over the shards of a
-    language (least - 1) sums up to less than `support`."""
-    sums = words.groupBy("lang").agg(F.sum("f").alias("n"), *(F.sum(f"s{s}").alias(f"s{s}") for s in range(SHARDS)))
+def local_supports(totals: DataFrame, support: int) -> DataFrame:
+    """cell, least: the occurrences in a shard of a language that make a phrase locally frequent, from (lang, shard, f). Over the
+    shards of a language (least - 1) sums up to less than `support`."""
 
-    @F.udf("array<long>")
-    def cells(lang):
-        seed = xxhash.xxh3_64_intdigest(lang.encode())
-        return [_cell(seed, s) for s in range(SHARDS)]
+    @F.udf("long")
+    def cell(lang, shard):
+        return _cell(xxhash.xxh3_64_intdigest(lang.encode()), shard)
 
-    share = F.array(*(F.ceil(F.lit(support) * F.col(f"s{s}").cast("decimal(20,0)") / F.col("n")).cast("long") for s in range(SHARDS)))
-    rows = sums.select(F.explode(F.arrays_zip(cells("lang").alias("cell"), share.alias("least"))).alias("x"))
-    return rows.select("x.cell", "x.least").groupBy("cell").agg(F.greatest(F.min("least"), F.lit(1)).alias("least"))
+    whole = totals.groupBy("lang").agg(F.sum("f").alias("n"))
+    share = F.ceil(F.lit(support) * F.col("f").cast("decimal(20,0)") / F.col("n")).cast("long")
+    rows = totals.join(whole, "lang").select(cell("lang", "shard").alias("cell"), share.alias("least"))
+    return rows.groupBy("cell").agg(F.greatest(F.min("least"), F.lit(1)).alias("least"))
 
 
 def mined(docs: DataFrame, supports: DataFrame, sizes: tuple[int, ...], word_bits, pair_bits=None) -> DataFrame:
@@ -249,11 +264,16 @@ def frequent_phrases(docs: DataFrame, support: int = 30, text: str = "text", lan
         raise ValueError("support must be at least 1")
     rows = docs.select(F.col(text).cast("binary").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"))
     send = docs.sparkSession.sparkContext.broadcast
-    words = written(word_counts(rows), "words")
-    supports = written(local_supports(words, support), "supports")
-    word_bits = send(bitmap(words.where(F.col("f") >= support), "key", WORD_BITS))
+    counts = written(word_counts(rows), "words")
+    words = counts.where(~_is_total())
+    shard = F.conv(F.hex(F.substr("word", F.lit(2))), 16, 10).cast("int")
+    supports = written(local_supports(counts.where(_is_total()).select("lang", shard.alias("shard"), "f"), support), "supports")
+    word_bits = send(bitmap(word_keys(words.where(F.col("f") >= support)), "key", WORD_BITS))
+    release(docs.sparkSession)
     pair_bits = send(bitmap(mined(rows, supports, (2,), word_bits), "key", PHRASE_BITS))
+    release(docs.sparkSession)
     long_bits = send(bitmap(mined(rows, supports, tuple(range(3, LONGEST + 1)), word_bits, pair_bits), "key", PHRASE_BITS))
+    release(docs.sparkSession)
     phrases = phrase_counts(rows, word_bits, pair_bits, long_bits).where(F.col("a") >= support)
     return words, written(phrases, "phrases")
 

@@ -82,10 +82,9 @@ def test_one_shard_may_hold_all_and_none(spark):
 
 
 def test_local_supports_sum_below_the_support(spark):
-    words = spark.createDataFrame([("en", b"a", 0, 100, *([13] * 7 + [9])), ("de", b"a", 0, 7, 7, *[0] * 7)],
-                                  "lang string, word binary, key long, f long, " + ", ".join(f"s{i} long" for i in range(8)))
-    got = [r["least"] for r in C.local_supports(words, 30).collect()]
-    assert sorted(got) == sorted([4] * 7 + [3] + [30] + [1] * 7)
+    totals = [("en", i, 13) for i in range(7)] + [("en", 7, 9), ("de", 0, 7)] + [("fr", i, 1) for i in range(60)]
+    rows = C.local_supports(spark.createDataFrame(totals, "lang string, shard int, f long"), 30).collect()
+    assert sorted(r["least"] for r in rows) == sorted([4] * 7 + [3] + [30] + [1] * 60) and len({r["cell"] for r in rows}) == len(totals)
 
 
 def test_empty_table(spark):
