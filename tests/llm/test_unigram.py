@@ -79,10 +79,11 @@ def segmentations(vocab, text, alpha):
     return {k: s - total for k, s in out.items()}
 
 
-def test_samples_follow_the_distribution():
+@pytest.mark.parametrize("text", ["tenö", "at to"])
+def test_samples_follow_the_distribution(text):
     alpha, n = 0.3, 6000
-    exact = segmentations(VOCAB, "tenö", alpha)
-    found = G.sampled(VOCAB, ["tenö"] * n, [7919 * i + 1 for i in range(n)], 3, alpha)
+    exact = segmentations(VOCAB, text, alpha)
+    found = G.sampled(VOCAB, [text] * n, [7919 * i + 1 for i in range(n)], 3, alpha)
     first, pairs, inclusion = {}, {}, {}
     for samples in found:
         keys = [tuple(s["ids"].tolist()) for s in samples]
@@ -103,10 +104,13 @@ def test_samples_follow_the_distribution():
 
 
 def test_all_segmentations_are_found_once():
-    exact = segmentations(VOCAB, "at", 1.0)
-    [samples] = G.sampled(VOCAB, ["at"], [5], 500, 1.0)
-    assert {tuple(s["ids"].tolist()) for s in samples} == set(exact) and len(samples) == len(exact)
-    assert all(s["inclusion"] == 1 for s in samples)
+    for text in ("at", "at tö a"):
+        exact = segmentations(VOCAB, text, 1.0)
+        [samples] = G.sampled(VOCAB, [text], [5], 5000, 1.0)
+        found = {tuple(s["ids"].tolist()): s["log_prob"] for s in samples}
+        assert set(found) == set(exact) and len(samples) == len(exact)
+        assert all(v == pytest.approx(exact[k], abs=1e-9) for k, v in found.items())
+        assert all(s["inclusion"] == 1 for s in samples)
 
 
 def test_round_trip_and_seeds(spark):
@@ -122,5 +126,5 @@ def test_round_trip_and_seeds(spark):
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet=st.characters(codec="utf-8"), max_size=80))
 def test_decode_inverts(text):
-    for s in G.sampled(VOCAB, [text], [1], 3, .5)[0]:
+    for s in next(G.sampled(VOCAB, [text], [1], 3, .5)):
         assert VOCAB.decode(s["ids"].tolist()) == text.replace(U.SPACE, " ")
