@@ -44,14 +44,14 @@ def hash_cuts(df: DataFrame, hash_col: str, ranks: DataFrame, group: Sequence[st
 
     ranks: group columns and `rank`. Returns group columns, rank and `cut`; ranks below 1 give
     no row. Four hex digits make 65,536 prefixes; only the prefixes that hold a wanted rank
-    are sorted."""
+    are sorted. The wanted ranks (a few per group) are broadcast: a join on the group would send its rows to one task."""
     group = list(group)
     pre = F.substring(F.col(hash_col), 1, 4)
     counts = df.groupBy(*group, pre.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*group).orderBy("_p")
     counts = counts.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     wanted = ranks.groupBy(*group).agg(F.collect_set("rank").alias("_ranks"))
-    joined = counts.join(wanted, group) if group else counts.withColumn("_ranks", wanted.drop(*group).scalar())
+    joined = counts.join(F.broadcast(wanted), group) if group else counts.withColumn("_ranks", wanted.drop(*group).scalar())
     holds = joined.select(
         *group, "_p",
         F.explode(F.filter("_ranks", lambda r: (r > F.col("_cum") - F.col("_c")) & (r <= F.col("_cum"))))
@@ -60,7 +60,7 @@ def hash_cuts(df: DataFrame, hash_col: str, ranks: DataFrame, group: Sequence[st
     )
     inside = (
         df.withColumn("_p", pre)
-        .join(holds.select(*group, "_p").distinct(), [*group, "_p"], "left_semi")
+        .join(F.broadcast(holds.select(*group, "_p").distinct()), [*group, "_p"], "left_semi")
         .withColumn("_rn", F.row_number().over(Window.partitionBy(*group, "_p").orderBy(hash_col)))
         .select(*group, "_p", "_rn", F.col(hash_col).alias("cut"))
     )
@@ -73,13 +73,13 @@ def hash_cuts(df: DataFrame, hash_col: str, ranks: DataFrame, group: Sequence[st
 def hash_fraction_split(
     df: DataFrame, key, group: str, seed, first_rows, names=("train", "test"),
 ) -> DataFrame:
-    """Exactly first_rows(n) rows of each group go to the first part."""
+    """Exactly first_rows(n) rows of each group go to the first part. The cuts, one row per group, are broadcast."""
     hashed = df.withColumn("_h", row_hash(key, seed))
     sizes = hashed.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     ranks = sizes.select(group, first_rows(F.col("_n")).cast("long").alias("rank"))
     cuts = hash_cuts(hashed, "_h", ranks, [group]).select(group, "cut")
     return (
-        hashed.join(cuts, group, "left")
+        hashed.join(F.broadcast(cuts), group, "left")
         .withColumn("split", F.when(F.col("_h") <= F.col("cut"), names[0]).otherwise(names[1]))
         .drop("_h", "cut")
     )

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +69,16 @@ def test_missing_rows(spark):
     assert [r["id"] for r in P.drop_any_missing_rows(df, "f", True).collect()] == [3]
     kept = P.drop_any_missing_rows(df, "f").collect()
     assert len(kept) == 3 and all(r["per_dimension"] for r in kept)
+
+
+def test_a_large_group_is_not_sent_to_one_task(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(1000).selectExpr("id", "cast(id % 50 = 0 as int) as label")
+        out = P.random_half_split(df, "id", "label")
+        assert not re.search(r"SortMergeJoin \[label#\d+\],", out._jdf.queryExecution().executedPlan().toString())
+        got = {(r["label"], r["split"]): r["count"] for r in out.groupBy("label", "split").count().collect()}
+        assert got == {(0, "train"): 490, (0, "test"): 490, (1, "train"): 10, (1, "test"): 10}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
