@@ -84,13 +84,14 @@ def contamination_sweep_flow(spark, sf):
 @query("model_cache", score_sql(CONTRACTION, "decision"))
 def model_cache(spark, sf):
     """Fit and save, then find the saved model by configuration and data, and score with it."""
-    v = T.vectors(spark, sf)
-    v = prep.standard_scale_vector(v.where("label = 0"), v, "features", "features")
-    train, folder = v.where("label = 0"), scratch_path(spark, "cache")
-    config = {"dataset": "vectors", "kind": "contraction", "seed": CONTRACTION.seed}
+    rows = T.vectors(spark, sf)
+    # the cache is asked with the rows as they are read: means over several tasks may differ in their last bits from run to run
+    train, folder = rows.where("label = 0"), scratch_path(spark, "cache")
+    v = prep.standard_scale_vector(train, rows, "features", "features")
+    config = {"dataset": "vectors", "kind": "contraction", "scaled": "standard", "seed": CONTRACTION.seed}
 
     def fit(d):
-        return M.fit_field(d, "row_id", "features", CONTRACTION)
+        return M.fit_field(prep.standard_scale_vector(d, d, "features", "features"), "row_id", "features", CONTRACTION)
 
     X.fit_or_load(train, "row_id", CONTRACTION, config, folder, fit)
 

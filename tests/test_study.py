@@ -1,4 +1,7 @@
 import inspect
+import random
+
+from pyspark.sql import functions as F
 
 from fieldledger import plans
 from fieldledger.operators import learners as L
@@ -23,3 +26,13 @@ def test_network_query_trains_at_the_learners_defaults(spark, sf, monkeypatch):
     monkeypatch.setattr(L, "fit_contraction_network", spy)
     study.fit_contraction_network(spark, sf)
     assert set(seen) == {"df", "key", "features", "dims"}
+
+
+def test_saved_model_is_found_though_means_differ_in_their_last_bits(spark, sf, monkeypatch):
+    from fieldledger.operators import prep
+    from fieldledger.plans import study
+
+    scale = prep.standard_scale_vector
+    shake = F.udf(lambda v: [x * (1.0 + 1e-13 * random.random()) for x in v], "array<double>").asNondeterministic()
+    monkeypatch.setattr(prep, "standard_scale_vector", lambda train, df, features, out: scale(train, df, features, out).withColumn(out, shake(out)))
+    assert study.model_cache(spark, sf).count() > 0
