@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +211,22 @@ def test_stream_equals_batch_on_missing_values(spark):
         out = stream.advance(state, (r["k"], r["d"], r["amount"], r["iban"], r["swift"], r["method"], r["channel"]))
         for n, v in zip(names, out[1:]):
             assert (v is None) == (r[n] is None) and (v is None or r[n] == pytest.approx(v, abs=1e-6)), (r["k"], n)
+
+
+def wide_exchanges(df) -> int:
+    """Shuffles that carry the rows themselves: their input holds a column that no total has."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return sum("part#" in columns for columns in re.findall(r"Exchange *\nInput \[\d+\]: \[([^\]]*)\]", plan))
+
+
+def test_rows_are_shuffled_once_per_kind_of_key(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = prior.cut_lineage(frame(spark, [row(i, i % 28 + 1, iban=f"i{i % 3}") for i in range(40)]))
+        assert wide_exchanges(prior.counterparty_features(df, TX)) == 2
+        hot = prior.hot_keys(df, TX.series, TX.amount, 3)
+        # joined to the large series, for small and large ones; then by series or by chunk
+        assert wide_exchanges(prior.series_state(df, TX, hot=hot)) <= 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
