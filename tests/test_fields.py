@@ -353,3 +353,19 @@ def test_reconstruction_rounds_integers(spark):
     model = M.fit_field(df, "row_id", "features", M.FieldSpec("vp", n_t=6, copies=3))
     out = M.generate(df.select("row_id"), "row_id", model, int_positions=[0]).collect()
     assert all(r["generated"][0] == round(r["generated"][0]) for r in out)
+
+
+@pytest.mark.parametrize("kind", ["flow", "vp"])
+def test_affine_scores_and_moments_of_all_levels_at_once(spark, kind):
+    spec = M.FieldSpec(kind, "affine", n_t=6, copies=5)
+    rng = np.random.default_rng(3)
+    grid, x, c, noise = rng.normal(size=(6, 2, 4)), rng.random((7, 2)), rng.random((7, 1)), rng.normal(size=(7, 5, 2))
+    field = M.Arrays(grid, np.array([[0.0, 0.0], [2.0, 1.0], [2.0, 1.0]]))
+    z = field.unit(x)[:, None, :]
+    for which in ("deviation", "decision"):
+        levels, want = M._level_rows(spec, which), 0.0
+        for lv in levels:
+            guess = field.at(lv["i"], lv["a"] * z + lv["b"] * noise, spec, c)
+            want = want + ((z - noise - guess if kind == "flow" else (guess - noise) / lv["b"]) ** 2).sum(2)
+        assert np.allclose(M._affine_scores(z[:, 0], noise, field, spec, levels, c), want.mean(1), rtol=1e-12)
+        assert np.allclose(M.score_rows(x, noise, field, spec, which, levels, (), c), want.mean(1), rtol=1e-12)
