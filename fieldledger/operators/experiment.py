@@ -101,7 +101,7 @@ def nested_fit(normal: DataFrame, abnormal: DataFrame, n_levels: int, key: str,
             for at, lv in enumerate(levels):
                 v = lv["a"] * z + lv["b"] * x0
                 y = -v if contraction else z - x0 if spec.kind == "flow" else x0
-                cell = where + np.clip(np.floor((v + spec.span) * (spec.bins / (2.0 * spec.span))), 0, spec.bins - 1).astype(np.int64)
+                cell = where + np.clip((v + spec.span) * (spec.bins / (2.0 * spec.span)), 0, spec.bins - 1).astype(np.int64)
                 total[0, at] += np.bincount(cell, y, size)
                 total[1, at] += np.bincount(cell, minlength=size)
 
@@ -119,7 +119,7 @@ def nested_fit(normal: DataFrame, abnormal: DataFrame, n_levels: int, key: str,
             yield pd.DataFrame({"seed": seed, "t_idx": [levels[i]["i"] for i in t_idx], "d": dim[column], "step": step, "end": end[column].astype(int),
                                 "bin": at, "s": s[t_idx, cell], "n": n[t_idx, cell].astype("int64")})
 
-    step_rows = max(1, 1_000_000 // max(1, copies * len(flat)))
+    step_rows = max(1, fields.BLOCK // max(1, copies * len(flat)))
     words = [N.words(F.col(key).cast("string"), "fit", str(s)) for s in draws]
     packed = rows.select(F.col(features).alias("x"), "first", F.array(*words).alias("w")).select(
         "x", "first", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
@@ -159,7 +159,7 @@ def score_cases(test: DataFrame, key: str, features: str, model: fields.FieldMod
                 field = shared.value.get(f"{level}/{int(seed)}")
                 if field is None:
                     continue
-                step = max(1, 1_000_000 // (copies * field.dims(spec)))
+                step = max(1, (fields.BLOCK if spec.learner != "trees" else 1_000_000) // (copies * field.dims(spec)))
                 for i in range(0, len(x), step):
                     part = slice(i, i + step)
                     data, noise = fields._matrix(x.iloc[part]), None
