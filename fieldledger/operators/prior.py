@@ -145,7 +145,7 @@ def _histogram_median(histogram: Column) -> Column:
 
 
 def _chunked_series_state(
-    df: DataFrame, ledger: DataFrame, tx: TransactionColumns, modes: Sequence[str], sub_day: str | None
+    df: DataFrame, ledger: DataFrame, tx: TransactionColumns, modes: Sequence[str], sub_day: str | None, then: Sequence[str] = ()
 ) -> DataFrame:
     """The same state for series cut into chunks. df and ledger carry _center per series and its keys, ledger the rows without what
     has been joined to them; sub_day holds no null."""
@@ -154,7 +154,8 @@ def _chunked_series_state(
     key = [*series, *chunk]
     x = F.col(tx.amount) - F.col("_center")
     df = df.withColumns({"_day": day_key(tx), "_x": x, "_xx": x * x})
-    inside = _before(*key, order=tx.ties)
+    ties = [*tx.ties, *then]
+    inside = _before(*key, order=ties)
 
     # what the totals need of the ledger, read once per table below; rows are not joined to totals but for the one shuffle by chunk
     parts = ledger.withColumns({"_day": day_key(tx), "_x": x, "_xx": x * x})
@@ -213,14 +214,14 @@ def _chunked_series_state(
         v = tx.modes[m]
         out = out.withColumn("_v", F.when(F.col("_mark").isNull() | (F.col("_mark") == i), present(v)))
         own = Window.partitionBy(*key, "_v")
-        ordered = own.orderBy(last_marks, *tx.ties)
+        ordered = own.orderBy(last_marks, *ties)
         whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         count_now = F.coalesce(F.max(f"_c0_{m}").over(whole), F.lit(0)) + F.row_number().over(ordered)
         seen_first = F.coalesce(F.min(f"_f0_{m}").over(whole), F.min(F.when(~last_marks, first_row)).over(whole))
         out = out.withColumn(f"_cand_{m}", F.struct(
             (-count_now).cast("long").alias("c"), seen_first.alias("f"), F.col(v).alias("v"))).drop("_v", f"_c0_{m}", f"_f0_{m}")
     out = out.where("_mark is null").drop("_mark").join(carry if bests is None else carry.join(bests, key), key)
-    out = out.withColumn("_n1", (F.row_number().over(Window.partitionBy(*key).orderBy(*tx.ties)) - 1).cast("long"))
+    out = out.withColumn("_n1", (F.row_number().over(Window.partitionBy(*key).orderBy(*ties)) - 1).cast("long"))
     for m in modes:
         out = out.withColumn(f"_mode_{m}", F.least(f"_best_{m}", F.min(f"_cand_{m}").over(inside))["v"])
     out = out.drop(*(f"_cand_{m}" for m in modes), *(f"_best_{m}" for m in modes))
@@ -250,11 +251,12 @@ def _chunked_series_state(
 
 def series_state(
     df: DataFrame, tx: TransactionColumns, modes: Sequence[str] = ("iban", "swift", "method", "channel"),
-    hot: DataFrame | None = None, sub_day: str | None = None, base: DataFrame | None = None,
+    hot: DataFrame | None = None, sub_day: str | None = None, base: DataFrame | None = None, then: Sequence[str] = (),
 ) -> DataFrame:
     """df plus the state of its series before each row, in columns that begin with '_'.
 
-    hot: the series to cut into chunks, from hot_keys; base: df or what df was made from, for the totals of chunks."""
+    hot: the series to cut into chunks, from hot_keys; base: df or what df was made from, for the totals of chunks; then: columns of
+    df that order rows with equal ties in a chunk, as they were ordered before."""
     if hot is None:
         return _whole_series_state(df, tx, modes)
     keys = series_keys(tx.series)
@@ -263,20 +265,20 @@ def series_state(
     large = keyed.join(hot, list(keys))
     ledger = large if base is None else base.withColumns(keys).join(hot, list(keys))
     return _whole_series_state(small, tx, modes).unionByName(
-        _chunked_series_state(large, ledger, tx, modes, sub_day).drop(*keys))
+        _chunked_series_state(large, ledger, tx, modes, sub_day, then).drop(*keys))
 
 
 def series_features(
     df: DataFrame, tx: TransactionColumns, cutoff: Column | None = None,
     modes: Sequence[str] = ("iban", "swift", "method", "channel"),
-    hot: DataFrame | None = None, sub_day: str | None = None, base: DataFrame | None = None,
+    hot: DataFrame | None = None, sub_day: str | None = None, base: DataFrame | None = None, then: Sequence[str] = (),
 ) -> DataFrame:
     """Features of the row against the earlier rows of its (account, recipient) series.
 
     Rows after the cutoff date form a second pass: only the gap since the last payment
     starts anew there, all other state carries over.
     """
-    state = series_state(df, tx, modes, hot, sub_day, base)
+    state = series_state(df, tx, modes, hot, sub_day, base, then)
     if cutoff is not None:
         state = state.withColumn("_cutoff", cutoff)
     amount, n, mean = F.col(tx.amount), F.col("_n"), F.col("_mean")
@@ -384,7 +386,7 @@ def transaction_features(
     df = cut_lineage(df, "ledger")
     hot = hot_keys(df, tx.series, tx.amount, hot_rows)
     out = counterparty_features(df, tx, cutoff, sub_day)
-    out = series_features(out, tx, cutoff, hot=hot, sub_day=sub_day, base=df)
+    out = series_features(out, tx, cutoff, hot=hot, sub_day=sub_day, base=df, then=["iban_count_before"])
     # logarithms are taken behind the shuffles, where counts take a third of the bytes
     logs = {f"{c}_count_before_log": F.log1p(f"{c}_count_before") for c in ("ref_name", "iban")}
     return row_features(out.withColumns(logs), tx)
