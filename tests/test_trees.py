@@ -169,3 +169,32 @@ def test_sweep_and_cache_take_trees(spark, tmp_path):
     a, b = (X.fit_or_load(df, "row_id", spec, {}, str(tmp_path), fit) for _ in range(2))
     assert len(calls) == 1
     assert M.score(df, "row_id", "features", a, "decision").exceptAll(M.score(df, "row_id", "features", b, "decision")).count() == 0
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3, 4, 5, 6, 7])
+def test_rows_reach_the_same_nodes_through_bits(depth):
+    rng = np.random.default_rng(depth)
+    trees, nodes, inputs = 5, 2 ** (depth + 1) - 1, 3
+    feature, cut = np.full((trees, nodes), -1, np.int16), rng.integers(0, 32, (trees, nodes)).astype(np.int16)
+    for node in range(2**depth - 1):  # a node has a split only below one that has
+        grown = np.ones(trees, bool) if node == 0 else feature[:, (node - 1) // 2] >= 0
+        feature[:, node] = np.where(grown & (rng.random(trees) < 0.8), rng.integers(0, inputs, trees), -1)
+    x = rng.integers(0, 33, (700, inputs)).astype(np.uint8)
+    want = np.stack([TR.leaves(f, c, x, depth) for f, c in zip(feature, cut)], axis=1)
+    np.testing.assert_array_equal(TR.reached(feature, cut, x, depth), want)
+
+
+def test_tree_queries_deal_a_table_of_one_file(spark, sf, monkeypatch):
+    """Their rows cost far more to work on than to move; one file of few row groups was worked on by as few tasks."""
+    from fieldledger.plans import learners as P
+
+    class Stop(Exception):
+        pass
+
+    def seen(df, *_):
+        raise Stop(df.rdd.getNumPartitions())
+
+    monkeypatch.setattr(P.M, "fit_field", seen)
+    with pytest.raises(Stop) as found:
+        P.fit_regressor_gbt(spark, sf)
+    assert found.value.args[0] >= 4 * spark.sparkContext.defaultParallelism
