@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import metrics as M, ranks, splits
+from ..session import cut_lineage
 from ..sources import tables as T
 from .common import KEY_SQL, LINE_KEY_SQL, flt, num, row_key, shape, tx_sql
 from .registry import query
@@ -114,6 +115,7 @@ def score_label_join(spark, sf):
     """Scores and labels kept apart meet again on the row key."""
     df = scored(spark, sf)
     joined = df.select("row_key", "score").join(df.select("row_key", "label"), "row_key")
+    joined = cut_lineage(joined.select("score", "label"), "joined")  # counted, cut into ranges and ranked: joined once
     return shape(M.roc_auc(joined, "score", "label"), (), (), ["auroc"])
 
 

@@ -81,3 +81,18 @@ def test_seed_summary_uses_population_std(spark):
     df = spark.createDataFrame([("m", 1.0), ("m", 3.0)], "model string, auroc double")
     assert M.seed_mean_std(df, ["model"], ["auroc"]).first().asDict() == {
         "model": "m", "n_seeds": 2, "auroc_mean": 2.0, "auroc_std": 1.0}
+
+
+def test_scores_and_labels_are_joined_once(spark, sf, monkeypatch):
+    """The area under the curve counts, cuts and ranks its rows, each of which joined them anew."""
+    from fieldledger.plans import metrics as P
+
+    plans, found = [], P.M.roc_auc
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return found(df, *args)
+
+    monkeypatch.setattr(P.M, "roc_auc", seen)
+    assert P.score_label_join(spark, sf).count() == 1
+    assert len(plans) == 1 and "Join" not in plans[0]
