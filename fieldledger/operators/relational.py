@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
+from ..session import cut_lineage
 from . import ranks
 from .prior import present
 
@@ -92,8 +93,8 @@ def nearest_join(left: DataFrame, right: DataFrame, on: tuple[str, str], keys: S
     timestamps. Of right rows with equal keys and value the one with the largest `ties` counts. Missing keys are keys like any
     other; a missing value meets nothing; rows without a partner get nulls.
 
-    Both sides are asked once per key and value, and cut into value ranges together, so a key that holds most rows is
-    spread over tasks; what a range does not hold itself comes from the edges of the ranges beside it."""
+    Both sides are asked once per key and value. A key with more than rows_per_range rows is cut into value ranges, so that it is
+    spread over tasks; what a range does not hold itself comes from the edges of the ranges beside it. All others stay whole."""
     if direction not in ("backward", "forward", "nearest"):
         raise ValueError(f"unknown direction {direction}")
     names = [f"_k{i}" for i in range(len(keys))]
@@ -104,19 +105,35 @@ def nearest_join(left: DataFrame, right: DataFrame, on: tuple[str, str], keys: S
     marks = theirs.where(F.col("_x").isNotNull()).groupBy(*names, "_x").agg(F.max_by(payload, order).alias("_p"))
     asked = mine.where(F.col("_x").isNotNull()).select(*names, "_x").distinct()
     marks = marks.withColumn("_m", F.struct("_x", "_p")).drop("_p")
-    bounds = ranks.value_bounds(marks.select("_x").union(asked.select("_x")), "_x", rows_per_range)
     both = marks.withColumn("_ask", F.lit(False)).unionByName(asked.withColumn("_ask", F.lit(True)), allowMissingColumns=True)
-    both = ranks.with_range(both, "_x", bounds)
-    chunk = [*names, "_range"]
-    edges = both.groupBy(*chunk).agg(F.max("_m").alias("_top"), F.min("_m").alias("_bottom"))
-    across = Window.partitionBy(*names).orderBy("_range")
-    edges = edges.select(*chunk, F.max("_top").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"),
-                         F.min("_bottom").over(Window.partitionBy(*names).orderBy(F.desc("_range")).rowsBetween(
-                             Window.unboundedPreceding, -1)).alias("_right"))
-    up = Window.partitionBy(*chunk).orderBy("_x").rangeBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*chunk).orderBy(F.desc("_x")).rangeBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_low", F.max("_m").over(up)).withColumn("_high", F.min("_m").over(down)).where("_ask").join(edges, chunk)
-    low, high = F.coalesce("_low", "_left"), F.coalesce("_high", "_right")
+
+    def beside(rows: DataFrame, chunk: list[str]) -> DataFrame:
+        up = Window.partitionBy(*chunk).orderBy("_x").rangeBetween(Window.unboundedPreceding, 0)
+        down = Window.partitionBy(*chunk).orderBy(F.desc("_x")).rangeBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("_low", F.max("_m").over(up)).withColumn("_high", F.min("_m").over(down)).where("_ask")
+
+    def cut(rows: DataFrame) -> DataFrame:
+        rows = ranks.with_range(rows, "_x", ranks.value_bounds(rows.select("_x"), "_x", rows_per_range))
+        chunk = [*names, "_range"]
+        edges = rows.groupBy(*chunk).agg(F.max("_m").alias("_top"), F.min("_m").alias("_bottom"))
+        across = Window.partitionBy(*names).orderBy("_range")
+        edges = edges.select(*chunk, F.max("_top").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"),
+                             F.min("_bottom").over(Window.partitionBy(*names).orderBy(F.desc("_range")).rowsBetween(
+                                 Window.unboundedPreceding, -1)).alias("_right"))
+        return beside(rows, chunk).join(edges, chunk).withColumns(
+            {"_low": F.coalesce("_low", "_left"), "_high": F.coalesce("_high", "_right")})
+
+    if not names:
+        found = cut(both)
+    else:
+        sizes = mine.select(*names).unionByName(theirs.select(*names)).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+        large = cut_lineage(sizes.where(F.col("_n") > rows_per_range).select(*names), "large-keys")  # each holds that many rows: few
+        found = beside(both, names)
+        if not large.isEmpty():
+            kept = [*names, "_x", "_low", "_high"]
+            found = beside(both.join(large, names, "left_anti"), names).select(*kept).unionByName(
+                cut(both.join(large, names, "left_semi")).select(*kept))
+    low, high = F.col("_low"), F.col("_high")
     before, after = F.col("_x") - low["_x"], high["_x"] - F.col("_x")
     best = {"backward": low, "forward": high,
             "nearest": F.when(low.isNull() | (after < before), high).otherwise(low)}[direction]

@@ -97,3 +97,17 @@ def test_npz_round_trip(spark, tmp_path):
     assert npz.write_npz(df, f"{tmp_path}/out", "x", "y").agg(F.sum("n")).first()[0] == 100
     got = npz.scan_npz(spark, f"{tmp_path}/out", ("features", "label")).collect()
     assert sorted((r["features"], r["label"]) for r in got) == sorted((list(r["x"]), r["y"]) for r in df.collect())
+
+
+def test_keys_of_few_rows_are_not_cut(spark, monkeypatch):
+    """Cut into value ranges, the rows of small keys came apart into about one range each."""
+    def cut(*_):
+        raise AssertionError("cut")
+
+    monkeypatch.setattr(R.ranks, "value_bounds", cut)
+    a = spark.createDataFrame([("a", 3.0), (None, 1.0), ("b", 2.0)], "k string, x double")
+    b = spark.createDataFrame([("a", 1.0, 1), ("a", 2.5, 2), (None, 0.0, 3)], "k string, y double, j long")
+    got = R.nearest_join(a, b, ("x", "y"), [("k", "k")], {"j": "j"}, "backward")
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", 3.0, 2), ("b", 2.0, None), (None, 1.0, 3)]
+    with pytest.raises(AssertionError, match="cut"):
+        R.nearest_join(a, b, ("x", "y"), [("k", "k")], {"j": "j"}, "backward", rows_per_range=2)
