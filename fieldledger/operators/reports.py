@@ -61,8 +61,16 @@ def runs_in_series(df: DataFrame, tx: TransactionColumns, flag: str, keys: Seque
 
 
 def day_shift_runs(df: DataFrame, tx: TransactionColumns, days: int = 7) -> DataFrame:
-    """Runs of payments further than `days` from the median day of their series."""
-    return runs_in_series(_shifted(df, tx, days), tx, "shifted")
+    """Runs of payments further than `days` from the median day of their series, as runs_in_series has them. The payments of a day
+    are shifted or not together, so runs are put together from days."""
+    made = series_keys(tx.series)
+    order = Window.partitionBy(*made).orderBy("_date")
+    off = F.coalesce(F.col("shifted") != 1, F.lit(True)).cast("long")
+    rows = _shifted_days(df, tx, days).withColumn("_island", F.sum(off).over(order)).where("shifted = 1")
+    found = rows.groupBy(*made, "_island").agg(*(F.first(c).alias(c) for c in tx.series), F.min("_date").alias("start_date"),
+                                               F.max("_date").alias("end_date"), F.sum("_c").alias("length"))
+    return found.withColumn("run", F.row_number().over(Window.partitionBy(*made).orderBy("_island"))).select(
+        *tx.series, "run", "start_date", "end_date", "length", F.when(F.col("length") > 1, "persistent").otherwise("one-off").alias("kind"))
 
 
 def small_payment_runs(df: DataFrame, tx: TransactionColumns, prob: float = 0.1) -> DataFrame:
@@ -174,29 +182,33 @@ def new_recipient_similar_name(df: DataFrame, tx: TransactionColumns, edits: int
     )
 
 
-def _shifted(df: DataFrame, tx: TransactionColumns, days: int) -> DataFrame:
-    """The rows of series with several payments, with median_day, payments and shifted: whether the day is further than `days` from
-    the median, which comes from 31 counts per series."""
+def _shifted_days(df: DataFrame, tx: TransactionColumns, days: int) -> DataFrame:
+    """The days (_date, _c payments) of series with several payments, with the columns and keys of the series, median_day, payments
+    and shifted: whether the day is further than `days` from the median. All payments of a day are shifted or none, so days do for rows."""
     made = series_keys(tx.series)
-    df = df.drop("median_day", "payments", "shifted", "kind").withColumns(made)
-    counts = df.groupBy(*made, F.dayofmonth(tx.date).alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*made).orderBy("_d")
-    cum = counts.select(
-        *made, "_d", F.sum("_c").over(w).alias("_cum"),
-        F.sum("_c").over(Window.partitionBy(*made)).alias("_n"))
-    low = F.min(F.when(F.col("_cum") > F.floor((F.col("_n") - 1) / 2), F.col("_d")))
-    high = F.min(F.when(F.col("_cum") > F.floor(F.col("_n") / 2), F.col("_d")))
-    medians = cum.groupBy(*made).agg(((low + high) / 2).alias("median_day"), F.max("_n").alias("payments"))
-    return df.join(medians.where("payments > 1"), list(made)).drop(*made).withColumn(
-        "shifted", (F.abs(F.dayofmonth(tx.date) - F.col("median_day")) > days).cast("int"))
+    rows = df.withColumns(made).groupBy(*made, F.col(tx.date).alias("_date")).agg(
+        *(F.first(c).alias(c) for c in tx.series), F.count(F.lit(1)).alias("_c"))
+    day = F.dayofmonth("_date")
+    whole = Window.partitionBy(*made)
+    # the frame holds all rows up to the day of the month
+    rows = rows.withColumns({"_cum": F.sum("_c").over(whole.orderBy(day)), "payments": F.sum("_c").over(whole)})
+    low = F.min(F.when(F.col("_cum") > F.floor((F.col("payments") - 1) / 2), day)).over(whole)
+    high = F.min(F.when(F.col("_cum") > F.floor(F.col("payments") / 2), day)).over(whole)
+    return rows.withColumn("median_day", (low + high) / 2).where("payments > 1").drop("_cum").withColumn(
+        "shifted", (F.abs(day - F.col("median_day")) > days).cast("int"))
 
 
 def payment_day_shift(df: DataFrame, tx: TransactionColumns, days: int = 7) -> DataFrame:
     """Payments further than `days` from the median day of their series; persistent when the payment
-    before was shifted too."""
-    rows = previous_in_series(_shifted(df, tx, days), tx, "shifted", "_before")
-    return rows.where("shifted = 1").withColumn(
-        "kind", F.when(F.col("_before") == 1, "persistent").otherwise("one-off")).drop("_before")
+    before was shifted too. That one is of the same day, which is shifted as a whole, or of the day before it in the series."""
+    made = series_keys(tx.series)
+    found = _shifted_days(df, tx, days).withColumn("_before", F.lag("shifted").over(Window.partitionBy(*made).orderBy("_date")))
+    chunk = [*made, "_date"]
+    found = found.where("shifted = 1").select(*chunk, "median_day", "payments", "shifted", "_before")
+    rows = df.drop("median_day", "payments", "shifted", "kind").withColumns({**made, "_date": F.col(tx.date)}).join(found, chunk)
+    first = F.row_number().over(Window.partitionBy(*chunk).orderBy(*tx.ties)) == 1
+    kind = F.when(~first | (F.col("_before") == 1), "persistent").otherwise("one-off")
+    return rows.withColumn("kind", kind).drop("_before", *chunk)
 
 
 def invoice_period_mismatch(df: DataFrame, posted: str, parts: dict[str, Column]) -> DataFrame:

@@ -152,7 +152,8 @@ s AS (SELECT *, CAST(abs(day(date_post) - md) > 7 AS BIGINT) AS sh FROM m WHERE
 l AS (SELECT *, lag(sh) OVER ({PART} ORDER BY tx_id) AS pv FROM s)
 SELECT {KEY_SQL} AS row_key, {flt('md', 'median_day')}, CASE WHEN pv = 1 THEN 'persistent' ELSE 'one-off' END AS kind FROM l WHERE sh = 1"""))
 def payment_day_shift(spark, sf):
-    return shape(R.payment_day_shift(ledger(spark, sf), T.TX), ["row_key", "kind"], (), ["median_day"])
+    out = R.payment_day_shift(T.transactions(spark, sf), T.TX).withColumn("row_key", row_key())  # its parts travel as ties
+    return shape(out, ["row_key", "kind"], (), ["median_day"])
 
 
 def runs_sql(rows: str) -> str:

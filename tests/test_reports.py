@@ -97,3 +97,50 @@ def test_small_payments_and_their_runs(spark):
 @pytest.mark.parametrize("report", [R.recurring_amount_change, R.small_payment_patterns, R.payment_day_shift, R.day_shift_runs, R.small_payment_runs])
 def test_empty_ledger(spark, report):
     assert report(spark.createDataFrame([], SCHEMA), TX).count() == 0
+
+
+def test_day_shift_by_days_equals_a_row_loop(spark):
+    """Missing names, dates, several payments a day; the ledger is read twice, for its days and for its rows."""
+    import datetime as dt
+    import random
+    import statistics
+
+    from fieldledger.operators.prior import TransactionColumns
+
+    tx = TransactionColumns(account="acc", name="name", iban="name", swift="name", method="name", channel="name", date="date", amount="amount", ties=("id",))
+    draw = random.Random(5)
+    rows = [(i, draw.choice("ab"), draw.choice(["x", "y", None]), None if draw.random() < 0.1 else dt.date(2024, draw.randint(1, 3), draw.choice(
+        [1, 2, 14, 15, 16, 28])), 1.0) for i in range(150)] + [(900, "c", "x", dt.date(2024, 1, 1), 1.0)]
+    want, runs, series = [], [], {}
+    for r in rows:
+        series.setdefault((r[1], r[2]), []).append(r)
+    for (acc, name), own in series.items():
+        own.sort(key=lambda r: (r[3] is not None, r[3] or dt.date.min, r[0]))
+        days = [r[3].day for r in own if r[3] is not None]
+        before, run = 0, None
+        for r in own:
+            shifted = int(len(own) > 1 and r[3] is not None and abs(r[3].day - middle(days, own)) > 7)
+            if shifted:
+                want.append((r[0], "persistent" if before else "one-off"))
+                if not before:
+                    run = [acc, name, sum(x[:2] == [acc, name] for x in runs) + 1, r[3], r[3], 0]
+                    runs.append(run)
+                run[4], run[5] = r[3], run[5] + 1
+            before = shifted
+    assert statistics.mean(len(v) for v in series.values()) > 10
+    df = spark.createDataFrame(rows, "id long, acc string, name string, date date, amount double").repartition(3)
+    out = R.payment_day_shift(df, tx)
+    assert sorted((r["id"], r["kind"]) for r in out.collect()) == sorted(want)
+    assert out.select("id", "kind")._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
+    got = [tuple(r) for r in R.day_shift_runs(df, tx).collect()]
+    assert sorted(got, key=str) == sorted([(*r, "persistent" if r[5] > 1 else "one-off") for r in runs], key=str)
+
+
+def middle(days, own):
+    """The median by ranks over all rows of the series, of which those without a date come first and have no day."""
+    order = [None] * (len(own) - len(days)) + sorted(days)
+
+    def at(rank):
+        return order[rank] if order[rank] is not None else sorted(days)[0]
+
+    return (at((len(own) - 1) // 2) + at(len(own) // 2)) / 2
