@@ -57,36 +57,50 @@ class Network:
         return [a0.T @ g1, g1.sum(0), a1.T @ g2, g2.sum(0), a2.T @ g3, g3.sum(0)], float((gap ** 2).mean(1).sum())
 
 
+#: Rows that go through the network at a time; their activations stay in a core's cache.
+BLOCK = 1_024
+
+
+def _rows(column):
+    """A column of arrays of numbers, which are equally long, as a matrix."""
+    import numpy as np
+
+    return column.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 def _sum_gradients(rows: DataFrame, net: Network, features: str, time: str, lanes: int = 32):
     """Gradient over all rows: one partial per task, added in `lanes` groups, then on the driver.
     What reaches the driver is `lanes` times the network, whatever the data."""
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
 
     shapes = [w.shape for w in net.weights]
     shared = rows.sparkSession.sparkContext.broadcast(net)
 
     def partial(batches):
         total, loss, n = None, 0.0, 0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf[features].to_numpy()).astype("float64")
-            grads, part_loss = shared.value.gradient(x, pdf[time].to_numpy())
-            total = grads if total is None else [a + b for a, b in zip(total, grads)]
-            loss, n = loss + part_loss, n + len(pdf)
+        for batch in batches:
+            x = _rows(batch.column(0))
+            t = batch.column(1).to_numpy(zero_copy_only=False)
+            for i in range(0, len(x), BLOCK):
+                grads, part_loss = shared.value.gradient(x[i:i + BLOCK], t[i:i + BLOCK])
+                total = grads if total is None else [a + b for a, b in zip(total, grads)]
+                loss, n = loss + part_loss, n + len(x[i:i + BLOCK])
         if n:
             flat = np.concatenate([g.ravel() for g in total])
-            yield pd.DataFrame({"lane": [hash(flat[0]) % lanes], "n": [n], "loss": [loss], "g": [flat]})
+            yield pa.RecordBatch.from_pydict(
+                {"lane": pa.array([hash(flat[0]) % lanes], pa.int32()), "n": [n], "loss": [loss], "g": [flat.tobytes()]})
 
     def add(pdf):
-        return pd.DataFrame({"n": [pdf["n"].sum()], "loss": [pdf["loss"].sum()], "g": [np.sum(np.stack(pdf["g"].to_numpy()), axis=0)]})
+        g = np.sum([np.frombuffer(v) for v in pdf["g"]], axis=0)
+        return pd.DataFrame({"n": [pdf["n"].sum()], "loss": [pdf["loss"].sum()], "g": [g.tobytes()]})
 
-    parts = rows.select(features, time).mapInPandas(partial, "lane int, n long, loss double, g array<double>")
-    sums = parts.groupBy("lane").applyInPandas(add, "n long, loss double, g array<double>").collect()
+    parts = rows.select(features, time).mapInArrow(partial, "lane int, n long, loss double, g binary")
+    sums = parts.groupBy("lane").applyInPandas(add, "n long, loss double, g binary").collect()
     shared.destroy()
     n = sum(r["n"] for r in sums)
-    flat = np.sum([np.asarray(r["g"]) for r in sums], axis=0) / max(n, 1)
+    flat = np.sum([np.frombuffer(r["g"]) for r in sums], axis=0) / max(n, 1)
     out, at = [], 0
     for shape in shapes:
         size = int(np.prod(shape))
@@ -107,7 +121,9 @@ def fit_contraction_network(df: DataFrame, key: str, features: str, dims: int, e
     v = [np.zeros_like(w) for w in net.weights]
     losses, step = [], 0
     batch = (F.conv(F.substring(F.md5(N.noise_key(F.col(key), "batch", seed)), 1, 8), 16, 10).cast("long") % n_batch)
-    rows = cut_lineage(df.select(key, features, batch.cast("int").alias("_b")), "batches", "_b")
+    # a step works on all rows of its batch: they lie in files for all cores
+    files = 4 * df.sparkSession.sparkContext.defaultParallelism // n_batch
+    rows = cut_lineage(df.select(key, features, batch.cast("int").alias("_b")), "batches", "_b", files)
     for epoch in range(epochs):
         for b in range(n_batch):
             step += 1

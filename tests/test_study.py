@@ -36,3 +36,19 @@ def test_saved_model_is_found_though_means_differ_in_their_last_bits(spark, sf,
     shake = F.udf(lambda v: [x * (1.0 + 1e-13 * random.random()) for x in v], "array<double>").asNondeterministic()
     monkeypatch.setattr(prep, "standard_scale_vector", lambda train, df, features, out: scale(train, df, features, out).withColumn(out, shake(out)))
     assert study.model_cache(spark, sf).count() > 0
+
+
+def test_network_rows_lie_in_files_for_all_cores(spark, sf, monkeypatch):
+    """A step reads all rows of its batch; in one file they were the work of one task."""
+    from fieldledger.operators import learners as L
+    from fieldledger.sources import tables as T
+
+    files, step = [], L._sum_gradients
+
+    def spy(rows, *args):
+        files.append(len(rows.inputFiles()))
+        return step(rows, *args)
+
+    monkeypatch.setattr(L, "_sum_gradients", spy)
+    L.fit_contraction_network(T.vectors(spark, sf), "row_id", "features", 64, epochs=1, hidden=8, embed=4)
+    assert files[0] >= spark.sparkContext.defaultParallelism
