@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,14 @@ def _log_kt(zeros: Column, ones: Column) -> Column:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - LN_PI
 
 
+class Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
 class _Tally:
     """Grams with (training, all) counts and training words, of one task."""
 
@@ -297,6 +306,19 @@ def looked_up(gram: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[n
     return hit, found
 
 
+def per_text(gram: np.ndarray, owner: np.ndarray, texts: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (gram of `bits` bits, owner) in order of owner and gram, and how often each comes. Where both fit, one number of 64
+    bits stands for them; owners beyond that are worked on in runs."""
+    run = 1 << max(0, 64 - bits)
+    edges = np.searchsorted(owner, np.arange(0, texts + run, run)) if texts > run else [0, len(owner)]
+    found = [np.unique(((owner[a:b] % run).astype(np.uint64) << np.uint64(bits % 64)) | gram[a:b], return_counts=True)
+             for a, b in zip(edges[:-1], edges[1:])]
+    part = np.repeat(np.arange(len(found)) * run, [len(keys) for keys, _ in found])
+    keys = np.concatenate([keys for keys, _ in found])
+    return (keys & np.uint64((1 << bits) - 1), part + (keys >> np.uint64(bits)).astype(np.int64) if bits < 64 else part,
+            np.concatenate([n for _, n in found]))
+
+
 def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte (code length; null for no
     bytes): one row per row of docs."""
@@ -324,12 +346,14 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
             for part in slices(batch, "text", 2 << 20):
                 texts = [normal(t) for t in part.column("text").to_pylist()]
                 n = len(texts)
-                lists = [[*t.split(), END] for t in texts]
-                at: dict[bytes, int] = {}
-                index = np.array([at.setdefault(w, len(at)) for words in lists for w in words], np.int64)
+                at, lists = Numbers(), [t.split() for t in texts]
+                for words in lists:
+                    words.append(END)
                 sizes = np.array([len(words) for words in lists])
+                index = np.fromiter(map(at.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
                 owner = np.repeat(np.arange(n), sizes)
-                value = np.array([hot_words.get(w, 1.0) for w in at])  # a logarithm of a share is never above 0
+                # a logarithm of a share is never above 0
+                value = np.fromiter(map(hot_words.get, at, repeat(1.0)), np.float64, len(at))
                 warm = value[index] <= 0
                 base = np.bincount(owner[warm], value[index[warm]], n)
                 known = np.bincount(owner[warm], minlength=n)
@@ -343,10 +367,7 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
                 cold, many = np.unique(owner[~warm] * max(1, len(at)) + index[~warm], return_counts=True)
                 names = list(at)
                 word = pa.array([names[i] for i in cold % max(1, len(at))], pa.binary())
-                order = np.lexsort((gram[~hit], gram_owner[~hit]))
-                g, o = gram[~hit][order], gram_owner[~hit][order]
-                head = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (o[1:] != o[:-1]))) if len(g) else np.zeros(0, int)
-                repeats = np.diff(np.append(head, len(g)))
+                g, o, repeats = per_text(gram[~hit], gram_owner[~hit], n, 8 * (depth + 1))
 
                 def made(ids, doc=None, train=None, tokens=None, size=None, known=None, base=None, score=None, word=None, gram=None, n=None):
                     columns = ((doc, kind), (train, pa.bool_()), (tokens, pa.int64()), (size, pa.int64()), (known, pa.int64()),
@@ -360,8 +381,8 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
                 yield made(ids, part.column("doc_id"), part.column("train"), sizes, np.array([len(t) for t in texts]), known, base, score)
                 if len(cold):
                     yield made(ids[cold // len(at)], word=word, n=many)
-                if len(head):
-                    yield made(ids[o[head]], gram=g[head].astype(np.int64), n=repeats)
+                if len(g):
+                    yield made(ids[o], gram=g.astype(np.int64), n=repeats)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     passed = written(rows.mapInArrow(

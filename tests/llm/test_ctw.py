@@ -128,3 +128,15 @@ def test_default_depth_mixes_contexts_of_5_bytes(spark):
     score = model([ctw.normal(t) for t in train], 5)
     assert got[10] == pytest.approx(score(b"abcdex\n"), rel=1e-7) and got[11] == pytest.approx(score(b"abcdey\n"), rel=1e-7)
     assert got[10] > got[11]
+
+
+def test_grams_per_text_whatever_fits_one_number():
+    """Text and gram as one number, in runs of texts where they do not fit, against plain counting."""
+    draw = np.random.default_rng(4)
+    owner = np.sort(draw.integers(0, 9, 400))
+    gram = draw.integers(0, 6, 400).astype(np.uint64)
+    want = Counter(zip(owner.tolist(), gram.tolist()))
+    for bits in (48, 62, 63, 64):
+        g, o, n = ctw.per_text(gram, owner, 9, bits)
+        assert list(zip(o.tolist(), g.tolist())) == sorted(want) and dict(zip(zip(o.tolist(), g.tolist()), n.tolist())) == want
+    assert [len(x) for x in ctw.per_text(gram[:0], owner[:0], 9, 48)] == [0, 0, 0]
