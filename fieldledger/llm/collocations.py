@@ -22,7 +22,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -36,14 +35,20 @@ SHARDS = 5
 ABSORBED = 80
 #: log2 of the bits of the bitmaps of words, and of phrases (8 and 32 MB).
 WORD_BITS, PHRASE_BITS = 26, 28
-#: Tokens and distinct words of a block inside a task, and bytes of text made into tokens at once.
-BLOCK, VOCABULARY, SEGMENT = 1_500_000, 250_000, 4 << 20
+#: Tokens of a block inside a task, and bytes of a text made into tokens at once; a block ends at four times these bytes.
+BLOCK, SEGMENT = 1_000_000, 4 << 20
+#: Bytes in which words are looked for at once, so that arrays stay in cache.
+LOCATED = 1 << 18
+#: Rows of a batch that leaves a task, and bytes of a string above which it is hashed and compared by itself.
+ROWS, LONG_WORD = 100_000, 512
 #: Parts in which a language is ranked before its best are ranked together.
 RANK_PARTS = 64
 
-#: The border between pieces: a byte that no UTF-8 text holds.
+#: A byte that no UTF-8 text holds: marks rows that count all words.
 BORDER = b"\xff"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the lowest bytes, by their number.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def _table() -> bytes:
@@ -59,51 +64,152 @@ def _table() -> bytes:
 _TABLE = _table()
 
 
-def tokens(text: bytes) -> Iterator[list[bytes]]:
-    """Words of a text with a BORDER after each piece, in runs of about SEGMENT bytes that end at a border."""
+def segments(text: bytes) -> Iterator[bytes]:
+    """A text with A-Z in lower case, a space between words and a line feed between pieces, in runs of about SEGMENT bytes that end
+    at a border."""
     text = text.translate(_TABLE)
     start = 0
     while start < len(text):
         end = text.find(b"\n", start + SEGMENT) if len(text) - start > SEGMENT else -1
         end = len(text) if end < 0 else end + 1
-        found = text[start:end].replace(b"\n", b" " + BORDER + b" ").split()
-        found.append(BORDER)
-        yield found
+        yield text[start:end]
         start = end
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        return value
+def _words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as a number; data ends in eight bytes that belong to nothing."""
+    return np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+
+
+def hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings at `start`; the same string has the same hash wherever it lies."""
+    eight, left = _words_at(data), length
+    total = mixed(length.astype(np.uint64) * _STEP ^ (eight[start] & _LOW[np.minimum(length, 8)]))
+    at = np.flatnonzero(length > 8)
+    for word in at[length[at] > LONG_WORD].tolist():
+        total[word] = xxhash.xxh3_64_intdigest(data[start[word]:start[word] + length[word]].tobytes())
+    at = at[length[at] <= LONG_WORD]
+    for place in range(8, LONG_WORD, 8):
+        at = at[length[at] > place]
+        if not len(at):
+            break
+        left = np.minimum(length[at] - place, 8)
+        total[at] = mixed(total[at] * _STEP ^ (eight[start[at] + place] & _LOW[left]))
+    return total
+
+
+def repeats(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether each byte string is, byte for byte, the one before it in the arrays."""
+    out = np.zeros(len(start), bool)
+    if len(start) < 2:
+        return out
+    eight = _words_at(data)
+    out[1:] = length[1:] == length[:-1]
+    at = np.flatnonzero(out)
+    long = at[length[at] > LONG_WORD]
+    out[long] = [data[start[i]:start[i] + length[i]].tobytes() == data[start[i - 1]:start[i - 1] + length[i]].tobytes() for i in long.tolist()]
+    at = at[length[at] <= LONG_WORD]
+    for place in range(0, LONG_WORD, 8):
+        at = at[length[at] > place]
+        if not len(at):
+            break
+        low = _LOW[np.minimum(length[at] - place, 8)]
+        same = (eight[start[at] + place] ^ eight[start[at - 1] + place]) & low == 0
+        out[at[~same]] = False
+        at = at[same]
+    return out
+
+
+def gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The byte strings as an Arrow array."""
+    ends = np.cumsum(length)
+    flat = data[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
+def _parts(length: np.ndarray) -> Iterator[slice]:
+    """Cuts of at most ROWS strings and about SEGMENT bytes."""
+    ends, a = np.cumsum(length), 0
+    while a < len(length):
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SEGMENT, "right"))
+        b = min(max(b, a + 1), a + ROWS)
+        yield slice(a, b)
+        a = b
+
+
+def _located(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(data, start, length, word) of some texts at a time: their bytes with one space between words, so that a phrase is one run of
+    bytes, and eight bytes behind them, the places of words and borders, and which are words."""
+    a = 0
+    while a < len(texts):
+        b, size = a + 1, len(texts[a])
+        while b < len(texts) and size + len(texts[b]) <= LOCATED:
+            size, b = size + len(texts[b]), b + 1
+        data = np.frombuffer(b"\n".join(texts[a:b]) + b"\n", np.uint8)
+        space = data == 32
+        keep = np.ones(len(data), bool)
+        keep[1:] = ~(space[1:] & space[:-1])
+        data = np.concatenate([data[keep], np.zeros(8, np.uint8)])
+        border = data[:-8] == 10
+        gap = border | (data[:-8] == 32)
+        head, tail = ~gap, ~gap
+        head[1:] &= gap[:-1]
+        tail[:-1] &= gap[1:]
+        start = np.flatnonzero(head | border)
+        word = ~border[start]
+        length = np.zeros(len(start), np.int64)
+        length[word] = np.flatnonzero(tail) + 1 - start[word]
+        yield data, start, length, word
+        a = b
 
 
 class Block:
-    """Tokens of whole segments as numbers, with the language of each."""
+    """Words of whole segments, one language after the other, as places in one buffer, with a border behind each piece."""
 
     def __init__(self):
-        self.numbers, self.languages = _Numbers({BORDER: 0}), {}
-        self.ids: list[np.ndarray] = []
-        self.lengths: list[int] = []
-        self.spoken: list[int] = []
-        self.size = 0
-
-    def add(self, language: str, words: list[bytes]) -> None:
-        self.ids.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
-        self.lengths.append(len(words))
-        self.spoken.append(self.languages.setdefault(language, len(self.languages)))
-        self.size += len(words)
+        self.texts: dict[str, list[bytes]] = {}
+        self.size = self.bytes = 0
+
+    def add(self, language: str, text: bytes) -> None:
+        self.texts.setdefault(language, []).append(text)
+        self.bytes += len(text)
+        self.size += text.count(b" ") + text.count(b"\n") + 1
 
     def close(self) -> Block:
-        self.words = list(self.numbers)
-        self.names = list(self.languages)
+        self.names, pieces, ends, n, base = list(self.texts), [], [], 0, 0
         self.seeds = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.names], np.uint64)
-        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
-        self.id = np.concatenate(self.ids)
-        self.language = np.repeat(np.array(self.spoken, np.int32), self.lengths)
-        self.key = mixed(self.hashes[self.id] ^ self.seeds[self.language])
+        for seed, texts in zip(self.seeds, self.texts.values()):
+            for data, start, length, word in _located(texts):
+                pieces.append((data[:-8], start + base, length, word, mixed(hashes(data, start, length) ^ seed)))
+                n, base = n + len(start), base + len(data) - 8
+            ends.append(n)
+        self.texts, self.ends = {}, np.array(ends)  # of the languages, in tokens
+        data, start, length, word, key = zip(*pieces)
+        del pieces
+        self.data = np.concatenate([*data, np.zeros(8, np.uint8)])
+        del data
+        self.start, self.length, self.word, self.key = map(np.concatenate, (start, length, word, key))
         return self
 
+    def by_language(self, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(language, places) of ascending places."""
+        ends = np.searchsorted(at, self.ends)
+        for language, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+            if a < b:
+                yield language, at[a:b]
+
+    def texts_of(self, at: np.ndarray, keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, occurrences) of the texts of `words` words at these places with these keys; a text may come twice
+        where others share its key."""
+        low = np.uint64(len(at).bit_length())
+        order = np.sort(keys >> low << low | np.arange(len(at), dtype=np.uint64))  # place and key in one number: sorted many times as fast
+        at = at[(order & np.uint64((1 << int(low)) - 1)).astype(np.int64)]
+        start, last = self.start[at], at + words - 1
+        length = self.start[last] + self.length[last] - start
+        first = np.flatnonzero(~repeats(self.data, start, length))
+        return start[first], length[first], np.diff(np.append(first, len(at)))
+
     def grams(self, words: int) -> np.ndarray:
         """Keys of the runs of `words` tokens, whatever they hold."""
         n = len(self.key) - words + 1
@@ -116,7 +222,7 @@ class Block:
 
     def allowed(self, word_bits: np.ndarray, pair_bits: np.ndarray | None = None) -> list[np.ndarray]:
         """By number of words less one: where all words, and all pairs if given, can be frequent."""
-        single = (self.id > 0) & has(word_bits, self.key)
+        single = _has_where(word_bits, self.key, self.word)
         out = [single, single[:-1] & single[1:]]
         if pair_bits is not None:
             out[1] = out[1] & _has_where(pair_bits, self.grams(2), out[1])
@@ -138,9 +244,9 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         for text, language in zip(batch.column("text"), batch.column("lang")):
             if not text.is_valid:
                 continue
-            for words in tokens(text.as_buffer().to_pybytes()):
-                block.add(language.as_py(), words)
-                if block.size >= BLOCK or len(block.numbers) >= VOCABULARY:
+            for segment in segments(text.as_buffer().to_pybytes()):
+                block.add(language.as_py(), segment)
+                if block.size >= BLOCK or block.bytes >= 4 * SEGMENT:
                     yield block.close()
                     block = Block()
     if block.size:
@@ -161,14 +267,15 @@ def _tasks(docs: DataFrame, run: Callable[[Block, int], Iterator[pa.RecordBatch]
 
 
 def _word_counts(block: Block, shard: int) -> Iterator[pa.RecordBatch]:
-    n = np.bincount(block.language.astype(np.int64) * len(block.words) + block.id, minlength=len(block.names) * len(block.words))
-    n = n.reshape(len(block.names), -1)
-    n[:, 0] = n[:, 1:].sum(axis=1)  # in place of the border: all words of the language
-    language, word = np.nonzero(n)
-    words = [BORDER + bytes([shard]), *block.words[1:]]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(block.names, pa.string()).take(pa.array(language)), pa.array(words, pa.binary()).take(pa.array(word)),
-         pa.array(n[language, word])], names=["lang", "word", "n"])
+    for language, at in block.by_language(np.flatnonzero(block.word)):
+        name = block.names[language]
+        yield pa.RecordBatch.from_arrays(  # in place of a word: all words of the language
+            [pa.array([name]), pa.array([BORDER + bytes([shard])], pa.binary()), pa.array([len(at)])], names=["lang", "word", "n"])
+        start, length, n = block.texts_of(at, block.key[at], 1)
+        for part in _parts(length):
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(pa.scalar(name, pa.string()), len(n[part])), gathered(block.data, start[part], length[part]), pa.array(n[part])],
+                names=["lang", "word", "n"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -186,8 +293,10 @@ def word_keys(words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column("lang").to_pylist(), batch.column("word").to_pylist())
-            flat = np.array([xxhash.xxh3_64_intdigest(w) ^ xxhash.xxh3_64_intdigest(x.encode()) for x, w in rows], np.uint64)
+            seeds = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in batch.column("lang").to_pylist()], np.uint64)
+            words = batch.column("word").to_pylist()
+            length = np.fromiter(map(len, words), np.int64, len(words))
+            flat = hashes(np.frombuffer(b"".join(words) + bytes(8), np.uint8), np.cumsum(length) - length, length) ^ seeds
             yield pa.RecordBatch.from_arrays([pa.array(mixed(flat).view(np.int64))], names=["key"])
 
     return words.select("lang", "word").mapInArrow(run, "key long")
@@ -219,10 +328,15 @@ def mined(docs: DataFrame, supports: DataFrame, sizes: tuple[int, ...], word_bit
         allowed = block.allowed(word_bits.value, pair_bits.value if pair_bits is not None else None)
         cells = np.array([_cell(int(s), shard) for s in block.seeds], np.int64)
         for words in sizes:
-            at = np.flatnonzero(allowed[words - 1])
-            keys, first, n = np.unique(block.grams(words)[at], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cells[block.language[at[first]]]), pa.array(keys.view(np.int64)), pa.array(n)],
-                                             names=["cell", "key", "n"])
+            keys = block.grams(words)
+            for language, at in block.by_language(np.flatnonzero(allowed[words - 1])):
+                mine = np.sort(keys[at])
+                first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+                n = np.diff(np.append(first, len(mine)))
+                for a in range(0, len(n), ROWS):
+                    b = min(len(n), a + ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, cells[language])), pa.array(mine[first[a:b]].view(np.int64)),
+                                                      pa.array(n[a:b])], names=["cell", "key", "n"])
 
     rows = _tasks(docs, run, "cell long, key long, n long")
     local = rows.groupBy("cell", "key").agg(F.sum("n").alias("n"))
@@ -234,24 +348,16 @@ def phrase_counts(docs: DataFrame, word_bits, pair_bits, long_bits) -> DataFrame
 
     def run(block: Block, shard: int) -> Iterator[pa.RecordBatch]:
         allowed = block.allowed(word_bits.value, pair_bits.value)
-        text = pa.array(block.words, pa.binary())
         for words in range(2, LONGEST + 1):
             keys, ok = block.grams(words), allowed[words - 1]
-            at = np.flatnonzero(_has_where(long_bits.value, keys, ok) if words > 2 else ok)
-            order = at[np.argsort(keys[at], kind="stable")]
-            same = np.zeros(len(order), bool)
-            if len(order):
-                same[1:] = block.language[order[1:]] == block.language[order[:-1]]
-                for i in range(words):  # equal keys next to each other count as one phrase only if their words are equal
-                    same[1:] &= block.id[order[1:] + i] == block.id[order[:-1] + i]
-            first = np.flatnonzero(~same)
-            n = np.diff(np.append(first, len(order)))
-            parts = [text.take(pa.array(block.id[order[first] + i])) for i in range(words)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block.names, pa.string()).take(pa.array(block.language[order[first]])),
-                 pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())),
-                 pa.array(np.full(len(first), words, np.int32)), pa.array(n)], names=["lang", "phrase", "words", "a"])
-            del parts, order
+            every = np.flatnonzero(_has_where(long_bits.value, keys, ok) if words > 2 else ok)
+            for language, at in block.by_language(every):
+                start, length, n = block.texts_of(at, keys[at], words)
+                for part in _parts(length):
+                    size = len(n[part])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(pa.scalar(block.names[language], pa.string()), size), gathered(block.data, start[part], length[part]),
+                         pa.array(np.full(size, words, np.int32)), pa.array(n[part])], names=["lang", "phrase", "words", "a"])
 
     rows = _tasks(docs, run, "lang string, phrase binary, words int, a long")
     return rows.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))

@@ -108,3 +108,39 @@ def test_bitmap_misses_no_key(spark):
         assert has(whole, keys.view(np.uint64)).all()
     other = np.random.default_rng(2).integers(-2**63, 2**63 - 1, 3000).view(np.uint64)
     assert has(whole, other).mean() < 0.02
+
+
+def test_blocks_hold_no_object_per_word():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = " ".join(f"word{i}" for i in range(200_000)).encode()
+    tracemalloc.start()
+    for batch in (pa.record_batch({"text": pa.array([text] * 3, pa.binary()), "lang": pa.array(["en", "de", "en"])}),):
+        n = sum(len(b.key) for b in C.blocks(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1] / n
+    tracemalloc.stop()
+    assert n >= 600_000 and peak < 100
+
+
+def test_texts_of_equal_keys_are_told_apart():
+    words = [b"a", b"abcdefgh", b"abcdefghi", b"a\x00", "é".encode(), b"z" * 600, b"z" * 599 + b"y"]
+    draw = random.Random(4)
+    tokens = draw.choices(words, k=500)
+    block = C.Block()
+    block.add("en", b"  ".join(tokens[:250]) + b" \n ")
+    block.add("de", b"a")
+    block.add("en", b" " + b" ".join(tokens[250:]))
+    block.close()
+    (first, at), (second, rest) = block.by_language(np.flatnonzero(block.word))
+    assert [block.names[first], block.names[second], len(at), len(rest)] == ["en", "de", 500, 1]
+    for size in (1, 2):
+        places = np.array([i for i in at if i + size <= len(block.word) and block.word[i:i + size].all() and i + size - 1 <= at[-1]])
+        start, length, n = block.texts_of(places, np.zeros(len(places), np.uint64), size)
+        got = Counter()
+        for text, k in zip(C.gathered(block.data, start, length).to_pylist(), n.tolist()):
+            got[text] += k
+        assert got == Counter(b" ".join(x[i:i + size]) for x in (tokens[:250], tokens[250:]) for i in range(len(x) - size + 1))
+    same = C.hashes(block.data, block.start, block.length)
+    assert len(set(same[block.word].tolist())) == len(words)
