@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from . import ranks
 from .prior import TransactionColumns, day_key, present, series_keys
 
@@ -171,15 +172,25 @@ def _with_deletions(name: Column, edits: int) -> Column:
 
 def new_recipient_similar_name(df: DataFrame, tx: TransactionColumns, edits: int = 1) -> DataFrame:
     """One-off recipients of an account whose name is at most `edits` edits away from a recurring
-    recipient. The number of variants of a name grows with its length to that power."""
-    names = df.groupBy(tx.account, tx.name).agg(F.count(F.lit(1)).alias("_n"))
-    variants = names.withColumn("_v", F.explode(_with_deletions(F.col(tx.name), edits)))
-    once = variants.where("_n = 1").select(tx.account, F.col(tx.name).alias("one_off"), "_v")
-    often = variants.where("_n > 1").select(tx.account, F.col(tx.name).alias("recurring"), "_v")
-    return (
-        once.join(often, [tx.account, "_v"]).where(F.levenshtein("one_off", "recurring").between(1, edits))
-        .select(tx.account, "one_off", "recurring").distinct()
-    )
+    recipient. The number of variants of a name grows with its length to that power. Names meet once for all accounts; accounts
+    then meet the pairs of similar names."""
+    # read for the distinct names and for both sides of the accounts
+    names = cut_lineage(df.groupBy(tx.account, tx.name).agg(F.count(F.lit(1)).alias("_n")), "names")
+    near = _similar_pairs(names.select(tx.name, (F.col("_n") == 1).alias("_once")), tx.name, edits)
+    once = names.where("_n = 1").select(tx.account, F.col(tx.name).alias("one_off"))
+    often = names.where("_n > 1").select(tx.account, F.col(tx.name).alias("recurring"))
+    return once.join(near, "one_off").join(often, [tx.account, "recurring"]).select(tx.account, "one_off", "recurring")
+
+
+def _similar_pairs(names: DataFrame, name: str, edits: int) -> DataFrame:
+    """one_off, recurring: distinct names within 1 to `edits` edits, the first _once somewhere and the second not. A name that many
+    accounts share is spelt out and compared once, not once per account."""
+    kinds = names.groupBy(name).agg(F.max("_once").alias("_o"), F.min("_once").alias("_a"))
+    variants = kinds.select(F.col(name), "_o", (~F.col("_a")).alias("_r")).withColumn("_v", F.explode(_with_deletions(F.col(name), edits)))
+    once = variants.where("_o").select(F.col(name).alias("one_off"), "_v")
+    often = variants.where("_r").select(F.col(name).alias("recurring"), "_v")
+    pairs = once.join(often, "_v").where(F.levenshtein("one_off", "recurring").between(1, edits))
+    return cut_lineage(pairs.select("one_off", "recurring").distinct(), "similar")
 
 
 def _shifted_days(df: DataFrame, tx: TransactionColumns, days: int) -> DataFrame:

@@ -95,6 +95,22 @@ def test_similar_names_need_one_edit(spark):
     assert got == {"Acne Ltd", "Acme Lt", "Acme Ltds"}
 
 
+def test_similar_names_meet_once_for_all_accounts(spark):
+    names = ["Acme Ltd", "Acne Ltd", "Acme Lt", "Other", "", "A", None]
+    rows = [(None if i == 20 else f"a{i}", n) for i in range(21) for k, n in enumerate(names) for _ in range(1 + (i + k * k) % 3)]
+    df = spark.createDataFrame(rows, "acc string, name string")
+    n = {}
+    for r in rows:
+        n[r] = n.get(r, 0) + 1
+    near = {("Acme Ltd", "Acne Ltd"), ("Acme Ltd", "Acme Lt"), ("", "A")}
+    near |= {(b, a) for a, b in near}
+    want = sorted((acc, a, b) for acc, a in n for b in names if acc and (a, b) in near and n[acc, a] == 1 and n.get((acc, b), 0) > 1)
+    assert sorted(map(tuple, reports.new_recipient_similar_name(df, TX).collect())) == want and want
+    counted = df.groupBy("acc", "name").count().selectExpr("name", "count = 1 AS _once")
+    pairs = reports._similar_pairs(counted, "name", 1)
+    assert sorted(map(tuple, pairs.collect())) == sorted(near)
+
+
 def test_previous_row_crosses_days(ledger):
     out = reports.previous_in_series(ledger, TX, "iban", "before").select("acc", "name", "d", "k", "iban", "before").collect()
     last = {}
