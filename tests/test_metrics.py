@@ -96,3 +96,13 @@ def test_scores_and_labels_are_joined_once(spark, sf, monkeypatch):
     monkeypatch.setattr(P.M, "roc_auc", seen)
     assert P.score_label_join(spark, sf).count() == 1
     assert len(plans) == 1 and "Join" not in plans[0]
+
+
+def test_packed_keys_are_equal_only_where_keys_are(spark):
+    from fieldledger.plans import metrics as P
+
+    keys = ["", "1", "01", "1-2", "01-2", "1--2", "-1-2", "12", "1-2\n", "+12", "f", "aa", "1f2", "é", "123-4-567-89-19950101", None]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = {r["k"]: r["p"] for r in df.withColumn("p", P.packed("k")).collect()}
+    assert len(set(map(lambda x: x and bytes(x), got.values()))) == len(keys) and got[None] is None
+    assert len(got["123-4-567-89-19950101"]) == 11
