@@ -35,14 +35,14 @@ from .common import mixed, slices, with_fields
 
 SAMPLES = 4
 ALPHA = 0.5
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 2 << 20
 
 
 class Sampler:
     """Lattice of the distinct chunks of some texts with the mass behind every node."""
 
     def __init__(self, vocab: unigram.Vocabulary, strings: list[str], alpha: float):
-        self.vocab, self.lat = vocab, unigram.lattice(vocab, strings)
+        self.vocab, self.lat = vocab, unigram.lattice(vocab, strings, tree=True)
         lat = self.lat
         score = alpha * lat.score
         behind = np.zeros(lat.nodes)  # log of the summed mass of all ways to the end

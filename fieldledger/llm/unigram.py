@@ -31,24 +31,24 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _slot(key: np.ndarray, bits: int) -> np.ndarray:
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class Vocabulary:
     """Pieces, scores, byte pieces and the automaton that finds all pieces in a string."""
 
     def __init__(self, pieces: list[tuple[int, str]], byte_ids: list[int]):
-        import ahocorasick
-
         self.ids = np.array([i for i, _ in pieces], np.int64)
         self.pieces = [p for _, p in pieces]
         weight = 1 / (np.arange(len(pieces)) + SHIFT)
         self.scores = np.log(weight / weight.sum())
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
         self.longest = int(self.lengths.max())
+        self._table = None
         self.unknown = float(self.scores.min() - UNKNOWN_COST)
         self.byte_ids = np.array(byte_ids, np.int64)
-        self.automaton = ahocorasick.Automaton()
-        for k, p in enumerate(self.pieces):
-            self.automaton.add_word(p, k)
-        self.automaton.make_automaton()
+        self._automaton = None
         self.surface: dict[int, bytes] = {int(i): p.replace(SPACE, " ").encode() for i, p in pieces}
         self.surface.update({i: bytes([b]) for b, i in enumerate(byte_ids)})
 
@@ -62,11 +62,80 @@ class Vocabulary:
                  if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         return Vocabulary(plain, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
+    @property
+    def automaton(self):
+        if self._automaton is None:
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for k, p in enumerate(self.pieces):
+                self._automaton.add_word(p, k)
+            self._automaton.make_automaton()
+        return self._automaton
+
     def matches(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
         """(start, piece) of every occurrence of every piece."""
         flat = np.fromiter(itertools.chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
         return flat[:, 0] + 1 - self.lengths[flat[:, 1]], flat[:, 1]
 
+    def _tree(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Prefixes of the pieces as a table from (prefix, next character) to a longer prefix: keys, prefixes, the piece of each
+        prefix (-1: none) and the bits of the table's size."""
+        nodes, piece = {}, [-1]
+        for k, p in enumerate(self.pieces):
+            at = 0
+            for c in p:
+                step = at << 21 | ord(c)
+                if (to := nodes.get(step)) is None:
+                    to = nodes[step] = len(piece)
+                    piece.append(-1)
+                at = to
+            piece[at] = k
+        bits = max(4, (8 * len(nodes)).bit_length())
+        keys, to = np.full(1 << bits, -1), np.zeros(1 << bits, np.int32)
+        want, value = np.fromiter(nodes.keys(), np.int64, len(nodes)), np.fromiter(nodes.values(), np.int32, len(nodes))
+        slot = _slot(want, bits)
+        while len(want):  # into the first free slot, one of those that want the same
+            free = np.flatnonzero(keys[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            keys[slot[free[first]]], to[slot[free[first]]] = want[free[first]], value[free[first]]
+            rest = np.ones(len(want), bool)
+            rest[free[first]] = False
+            want, value, slot = want[rest], value[rest], (slot[rest] + 1) & ((1 << bits) - 1)
+        return keys, to, np.array(piece, np.int32), bits
+
+    def found(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, piece) of every occurrence of every piece among code points, as `matches` finds them: all places step down the
+        tree of prefixes together."""
+        if self._table is None:
+            self._table = self._tree()
+        keys, to, piece_of, bits = self._table
+        mask, size = (1 << bits) - 1, len(codes)
+        place, node = np.arange(size), np.zeros(size, np.int64)
+        starts, pieces = [], []
+        for depth in range(self.longest):
+            inside = np.flatnonzero(place < size - depth)
+            if len(inside) < len(place):
+                place, node = place[inside], node[inside]
+            step = node << 21 | codes[place + depth]
+            slot = _slot(step, bits)
+            have = keys[slot]
+            open_ = np.flatnonzero((have != step) & (have >= 0))
+            while len(open_):
+                slot[open_] = (slot[open_] + 1) & mask
+                have = keys[slot[open_]]
+                open_ = open_[(have != step[open_]) & (have >= 0)]
+            hit = np.flatnonzero(keys[slot] == step)
+            if not len(hit):
+                break
+            place, node = place[hit], to[slot[hit]].astype(np.int64)
+            piece = piece_of[node]
+            whole = np.flatnonzero(piece >= 0)
+            starts.append(place[whole])
+            pieces.append(piece[whole].astype(np.int64))
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *starts]), np.concatenate([none, *pieces])
+
     def decode(self, ids) -> str:
         """The text of a sequence of ids; inverse of every segmentation of a text."""
         return b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -110,14 +179,14 @@ def _utf8_width(code: np.ndarray) -> np.ndarray:
     return 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
 
 
-def lattice(vocab: Vocabulary, strings: list[str]) -> Lattice:
-    """All edges, in order of their start node, the longest first."""
+def lattice(vocab: Vocabulary, strings: list[str], tree: bool = False) -> Lattice:
+    """All edges, in order of their start node, the longest first; pieces are found by the automaton, or by the tree of prefixes."""
     joined = "\x00".join(strings).replace(" ", SPACE) + "\x00"
     sizes = np.array([len(s) for s in strings], np.int64)
     last = np.cumsum(sizes + 1) - 1
     first = last - sizes
-    start, piece = vocab.matches(joined)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    start, piece = vocab.found(codes) if tree else vocab.matches(joined)
     bare = np.ones(len(codes), bool)
     bare[last] = False
     bare[start[vocab.lengths[piece] == 1]] = False

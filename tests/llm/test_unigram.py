@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -128,3 +129,12 @@ def test_round_trip_and_seeds(spark):
 def test_decode_inverts(text):
     for s in next(G.sampled(VOCAB, [text], [1], 3, .5)):
         assert VOCAB.decode(s["ids"].tolist()) == text.replace(U.SPACE, " ")
+
+
+def test_tree_finds_what_the_automaton_finds():
+    draw = random.Random(3)
+    pieces = sorted({"".join(draw.choices("ab▁é😀", k=draw.randrange(1, 7))) for _ in range(300)})
+    vocab = U.Vocabulary(list(enumerate(pieces)), list(range(1000, 1256)))
+    for joined in ("", "a", "\x00", "".join(draw.choices("ab▁é😀\x00x", k=5000))):
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
+        assert sorted(zip(*map(np.ndarray.tolist, vocab.found(codes)))) == sorted(zip(*map(np.ndarray.tolist, vocab.matches(joined))))
