@@ -46,7 +46,7 @@ class Sampler:
         lat = self.lat
         score = alpha * lat.score
         behind = np.zeros(lat.nodes)  # log of the summed mass of all ways to the end
-        owner = np.searchsorted(lat.last, lat.start)
+        owner = np.repeat(np.arange(len(lat.last)), np.diff(np.searchsorted(lat.start, lat.last), prepend=0))
         order, edges = unigram.by_place(lat.start, lat.first[owner])
         for place in range(len(edges) - 2, -1, -1):
             e = order[edges[place]:edges[place + 1]]
@@ -97,9 +97,14 @@ class Sampler:
             reach = (reach + self.log_p[edge])[going]
             live, node, stop, seed = live[going], node[going], stop[going], seed[going]
             step += 1
+        steps = np.repeat(np.arange(len(who)) - 1, [len(x) for x in who])
         who, taken, ahead = np.concatenate(who), np.concatenate(taken), np.concatenate(ahead)
-        order = np.argsort(who, kind="stable")
-        return who[order], taken[order], ahead[order]
+        # every walker takes its steps one after the other, so their number gives each its place
+        counts = np.bincount(who)
+        at = (np.cumsum(counts) - counts)[who] + steps
+        taken_at, ahead_at = np.empty_like(taken), np.empty_like(ahead)
+        taken_at[at], ahead_at[at] = taken, ahead
+        return np.repeat(np.arange(len(counts)), counts), taken_at, ahead_at
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         many = self.lat.width[edges]
