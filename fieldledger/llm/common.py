@@ -32,6 +32,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, f"llm-{name}")
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is shuffled, never sent whole to the driver and all tasks. Spark sizes a table by its compressed
+    files, and what tasks make of its rows by the rows they get, so it would broadcast what is many times as large in memory."""
+    return df.hint("merge")
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of frames that nothing refers to any more, so that a job in several passes needs the disk of
     its largest pass and not of all. Spark deletes them when the driver collects garbage, which is else left to chance."""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bitmap import bitmap, has
-from .common import mixed, written
+from .common import apart, mixed, written
 
 LEAST_LENGTH, LEAST_COUNT = 6, 5
 #: A form occurs at least so many times as often as its variant.
@@ -156,7 +156,7 @@ def near_pairs(vocab: DataFrame) -> DataFrame:
 
     around = vocab.mapInArrow(run, "word string, n long, key long")
     other = vocab.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "key")
-    return around.join(other, "key").where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
+    return around.join(apart(other), "key").where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def roots(forms: DataFrame) -> DataFrame:
     steps = 1
     while largest is not None and steps < math.log(largest / LEAST_COUNT, TIMES) + 1e-9:
         ahead = ends.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        ends = written(ends.join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "roots")
+        ends = written(ends.join(apart(ahead), "root", "left").select("word", F.coalesce("further", "root").alias("root")), "roots")
         steps *= 2
     return ends
 
@@ -178,8 +178,8 @@ def variants(docs: DataFrame, key: str = "doc_id", text: str = "text", noise: in
     near = near_pairs(vocab).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct(-F.col("near_n"), "near")).alias("x"))
     near = near.select("word", "n_near", F.col("x.near").alias("near"), (-F.col("x.col1")).alias("near_n"))
     far = F.col("near_n") >= TIMES * F.col("n")
-    rows = written(vocab.join(near, "word", "left").select(
+    rows = written(vocab.join(apart(near), "word", "left").select(
         "word", F.when(far, F.col("near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(far, F.col("near_n")).alias("form_n")), "forms")
     ends = roots(rows.where("form is not null"))
-    return rows.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(apart(ends), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

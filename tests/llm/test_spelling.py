@@ -105,3 +105,13 @@ def test_neighbourhoods_hold_each_string_once():
             for c in letter.values():
                 for other in (word[:i] + [c] + word[i:], word[:i] + [c] + word[i + 1:]):
                     assert S.reduced(np.array([other], np.uint8))[0] in keys
+
+
+def test_no_join_sends_a_side_whole(spark):
+    """The files of a vocabulary take a few MB where its rows fill the driver's memory, so no side goes by the size of its files."""
+    vocab = spark.createDataFrame([("aaaaaa", 30, 1), ("aaaaab", 6, 2)], "word string, n long, key long")
+    docs = spark.createDataFrame([(1, "aaaaaa aaaaab " * 9, "x", 1)], SCHEMA)
+    forms = spark.createDataFrame([("aaaaaa", "aaaaab", 3125), ("aaaaab", "aaaabb", 15625)], "word string, form string, form_n long")
+    for made in (S.near_pairs(vocab), S.variants(docs), S.roots(forms)):
+        made.collect()
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
