@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release  # noqa: F401
 
 #: Bytes of text handled at once inside a task.
 SLICE_BYTES = 4 << 20
@@ -38,13 +37,6 @@ def apart(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def release(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of frames that nothing refers to any more, so that a job in several passes needs the disk of
-    its largest pass and not of all. Spark deletes them when the driver collects garbage, which is else left to chance."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def with_fields(schema: StructType, fields: str) -> StructType:
     """A new schema with more fields, given as "name type, ..."; the schema itself stays as it is."""
     return StructType(schema.fields + StructType.fromDDL(fields).fields)

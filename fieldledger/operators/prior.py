@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
-from ..session import cut_lineage
+from ..session import cut_lineage, passed, release
 
 # fixed values: the columns of the feature vector, in their order
 FEATURE_COLUMNS = (
@@ -31,6 +31,8 @@ FEATURE_COLUMNS = (
 )
 DEFAULT_GAP_DAYS = 30
 HOT_ROWS = 20_000_000
+# ledgers of more rows are worked on in passes that are written, so that the disk holds the shuffle files of one at a time
+PASS_ROWS = 2_000_000
 # stands for a missing date in the keys of chunks; it sorts where nulls do
 NO_DAY = "0001-01-01"
 
@@ -70,13 +72,13 @@ def series_keys(keys: Sequence[str]) -> dict[str, Column]:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], value: str, min_rows: int) -> DataFrame | None:
-    """Keys with more than min_rows rows (missing keys too) and their mean value, as a written table that is
+    """Keys with more than min_rows rows (missing keys too), their rows and mean value, as a written table that is
     joined and not broadcast: their number may grow with the data. None when there is no such key."""
     made = series_keys(keys)
     found = cut_lineage(
         df.groupBy(*[c.alias(k) for k, c in made.items()])
         .agg(F.count(F.lit(1)).alias("_rows"), F.coalesce(F.avg(value), F.lit(0.0)).alias("_center"))
-        .where(F.col("_rows") > min_rows).drop("_rows"), "hot-keys")
+        .where(F.col("_rows") > min_rows), "hot-keys")
     return None if found.isEmpty() else found
 
 
@@ -123,162 +125,164 @@ def _whole_series_state(df: DataFrame, tx: TransactionColumns, modes: Sequence[s
     return out.withColumns(state).drop("_pos", *[f"_c_{m}" for m in modes], *[f"_f_{m}" for m in modes])
 
 
-def _histogram_median(histogram: Column) -> Column:
-    """Exact median from counts of days 1..31; null for an empty histogram."""
-    total = F.aggregate(histogram, F.lit(0).cast("long"), lambda a, c: a + c)
+def _median_day(cum: Column, today: Column, n: Column) -> dict[str, Column]:
+    """Steps to the exact median of days, _usual_day: of the days counted up to each of 1..31 in cum, and n times the day today."""
+    t, low, high, extra = F.col("_t"), F.col("_low"), F.col("_high"), F.col("_extra")
+    below, upto = F.coalesce(F.get(cum, today - 2), F.lit(0)), F.get(cum, today - 1) + extra
+
+    def earlier(rank: Column) -> Column:
+        return F.size(F.filter(cum, lambda c: c <= rank)) + 1
 
     def day_at(rank: Column) -> Column:
-        # first day whose running count passes the rank (from 0)
-        state = F.struct(F.lit(0).cast("long").alias("cum"), F.lit(0).alias("day"))
-        days = F.transform(histogram, lambda c, i: F.struct(c.alias("c"), (i + 1).alias("d")))
-        return F.aggregate(
-            days, state,
-            lambda a, e: F.struct(
-                (a["cum"] + e["c"]).alias("cum"),
-                F.when((a["day"] == 0) & (a["cum"] + e["c"] > rank), e["d"])
-                .otherwise(a["day"]).cast("int").alias("day")),
-        )["day"].cast("double")
-
-    low = day_at(F.floor((total - 1) / 2))
-    high = day_at(F.floor(total / 2))
-    return F.when(total > 0, (low + high) / 2)
+        return F.when(today.isNull() | (rank < below), earlier(rank)).when(rank < upto, today).otherwise(earlier(rank - extra))
+
+    return {"_extra": F.when(today.isNull(), F.lit(0)).otherwise(n).cast("long"), "_t": F.get(cum, F.lit(30)) + extra,
+            "_low": F.floor((t - 1) / 2), "_high": F.floor(t / 2),
+            "_usual_day": F.when(t > 0, (day_at(low).cast("double") + day_at(high)) / 2)}
+
+
+def _chunk_markers(parts: DataFrame, tx: TransactionColumns, modes: Sequence[str], chunk: Sequence[str], gathered: bool) -> DataFrame:
+    """What a chunk must know of the chunks before it, as rows that are put among its own: the first has _state, the totals before and
+    the best value so far of each mode. One row holds a value of the chunk for each mode, in the mode's column, with its count
+    (_c0) and first row (_f0) before the chunk. A written table.
+
+    parts: rows of the series with their _center, keys and _day. They are shuffled once by chunk, for all that is counted in it, and
+    the counts once by series if they may be `gathered` there; else as each step needs it, so that no task gets a whole series."""
+    series = list(series_keys(tx.series))
+    key = [*series, *chunk]
+    kinds = {m: parts.schema[tx.modes[m]].dataType for m in modes}
+    parts = parts.select(*dict.fromkeys([*key, *tx.ties, tx.date, tx.amount, "_center", *(tx.modes[m] for m in modes)])).repartition(*key)
+    parts = parts.withColumn("_r", F.rank().over(Window.partitionBy(*key).orderBy(*tx.ties)))
+    x = F.col(tx.amount) - F.col("_center")
+    names = ("m", "_v", "x", "xx", "a", "d")
+    whole = [F.lit(-1), F.lit(""), x, x * x, F.col(tx.amount), F.col(tx.date)]
+    none = [F.lit(None).cast(k) for k in ("double", "double", parts.schema[tx.amount].dataType, parts.schema[tx.date].dataType)]
+    entries = [whole, *([F.lit(i), present(tx.modes[m]), *none] for i, m in enumerate(modes))]
+    counts = parts.select(*key, "_r", F.inline(F.array(*(F.struct(*(c.alias(n) for c, n in zip(e, names))) for e in entries))))
+    counts = counts.groupBy(*key, "m", "_v").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_r"), F.sum("x").alias("_s"), F.sum("xx").alias("_ss"),
+        F.min("a").alias("_lo"), F.max("a").alias("_hi"), F.count("a").alias("_a"), F.max("d").alias("_d"))
+    if gathered:
+        counts = counts.repartition(*series)
+    by_value = _before(*series, "m", "_v", order=chunk)
+    first = F.struct(*chunk, "_r")
+    counts = counts.withColumns({"_c0": F.sum("_n").over(by_value), "_f0": F.min(first).over(by_value),
+                                 "_j": F.row_number().over(Window.partitionBy(*key, "m").orderBy("_v"))})
+    # the j-th values of all modes in one row, the totals beside the first
+    is_mode = [F.col("m") == i for i in range(-1, len(modes))]
+    made = [F.max(F.when(is_mode[0], F.struct("_n", "_s", "_ss", "_lo", "_hi", "_a", "_d"))).alias("_x")]
+    for m, here in zip(modes, is_mode[1:]):
+        best = F.struct((-F.coalesce("_c0", F.lit(0)) - F.col("_n")).alias("c"), F.coalesce("_f0", first).alias("f"), F.col("_v").alias("v"))
+        made += [F.min(F.when(here, best)).alias(f"_b_{m}"), F.max(F.when(here, F.struct("_v", "_c0", "_f0"))).alias(f"_y_{m}")]
+    rows = counts.groupBy(*key, "_j").agg(*made)
+    rows = rows.withColumns({f"_b_{m}": F.min(f"_b_{m}").over(Window.partitionBy(*key)) for m in modes})
+    rows = rows.select("*", "_x.*").drop("_x").withColumn("_ym", F.trunc("_d", "month"))
+    wd, day = _before(*series, "_j", order=chunk), F.dayofmonth("_d")
+    zero = F.lit(0).cast("long")
+
+    def value(text: Column, m: str) -> Column:
+        return F.when(text != "", F.substring(text, 2, 2**31 - 1)).cast(kinds[m])
+
+    state = {
+        "n": F.coalesce(F.sum("_n").over(wd), zero), "s": F.coalesce(F.sum("_s").over(wd), F.lit(0.0)),
+        "ss": F.coalesce(F.sum("_ss").over(wd), F.lit(0.0)), "lo": F.min("_lo").over(wd), "hi": F.max("_hi").over(wd),
+        "a": F.coalesce(F.sum("_a").over(wd), zero), "last": F.max("_d").over(wd),
+        "m": F.coalesce(F.sum("_n").over(_before(*series, "_j", "_ym", order=chunk)), zero),
+        "cum": F.array(*[F.coalesce(F.sum(F.when(day <= d, F.col("_n"))).over(wd), zero) for d in range(1, 32)])}
+    rows = rows.withColumns({f"_0{k}": c for k, c in state.items()} | {f"_b_{m}": F.min(f"_b_{m}").over(wd) for m in modes})
+    best = [F.when(F.col(f"_b_{m}").isNotNull(), F.struct(F.col(f"_b_{m}.c").alias("c"), F.col(f"_b_{m}.f").alias("f"),
+                                                          value(F.col(f"_b_{m}.v"), m).alias("v"))).alias(f"best_{m}") for m in modes]
+    out = rows.select(*key, F.when(F.col("_j") == 1, F.struct(*(F.col(f"_0{k}").alias(k) for k in state), *best)).alias("_state"),
+                      *(value(F.col(f"_y_{m}._v"), m).alias(tx.modes[m]) for m in modes),
+                      *(F.col(f"_y_{m}.{c}").alias(f"{c}_{m}") for m in modes for c in ("_c0", "_f0")))
+    kept = F.col("_state").isNotNull()
+    for m in modes:
+        kept = kept | F.col(f"_c0_{m}").isNotNull()
+    return cut_lineage(out.where(kept).withColumn("_mark", F.lit(True)), "chunks")
 
 
 def _chunked_series_state(
-    df: DataFrame, ledger: DataFrame, tx: TransactionColumns, modes: Sequence[str], sub_day: str | None, then: Sequence[str] = ()
+    df: DataFrame, tx: TransactionColumns, modes: Sequence[str], sub_day: str | None, then: Sequence[str] = (), gathered: bool = True,
 ) -> DataFrame:
-    """The same state for series cut into chunks. df and ledger carry _center per series and its keys, ledger the rows without what
-    has been joined to them; sub_day holds no null."""
+    """The same state for series cut into chunks. df is a written table, with _center per series and its keys; sub_day holds no null."""
     series = list(series_keys(tx.series))
     chunk = ["_day"] + ([sub_day] if sub_day else [])
     key = [*series, *chunk]
-    x = F.col(tx.amount) - F.col("_center")
-    df = df.withColumns({"_day": day_key(tx), "_x": x, "_xx": x * x})
+    df = df.withColumn("_day", day_key(tx))
     ties = [*tx.ties, *then]
     inside = _before(*key, order=ties)
+    markers = _chunk_markers(df, tx, modes, chunk, gathered)
+    release(df.sparkSession)
 
-    # what the totals need of the ledger, read once per table below; rows are not joined to totals but for the one shuffle by chunk
-    parts = ledger.withColumns({"_day": day_key(tx), "_x": x, "_xx": x * x})
-    parts = cut_lineage(parts.select(*dict.fromkeys([*key, *tx.ties, tx.date, tx.amount, "_x", "_xx", *(tx.modes[m] for m in modes)])), "hot-series")
-
-    # state at the start of each chunk, from chunk totals
-    totals = parts.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_t_n"), F.sum("_x").alias("_t_s"), F.sum("_xx").alias("_t_ss"),
-        F.min(tx.amount).alias("_t_lo"), F.max(tx.amount).alias("_t_hi"), F.count(tx.amount).alias("_t_a"),
-        F.max(tx.date).alias("_t_date"),
-    )
-    wd = _before(*series, order=chunk)
-    day = F.dayofmonth("_t_date")
-    carry = (
-        totals.withColumn("_ym", F.trunc("_t_date", "month"))
-        .select(
-            *key,
-            F.coalesce(F.sum("_t_n").over(wd), F.lit(0)).alias("_n0"),
-            F.coalesce(F.sum("_t_s").over(wd), F.lit(0.0)).alias("_s0"),
-            F.coalesce(F.sum("_t_ss").over(wd), F.lit(0.0)).alias("_ss0"),
-            F.min("_t_lo").over(wd).alias("_lo0"),
-            F.max("_t_hi").over(wd).alias("_hi0"),
-            F.coalesce(F.sum("_t_a").over(wd), F.lit(0)).alias("_a0"),
-            F.max("_t_date").over(wd).alias("_last0"),
-            F.coalesce(F.sum("_t_n").over(_before(*series, "_ym", order=chunk)), F.lit(0)).alias("_m0"),
-            F.array(*[
-                F.coalesce(F.sum(F.when(day == d, F.col("_t_n"))).over(wd), F.lit(0)).cast("long")
-                for d in range(1, 32)
-            ]).alias("_hist0"),
-        )
-    )
-    # usual values: the least (-count, first row, value). What a chunk must know of the chunks before it, the counts of its own
-    # values and the best of all, comes as marker rows (_mark: the mode) and through one join, so rows are shuffled once
-    first_row = F.struct(*chunk, *tx.ties)
-    rows, bests = df.withColumn("_mark", F.lit(None).cast("int")), None
-    for i, m in enumerate(modes):
-        v = tx.modes[m]
-        per_value = parts.groupBy(*key, present(v).alias("_v")).agg(
-            F.count(F.lit(1)).alias("_vc"), F.min(first_row).alias("_vf"), F.max(v).alias("_value"))
-        by_value = _before(*series, "_v", order=chunk)
-        per_value = per_value.withColumns({
-            "_c0": F.coalesce(F.sum("_vc").over(by_value), F.lit(0)), "_f0": F.min("_vf").over(by_value)})
-        best = (
-            per_value.groupBy(*key)
-            .agg(F.min(F.struct((-F.col("_c0") - F.col("_vc")).alias("c"), F.coalesce("_f0", "_vf").alias("f"),
-                                F.col("_value").alias("v"))).alias("_b"))
-            .select(*key, F.min("_b").over(wd).alias(f"_best_{m}"))
-        )
-        bests = best if bests is None else bests.join(best, key)
-        marks = per_value.where("_c0 > 0").select(
-            *key, F.col("_value").alias(v), F.lit(i).alias("_mark"), F.col("_c0").alias(f"_c0_{m}"), F.col("_f0").alias(f"_f0_{m}"))
-        rows = rows.unionByName(marks, allowMissingColumns=True)
-    out = rows.repartition(*key)
+    # usual values: the least (-count, first row, value); rows and what their chunk must know are shuffled once
+    out = df.withColumn("_mark", F.lit(None).cast("boolean")).unionByName(markers, allowMissingColumns=True).repartition(*key)
     last_marks = F.col("_mark").isNotNull()
-    for i, m in enumerate(modes):
+    out = out.withColumn("_r", F.rank().over(Window.partitionBy(*key).orderBy(last_marks, *tx.ties)))
+    for m in modes:
         v = tx.modes[m]
-        out = out.withColumn("_v", F.when(F.col("_mark").isNull() | (F.col("_mark") == i), present(v)))
+        out = out.withColumn("_v", F.when(F.col("_mark").isNull() | F.col(f"_c0_{m}").isNotNull(), present(v)))
         own = Window.partitionBy(*key, "_v")
         ordered = own.orderBy(last_marks, *ties)
         whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         count_now = F.coalesce(F.max(f"_c0_{m}").over(whole), F.lit(0)) + F.row_number().over(ordered)
-        seen_first = F.coalesce(F.min(f"_f0_{m}").over(whole), F.min(F.when(~last_marks, first_row)).over(whole))
+        seen_first = F.coalesce(F.min(f"_f0_{m}").over(whole), F.min(F.when(~last_marks, F.struct(*chunk, "_r"))).over(whole))
         out = out.withColumn(f"_cand_{m}", F.struct(
             (-count_now).cast("long").alias("c"), seen_first.alias("f"), F.col(v).alias("v"))).drop("_v", f"_c0_{m}", f"_f0_{m}")
-    out = out.where("_mark is null").drop("_mark").join(carry if bests is None else carry.join(bests, key), key)
+    out = out.withColumn("_state", F.first("_state", ignorenulls=True).over(Window.partitionBy(*key))).where("_mark is null").drop("_mark", "_r")
     out = out.withColumn("_n1", (F.row_number().over(Window.partitionBy(*key).orderBy(*ties)) - 1).cast("long"))
     for m in modes:
-        out = out.withColumn(f"_mode_{m}", F.least(f"_best_{m}", F.min(f"_cand_{m}").over(inside))["v"])
-    out = out.drop(*(f"_cand_{m}" for m in modes), *(f"_best_{m}" for m in modes))
+        out = out.withColumn(f"_mode_{m}", F.least(f"_state.best_{m}", F.min(f"_cand_{m}").over(inside))["v"])
+    out = out.drop(*(f"_cand_{m}" for m in modes))
 
-    n = F.col("_n0") + F.col("_n1")
-    amounts = F.col("_a0") + F.coalesce(F.count(tx.amount).over(inside), F.lit(0))
-    s = F.col("_s0") + F.coalesce(F.sum("_x").over(inside), F.lit(0.0))
-    ss = F.col("_ss0") + F.coalesce(F.sum("_xx").over(inside), F.lit(0.0))
-    out = (
-        out.withColumn("_n", n).withColumn("_a", amounts).withColumn("_s", s).withColumn("_ss", ss)
-        .withColumn("_lo", F.least("_lo0", F.min(tx.amount).over(inside)))
-        .withColumn("_hi", F.greatest("_hi0", F.max(tx.amount).over(inside)))
-    )
+    x = F.col(tx.amount) - F.col("_center")
+    out = out.withColumns({
+        "_n": F.col("_state.n") + F.col("_n1"),
+        "_a": F.col("_state.a") + F.coalesce(F.count(tx.amount).over(inside), F.lit(0)),
+        "_s": F.col("_state.s") + F.coalesce(F.sum(x).over(inside), F.lit(0.0)),
+        "_ss": F.col("_state.ss") + F.coalesce(F.sum(x * x).over(inside), F.lit(0.0)),
+        "_lo": F.least("_state.lo", F.min(tx.amount).over(inside)),
+        "_hi": F.greatest("_state.hi", F.max(tx.amount).over(inside))})
     shift = F.try_divide("_s", "_a")
-    today = F.dayofmonth(tx.date)
-    return (
+    out = (
         out.withColumn("_mean", F.col("_center") + shift)
         .withColumn("_sd", F.sqrt(F.greatest(F.try_divide("_ss", "_a") - shift * shift, F.lit(0.0))))
-        .withColumn("_usual_day", _histogram_median(F.transform(
-            "_hist0", lambda c, i: c + F.when(i + 1 == today, F.col("_n1")).otherwise(0))))
-        .withColumn("_last", F.when(F.col("_n1") > 0, F.col(tx.date)).otherwise(F.col("_last0")))
-        .withColumn("_month_n", F.col("_m0") + F.col("_n1"))
-        .drop("_center", "_x", "_xx", "_n0", "_s0", "_ss0", "_lo0", "_hi0", "_last0", "_m0", "_hist0",
-              "_n1", "_s", "_ss", "_a", "_a0", "_day")
+        .withColumn("_last", F.when(F.col("_n1") > 0, F.col(tx.date)).otherwise(F.col("_state.last")))
+        .withColumn("_month_n", F.col("_state.m") + F.col("_n1"))
+        .withColumn("_cum", F.col("_state.cum")).withColumn("_today", F.dayofmonth(tx.date))
     )
+    for name, c in _median_day(F.col("_cum"), F.col("_today"), F.col("_n1")).items():
+        out = out.withColumn(name, c)
+    return out.drop("_center", "_state", "_n1", "_s", "_ss", "_a", "_day", "_cum", "_today", "_extra", "_t", "_low", "_high")
 
 
 def series_state(
     df: DataFrame, tx: TransactionColumns, modes: Sequence[str] = ("iban", "swift", "method", "channel"),
-    hot: DataFrame | None = None, sub_day: str | None = None, base: DataFrame | None = None, then: Sequence[str] = (),
+    hot: DataFrame | None = None, sub_day: str | None = None, then: Sequence[str] = (), own: Sequence[DataFrame] = (),
 ) -> DataFrame:
     """df plus the state of its series before each row, in columns that begin with '_'.
 
-    hot: the series to cut into chunks, from hot_keys; base: df or what df was made from, for the totals of chunks; then: columns of
-    df that order rows with equal ties in a chunk, as they were ordered before."""
+    hot: the series to cut into chunks, from hot_keys; then: columns of df that order rows with equal ties in a chunk, as they were
+    ordered before. With hot series df is written, and the tables that it is made from and that nothing else reads (own) are removed."""
     if hot is None:
         return _whole_series_state(df, tx, modes)
     keys = series_keys(tx.series)
-    keyed = df.withColumns(keys)
-    small = keyed.join(hot, list(keys), "left_anti").drop(*keys)
-    large = keyed.join(hot, list(keys))
-    ledger = large if base is None else base.withColumns(keys).join(hot, list(keys))
-    return _whole_series_state(small, tx, modes).unionByName(
-        _chunked_series_state(large, ledger, tx, modes, sub_day, then).drop(*keys))
+    gathered = hot.agg(F.max("_rows")).first()[0] <= HOT_ROWS
+    rows = passed(df.withColumns(keys).join(hot.drop("_rows"), list(keys), "left"), "series", *own)
+    small, large = rows.where("_center is null").drop("_center", *keys), rows.where("_center is not null")
+    return _whole_series_state(small, tx, modes).unionByName(_chunked_series_state(large, tx, modes, sub_day, then, gathered).drop(*keys))
 
 
 def series_features(
     df: DataFrame, tx: TransactionColumns, cutoff: Column | None = None,
     modes: Sequence[str] = ("iban", "swift", "method", "channel"),
-    hot: DataFrame | None = None, sub_day: str | None = None, base: DataFrame | None = None, then: Sequence[str] = (),
+    hot: DataFrame | None = None, sub_day: str | None = None, then: Sequence[str] = (), own: Sequence[DataFrame] = (),
 ) -> DataFrame:
     """Features of the row against the earlier rows of its (account, recipient) series.
 
     Rows after the cutoff date form a second pass: only the gap since the last payment
     starts anew there, all other state carries over.
     """
-    state = series_state(df, tx, modes, hot, sub_day, base, then)
+    state = series_state(df, tx, modes, hot, sub_day, then, own)
     if cutoff is not None:
         state = state.withColumn("_cutoff", cutoff)
     amount, n, mean = F.col(tx.amount), F.col("_n"), F.col("_mean")
@@ -353,11 +357,15 @@ def key_counts(
 
 
 def counterparty_features(
-    df: DataFrame, tx: TransactionColumns, cutoff: Column | None = None, sub_day: str | None = None
+    df: DataFrame, tx: TransactionColumns, cutoff: Column | None = None, sub_day: str | None = None, own: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Features of the recipient and the iban over all accounts. All totals come from df itself, not from the
-    frames that the joins before have made of it."""
+    frames that the joins before have made of it. own: if given, what the recipient gives is written first, to a table put into it."""
     out = key_counts(df, tx, tx.name, "ref_name", cutoff, sub_day, df, tx.iban)
+    if own is not None:
+        out = passed(out.drop("ref_name_count_before_log"), "recipients")
+        own.append(out)
+        out = out.withColumn("ref_name_count_before_log", F.log1p("ref_name_count_before"))
     out = key_counts(out, tx, tx.iban, "iban", cutoff, sub_day, df)
     return out.withColumn(
         "known_name_new_iban",
@@ -379,17 +387,27 @@ def row_features(df: DataFrame, tx: TransactionColumns) -> DataFrame:
 
 def transaction_features(
     df: DataFrame, tx: TransactionColumns, cutoff: Column | None = None,
-    hot_rows: int = HOT_ROWS, sub_day: str | None = None,
+    hot_rows: int = HOT_ROWS, sub_day: str | None = None, pass_rows: int = PASS_ROWS,
 ) -> DataFrame:
     """All 21 features, strictly prior, one row per transaction. The ledger is read once and written; counts
-    and features read the copy."""
-    df = cut_lineage(df, "ledger")
+    and features read the copy. Above pass_rows rows the recipients, the ibans and the series are passes of their own: each is
+    written, then the files of the one before are removed. What the result reads and nothing else is in its _fieldledger_own."""
+    df = passed(df, "ledger")
+    passes = df.count() > pass_rows
     hot = hot_keys(df, tx.series, tx.amount, hot_rows)
-    out = counterparty_features(df, tx, cutoff, sub_day)
-    out = series_features(out, tx, cutoff, hot=hot, sub_day=sub_day, base=df, then=["iban_count_before"])
+    own = [df]
+    out = counterparty_features(df, tx, cutoff, sub_day, own if passes else None)
+    logs = [f"{c}_count_before" for c in ("ref_name", "iban")]
+    out = out.drop(*(f"{c}_log" for c in logs))
+    if passes and hot is None:
+        out = passed(out, "counterparties", *own)
+        own = [out]
+    out = series_features(out, tx, cutoff, hot=hot, sub_day=sub_day, then=["iban_count_before"], own=own if hot is not None else ())
     # logarithms are taken behind the shuffles, where counts take a third of the bytes
-    logs = {f"{c}_count_before_log": F.log1p(f"{c}_count_before") for c in ("ref_name", "iban")}
-    return row_features(out.withColumns(logs), tx)
+    out = row_features(out.withColumns({f"{c}_log": F.log1p(c) for c in logs}), tx)
+    if hot is None:
+        out._fieldledger_own = own
+    return out
 
 
 def select_features(df: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS) -> Column:

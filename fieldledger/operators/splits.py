@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.noise import noise_key
 
@@ -27,6 +27,11 @@ def chronological_cutoff(df: DataFrame, date: str, test_size: float = 0.5) -> Co
     return days.where(F.col("_cum") > position).agg(F.min("_d")).scalar()
 
 
+def looked_up(spark: SparkSession, value: Column, kind: str) -> Column:
+    """A scalar subquery as its value, so that the passes that need it do not each read what it is made from."""
+    return F.lit(spark.range(1).select(value.alias("v")).first()[0]).cast(kind)
+
+
 def chronological_split(df: DataFrame, date: str, test_size: float = 0.5) -> DataFrame:
     """split = train up to and including the cutoff date, test after it."""
     return df.withColumn("_cutoff", chronological_cutoff(df, date, test_size)).withColumn(

@@ -12,7 +12,7 @@ from .registry import query
 
 def all_features(spark, sf, hot_rows=prior.HOT_ROWS):
     tx = transactions(spark, sf)
-    cutoff = splits.chronological_cutoff(tx, TX.date)
+    cutoff = splits.looked_up(spark, splits.chronological_cutoff(tx, TX.date), "date")
     return prior.transaction_features(tx, TX, cutoff, hot_rows=hot_rows)
 
 
@@ -36,7 +36,7 @@ def carry_over_state(spark, sf):
     """Features of the test part, started from the state the training part leaves; every series
     with more than 20 rows goes through the per-day chunks."""
     tx = transactions(spark, sf)
-    cutoff = splits.chronological_cutoff(tx, TX.date)
+    cutoff = splits.looked_up(spark, splits.chronological_cutoff(tx, TX.date), "date")
     out = prior.transaction_features(tx, TX, cutoff, hot_rows=20)
     out = out.withColumn("_cut", cutoff).where(F.col("date_post") > F.col("_cut"))
     return shape(_keyed(out), ["row_key"], INT_FEATURES, FLOAT_FEATURES)

@@ -230,3 +230,32 @@ def test_rows_are_shuffled_once_per_kind_of_key(spark):
         assert wide_exchanges(prior.series_state(df, TX, hot=hot)) <= 4
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_passes_give_the_same_rows_and_remove_what_they_read(spark):
+    from fieldledger import session
+
+    rows = random_rows(31, 120)
+    df = frame(spark, rows + rows[:5])  # some rows come twice
+    names = ["k", *prior.FEATURE_COLUMNS]
+    want = sorted(map(tuple, prior.transaction_features(df, TX).select(names).collect()))
+    for hot_rows, left in ((10**9, ["counterparties", "hot-keys"]), (1, ["chunks", "hot-keys", "series"])):
+        before = len(session._WRITTEN)
+        out = prior.transaction_features(df, TX, None, hot_rows, pass_rows=0)
+        assert sorted(re.sub("-[0-9a-f]{32}$", "", path.rsplit("/", 1)[1]) for _, path in session._WRITTEN[before:]) == left
+        got = sorted(map(tuple, out.select(names).collect()))
+        assert len(got) == len(want) and all(a == pytest.approx(b, abs=1e-9) for a, b in zip(got, want))
+
+
+@pytest.mark.parametrize("gathered", [True, False])
+def test_rows_of_chunks_are_shuffled_once(spark, gathered, monkeypatch):
+    """Whether or not a series is too large for its counts to be put together in one task."""
+    monkeypatch.setattr(prior, "HOT_ROWS", 10**9 if gathered else 1)
+    df = frame(spark, random_rows(32, 90))
+    hot = prior.hot_keys(df, TX.series, TX.amount, 1)
+    out = prior.series_features(df, TX, hot=hot)
+    want = {r["k"]: r for r in prior.series_features(df, TX).collect()}
+    assert wide_exchanges(out) <= 2  # by chunk, and the small series by series
+    for r in out.collect():
+        for n in ("usual_iban", "usual_channel", "day_deviation_from_usual", "days_since_last_in_series", "series_tx_count_before"):
+            assert r[n] == want[r["k"]][n], (r["k"], n)
