@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import experiment as X, fields as M, learners as L, metrics, prep, prior, splits
-from ..session import scratch_path
+from ..session import passed, remove, scratch_path
 from ..sources import tables as T
 from ..streaming import features as SF, ledger as SL, scoring
 from .common import FLOAT_FEATURES, INT_FEATURES, KEY_SQL, LINE_KEY_SQL, features_sql, flt, num, row_key, shape
@@ -191,12 +191,15 @@ FROM p WHERE late GROUP BY row_key ORDER BY score DESC, row_key LIMIT 100""")
 def top_anomalies(spark, sf):
     """Flagship: prior features, scaling by the normal training rows, a contraction field on them,
     and the 100 test payments with the largest decision score."""
-    rows = all_features(spark, sf).select(
-        row_key().alias("row_key"), "date_post", F.col("anomaly_description").isNull().alias("normal"),
-        prior.select_features(None).alias("features"))
-    # read three times below (scaling, fit, scores): written once
-    rows = X.cut_lineage(rows, "features")
-    cutoff = splits.chronological_cutoff(T.transactions(spark, sf), "date_post")
+    rows = all_features(spark, sf)
+    # read three times below (scaling, fit, scores): written once, as what the features and the row key are made from, a third of their bytes
+    logs = {c: c.removesuffix("_log") for c in COLS if c.endswith("_log")}
+    parts = list(dict.fromkeys([*T.TX_KEY, *(logs.get(c, c) for c in COLS)]))
+    rows = passed(rows.select(*parts, F.col("anomaly_description").isNull().alias("normal")), "features",
+                  *getattr(rows, "_fieldledger_own", ()))
+    cutoff = splits.looked_up(spark, splits.chronological_cutoff(rows, "date_post"), "date")
+    rows = rows.withColumns({c: F.log1p(n) for c, n in logs.items()})
+    rows = rows.select(row_key().alias("row_key"), "date_post", "normal", prior.select_features(None).alias("features"))
     rows = rows.withColumn("late", F.col("date_post") > cutoff)
     train = rows.where("NOT late AND normal")
     z = prep.standard_scale_vector(train, rows, "features", "features")
